@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wavemill.llm import mixing, rules, similarity
+from wavemill.llm import classifier, mixing, pieces, rules, similarity
+from wavemill.llm.queries import digest
 from wavemill.llm.scratch import kept
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at 0.7 or more."""
+    model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.score(docs, model, keep=COLUMNS).where("score >= 0.7").select(*COLUMNS)
+
 
 def drop_failing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned decision list and the fixed limits keep."""
     learned = rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rules.judge(docs, learned, keep=("text", "lang", "source", "n_chars")).where("kept").select("doc_id", "text", "lang", "source", "n_chars")
+    return rules.judge(docs, learned, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", drop_failing), ("near copies", drop_similar), ("mix", mix_sources)]
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The best segmentation of every document and the next best, as digests."""
+    return digest(pieces.encode(docs))
+
+
+STAGES = [("quality classifier", drop_poor), ("quality rules", drop_failing), ("n-gram Jaccard join", drop_similar), ("mix", mix_sources), ("pieces", encode_pieces)]
 
 #: Trained scores and sampled paths have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 from .scratch import kept, running, same
 
 
+def _small(per_source: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of a row per source, broadcast if it is counted to be small; else Spark joins it by shuffle and splits large sources."""
+    return F.broadcast(per_source) if per_source.limit(rows + 1).count() <= rows else per_source
+
+
 def targets(sizes: DataFrame, weights: int = 3, repeats: int = 3) -> DataFrame:
     """From (source, source_size) to (source, source_size, rank, target), for any number of sources."""
     ranked = running(sizes.withColumn("last", F.col("source").isNull()), [], ["last", "source"], {}, "rank")
@@ -50,16 +55,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     budget = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     queued = running(rows, ["source"], ["shuffle"], {"upto": "size"}, "at").drop("at")
     keyed = goal.select(F.col("source").alias("of"), "source_size", "rank", "target")
-    queued = kept(queued.join(keyed, same(F.col("source"), F.col("of"))).drop("of"))
+    queued = kept(queued.join(_small(keyed), same(F.col("source"), F.col("of"))).drop("of"))
     tags = queued.where("size > 0 and target > 0").select("rank", "size", "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn"))
     tags = tags.withColumn("served", F.col("turn") * F.col("source_size") + F.col("upto"))
     tags = tags.select("rank", "size", "served", (F.col("served") / F.col("target")).alias("finish"))
     # what starts after the latest possible cut cannot be taken: at this virtual time every source has had its target
     latest = queued.where("size > 0 and target > 0").agg(F.max(F.col("size") / F.col("target"))).first()[0] or 0.0
     line = running(tags.where(F.col("finish") <= 1.0 + 2 * latest), [], ["finish", "rank", "served"], {"spent": "size"}, "at")
-    cut = line.where(F.col("spent") <= budget).groupBy("rank").agg(F.max("served").alias("last_served"))
+    cut = kept(line.where(F.col("spent") <= budget).groupBy("rank").agg(F.max("served").alias("last_served")))
     # a source's queue is served in order, so one number per source tells which of its documents were taken how often
-    done = queued.join(cut.withColumnRenamed("rank", "r"), F.col("rank") == F.col("r"), "left")
+    done = queued.join(_small(cut.withColumnRenamed("rank", "r")), F.col("rank") == F.col("r"), "left")
     turns = sum((F.when(F.col("upto") + t * F.col("source_size") <= F.coalesce("last_served", F.lit(-1)), 1).otherwise(0) for t in range(repeats)), F.lit(0))
     return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * turns).cast("long").alias("taken"), "text_hash", turns.alias("times"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, licenses, mixing, rules, sharding, similarity, topk
+from . import chat, classifier, extraction, licenses, mixing, pieces, rules, sharding, similarity, topk
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +31,16 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pieces.encode(_table(spark, sf_dir, "documents")))
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """What identifies the segmentations of a text: pieces and their checksum, the score, and what the other paths lose and change."""
+    others = F.array_join(F.transform("others", lambda o: F.concat((F.col("score") - o["score"]).cast("long").cast("string"), F.lit(":"), F.array_join(F.transform(o["changes"], lambda c: F.concat(c["at"].cast("string"), F.lit("="), F.array_join(c["ids"].cast("array<string>"), "+"))), "&"))), ",")
+    return encoded.select("doc_id", "n_pieces", F.crc32("pieces").alias("pieces_crc32"), "score", (F.size("others") + 1).cast("long").alias("n_paths"), others.alias("other_paths"), "exact")
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
@@ -43,6 +53,13 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(_table(spark, sf_dir, "documents"))
 
 
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = rules.fit(docs, _table(spark, sf_dir, "labels"))
@@ -54,4 +71,4 @@ def op10_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_shards, op2_perspectives, op3_main_text, op5_fair_mix, op6_chosen_path_join, op7_license_diagonals, op9_decision_list, op10_uniform_threshold)}
+QUERIES = {f.__name__: f for f in (op1_vector_shards, op2_perspectives, op3_main_text, op4_nbest_pieces, op5_fair_mix, op6_chosen_path_join, op7_license_diagonals, op8_attention_quality, op9_decision_list, op10_uniform_threshold)}
