@@ -229,3 +229,6 @@ ORACLES: dict[str, str] = {
   r AS (SELECT file, min(start_sample) AS onset_sample, CAST(sum(power) AS BIGINT) AS power_inside, count(*) AS n_inside, first(b_sum ORDER BY start_sample) AS power_before, first(b_n ORDER BY start_sample) AS n_before FROM g GROUP BY file, island)
   SELECT *, round(CASE WHEN n_before > 0 AND power_before > 0 THEN (power_inside / n_inside) / (power_before / n_before) END, 4) AS contrast FROM r""",
 }
+
+ORACLES["stream_kalman"] = ORACLES["kalman_gain"]
+ORACLES["stream_alarms"] = event_tables(2, 1024, 4096) + " SELECT file, raise_sample FROM alarms"

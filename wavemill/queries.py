@@ -12,6 +12,7 @@ from .oracles import ORACLES
 from .plans import loso, screen
 from .plans.bindings import FS, STEP, WINDOW, predictions, recordings, table, windows_of_vectors
 from .sources import annotations
+from .streaming import alarms as streaming
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -444,3 +445,28 @@ def power_contrast(spark: SparkSession, sf: str) -> DataFrame:
 def screen_settings(spark: SparkSession, sf: str) -> DataFrame:
     """How much of the separability of vectors of one label each setting of the pilot grid keeps."""
     return screen.separability_kept(windows_of_vectors(spark, sf))
+
+
+# streams --------------------------------------------------------------------
+
+
+@query
+def stream_kalman(spark: SparkSession, sf: str) -> DataFrame:
+    """The log amplitudes of ``kalman_gain`` from a stream of events with state per user."""
+    streaming.use_rocksdb(spark)
+    source = table(spark, sf, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]").select(F.col("user_id").cast("string").alias("case"), "ts", "event_id", "value")
+    out = streaming.drained(streaming.amplitudes(stream, block=4, q_over_r=0.1))
+    last = out.groupBy("case").agg(F.count(F.lit(1)).alias("n_blocks"), F.round(F.max_by("log_amplitude", "block"), 6).alias("log_amplitude"))
+    return last.select(F.col("case").cast("long").alias("user_id"), "n_blocks", "log_amplitude")
+
+
+@query
+def stream_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    """The alarms of ``event_summary`` from a stream of window predictions with state per recording."""
+    streaming.use_rocksdb(spark)
+    path = f"{streaming.shared_dir(spark)}/wavemill/{streaming.uuid.uuid4().hex}"
+    pred = predictions(spark, sf).select("file", "start_sample", "y_pred")
+    pred.write.parquet(path)
+    stream = spark.readStream.schema(pred.schema).parquet(path)
+    return streaming.drained(streaming.alarms(stream, WINDOW, STEP, min_consecutive=2, merge_gap=1024, refractory=4096))

@@ -17,7 +17,7 @@ FILE_START, FILE_END = r"File Start Time:\s*(\d+:\d+:\d+)", r"File End Time:\s*(
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """(path, case, text) of all ``*-summary.txt`` below a folder."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*-summary.txt").option("wholetext", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*-summary.txt").text(root, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_name", r"(.*)-summary\.txt", 1).alias("case"), F.col("value").alias("text"))
 
 
