@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,8 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What a byte piece costs below the lowest score of the vocabulary.
 BYTE_COST = 10.0
-#: Distinct parts that a worker remembers, each of at most LONG characters; then it starts anew.
-MOST_PARTS = 400_000
+#: Distinct parts in each of the two generations that a worker remembers, each of at most LONG characters.
+MOST_PARTS = 500_000
+_LOW = -1e300
 LONG = 48
 
 
@@ -93,7 +95,10 @@ class Pieces:
         self.cut = _boundaries(self.piece).findall
         self.longest = max(map(len, self.piece))
         self.byte_score = min(s for s, _ in self.piece.values()) - BYTE_COST
+        self.scores = {p: s for p, (s, _) in self.piece.items()}
+        self.prefixes = {p[:i] for p in self.piece for i in range(1, len(p))}
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.chosen: dict[str, list] = {}
 
     def _lattice(self, part: str) -> tuple[list[list[tuple]], list[float]]:
@@ -110,31 +115,58 @@ class Pieces:
             forward.append(max(at)[0])
         return edges, forward
 
-    def best(self, part: str) -> tuple:
-        """(ids, loss of the second choice, score) of a part.
+    def best(self, part: str) -> tuple[bytes, float, float, bool]:
+        """Ids (32-bit integers), loss of the second choice, score, and whether the ids give the part back.
 
         The search's first path is the Viterbi path; as the heuristics are exact,
         the second one leaves it by the edge that loses least.
         """
-        edges, forward = self._lattice(part)
-        place = len(part)
-        ids: list[tuple] = []
-        loss = float("inf")
+        if hit := self.older.get(part):
+            self._remember(part, hit)
+            return hit
+        get, longest, prefixes = self.scores.get, self.longest, self.prefixes
+        n = len(part)
+        forward, second, back = [_LOW] * (n + 1), [_LOW] * (n + 1), [0] * (n + 1)
+        forward[0] = 0.0
+        for begin in range(n):
+            base = forward[begin]
+            for end in range(begin + 1, min(n, begin + longest) + 1):
+                piece = part[begin:end]
+                s = get(piece)
+                if s is None:
+                    if end == begin + 1:  # the character has no piece of its own
+                        s = self.byte_score * len(piece.encode("utf-8", "surrogatepass"))
+                    elif piece in prefixes:
+                        continue
+                    else:
+                        break
+                s += base
+                if s > forward[end]:
+                    forward[end], second[end], back[end] = s, forward[end], begin
+                elif s > second[end]:
+                    second[end] = s
+        ids: list[int] = []
+        least, place = float("inf"), len(part)
         while place:
-            at = edges[place]
-            top = forward[place]
-            first = next(e for e in at if e[0] == top)
-            if len(at) > 1:
-                loss = min(loss, top - max([e[0] for e in at if e is not first]))
-            ids.append(first[2])
-            place = first[1]
-        out = (tuple(chain.from_iterable(reversed(ids))), loss, forward[-1])
+            begin = back[place]
+            if forward[place] - second[place] < least:
+                least = forward[place] - second[place]
+            own = self.piece.get(part[begin:place])
+            ids += (own[1],) if own else [self.byte[b] for b in part[begin:place].encode("utf-8", "surrogatepass")][::-1]
+            place = begin
+        ids.reverse()
+        out = (array("i", ids).tobytes(), float("inf") if least > -_LOW / 2 else least, forward[-1], b"".join([self.text[i] for i in ids]) == part.encode("utf-8", "surrogatepass"))
         if len(part) <= LONG:
-            if len(self.known) >= MOST_PARTS:
-                self.known.clear()
-            self.known[part] = out
+            self._remember(part, out)
         return out
 
+    def _remember(self, part: str, found: tuple) -> None:
+        """Two generations: parts that were not asked for while one filled up are forgotten."""
+        if len(self.known) >= MOST_PARTS:
+            self.older = self.known
+            self.known = {}
+        self.known[part] = found
+
     def choices(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
         """The N best segmentations of a part, best first: (score, ids), by A-star from its end to its start."""
         if hit := self.chosen.get(part):
@@ -163,16 +195,17 @@ class Pieces:
             self.chosen[part] = found
         return found
 
-    def encode(self, text: str) -> tuple[list[int], float, list[dict]]:
-        """Ids and score of the best segmentation, and the others."""
+    def encode(self, text: str) -> tuple[bytes, float, list[dict], bool]:
+        """Ids and score of the best segmentation, the others, and whether the ids give the text back."""
         if not text:
-            return [], 0.0, []
-        known, best = self.known.get, self.best
+            return b"", 0.0, [], True
+        best = self.best
         cut = self.cut(" " + text)
-        parts = [known(p) or best(p) for p in cut]
-        ids = list(chain.from_iterable(map(itemgetter(0), parts)))
-        score = float(sum(map(itemgetter(2), parts)))
-        loss = np.array(list(map(itemgetter(1), parts)))
+        known = self.known
+        parts = [known.get(p) or best(p) for p in cut]
+        blobs, losses, scores, exact = zip(*parts, strict=True)
+        score = float(sum(scores))
+        loss = np.array(losses)
         few = self.n_best - 1
         if len(loss) > few > 0:
             least = np.partition(loss, few - 1)[few - 1]
@@ -183,17 +216,16 @@ class Pieces:
         choices: list[tuple[float, tuple]] = [(0.0, ())]
         for i in sorted(near.tolist()):
             alternatives = self.choices(cut[i])
-            top = parts[i][2]
+            top = scores[i]
             more = [(lost + (top - s), changed + (((i, k),) if k else ())) for lost, changed in choices for k, (s, _) in enumerate(alternatives)]
             choices = sorted(more)[: self.n_best]
-        begins = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).tolist() if len(choices) > 1 else []
         others = []
-        for lost, changed in choices[1:]:
-            changes = []
-            for i, k in changed:
-                changes.append({"at": begins[i], "n": len(parts[i][0]), "ids": list(self.choices(cut[i])[k][1])})
-            others.append({"score": score - lost, "changes": changes})
-        return ids, score, others
+        if len(choices) > 1:
+            begins = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).tolist()
+            for lost, changed in choices[1:]:
+                changes = [{"at": begins[i], "n": begins[i + 1] - begins[i], "ids": list(self.choices(cut[i])[k][1])} for i, k in changed]
+                others.append({"score": score - lost, "changes": changes})
+        return b"".join(blobs), score, others, all(exact)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -219,12 +251,12 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
                 b = whole.slice(at, 1000)
                 blobs, sizes, scores, others, exact = [], [], [], [], []
                 for text in b.column(n).to_pylist():
-                    ids, score, rest = vocabulary.encode(text or "")
-                    blobs.append(np.array(ids, np.int32).tobytes())
-                    sizes.append(len(ids))
+                    blob, score, rest, whole_text = vocabulary.encode(text or "")
+                    blobs.append(blob)
+                    sizes.append(len(blob) // 4)
                     scores.append(score)
                     others.append(rest)
-                    exact.append(vocabulary.decode(ids) == (text or ""))
+                    exact.append(whole_text)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(i) for i in range(n)], pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(others, other), pa.array(exact, pa.bool_())],
                     names=[*keep, "pieces", "n_pieces", "score", "others", "exact"],
