@@ -25,6 +25,8 @@ from .scratch import kept, same
 
 MOST_GRAMS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that was not lower-cased.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Phrases that count wherever they stand word for word, with their labels.
 BASE = {
@@ -95,7 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
         F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.collect_set("ats"))), lambda a: F.sequence(a, a + (k - 1))))).alias("covered"),
     )
     spans = spans.withColumn("score", F.size("covered") / F.col("n_template")).where((F.col("n_exact") > 0) | (~F.col("is_base") & (F.col("score") >= cover)))
-    return texts.select("doc_id", "text_hash", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words")), spans.drop("covered", "span")
+    return texts.select("doc_id", "text_hash", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(CASED_WORD)).cast("long").alias("n_words")), spans.drop("covered", "span")
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:
