@@ -211,7 +211,14 @@ def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
     if not regions:
         return ""
     most = max(r[2] for r in regions)
-    lines = [t for a, b, top in regions if top >= min(surge, most) or any(inside) for t in texts[a:b] if t]
+    lines: list[str] = []
+    for a, b, top in regions:
+        if top < min(surge, most) and not any(inside):
+            continue
+        if not any(inside):  # the curve surges and dives at lines of running text, not at links beside them
+            own = [i for i in range(a, b) if sizes[i]]
+            a, b = own[0], own[-1] + 1
+        lines += [t for t in texts[a:b] if t]
     return "\n".join(lines)
 
 
