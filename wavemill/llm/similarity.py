@@ -19,6 +19,9 @@ links, and one edge to the least class that it is linked with there, which is
 all that the components need. A pair that meets in several leaves is counted in
 the least of them.
 
+Before sets are compared, the first shingles under all 32 coordinates are: two
+sets of similarity 0.8 agree in fewer than ``agree`` = 13 with probability 4e-7.
+
 Shingles are 64-bit hashes; sets are told apart by 128 bits, and compared by the
 32 low bits of their shingles (two sets of 1000 share one by chance in 1 of 4000
 cases, which moves the similarity by 0.001 at most).
@@ -145,42 +148,86 @@ def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(least: float):
-    """One leaf, or one pair of blocks of it: links of each class, and an edge to the least class of its component there."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        leaf, one, other = int(key[0]), int(key[1]), int(key[2])
-        group = group.sort_values("set_id").reset_index(drop=True)
-        n = group["n"].to_numpy(np.int64)
-        # sets whose sizes differ by more than the threshold cannot be similar
-        pairs = np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
-        np.fill_diagonal(pairs, False)
-        if one != other:
-            side = group["side"].to_numpy()
-            pairs &= side[:, None] != side[None, :]
-        # a pair counts in its least common leaf
-        earlier: dict[int, list[int]] = {}
-        for i, own in enumerate(group["leaves"]):
-            for x in own:
-                if x < leaf:
-                    earlier.setdefault(int(x), []).append(i)
-        for members in earlier.values():
-            if len(members) > 1:
-                pairs[np.ix_(members, members)] = False
-        if not pairs.any():
-            return pd.DataFrame({"set_id": [], "texts": [], "docs": [], "to": []})
-        both = _intersections([np.unique(np.frombuffer(m, np.int32)) for m in group["members"]], pairs)
-        link = pairs & (both * (1 + least) >= least * (n[:, None] + n[None, :]) - 1e-6)
-        at = np.flatnonzero(link.any(axis=1))
-        link = link[np.ix_(at, at)]
-        root = np.arange(len(at))
-        while len(at):
-            lower = np.minimum(root, np.where(link, root[None, :], len(at)).min(axis=1))
-            if (lower == root).all():
-                break
-            root = lower
-        ids = group["set_id"].to_numpy()[at]
-        return pd.DataFrame({"set_id": ids, "texts": link.sum(axis=1), "docs": link @ group["copies"].to_numpy(np.int64)[at], "to": ids[root]})
+def _group(least: float, agree: int, leaf: int, across: bool, side: np.ndarray, n: np.ndarray, first: np.ndarray, leaves: list, members: list, copies: np.ndarray) -> tuple | None:
+    """One leaf, or one pair of blocks of it: places of its linked classes, their links to texts and to rows, and the place of the least class of their component there."""
+    # sets whose sizes differ by more than the threshold cannot be similar
+    pairs = np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
+    np.fill_diagonal(pairs, False)
+    if across:
+        pairs &= side[:, None] != side[None, :]
+    if not pairs.any():
+        return None
+    same = np.zeros(pairs.shape, np.int16)
+    for c in range(COORDINATES):
+        same += first[:, None, c] == first[None, :, c]
+    pairs &= same >= agree
+    some = np.flatnonzero(pairs.any(axis=1))
+    if not len(some):
+        return None
+    pairs = pairs[np.ix_(some, some)]
+    # a pair counts in its least common leaf
+    earlier: dict[int, list[int]] = {}
+    for i, place in enumerate(some):
+        for x in leaves[place]:
+            if x < leaf:
+                earlier.setdefault(int(x), []).append(i)
+    for own in earlier.values():
+        if len(own) > 1:
+            pairs[np.ix_(own, own)] = False
+    if not pairs.any():
+        return None
+    n = n[some]
+    both = _intersections([np.unique(np.frombuffer(members[i], np.int32)) for i in some], pairs)
+    link = pairs & (both * (1 + least) >= least * (n[:, None] + n[None, :]) - 1e-6)
+    at = np.flatnonzero(link.any(axis=1))
+    if not len(at):
+        return None
+    link = link[np.ix_(at, at)]
+    root = np.arange(len(at))
+    while True:
+        lower = np.minimum(root, np.where(link, root[None, :], len(at)).min(axis=1))
+        if (lower == root).all():
+            break
+        root = lower
+    at = some[at]
+    return at, link.sum(axis=1), link @ copies[at], at[root]
+
+
+def _compare(least: float, agree: int):
+    """Rows sorted by (leaf, one, other, set_id) to the links of their groups; only the group at hand is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def links(b: pd.DataFrame) -> pd.DataFrame:
+            key = b[["leaf", "one", "other"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            n, side, copies = b["n"].to_numpy(np.int64), b["side"].to_numpy(), b["copies"].to_numpy(np.int64)
+            first = np.frombuffer(b"".join(b["first"]), np.uint32).reshape(len(b), COORDINATES)
+            ids, leaves, members = b["set_id"].to_numpy(), b["leaves"].tolist(), b["members"].tolist()
+            out: list[tuple] = []
+            for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                if j - i < 2:
+                    continue
+                got = _group(least, agree, int(key[i, 0]), key[i, 1] != key[i, 2], side[i:j], n[i:j], first[i:j], leaves[i:j], members[i:j], copies[i:j])
+                if got:
+                    out.append((ids[i + got[0]], got[1], got[2], ids[i + got[3]]))
+            part = lambda k: np.concatenate([o[k] for o in out]) if out else []
+            return pd.DataFrame({"set_id": part(0), "texts": part(1), "docs": part(2), "to": part(3)})
+
+        for b in batches:
+            if not len(b):
+                continue
+            last = (b["leaf"] == b["leaf"].iloc[-1]) & (b["one"] == b["one"].iloc[-1]) & (b["other"] == b["other"].iloc[-1])
+            if last.all() and rest and (rest[0][["leaf", "one", "other"]].iloc[0] == b[["leaf", "one", "other"]].iloc[0]).all():
+                rest.append(b)
+                continue
+            whole = b[~last]
+            if rest or len(whole):
+                yield links(pd.concat([*rest, whole], ignore_index=True))
+            rest = [b[last]]
+        if rest:
+            yield links(pd.concat(rest, ignore_index=True))
 
     return run
 
@@ -241,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("set_id"), F.col("b").alias("root")).distinct())
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, k: int = 5, runs: int = 4, branching: int = 2, bucket: int = 256, depth: int = 12, thin: float = 0.5, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, k: int = 5, runs: int = 4, branching: int = 2, bucket: int = 256, depth: int = 12, thin: float = 0.5, block: int = 512, agree: int = 13) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the least id of its component), copy_id (the least id among texts with its set), n_copies, n_text_links (other sets), n_links (other rows, copies too), text_hash, component."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_hash"))
@@ -250,14 +297,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     classes = kept(prints.groupBy("set_id").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("first").alias("first")))
     leaves = kept(_leaves(classes, runs, branching, bucket, depth, thin))
     own = leaves.groupBy("set_id").agg(F.collect_set("leaf").alias("leaves"))  # as many as a class has paths
-    payload = prints.groupBy("set_id").agg(F.first("members").alias("members"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).join(own, "set_id")
+    payload = prints.groupBy("set_id").agg(F.first("members").alias("members"), F.first("first").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).join(own, "set_id")
     payload = kept(payload)
     blocks = F.ceil(F.col("size") / block).cast("int")
     placed = leaves.withColumn("blocks", blocks).withColumn("of", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     # each block meets itself and every other block of its leaf
     placed = placed.select("leaf", "set_id", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     placed = placed.select("leaf", "set_id", F.least("of", "with").alias("one"), F.greatest("of", "with").alias("other"), F.col("of").alias("side"))
-    met = placed.join(payload, "set_id").groupBy("leaf", "one", "other").applyInPandas(_compare(least), "set_id binary, texts long, docs long, to binary")
+    met = placed.join(payload, "set_id").repartition("leaf", "one", "other").sortWithinPartitions("leaf", "one", "other", "set_id")
+    met = met.mapInPandas(_compare(least, agree), "set_id binary, texts long, docs long, to binary")
     met = kept(met)
     links = met.groupBy("set_id").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(met.select(F.col("set_id").alias("a"), F.col("to").alias("b")))
