@@ -287,3 +287,29 @@ def test_feature_table(spark):
     assert {r["n_non_finite"] for r in df.where("window = 'w1'").collect()} == {2}
     wide = features.wide(df, ["window"], ["A", "B"])
     assert wide.columns == ["window", *config.feature_columns(["A", "B"])] and wide.count() == 2
+
+
+def test_screen_of_synthetic_bursts(spark):
+    from wavemill.plans import screen
+
+    settings = [("nlms", {"length": 4}), ("kalman", {})]
+    options = {"pre_s": 70, "post_s": 40, "n_channels": 1}
+    detail, summary = screen.full(spark, settings, [15.0], ["spikewave"], [0], [15.0], fs=64.0, warm_start_s=10.0, **options)
+    got = {r["method"]: r for r in summary.collect()}
+    assert set(got) == {"nlms", "kalman"} and all(0 < r["worst_kept"] <= 1.5 for r in got.values()) and detail.count() == 2
+    made = synthetic.recordings(screen.bursts(spark, [15.0], ["spikewave"], [0]), fs=64.0, ratio=2.0, **options)
+    same = screen.kept_power(made, made, 64.0).first()
+    assert [same["kept_mean"], same["kept_tail"], same["post_ratio"]] == pytest.approx([1, 1, 1])
+
+
+def test_held_out_chooser_and_svm_lift(spark):
+    from wavemill.plans import loso
+
+    rows = spark.createDataFrame([(p,) for p in "cab"], "patient string")
+    assert loso.held_out(rows, 2) == ["a", "b"]
+    x = np.random.default_rng(0).normal(size=(2, 5))
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense(v),) for v in x], ["x"])
+    a, b = (np.array(r["z"].toArray()) for r in loso.FourierFeatures("x", "z", size=4000).transform(df).collect())
+    assert a @ b == pytest.approx(np.exp(-((x[0] - x[1]) ** 2).sum() / 5), abs=0.08)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import METHODS, tag
 from ..functions import adaptive, kernels
-from ..operators import metrics
+from ..operators import metrics, windows
+from ..sources import synthetic
 from .bindings import STEP
 
 
@@ -60,3 +61,56 @@ def separability_kept(windows: DataFrame, fs: float = 64.0, settings: list[tuple
     kept = after.join(before, "case").withColumn("kept", F.try_divide("separability", "sep_in"))
     worst = kept.groupBy("method", "tag").agg(F.round(F.avg("sep_in"), 6).alias("sep_in"), F.round(F.avg("separability"), 6).alias("sep_out"), F.round(F.min("kept"), 6).alias("worst_kept"))
     return worst.withColumn("passes", F.col("worst_kept") >= threshold)
+
+
+def bursts(spark, lengths: list[float], kinds: list[str], seeds: list[int]) -> DataFrame:
+    """(case, kind, burst_s, seed): one synthetic recording of each combination."""
+    rows = spark.createDataFrame([(float(b), k, int(s)) for b in lengths for k in kinds for s in seeds], "burst_s double, kind string, seed int")
+    return rows.withColumn("case", F.concat_ws("_", "kind", F.col("burst_s").cast("string"), F.col("seed").cast("string")))
+
+
+def full(spark, settings: list[tuple[str, dict]], lengths: list[float] = (5, 15, 30, 60, 120), kinds: list[str] = ("spikewave", "chirp"), seeds: list[int] = (0, 1, 2), rule_lengths: list[float] = (15, 30, 60), threshold: float = 0.85, fs: float = 256.0, warm_start_s: float = 60.0, **recording) -> tuple[DataFrame, DataFrame]:
+    """Every setting over synthetic bursts: what it keeps per setting, length and kind (mean over seeds), and its worst case over the rule lengths.
+
+    Windows wholly inside the burst stand against those of the minute before it.
+    """
+    made = synthetic.recordings(bursts(spark, lengths, kinds, seeds), fs=fs, **({"ratio": 2.0} | recording))
+    bounds = made.select("case", "channel", "onset", "end")
+    chunks = made.select("case", "channel", "file", F.lit(1).alias("file_order"), F.lit(0).alias("chunk_idx"), "samples")
+
+    def judged(signals: DataFrame, keys: list[str]) -> DataFrame:
+        length, step = round(4 * fs), round(2 * fs)
+        cut = windows.slices(signals.join(bounds, ["case", "channel"]), length, step, fs)
+        begin, end = F.col("start_sample"), F.col("start_sample") + length
+        label = F.when((begin >= F.col("onset")) & (end <= F.col("end")), 1).when((begin >= F.col("onset") - round(60 * fs)) & (end <= F.col("onset")), 0)
+        rows = cut.withColumn("label", label).where("label is not null")
+        per = separability(rows.select(*keys, "case", "channel", "label", "x"), [*keys, "case", "channel"], fs)
+        return per.groupBy(*keys, "case").agg(F.avg("separability").alias("sep"))
+
+    before = judged(chunks.select("case", "channel", "samples"), []).withColumnRenamed("sep", "sep_in")
+    filtered = [adaptive.run(chunks, m, p, fs, warm_start_s).select("case", "channel", "samples", F.lit(m).alias("method"), F.lit(tag(m, p)).alias("tag")) for m, p in settings]
+    after = judged(reduce(DataFrame.unionByName, filtered), ["method", "tag"])
+    kept = after.join(before, "case").withColumn("kept_sep", F.try_divide("sep", "sep_in"))
+    kept = kept.withColumns({"kind": F.split("case", "_")[0], "burst_s": F.split("case", "_")[1].cast("double")})
+    detail = kept.groupBy("method", "tag", "burst_s", "kind").agg(F.avg("kept_sep").alias("kept_sep"), F.avg("sep_in").alias("sep_in"), F.avg("sep").alias("sep_out"))
+    worst = detail.where(F.col("burst_s").isin([float(x) for x in rule_lengths])).groupBy("method", "tag").agg(F.min("kept_sep").alias("worst_kept"))
+    return detail, worst.withColumn("passes", F.col("worst_kept") >= threshold).orderBy("method", F.desc("worst_kept"))
+
+
+def kept_power(before: DataFrame, after: DataFrame, fs: float, background_s: float = 60.0, tail_s: float = 10.0, gap_s: float = 5.0, post_s: float = 30.0) -> DataFrame:
+    """Per (case, channel): how much of the burst's power over the background's a filter keeps, in the whole burst, its tail, and after it.
+
+    ``before`` has onset and end; both have whole samples.
+    """
+    power = lambda x, a, b: F.transform(F.array(F.slice(x, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))), lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e) / F.size(v))[0]
+    rows = before.select("case", "channel", "onset", "end", F.col("samples").alias("i")).join(after.select("case", "channel", F.col("samples").alias("o")), ["case", "channel"])
+    on, end = F.col("onset"), F.col("end")
+    tail = F.least(F.lit(int(tail_s * fs)), F.floor((end - on) / 2))
+    post_end = F.least(F.size("i").cast("long"), end + int((gap_s + post_s) * fs))
+
+    def ratio(a, b):
+        one = lambda x: F.try_divide(power(x, a, b), power(x, F.greatest(on - int(background_s * fs), F.lit(0)), on))
+        return F.try_divide(one(F.col("o")), one(F.col("i")))
+
+    post = F.when(post_end > end + int(gap_s * fs), ratio(end + int(gap_s * fs), post_end))
+    return rows.select("case", "channel", ratio(on, end).alias("kept_mean"), ratio(end - tail, end).alias("kept_tail"), post.alias("post_ratio"))

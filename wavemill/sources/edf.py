@@ -2,7 +2,8 @@
 
 Options: ``path`` (one file, a folder, or a glob that the driver's Hadoop file
 system lists), ``mode`` (``signal`` or ``header``), ``channels`` (comma-separated
-names wanted, in order), ``aliases`` (``name=other,...``), ``chunk_s``. A task is
+names wanted, in order), ``aliases`` (``name=other,...``), ``chunk_s``, ``unusable`` (``error``, or ``skip``
+for files without a readable header or a wanted channel). A task is
 one file and one stretch of it, and reads only the bytes of that stretch.
 """
 
@@ -97,6 +98,7 @@ class EdfReader(DataSourceReader):
     def __init__(self, options: dict, header_only: bool):
         self.options = options
         self.header_only = header_only
+        self.skip = options.get("unusable", "error") == "skip"
         self.wanted = [c for c in options.get("channels", "").split(",") if c]
         self.aliases = dict(p.split("=", 1) for p in options.get("aliases", "").split(",") if p)
 
@@ -111,7 +113,12 @@ class EdfReader(DataSourceReader):
             return [Stretch(p, 0, 0, 0) for p in self.files()]
         out: list[InputPartition] = []
         for p in self.files():
-            h = read_header(p)
+            try:
+                h = read_header(p)
+            except (OSError, ValueError):
+                if self.skip:
+                    continue
+                raise
             step = max(1, round(float(self.options.get("chunk_s", 600)) / h.record_s))
             out += [Stretch(p, i, a, min(a + step, h.records)) for i, a in enumerate(range(0, h.records, step))]
         return out
@@ -126,9 +133,14 @@ class EdfReader(DataSourceReader):
             except (OSError, ValueError) as e:  # an unreadable file is a row with its reason
                 yield file, case, None, None, None, None, type(e).__name__
             return
-        h = read_header(part.path)
-        wanted = self.wanted or list(dict.fromkeys(h.names))
-        which = resolve(h.names, wanted, self.aliases)
+        try:
+            h = read_header(part.path)
+            wanted = self.wanted or list(dict.fromkeys(h.names))
+            which = resolve(h.names, wanted, self.aliases)
+        except (OSError, ValueError):
+            if self.skip:
+                return
+            raise
         data = read_stretch(part.path, h, which, part.first, part.last)
         for name, c, row in zip(wanted, which, data, strict=True):
             yield case, file, name, part.chunk, part.first * h.samples[c], row.tolist()
