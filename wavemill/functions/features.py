@@ -35,9 +35,9 @@ def spectral(fs: float, nonlinear: bool = True):
 def with_features(windows: DataFrame, fs: float, x: str = "x", nonlinear: bool = True) -> DataFrame:
     """One FLOAT column per feature in place of the samples; undefined values are 0 and counted in n_non_finite."""
     samples = F.transform(x, lambda v: v.cast("double"))
-    rows = windows.withColumn("_x", samples).withColumn("_rest", spectral(fs, nonlinear)(F.col("_x")))
+    rows = windows.withColumn("_x", samples).withColumn("_td", time_domain.summary(F.col("_x"))).withColumn("_rest", spectral(fs, nonlinear)(F.col("_x")))
     names = [n for n in feature_names(nonlinear) if n not in TIME_DOMAIN]
-    values = time_domain.features(F.col("_x")) | {n: F.col("_rest")[i] for i, n in enumerate(names)}
+    values = time_domain.features(F.col("_td")) | {n: F.col("_rest")[i] for i, n in enumerate(names)}
     bad: Callable = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     raw = rows.withColumns({f"_f_{n}": values[n] for n in feature_names(nonlinear)})
     cols = {n: F.when(bad(F.col(f"_f_{n}")), F.lit(0.0)).otherwise(F.col(f"_f_{n}")).cast("float") for n in feature_names(nonlinear)}

@@ -45,23 +45,41 @@ def line_length(x: Column) -> Column:
     return total(diff(x), F.abs)
 
 
-def features(x: Column) -> dict[str, Column]:
-    """The eight features of a window (ARRAY<DOUBLE>), without branches that divide by zero."""
+def moments(x: Column) -> Column:
+    """Second to fourth central moments in one pass after the mean."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("m2", "m3", "m4")])
+
+    def step(m: Column):
+        def add(acc: Column, v: Column) -> Column:
+            d = v - m
+            return F.struct((acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4"))
+
+        return add
+
+    n = F.size(x)
+    return let(mean(x), lambda m: F.aggregate(x, zero, step(m), lambda a: F.struct(m.alias("mean"), (a["m2"] / n).alias("m2"), (a["m3"] / n).alias("m3"), (a["m4"] / n).alias("m4"))))
+
+
+def summary(x: Column) -> Column:
+    """What the features of a window (ARRAY<DOUBLE>) follow from, as a struct; keep it in a column of its own."""
 
     def whole(v: Column) -> Column:
-        m2, m3, m4 = moment(v, 2), moment(v, 3), moment(v, 4)
-        return F.struct(mean(v).alias("mean"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4"), total(diff(v), F.abs).alias("line_length"), moment(diff(v), 2).alias("d1"), moment(diff(diff(v)), 2).alias("d2"))
+        return let(diff(v), lambda d: F.struct(moments(v).alias("of"), total(d, F.abs).alias("line_length"), moment(d, 2).alias("d1"), moment(diff(d), 2).alias("d2")))
+
+    return let(x, whole)
+
 
-    s = let(x, whole)
-    sd = F.sqrt(s["m2"])
-    mobility = F.sqrt(safe_ratio(s["d1"], s["m2"]))
+def features(s: Column) -> dict[str, Column]:
+    """The eight features from a window's summary, without branches that divide by zero."""
+    m2, sd = s["of"]["m2"], F.sqrt(s["of"]["m2"])
+    mobility = F.sqrt(safe_ratio(s["d1"], m2))
     return {
-        "mean": s["mean"],
+        "mean": s["of"]["mean"],
         "std": sd,
-        "skew": safe_ratio(s["m3"], sd * sd * sd),
-        "kurt": F.when(s["m2"] > 0, s["m4"] / (s["m2"] * s["m2"]) - 3).otherwise(F.lit(0.0)),
+        "skew": safe_ratio(s["of"]["m3"], sd * sd * sd),
+        "kurt": F.when(m2 > 0, s["of"]["m4"] / (m2 * m2) - 3).otherwise(F.lit(0.0)),
         "line_length": s["line_length"],
-        "hjorth_activity": s["m2"],
+        "hjorth_activity": m2,
         "hjorth_mobility": mobility,
         "hjorth_complexity": safe_ratio(F.sqrt(safe_ratio(s["d2"], s["d1"])), mobility),
     }

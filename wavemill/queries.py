@@ -269,8 +269,8 @@ def annotation_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def td_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows_of_vectors(spark, sf)
-    return rows.select("vec_id", *[F.round(c, 6).alias(n) for n, c in time_domain.features(F.col("x")).items()])
+    rows = windows_of_vectors(spark, sf).withColumn("s", time_domain.summary(F.col("x")))
+    return rows.select("vec_id", *[F.round(c, 6).alias(n) for n, c in time_domain.features(F.col("s")).items()])
 
 
 @query
