@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wavemill.llm import classifier
 from wavemill.llm.queries import op8_attention_quality
 
-SCHEMA = "doc_id long, text string, score string, quality string"
+SCHEMA = "doc_id long, text string, score string, label string"
 
 
 def test_gradient_of_the_attention_model():

@@ -16,6 +16,8 @@ ARTICLE = "<p>{0}</p>".format("A long paragraph of running text that makes the c
         ("<article><p>first</p><div class='comments'><p>nice!</p></div><form><p>mail</p></form><p>last", "first\nlast"),
         ("<article><p>cut in a ta", "cut in a ta"),
         ("<article><p>cut <b", "cut"),
+        ("<article><header><h1>Own head</h1></header><p>text</p><ol class='commentlist'><li>me too</li></ol><p class='post-text'>more</p></article>", "Own head\ntext\nmore"),
+        ("<div class='page has-sidebar'><p>kept</p></div><div role='navigation'>menu</div><div style='display:none'>gone</div>", "kept"),
         ("<p>x</p><!-- <p>gone</p> --><p>y</p>", "x\ny"),
     ],
 )

@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, train_passages:
     clean = clean.where("low = high and low in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     take = lambda y: clean.where(F.col("low") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_l"), F.col("low").cast("int").alias("label"))
     chosen = F.broadcast(take(0).union(take(1)))  # at most twice the sample
-    bags = docs.join(chosen, F.col("doc_id") == F.col("_l")).select(F.col(text_col).alias("text"), "label")
+    bags = docs.select("doc_id", F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("_l")).select("text", "label")
     got = bags.mapInArrow(_bags(passage, train_passages), "label int, bag binary").orderBy(F.md5("bag"), "label").limit(4 * sample).collect()
     x = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in got]
     offs = np.concatenate([[0], np.cumsum([len(b) for b in x])]).astype(int)

@@ -34,8 +34,9 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "caption"}
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets header masthead topbar footer foot colophon comment comments respond disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login form search share sharing social related recommended recommendations toc skip copyright legal disclaimer complementary contentinfo hidden".split()
 )
-# Of these, words that mark such an element also beside the words that mark running text.
+# Of these, words that mark such an element also beside the words that mark running text, also inside longer words.
 ALWAYS = frozenset("ad ads advert advertisement comment comments disqus sidebar".split())
+PARTS_OF_NAMES = re.compile("comment|sidebar|advert|sponsor|cookie|newsletter|navbar|breadcrumb|disqus")
 CONTENT = frozenset("content article main post entry story text body".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -50,7 +51,7 @@ _SPACE = re.compile(r"\s+")
 def _is_dropped_name(name: str) -> bool:
     words = {w for w in _PARTS.split(name) if w}
     last = name.rsplit("-", 1)[-1].rsplit("_", 1)[-1]
-    return bool(words & ALWAYS) or last in NAMES or bool(words & NAMES) and not words & CONTENT
+    return bool(words & ALWAYS) or bool(PARTS_OF_NAMES.search(name)) or last in NAMES or bool(words & NAMES) and not words & CONTENT
 
 
 def _no_text(tag: str, attributes: str, in_article: bool) -> bool:

@@ -166,7 +166,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, **options) -> list[list[tuple]]:
     """A decision list for ``docs`` (doc_id, text) from ``labels`` (doc_id, quality)."""
-    stats = statistics(labelled(docs, labels, sample), keep=("junk",))
+    stats = statistics(labelled(docs.select("doc_id", "text"), labels, sample), keep=("junk",))
     found = stats.select(*[c.alias(f"_{n}") for n, c in features().items()], "junk").orderBy(F.xxhash64(*[F.col(f"_{n}") for n in FEATURES]), *[f"_{n}" for n in FEATURES], "junk")
     return learn([tuple(r) for r in found.collect()], **options)
 
