@@ -225,6 +225,19 @@ def test_adaptive_run_carries_state_and_stops_after_a_failure(spark):
     assert (got["g0"]["status"], got["g1"]["status"]) == ("failed", "not_run")
 
 
+@pytest.mark.parametrize("method", ["nlms", "rls", "kalman"])
+def test_adaptive_run_resumes_from_a_state(spark, method):
+    x = np.random.default_rng(6).normal(size=400)
+    rows = [("c", "A", f"f{i}", i, 0, x[100 * i : 100 * i + 100].tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "case string, channel string, file string, file_order int, chunk_idx int, samples array<double>")
+    samples = lambda out: {r["file"]: list(r["samples"]) for r in out.collect()}
+    options = {"fs": 64.0, "warm_start_s": 1.0}
+    whole = samples(adaptive.run(df, method, **options))
+    first = adaptive.run(df.where("file_order < 2"), method, **options)
+    later = samples(adaptive.run(df.where("file_order >= 2"), method, **options, initial=adaptive.states(first, method, warm_start_s=1.0)))
+    assert later == {f: whole[f] for f in ("f2", "f3")}
+
+
 def test_settings():
     assert config.tag("nlms") == "nlms_L16_mu0.005" and config.tag("rls", {"delta": 5}) == "rls_L8_lam0.9999_delta5"
     assert config.tag("kalman", warm_start_s=600) == "kalman_qr0.0001_blk1_ws600"

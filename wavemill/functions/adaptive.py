@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import WARM_START_S, method_params
+from ..config import WARM_START_S, method_params, tag
 
 
 def start(method: str, params: dict) -> dict[str, np.ndarray]:
@@ -99,20 +99,40 @@ def settle(method: str, state: dict[str, np.ndarray]) -> None:
         state["history"][:] = 0.0
 
 
-def run(signals: DataFrame, method: str, params: dict | None = None, fs: float = 256.0, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx")) -> DataFrame:
+STATE = "weights array<double>, history array<double>, p array<double>, tracker array<double>"
+_PARTS = ("weights", "history", "p", "tracker")
+
+
+def run(signals: DataFrame, method: str, params: dict | None = None, fs: float = 256.0, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx"), initial: DataFrame | None = None) -> DataFrame:
     """Filter chunks (case, channel, file, file_order, chunk_idx, samples) in order, with the state of each (case, channel).
 
     The group is one channel of one case, read as a stream of Arrow batches sorted
     by the shuffle, so a task holds a batch and the state, not the case. The first
     ``warm_start_s`` seconds are run once before any output. A chunk that fails gives
-    status ``failed``; what follows it in its group is ``not_run``.
+    status ``failed``; what follows it in its group is ``not_run``. Each row carries the
+    state after its chunk; ``initial`` (see ``states``) goes on from such states
+    in place of a warm start, for later chunks of the same case and setting.
     """
     p = method_params(method, params)
     warm = round(warm_start_s * fs)
     cols = ["case", "channel", "file", *order]
-    rows = signals.select(*cols, "samples").repartition("case", "channel").sortWithinPartitions("case", "channel", *order)
+    rows = signals.select(*cols, "samples")
+    if initial is not None:
+        own = initial.where(F.col("setting") == tag(method, params, warm_start_s)).select("case", "channel", *_PARTS)
+        rows = rows.join(own, ["case", "channel"], "left")
+    else:
+        rows = rows.select("*", *[F.lit(None).cast("array<double>").alias(k) for k in _PARTS])
+    rows = rows.select(*cols, "samples", *_PARTS).repartition("case", "channel").sortWithinPartitions("case", "channel", *order)
     kinds = dict(rows.dtypes)
 
+    def begun(row) -> tuple[dict, bool]:
+        """A state, and whether it needs no warm start."""
+        state = start(method, p)
+        given = {k: getattr(row, k) for k in _PARTS if getattr(row, k) is not None}
+        if not given:
+            return state, warm == 0
+        return {k: np.array(given[k], float).reshape(v.shape) for k, v in state.items()}, True
+
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, broken, held, ready = None, None, False, [], False
         out: list[list] = []
@@ -122,15 +142,15 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
             x = np.asarray(row.samples, float)
             values = [getattr(row, c) for c in cols]
             if broken:
-                out.append([*values, None, "not_run", None, None, None])
+                out.append([*values, None, "not_run", None, None, None, *[None] * len(_PARTS)])
                 return
             try:
                 y = process(method, p, state, x, fs)
                 rms = lambda v: float(np.sqrt(np.mean(np.square(v, dtype=float)))) if len(v) else None
-                out.append([*values, y, "success", rms(x), rms(y), None])
+                out.append([*values, y, "success", rms(x), rms(y), None, *[state[k].reshape(-1).copy() if k in state else None for k in _PARTS]])
             except ValueError as e:
                 broken = True
-                out.append([*values, None, "failed", None, None, str(e)])
+                out.append([*values, None, "failed", None, None, str(e), *[None] * len(_PARTS)])
 
         def begin() -> None:
             """Warm up on what was held back, then run it."""
@@ -145,7 +165,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
             held.clear()
 
         def frame() -> pd.DataFrame:
-            df = pd.DataFrame(out, columns=[*cols, "samples", "status", "rms_in", "rms_out", "error"])
+            df = pd.DataFrame(out, columns=[*cols, "samples", "status", "rms_in", "rms_out", "error", *_PARTS])
             out.clear()
             return df
 
@@ -155,7 +175,8 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
                 if key != now:
                     if not ready and held:
                         begin()
-                    now, state, broken, ready = key, start(method, p), False, warm == 0
+                    now, broken = key, False
+                    state, ready = begun(row)
                 if ready:
                     one(row)
                 else:
@@ -169,10 +190,16 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
         if out:
             yield frame()
 
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cols], "samples array<float>", "status string", "rms_in double", "rms_out double", "error string"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cols], "samples array<float>", "status string", "rms_in double", "rms_out double", "error string", STATE])
     return rows.mapInPandas(go, schema)
 
 
+def states(filtered: DataFrame, method: str, params: dict | None = None, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx")) -> DataFrame:
+    """The last state of each (case, channel) with the name of its setting: what a later run can go on from. Cases that failed have none."""
+    last = filtered.groupBy("case", "channel").agg(F.max_by(F.struct("status", *_PARTS), F.struct(*order)).alias("s"))
+    return last.where("s.status = 'success'").select("case", "channel", F.lit(tag(method, params, warm_start_s)).alias("setting"), *[F.col(f"s.{k}") for k in _PARTS])
+
+
 def tracked(z: Column, q_over_r: float, r: float = 1.0) -> Column:
     """The log-amplitude recursion over an array of block log-RMS values, as a fold in the JVM: the estimate after each block."""
     first = F.struct(F.lit(None).cast("double").alias("s"), F.lit(r).alias("p"), F.array().cast("array<double>").alias("out"))

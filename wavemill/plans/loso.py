@@ -90,7 +90,7 @@ def tuned(pipeline: Pipeline, rows: DataFrame, grid: dict[str, list], splits: in
     return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=splits, foldCol="fold").fit(folds(rows, splits)).bestModel
 
 
-def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: int = 0, shuffle: bool = False, grid: dict[str, list] | None = None) -> DataFrame:
+def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: int = 0, shuffle: bool = False, grid: dict[str, list] | None = None, **options) -> DataFrame:
     """Predictions for each held-out patient by a model of all others; calibration windows are neither trained on nor scored."""
     out = []
     for i, patient in enumerate(held):
@@ -101,7 +101,7 @@ def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: i
         train = sampling.training(train, seed + i, KEYS)
         if shuffle:
             train = sampling.permuted_labels(train, seed + i, KEYS, buckets=4)
-        pipeline = model(kind, features, seed=seed + i)
+        pipeline = model(kind, features, seed=seed + i, **options)
         fitted = tuned(pipeline, weighted(train), grid) if grid else pipeline.fit(weighted(train))
         scored = fitted.transform(test)
         score = vector_to_array("probability")[1] if kind == "rf" else vector_to_array("rawPrediction")[1]
@@ -110,9 +110,9 @@ def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: i
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Embeddings as feature rows of ten patients."""
+    """Embeddings as feature rows of four patients."""
     names = [f"f{i}" for i in range(64)]
-    rows = windows_of_vectors(spark, sf_dir).select("patient", F.col("patient").cast("string").alias("case"), F.lit("all").alias("file"), F.col("vec_id").alias("start_sample"), "label", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    rows = windows_of_vectors(spark, sf_dir).select((F.col("vec_id") % 4).alias("patient"), (F.col("vec_id") % 4).cast("string").alias("case"), F.lit("all").alias("file"), F.col("vec_id").alias("start_sample"), "label", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
     return rows, names
 
 
@@ -121,14 +121,15 @@ def held_out(rows: DataFrame, most: int) -> list:
     return [r[0] for r in rows.select("patient").distinct().orderBy("patient").limit(most).collect()]
 
 
-def evaluate(table: tuple[DataFrame, list[str]], kind: str, patients: int = 10, seed: int = 0) -> DataFrame:
+def evaluate(table: tuple[DataFrame, list[str]], kind: str, patients: int = 1_000_000, seed: int = 0, **options) -> DataFrame:
+    """Window metrics of every patient, each held out once."""
     rows, names = table
-    return metrics.window_metrics(predict(rows, names, kind, held_out(rows, patients), seed), ["patient"], 2.0)
+    return metrics.window_metrics(predict(rows, names, kind, held_out(rows, patients), seed, **options), ["patient"], 2.0)
 
 
-def shuffle_check(table: tuple[DataFrame, list[str]], kind: str, patients: int = 3, seed: int = 0, band: tuple[float, float] = (0.35, 0.65)) -> DataFrame:
+def shuffle_check(table: tuple[DataFrame, list[str]], kind: str, patients: int = 3, seed: int = 0, band: tuple[float, float] = (0.35, 0.65), **options) -> DataFrame:
     """AUC per patient with permuted training labels, and whether their mean is near chance."""
     rows, names = table
-    got = metrics.auc(predict(rows, names, kind, held_out(rows, patients), seed, shuffle=True), ["patient"], "y_true", "y_score")
+    got = metrics.auc(predict(rows, names, kind, held_out(rows, patients), seed, shuffle=True, **options), ["patient"], "y_true", "y_score")
     mean = got.agg(F.avg("auc").alias("mean_auc"))
     return got.crossJoin(F.broadcast(mean)).withColumn("passes", F.col("mean_auc").between(*band))

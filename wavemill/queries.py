@@ -385,18 +385,18 @@ def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def loso_rf(spark: SparkSession, sf: str) -> DataFrame:
-    return loso.evaluate(loso.vectors(spark, sf), "rf", patients=2)
+    return loso.evaluate(loso.vectors(spark, sf), "rf", trees=20, depth=8)
 
 
 @query
 def loso_svm(spark: SparkSession, sf: str) -> DataFrame:
-    return loso.evaluate(loso.vectors(spark, sf), "svm", patients=2)
+    return loso.evaluate(loso.vectors(spark, sf), "svm")
 
 
 @query
 def label_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """AUC after the training labels were permuted."""
-    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=2, seed=1)
+    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=4, seed=1, trees=20, depth=8)
 
 
 # adaptive filters -----------------------------------------------------------
