@@ -1,7 +1,8 @@
-"""Causal adaptive filters with carried state: batch over ordered chunks, and as a stateful stream.
+"""Causal adaptive filters with carried state, over ordered chunks of all channels of a case.
 
-A group is one (case, channel); its chunks are processed in order and the state
-goes from one to the next, so chunking never changes the output.
+Channels are independent of each other, but a case's channels are filtered side by
+side: a step over time is then a few array operations for all of them. The state
+goes from one chunk to the next, so chunking never changes the output.
 """
 
 from __future__ import annotations
@@ -16,77 +17,81 @@ from pyspark.sql import functions as F
 from ..config import WARM_START_S, method_params, tag
 
 
-def start(method: str, params: dict) -> dict[str, np.ndarray]:
+def start(method: str, params: dict, channels: int = 1) -> dict[str, np.ndarray]:
+    """The state before any sample; the first axis is the channel."""
     if method == "kalman":
-        return {"tracker": np.zeros(5)}  # begun, log amplitude, variance, sum of squares and count of the open block
+        return {"tracker": np.zeros((channels, 5))}  # begun, log amplitude, variance, sum of squares and count of the open block
     n = params["length"]
-    state = {"weights": np.zeros(n), "history": np.zeros(n)}
-    return state | ({"p": np.eye(n) / params["delta"]} if method == "rls" else {})
+    state = {"weights": np.zeros((channels, n)), "history": np.zeros((channels, n))}
+    return state | ({"p": np.tile(np.eye(n) / params["delta"], (channels, 1, 1))} if method == "rls" else {})
 
 
 def process(method: str, params: dict, state: dict[str, np.ndarray], x: np.ndarray, fs: float) -> np.ndarray:
-    """Output of one chunk; ``state`` moves on in place."""
+    """Output of one chunk, (channels, samples) or one channel; ``state`` moves on in place."""
     x = np.asarray(x, float)
     if not np.isfinite(x).all():
         raise ValueError("the input holds NaN or infinite values")
-    return {"nlms": _nlms, "rls": _rls, "kalman": _kalman}[method](params, state, x, fs)
+    out = {"nlms": _nlms, "rls": _rls, "kalman": _kalman}[method](params, state, np.atleast_2d(x), fs)
+    return out[0] if x.ndim == 1 else out
+
+
+def _pasts(s: dict, x: np.ndarray):
+    """For each sample the samples before it, the latest first; at the end the history moves on."""
+    n = s["history"].shape[1]
+    line = np.concatenate([s["history"][:, ::-1], x], axis=1)
+    for i in range(x.shape[1]):
+        yield i, line[:, i : i + n][:, ::-1]
+    s["history"][:] = line[:, line.shape[1] - n :][:, ::-1]
 
 
 def _nlms(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
-    w, n = s["weights"], len(s["weights"])
-    line = np.concatenate([s["history"][::-1], x])  # oldest first
-    out = np.empty(len(x))
-    for i in range(len(x)):
-        u = line[i : i + n][::-1]
-        out[i] = e = x[i] - w @ u
-        power = u @ u
-        if power > p["eps"]:
-            w += p["mu"] * e / (p["eps"] + power) * u
-    s["history"][:] = line[len(line) - n :][::-1]
+    w, out = s["weights"], np.empty(x.shape)
+    for i, u in _pasts(s, x):
+        e = out[:, i] = x[:, i] - np.einsum("cl,cl->c", w, u)
+        power = np.einsum("cl,cl->c", u, u)
+        w += np.where(power > p["eps"], p["mu"] * e / (p["eps"] + power), 0.0)[:, None] * u
     return out.astype(np.float32)
 
 
 def _rls(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
-    w, m, n = s["weights"], s["p"], len(s["weights"])
-    cap, lam = p["cap_factor"] * n / p["delta"], p["forgetting"]
-    line = np.concatenate([s["history"][::-1], x])
-    out = np.empty(len(x))
-    for i in range(len(x)):
-        u = line[i : i + n][::-1]
-        out[i] = e = x[i] - w @ u
-        if u @ u <= p["eps"]:
-            continue
-        mu = m @ u
-        denominator = lam + u @ mu
-        if denominator <= 1e-12:
+    w, m, out = s["weights"], s["p"], np.empty(x.shape)
+    cap, lam = p["cap_factor"] * w.shape[1] / p["delta"], p["forgetting"]
+    for i, u in _pasts(s, x):
+        e = out[:, i] = x[:, i] - np.einsum("cl,cl->c", w, u)
+        mu = np.einsum("ckl,cl->ck", m, u)
+        denominator = lam + np.einsum("cl,cl->c", u, mu)
+        learns = (np.einsum("cl,cl->c", u, u) > p["eps"]) & (denominator > 1e-12)
+        if not learns.any():
             continue
-        w += mu * (e / denominator)
-        m -= np.outer(mu, mu) / denominator
-        m /= lam
-        if (trace := m.trace()) > cap:
-            m *= cap / trace
-    s["history"][:] = line[len(line) - n :][::-1]
+        gain = mu / np.where(learns, denominator, 1.0)[:, None]
+        w += np.where(learns, e, 0.0)[:, None] * gain
+        new = (m - gain[:, :, None] * mu[:, None, :]) / lam
+        trace = np.einsum("cll->c", new)
+        new *= np.where(trace > cap, cap / np.where(trace > cap, trace, 1.0), 1.0)[:, None, None]
+        if learns.all():
+            m[:] = new
+        else:
+            m[learns] = new[learns]
     return out.astype(np.float32)
 
 
 def _kalman(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
-    v, block = s["tracker"], round(p["block_s"] * fs)
-    out = np.empty(len(x))
+    v, block, out = s["tracker"], round(p["block_s"] * fs), np.empty(x.shape)
     at = 0
-    while at < len(x):
-        to = min(len(x), at + block - int(v[4]))
-        out[at:to] = x[at:to] * (np.exp(-v[1]) if v[0] else 1.0)
-        v[3] += (x[at:to] ** 2).sum()
-        v[4] += to - at
-        if v[4] >= block:
-            z = min(max(0.5 * np.log(v[3] / block + 1e-6), np.log(p["min_rms"])), np.log(p["max_rms"]))
-            if v[0]:
-                ahead = v[2] + p["q_over_r"] * p["r"]
+    while at < x.shape[1]:
+        to = min(x.shape[1], at + block - int(v[0, 4]))  # all channels are equally far in their block
+        out[:, at:to] = x[:, at:to] * np.where(v[:, 0] > 0, np.exp(-v[:, 1]), 1.0)[:, None]
+        v[:, 3] += (x[:, at:to] ** 2).sum(axis=1)
+        v[:, 4] += to - at
+        if v[0, 4] >= block:
+            z = np.clip(0.5 * np.log(v[:, 3] / block + 1e-6), np.log(p["min_rms"]), np.log(p["max_rms"]))
+            if v[0, 0]:
+                ahead = v[:, 2] + p["q_over_r"] * p["r"]
                 k = ahead / (ahead + p["r"])
-                v[1], v[2] = v[1] + k * (z - v[1]), (1 - k) * ahead
+                v[:, 1], v[:, 2] = v[:, 1] + k * (z - v[:, 1]), (1 - k) * ahead
             else:
-                v[:3] = 1.0, z, p["r"]
-            v[3:] = 0.0
+                v[:, 0], v[:, 1], v[:, 2] = 1.0, z, p["r"]
+            v[:, 3:] = 0.0
         at = to
     return out.astype(np.float32)
 
@@ -94,7 +99,7 @@ def _kalman(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
 def settle(method: str, state: dict[str, np.ndarray]) -> None:
     """After a warm start: what was learned stays, what the last samples left goes."""
     if method == "kalman":
-        state["tracker"][3:] = 0.0
+        state["tracker"][:, 3:] = 0.0
     else:
         state["history"][:] = 0.0
 
@@ -106,12 +111,14 @@ _PARTS = ("weights", "history", "p", "tracker")
 def run(signals: DataFrame, method: str, params: dict | None = None, fs: float = 256.0, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx"), initial: DataFrame | None = None) -> DataFrame:
     """Filter chunks (case, channel, file, file_order, chunk_idx, samples) in order, with the state of each (case, channel).
 
-    The group is one channel of one case, read as a stream of Arrow batches sorted
-    by the shuffle, so a task holds a batch and the state, not the case. The first
-    ``warm_start_s`` seconds are run once before any output. A chunk that fails gives
-    status ``failed``; what follows it in its group is ``not_run``. Each row carries the
-    state after its chunk; ``initial`` (see ``states``) goes on from such states
-    in place of a warm start, for later chunks of the same case and setting.
+    The group is a case, read as a stream of Arrow batches sorted by the shuffle,
+    so a task holds a batch, one chunk of all channels, and the state, not the case.
+    The first ``warm_start_s`` seconds are run once before any output. A chunk that
+    fails (values that are not finite, channels that differ from the case's first chunk,
+    lengths that differ) gives status ``failed``; what follows it in its case is
+    ``not_run``. Each row carries the state after its chunk; ``initial`` (see
+    ``states``) goes on from such states in place of a warm start, for later chunks
+    of the same cases and setting.
     """
     p = method_params(method, params)
     warm = round(warm_start_s * fs)
@@ -122,48 +129,82 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
         rows = rows.join(own, ["case", "channel"], "left")
     else:
         rows = rows.select("*", *[F.lit(None).cast("array<double>").alias(k) for k in _PARTS])
-    rows = rows.select(*cols, "samples", *_PARTS).repartition("case", "channel").sortWithinPartitions("case", "channel", *order)
+    sort = ["case", *order, "file", "channel"]
+    rows = rows.select(*cols, "samples", *_PARTS).repartition("case").sortWithinPartitions(*sort)
     kinds = dict(rows.dtypes)
 
-    def begun(row) -> tuple[dict, bool]:
-        """A state, and whether it needs no warm start."""
-        state = start(method, p)
-        given = {k: getattr(row, k) for k in _PARTS if getattr(row, k) is not None}
-        if not given:
-            return state, warm == 0
-        return {k: np.array(given[k], float).reshape(v.shape) for k, v in state.items()}, True
-
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, broken, held, ready = None, None, False, [], False
         out: list[list] = []
-
-        def one(row) -> None:
+        case = names = state = None
+        broken = ready = False
+        held: list[list] = []  # chunks before the warm start is complete
+        chunk: list = []  # rows of the chunk at hand
+
+        def matrix(of: list) -> np.ndarray:
+            if [r.channel for r in of] != names:
+                raise ValueError("channels differ")
+            if len({len(r.samples) for r in of}) > 1:
+                raise ValueError("lengths differ")
+            return np.stack([np.asarray(r.samples, float) for r in of])
+
+        def filtered(of: list) -> None:
             nonlocal broken
-            x = np.asarray(row.samples, float)
-            values = [getattr(row, c) for c in cols]
+            nothing = [None] * len(_PARTS)
             if broken:
-                out.append([*values, None, "not_run", None, None, None, *[None] * len(_PARTS)])
+                out.extend([*[getattr(r, c) for c in cols], None, "not_run", None, None, None, *nothing] for r in of)
                 return
             try:
+                x = matrix(of)
                 y = process(method, p, state, x, fs)
-                rms = lambda v: float(np.sqrt(np.mean(np.square(v, dtype=float)))) if len(v) else None
-                out.append([*values, y, "success", rms(x), rms(y), None, *[state[k].reshape(-1).copy() if k in state else None for k in _PARTS]])
             except ValueError as e:
                 broken = True
-                out.append([*values, None, "failed", None, None, str(e), *[None] * len(_PARTS)])
+                out.extend([*[getattr(r, c) for c in cols], None, "failed", None, None, str(e), *nothing] for r in of)
+                return
+            rms = lambda v: float(np.sqrt(np.mean(np.square(v, dtype=float)))) if len(v) else None
+            for i, r in enumerate(of):
+                own = [state[k][i].reshape(-1).copy() if k in state else None for k in _PARTS]
+                out.append([*[getattr(r, c) for c in cols], y[i], "success", rms(x[i]), rms(y[i]), None, *own])
 
         def begin() -> None:
             """Warm up on what was held back, then run it."""
             nonlocal ready
             ready = True
-            head = np.concatenate([np.asarray(r.samples, float) for r in held])[:warm] if held and warm else np.zeros(0)
-            if len(head) and np.isfinite(head).all():
+            try:
+                head = np.concatenate([matrix(c) for c in held], axis=1)[:, :warm]
                 process(method, p, state, head, fs)
                 settle(method, state)
-            for r in held:
-                one(r)
+            except ValueError:  # the chunk itself will say what is wrong
+                for k, v in start(method, p, len(names)).items():
+                    state[k] = v
+            for c in held:
+                filtered(c)
             held.clear()
 
+        def end_chunk() -> None:
+            nonlocal case, names, state, broken, ready
+            if not chunk:
+                return
+            if chunk[0].case != case:
+                end_case()
+                case, names, broken = chunk[0].case, [r.channel for r in chunk], False
+                state = start(method, p, len(names))
+                given = all(getattr(r, k) is not None for r in chunk for k in state)
+                ready = given or warm == 0
+                if given:
+                    for k, v in state.items():
+                        state[k] = np.stack([np.array(getattr(r, k), float).reshape(v.shape[1:]) for r in chunk])
+            if ready:
+                filtered(list(chunk))
+            else:
+                held.append(list(chunk))
+                if sum(len(c[0].samples) for c in held) >= warm:
+                    begin()
+            chunk.clear()
+
+        def end_case() -> None:
+            if held:
+                begin()
+
         def frame() -> pd.DataFrame:
             df = pd.DataFrame(out, columns=[*cols, "samples", "status", "rms_in", "rms_out", "error", *_PARTS])
             out.clear()
@@ -171,22 +212,13 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
 
         for b in batches:
             for row in b.itertuples(index=False):
-                key = (row.case, row.channel)
-                if key != now:
-                    if not ready and held:
-                        begin()
-                    now, broken = key, False
-                    state, ready = begun(row)
-                if ready:
-                    one(row)
-                else:
-                    held.append(row)
-                    if sum(len(r.samples) for r in held) >= warm:
-                        begin()
+                if chunk and [getattr(row, c) for c in ("case", "file", *order)] != [getattr(chunk[0], c) for c in ("case", "file", *order)]:
+                    end_chunk()
+                chunk.append(row)
             if out:
                 yield frame()
-        if not ready and held:
-            begin()
+        end_chunk()
+        end_case()
         if out:
             yield frame()
 
