@@ -38,7 +38,7 @@ MARK = "▁"
 #: What a byte piece costs below the lowest score of the vocabulary.
 BYTE_COST = 10.0
 #: Distinct parts in each of the two generations that a worker remembers, each of at most LONG characters.
-MOST_PARTS = 500_000
+MOST_PARTS = 160_000
 _LOW = -1e300
 LONG = 48
 
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model, n_best)
+        pa.default_memory_pool().release_unused()  # what an earlier stage left in this worker
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)

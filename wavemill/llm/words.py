@@ -44,7 +44,7 @@ class Words:
     first: np.ndarray  # of the texts in start, one more than texts
 
 
-def texts_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts_of(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a string column of about ``most`` bytes: first row, bytes, offsets.
 
     Nulls are empty. A text longer than ``most`` makes a slice alone, and is whole.
