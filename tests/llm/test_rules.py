@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -44,6 +45,32 @@ def test_covering_finds_the_conjunction():
     assert rules.learn([(0.0, 1.0, 2.0, 0)] * 50, n_features=3) == [] and rules.learn([], n_features=3) == []
 
 
+def test_few_junk_rows_at_the_end_of_a_feature():
+    for n in range(990, 1012):
+        rows = [(i / n, 0) for i in range(n)]
+        for k in range(9):
+            rows.insert(99 * k + 1 + k % 2, (2 + k / 10, 1))
+        found = rules.learn(rows, n_features=1)
+        assert all(any(rules._holds(rule, r) for rule in found) == bool(r[-1]) for r in rows)
+
+
+def test_covering_goes_on_after_an_imprecise_rule_and_past_twelve():
+    def made(seed):
+        rng = random.Random(seed)
+        value = lambda **at: tuple(at.get(f"f{i}", rng.random()) for i in range(16))
+        rows = [(*value(), 0) for _ in range(3000)]
+        rows += [(*value(f0=2 + rng.random()), int(i % 5 > 0)) for i in range(400)]  # a mixed kind: no rule is precise there
+        rows += [(*value(**{f"f{k}": 2 + rng.random()}), 1) for k in range(1, 16) for _ in range(20)]
+        rng.shuffle(rows)
+        return rows
+
+    found, held_out = rules.learn(made(1), n_features=16), made(2)
+    caught = lambda r: any(rules._holds(rule, r) for rule in found)
+    pure = [r for r in held_out if r[-1] and r[0] < 1]
+    clean = [r for r in held_out if not r[-1] and r[0] < 1]
+    assert sum(map(caught, pure)) >= 0.8 * len(pure) and sum(map(caught, clean)) <= 0.01 * len(clean)
+
+
 def test_verdict_is_ordered(spark):
     df = spark.createDataFrame([(1, "### " * 40 + "plain words here", "", "", ""), (2, "plain words " * 20, "", "", ""), (3, "too few", "", "", "")], SCHEMA)
     by = {r["doc_id"]: r for r in rules.judge(df, [[(rules.FEATURES.index("symbol_share"), True, 0.5)], [(rules.FEATURES.index("symbol_share"), True, 0.1)]]).collect()}

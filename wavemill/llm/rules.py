@@ -2,9 +2,10 @@
 
 Statistics of whole texts are array and string expressions. Sequential covering
 learns the list from labelled statistics: a rule grows by the threshold with the
-highest FOIL gain, is pruned on other rows, and stays if it is precise enough
-there; what it covers is set aside, and the next rule grows on the rest. The
-list becomes one ordered ``when`` chain.
+highest FOIL gain among all distinct values, is pruned on other rows, and stays if
+it is precise enough; what it covers is removed, and the next rule grows on the
+rest. A rule that is not precise enough only sets its rows aside: covering goes on
+until no rule qualifies. The list becomes one ordered ``when`` chain.
 
 Fitting uses at most ``sample`` labelled rows of either class (a parameter); the
 statistics and the verdict cover every row.
@@ -16,9 +17,7 @@ list is empty and keeps everything; repeated rows get equal results.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from math import log2
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,63 +94,83 @@ def features() -> dict[str, Column]:
     }
 
 
-def _foil(p0: int, n0: int, p1: int, n1: int) -> float:
-    return p1 * (log2(p1 / (p1 + n1)) - log2(p0 / (p0 + n0))) if p1 else 0.0
-
-
 def _holds(rule: list[tuple], row: tuple) -> bool:
     return all(row[f] >= t if up else row[f] <= t for f, up, t in rule)
 
 
-def _best_condition(rows: list[tuple], n_features: int, cuts: int) -> tuple | None:
-    """The (feature, up, threshold) with the highest FOIL gain on rows of (values..., is junk)."""
-    p0 = sum(r[-1] for r in rows)
-    n0 = len(rows) - p0
+def _covered(rule: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` the rule holds for."""
+    out = np.ones(len(x), bool)
+    for f, up, t in rule:
+        out &= x[:, f] >= t if up else x[:, f] <= t
+    return out
+
+
+def _best_condition(x: np.ndarray, junk: np.ndarray) -> tuple | None:
+    """The (feature, up, threshold) with the highest FOIL gain: every distinct value of every feature is tried, in both directions."""
+    n, p0 = len(junk), int(junk.sum())
+    base = np.log2(p0 / n)
     best = (1e-9, None)
-    for f in range(n_features):
-        ordered = sorted((r[f], r[-1]) for r in rows)
-        values = [v for v, _ in ordered]
-        upto = [0]
-        for _, junk in ordered:
-            upto.append(upto[-1] + junk)
-        grid = sorted({values[i * (len(values) - 1) // cuts] for i in range(cuts + 1)} | {v for v, junk in ordered if junk and (bisect_left(values, v) * 7919) % 11 == 0})
-        for t in grid:
-            i, j = bisect_left(values, t), bisect_left(values, t + abs(t) * 1e-12 + 1e-300)
-            for up, p, n in ((True, p0 - upto[i], len(values) - i), (False, upto[j], j)):
-                if 0 < p and n < len(rows) and (gain := _foil(p0, n0, p, n - p)) > best[0]:
-                    best = (gain, (f, up, t))
+    for f in range(x.shape[1]):
+        order = np.argsort(x[:, f], kind="stable")
+        values = x[order, f]
+        upto = np.concatenate([[0], np.cumsum(junk[order])])
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        end = np.append(first[1:], n)
+        for up, p, m in ((True, p0 - upto[first], n - first), (False, upto[end], end)):
+            gain = np.where((p > 0) & (m < n), p * (np.log2(np.maximum(p, 1) / m) - base), 0.0)
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = (gain[k], (f, up, float(values[first[k]])))
     return best[1]
 
 
-def learn(rows: list[tuple], n_features: int = len(FEATURES), precision: float = 0.95, most_rules: int = 12, most_conditions: int = 4, cuts: int = 48, least: int = 3) -> list[list[tuple]]:
+def learn(rows: list[tuple], n_features: int = len(FEATURES), precision: float = 0.95, most_rules: int | None = None, most_conditions: int = 4, least: int = 3) -> list[list[tuple]]:
     """Rules for junk from rows of (values..., is junk): every third row prunes, the others grow.
 
     ``least`` is the number of junk rows that a rule must cover, ``precision`` the share of junk among all that it covers, after pruning.
+    Where no part of a grown rule is that precise, the rows it covers are set aside and covering goes on with the rest; rows set aside
+    come back as long as rules are found. It ends when no rule qualifies (or at ``most_rules``, if given).
     """
     out: list[list[tuple]] = []
-    left = list(rows)
-    while len(out) < most_rules:
-        grow, prune = [r for i, r in enumerate(left) if i % 3], left[::3]
+    if not rows:
+        return out
+    x, junk = np.array([r[:n_features] for r in rows], float), np.array([r[-1] for r in rows]).astype(int)
+    left = np.arange(len(rows))
+    aside = np.zeros(len(rows), bool)
+    found = False  # whether a rule was found since rows came back
+    while most_rules is None or len(out) < most_rules:
+        pool = left[~aside[left]]
+        grow, prune = pool[np.arange(len(pool)) % 3 > 0], pool[::3]
         rule: list[tuple] = []
         inside = grow
-        while len(rule) < most_conditions and any(r[-1] for r in inside) and not all(r[-1] for r in inside):
-            if not (c := _best_condition(inside, n_features, cuts)):
+        while len(rule) < most_conditions and 0 < junk[inside].sum() < len(inside):
+            if not (c := _best_condition(x[inside], junk[inside])):
                 break
             rule.append(c)
-            inside = [r for r in inside if _holds([c], r)]
+            inside = inside[_covered([c], x[inside])]
         if not rule:
-            break
+            if not found:
+                break
+            aside[:] = False
+            found = False
+            continue
 
         def worth(k: int, rule=rule, prune=prune) -> tuple:
-            hit = [r[-1] for r in prune if _holds(rule[:k], r)]
-            return ((2 * sum(hit) - len(hit)) / max(len(hit), 1), k)
-
-        rule = rule[: max((worth(k) for k in range(1, len(rule) + 1)))[1]]
-        hit = [r[-1] for r in left if _holds(rule, r)]
-        if sum(hit) < least or sum(hit) < precision * len(hit):
-            break
-        out.append(rule)
-        left = [r for r in left if not _holds(rule, r)]
+            hit = junk[prune[_covered(rule[:k], x[prune])]]
+            return ((2 * hit.sum() - len(hit)) / max(len(hit), 1), k)
+
+        def qualifies(k: int, rule=rule, left=left) -> bool:
+            hit = junk[left[_covered(rule[:k], x[left])]]
+            return hit.sum() >= least and hit.sum() >= precision * len(hit)
+
+        fit = [k for k in range(1, len(rule) + 1) if qualifies(k)]
+        if not fit:
+            aside[pool[_covered(rule, x[pool])]] = True
+            continue
+        out.append(rule[: max(map(worth, fit))[1]])
+        left = left[~_covered(out[-1], x[left])]
+        found = True
     return out
 
 
