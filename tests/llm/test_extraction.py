@@ -32,6 +32,28 @@ def test_regions_without_an_article_element():
     assert got.startswith("Head\nA long") and got.count("A long paragraph") == 4 and "Menu" not in got and "end" not in got.split("\n")[-1][-3:]
 
 
+LINK = "<p><a href=x>Source {0}</a></p>"
+
+
+def test_an_article_keeps_its_links():
+    assert extraction.main_text("<article><p>text</p><p><a href=x>Read the study</a></p></article>") == "text\nRead the study"
+    five = "".join(LINK.format(i) for i in range(5))
+    assert extraction.main_text(f"<nav>menu</nav><main><p>text</p>{five}<p>more</p></main>").split("\n") == ["text", *[f"Source {i}" for i in range(5)], "more"]
+    assert extraction.main_text("<article><nav>menu</nav></article><p>the text</p>") == "the text"
+
+
+def test_short_blocks_of_a_container_stay():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Menu {i}</a></li>" for i in range(9)) + "</ul>"
+    page = "<body><div class=wrap>{0}<div id=content>{1}</div><div>Other</div></div>"
+    ad = "<div class=ad>buy</div>"
+    assert extraction.main_text(page.format(menu, f"{ARTICLE}{ad}<p>Short end</p>")).split("\n")[1:] == ["Short end"]
+    links = "".join(LINK.format(i) for i in range(5))
+    assert extraction.main_text(page.format(menu, f"{links}{ad}{ARTICLE}<ul><li>{links}</ul>{ad}{ARTICLE}{links}")).count("Source") == 15
+    parts = f"<div>{ARTICLE}</div>{ad}<div>Between</div>{ad}<div>{ARTICLE}</div>"
+    assert extraction.main_text(page.format(menu, parts)).split("\n")[1] == "Between"
+    assert extraction.main_text(f"<body>{menu}{ARTICLE}{ad}<p>Short end</p>{menu}").split("\n")[1:] == ["Short end"]
+
+
 def test_table(spark):
     rows = [(1, "u", ARTICLE, "x", 1), (1, "u", ARTICLE, "x", 1), (None, None, None, None, None), (2, "v", "<p>" + "word " * 100_000, "y", 2)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

@@ -5,6 +5,12 @@ window of lines form a curve; a region of the page begins where the curve
 surges from zero and ends where it dives back to zero. Regions with enough
 running text are the article.
 
+Where a page has an article or main element with text, its lines are the article,
+all of them. Elsewhere a container (div, section, list, table, cell) whose own lines surge
+keeps all its lines, also short ones and lists of links beside the region; between
+surging containers of one container all lines stay. Of the page's body, whose own
+lines are beside menus and the like, all own lines stay and what is between regions.
+
 Stripping leaves a gap of a whole window of empty lines where an element stood
 that is no running text by its tag, role or name (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, comments), so the curve dives there. Text
@@ -29,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset("head nav header footer aside form script style noscript iframe svg math canvas object embed template button select option textarea input dialog menu title label fieldset audio video map".split())
+CONTAINERS = frozenset("div section table td th ul ol dl center details".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "caption"}
 # Words in class, id or role of an element that is no running text.
 NAMES = frozenset(
@@ -67,15 +74,20 @@ def _no_text(tag: str, attributes: str, in_article: bool) -> bool:
     return any(map(_is_dropped_name, names)) or bool(_HIDDEN.search(attributes))
 
 
-def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool]]:
-    """The stripped page: text of each line, its length outside links, and whether it is inside article or main."""
+def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool], list[int], list[int]]:
+    """The stripped page: text of each line, its length outside links, whether it is inside article or main, and its container; and each container's parent.
+
+    Containers are numbered as they open; 0 is the body, its own parent.
+    """
     texts: list[str] = []
     sizes: list[int] = []
     inside: list[bool] = []
+    owner: list[int] = []
+    parents = [0]
     buffer: list[str] = []
     free = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each starts a dropped part
-    dropped = links = bodies = 0
+    dropped = links = bodies = box = 0
 
     def line(gap: int = 0) -> None:
         nonlocal free
@@ -84,15 +96,17 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool]]:
             texts.append(text)
             sizes.append(min(free, len(text)))
             inside.append(bodies > 0)
+            owner.append(box)
         buffer.clear()
         free = 0
         for _ in range(gap):
             texts.append("")
             sizes.append(0)
             inside.append(bodies > 0)
+            owner.append(box)
 
     def leave(to: int) -> None:
-        nonlocal dropped, links, bodies
+        nonlocal dropped, links, bodies, box
         while len(stack) > to:
             tag, drops = stack.pop()
             if tag in BLOCK and not dropped:
@@ -107,6 +121,8 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool]]:
                 elif tag in ("article", "main"):
                     line()
                     bodies -= 1
+                elif tag in CONTAINERS:
+                    box = parents[box]
 
     def text(raw: str) -> None:
         nonlocal free
@@ -168,6 +184,9 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool]]:
                 links += 1
             elif tag in ("article", "main"):
                 bodies += 1
+            elif tag in CONTAINERS:
+                parents.append(box)
+                box = len(parents) - 1
         stack.append((tag, drops))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -179,7 +198,43 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool]]:
             leave(len(stack) - 1)
     if not dropped:
         line()
-    return texts, sizes, inside
+    return texts, sizes, inside, owner, parents
+
+
+def _beside(kept: list[bool], sizes: list[int], owner: list[int], parents: list[int], window: int, surge: int) -> list[bool]:
+    """``kept`` and the lines that are in one container with it: see the module's text."""
+    own: list[list[int]] = [[] for _ in parents]  # lines with text outside links count in the curve of their container
+    for i, k in enumerate(owner):
+        if sizes[i]:
+            own[k].append(i)
+    spans: list[list[tuple[int, int]]] = [[] for _ in parents]  # of surging containers, by parent
+    first, last = [len(owner)] * len(parents), [-1] * len(parents)
+    for i, k in enumerate(owner):
+        first[k], last[k] = min(first[k], i), i
+    for k in range(len(parents) - 1, 0, -1):
+        first[parents[k]], last[parents[k]] = min(first[parents[k]], first[k]), max(last[parents[k]], last[k])
+    stay: list[tuple[int, int]] = []
+    for k in range(len(parents) - 1, -1, -1):
+        lines = own[k]
+        held = [i for i in lines if kept[i]]
+        span = None
+        if held and max(sum(sizes[i] for i in lines[j : j + window]) for j in range(len(lines))) >= surge:
+            span = (first[k], last[k]) if k else (held[0], held[-1])
+        elif k and len(spans[k]) > 1:
+            span = (min(a for a, _ in spans[k]), max(b for _, b in spans[k]))
+        if span:
+            stay.append(span)
+            if k:
+                spans[parents[k]].append(span)
+            else:
+                kept = [x or not o for x, o in zip(kept, owner, strict=True)]
+    out = list(kept)
+    end = 0
+    for a, b in sorted(stay):
+        for i in range(max(a, end), b + 1):
+            out[i] = True
+        end = max(end, b + 1)
+    return out
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
@@ -189,10 +244,9 @@ def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
     """
     if not html:
         return ""
-    texts, sizes, inside = lines_of(html, window)
-    if any(inside):  # where the page says what its article is, the rest is no text
-        sizes = [s if i else 0 for s, i in zip(sizes, inside, strict=True)]
-        texts = [t if i else "" for t, i in zip(texts, inside, strict=True)]
+    texts, sizes, inside, owner, parents = lines_of(html, window)
+    if any(t and i for t, i in zip(texts, inside, strict=True)):  # the page says what its article is
+        return "\n".join(t for t, i in zip(texts, inside, strict=True) if t and i)
     n = len(texts)
     curve = [sum(sizes[i : i + window]) for i in range(n)]
     regions: list[tuple[int, int, int]] = []  # first line, line after the last, highest point
@@ -211,16 +265,14 @@ def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
         i = end
     if not regions:
         return ""
-    most = max(r[2] for r in regions)
-    lines: list[str] = []
+    enough = min(surge, max(r[2] for r in regions))
+    kept = [False] * n
     for a, b, top in regions:
-        if top < min(surge, most) and not any(inside):
-            continue
-        if not any(inside):  # the curve surges and dives at lines of running text, not at links beside them
+        if top >= enough:  # the curve surges and dives at lines of running text, not at links beside them
             own = [i for i in range(a, b) if sizes[i]]
-            a, b = own[0], own[-1] + 1
-        lines += [t for t in texts[a:b] if t]
-    return "\n".join(lines)
+            kept[own[0] : own[-1] + 1] = [True] * (own[-1] + 1 - own[0])
+    kept = _beside(kept, sizes, owner, parents, window, enough)
+    return "\n".join(t for t, k in zip(texts, kept, strict=True) if t and k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 86) -> DataFrame:
