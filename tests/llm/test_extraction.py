@@ -54,6 +54,24 @@ def test_short_blocks_of_a_container_stay():
     assert extraction.main_text(f"<body>{menu}{ARTICLE}{ad}<p>Short end</p>{menu}").split("\n")[1:] == ["Short end"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='commentary'><p>kept</p></article>",
+        "<article class='comment'><p>kept</p></article>",
+        "<main id='cookies-recipe'><p>kept</p></main>",
+        "<div class='layout-sidebar-right'><p>gone</p><article><p>kept</p></article></div>",
+        "<div class='newsletter'><div><a href=x><ul><li>gone<main class='ads'><div class='ad'>buy</div><p>kept</p></main></ul></a></div></div>",
+        "<main><div class='layout-sidebar-right'><article><p>kept</p></article></div></main>",
+        "<div class='commentator'><p>kept</p></div>",
+        "<main><article><p>kept</p></article><div id='comments'><article class='comment-body'><p>nice!</p></article></div></main>",
+        "<footer><article>gone</article></footer><article hidden>gone</article><article><p>kept</p></article>",
+    ],
+)
+def test_names_do_not_drop_an_article(page):
+    assert extraction.main_text(page) == "kept"
+
+
 def test_table(spark):
     rows = [(1, "u", ARTICLE, "x", 1), (1, "u", ARTICLE, "x", 1), (None, None, None, None, None), (2, "v", "<p>" + "word " * 100_000, "y", 2)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

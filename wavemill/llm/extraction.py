@@ -16,6 +16,9 @@ that is no running text by its tag, role or name (menus, headers, footers, sideb
 notices, adverts, forms, scripts, comments), so the curve dives there. Text
 inside links counts for nothing in the curve, so a list of links cannot surge.
 
+Names are matched by whole parts. They never drop an article or main element or an
+element around one, except articles among the comments on an earlier article.
+
 Defined cases: a null page is an empty page; a page that ends within a tag ends
 before it; elements that are never closed end with their parent; repeated rows
 are extracted each.
@@ -41,9 +44,12 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "caption"}
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets header masthead topbar footer foot colophon comment comments respond disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login form search share sharing social related recommended recommendations toc skip copyright legal disclaimer complementary contentinfo hidden".split()
 )
-# Of these, words that mark such an element also beside the words that mark running text, also inside longer words.
-ALWAYS = frozenset("ad ads advert advertisement comment comments disqus sidebar".split())
-PARTS_OF_NAMES = re.compile("comment|sidebar|advert|sponsor|cookie|newsletter|navbar|breadcrumb|disqus")
+# Parts of names that mark readers' comments.
+COMMENTS = frozenset("comment comments commentlist commentslist commentform commentbox commentsbox commentarea commentsarea commentsection commentssection commentthread commentwrap commentswrap commentswrapper commentrespond disqus disqusthread".split())
+# Parts that mark an element as no running text also beside the words that mark running text.
+ALWAYS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertbox advertisers sidebar sidebars sidebarleft sidebarright leftsidebar rightsidebar sponsor sponsors sponsored sponsorship sponsorbox cookie cookies cookiebar cookiebanner cookiebox cookieconsent cookielaw cookienotice cookiepolicy newsletter newsletters newsletterbox newsletterform newslettersignup navbar navbars breadcrumb breadcrumbs breadcrumbtrail".split()
+)
 CONTENT = frozenset("content article main post entry story text body".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -58,20 +64,25 @@ _SPACE = re.compile(r"\s+")
 def _is_dropped_name(name: str) -> bool:
     words = {w for w in _PARTS.split(name) if w}
     last = name.rsplit("-", 1)[-1].rsplit("_", 1)[-1]
-    return bool(words & ALWAYS) or bool(PARTS_OF_NAMES.search(name)) or last in NAMES or bool(words & NAMES) and not words & CONTENT
+    return bool(words & ALWAYS) or last in NAMES or bool(words & NAMES) and not words & CONTENT
 
 
-def _no_text(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no running text; an article's own header is."""
+def _no_text(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element is no running text: by its tag (or hidden), by its name, or as comments; an article's own header is text."""
     if tag in DROPPED and not (tag == "header" and in_article):
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
+    if _HIDDEN.search(attributes):
+        return "tag"
     found = [n for m in _NAME.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
     names = [_WITH.sub("", _CAMEL.sub("-", n).lower()) for n in found]
     if in_article:
         names = [n for n in names if n.rsplit("-", 1)[-1] != "header"]
-    return any(map(_is_dropped_name, names)) or bool(_HIDDEN.search(attributes))
+    dropped = [n for n in names if _is_dropped_name(n)]
+    if any(COMMENTS & set(_PARTS.split(n)) for n in dropped):
+        return "comments"
+    return "name" if dropped else ""
 
 
 def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool], list[int], list[int]]:
@@ -86,8 +97,8 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
     parents = [0]
     buffer: list[str] = []
     free = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each starts a dropped part
-    dropped = links = bodies = box = 0
+    stack: list[tuple[str, str, tuple[int, int, int]]] = []  # open elements, why each starts a dropped part, and what held before it
+    dropped = links = bodies = box = articles = 0
 
     def line(gap: int = 0) -> None:
         nonlocal free
@@ -108,21 +119,16 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
     def leave(to: int) -> None:
         nonlocal dropped, links, bodies, box
         while len(stack) > to:
-            tag, drops = stack.pop()
+            tag, drops, before = stack.pop()
             if tag in BLOCK and not dropped:
                 line(tag in ("div", "section", "table", "ul", "ol"))
             if drops:
                 dropped -= 1
                 if not dropped:
                     line(window)
-            elif not dropped:
-                if tag == "a":
-                    links -= 1
-                elif tag in ("article", "main"):
-                    line()
-                    bodies -= 1
-                elif tag in CONTAINERS:
-                    box = parents[box]
+            elif not dropped and tag in ("article", "main"):
+                line()
+            links, bodies, box = before
 
     def text(raw: str) -> None:
         nonlocal free
@@ -162,9 +168,9 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             if tag == "hr" and not dropped:
                 line()
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack[-6:]):
-            k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in ("article", "main", "div", "table", "section") for t, _ in stack[k + 1 :]):
+        if tag in CLOSES_P and any(t == "p" for t, *_ in stack[-6:]):
+            k = max(i for i, (t, *_) in enumerate(stack) if t == "p")
+            if not any(t in ("article", "main", "div", "table", "section") for t, *_ in stack[k + 1 :]):
                 leave(k)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "ul", "ol", "dl", "table", "select")), -1)
@@ -173,8 +179,18 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
         if m[0].endswith("/>") and tag in ("svg", "path"):
             continue
         drops = _no_text(tag, m[2], bodies > 0)
+        if tag in ("article", "main") and drops != "tag":
+            # names do not drop an article, nor what is around it; only articles among the comments on an earlier one are comments
+            around = {d for _, d, _ in stack if d} | {drops}
+            if "tag" not in around and not ("comments" in around and articles):
+                drops = ""
+                if dropped:
+                    stack = [(t, "", was) for t, _, was in stack]
+                    dropped = 0
+                articles += 1
         if tag in BLOCK and not dropped:
             line()
+        before = (links, bodies, box)
         if drops:
             if not dropped:
                 line(window)
@@ -187,7 +203,7 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             elif tag in CONTAINERS:
                 parents.append(box)
                 box = len(parents) - 1
-        stack.append((tag, drops))
+        stack.append((tag, drops, before))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             if end:
