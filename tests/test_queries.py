@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from wavemill import queries
+from wavemill import config, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"loso_rf", "loso_svm", "label_shuffle"}
@@ -45,3 +45,18 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - SLOW))
 def test_runs_without_a_twin(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_every_setting_of_the_grid_is_screened(spark):
+    got = {r["tag"] for r in queries.QUERIES["screen_settings"](spark, SF).collect()}
+    assert got == {config.tag(m, p) for m, p in config.grid()} and len(got) == 20
+
+
+def test_models_and_bootstrap_have_the_sizes_of_the_reference(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(queries.loso, "evaluate", lambda *a, **o: given.append((o["trees"], o["depth"])))
+    monkeypatch.setattr(queries.loso, "shuffle_check", lambda *a, **o: given.append((o["trees"], o["depth"])))
+    monkeypatch.setattr(queries.compare, "arms", lambda *a, n_boot=10_000, **o: given.append(n_boot))
+    for name in ("loso_rf", "label_shuffle", "arm_comparison"):
+        queries.QUERIES[name](spark, SF)
+    assert given == [(200, 30), (200, 30), 10_000]

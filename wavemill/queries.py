@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import adaptive, time_domain
 from .functions import features as feature_table
 from .operators import calibration, cohort, compare, direction, events, leakage, metrics, sampling, windows
@@ -380,12 +381,12 @@ def arm_compare_means(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """The same with exact Wilcoxon tests and bootstrap intervals."""
-    return compare.arms(_arms(spark, sf), "raw", [str(i) for i in range(50)], ["sensitivity", "specificity", "auc"], n_boot=2000)
+    return compare.arms(_arms(spark, sf), "raw", [str(i) for i in range(50)], ["sensitivity", "specificity", "auc"])
 
 
 @query
 def loso_rf(spark: SparkSession, sf: str) -> DataFrame:
-    return loso.evaluate(loso.vectors(spark, sf), "rf", trees=20, depth=8)
+    return loso.evaluate(loso.vectors(spark, sf), "rf", trees=200, depth=30)
 
 
 @query
@@ -396,7 +397,7 @@ def loso_svm(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def label_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """AUC after the training labels were permuted."""
-    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=4, seed=1, trees=20, depth=8)
+    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=4, seed=1, trees=200, depth=30)
 
 
 # adaptive filters -----------------------------------------------------------
@@ -444,7 +445,7 @@ def power_contrast(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def screen_settings(spark: SparkSession, sf: str) -> DataFrame:
     """How much of the separability of vectors of one label each setting of the pilot grid keeps."""
-    return screen.separability_kept(windows_of_vectors(spark, sf))
+    return screen.separability_kept(windows_of_vectors(spark, sf), settings=config.grid())
 
 
 # streams --------------------------------------------------------------------
