@@ -112,6 +112,22 @@ def test_wilcoxon_and_bootstrap():
     assert 1 <= low < 2.5 < high <= 4 and compare.bootstrap([1.0]) == (None, None)
 
 
+def test_arms_of_many_patients(spark):
+    def table(n):
+        rows = [(arm, "m", i, None if i % 50 == 7 else (i * 37 % 101 + (i % 9 - 3) * (arm == "new")) / 100) for arm in ("raw", "new") for i in range(n)]
+        return spark.createDataFrame(rows, "arm string, model string, patient long, auc double")
+
+    for r in compare.arms(table(1600), "raw", [str(i) for i in range(60)], ["auc"], n_boot=200).collect():
+        assert 0 <= r["p_value"] <= 1 and r["ci_low"] < r["mean_diff"] < r["ci_high"]
+    few = table(200)
+    exact, large = ({r["subset"]: r for r in compare.arms(few, "raw", [str(i) for i in range(60)], ["auc"], exact=most).collect()} for most in (500, 0))
+    for k in ("all", "dev", "eval"):
+        a, b = exact[k], large[k]
+        assert all(a[c] == b[c] for c in ("n_patients", "n_arm_greater", "n_reference_greater", "min_possible_p", "mean_arm"))
+        assert a["mean_diff"] == pytest.approx(b["mean_diff"]) and a["p_value"] == pytest.approx(b["p_value"], abs=0.01)
+        assert a["ci_low"] == pytest.approx(b["ci_low"], abs=1e-3) and a["ci_high"] == pytest.approx(b["ci_high"], abs=1e-3)
+
+
 def test_direction_of_a_flipped_patient(spark):
     rows = [(p, f, 0.2 if p == 5 else 0.8) for p in range(1, 6) for f in range(4)]
     aucs = spark.createDataFrame(rows, "patient long, feature long, auc double")

@@ -1,12 +1,25 @@
-"""Paired comparison of arms over patients: exact Wilcoxon test and bootstrap intervals."""
+"""Paired comparison of arms over patients: Wilcoxon test and bootstrap intervals.
+
+Groups of at most ``EXACT`` patients are tested by exact counting and resampled in one
+task. Larger ones take the normal form with the correction for ties, from ranks over
+range partitions, and a bootstrap by Poisson weights that follow from seed and patient.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.scratch import kept, running
+
+EXACT = 500
+KEYS = ["model", "arm", "reference", "subset", "metric"]
 COMPARED = "model string, arm string, reference string, subset string, metric string, n_patients int, mean_reference double, mean_arm double, mean_diff double, ci_low double, ci_high double, n_arm_greater int, n_reference_greater int, p_value double, min_possible_p double"
 
 
@@ -65,8 +78,51 @@ def pairs(per_patient: DataFrame, reference: str, dev: list[str], metrics: list[
     return both.select("model", "arm", F.lit(reference).alias("reference"), subset.alias("subset"), "metric", "patient", "value", "reference_value")
 
 
-def arms(per_patient: DataFrame, reference: str, dev: list[str], metrics: list[str], n_boot: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row per model, arm, subset and metric; a group holds one row per patient."""
+def _intervals(diffs: DataFrame, n_boot: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the mean of _d per group of any size; a patient has the same weights in every group."""
+    kinds = dict(diffs.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in KEYS], "w array<double>", "s array<double>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for patient, g in b.groupby("patient", sort=False):
+                w = np.random.default_rng([seed, int.from_bytes(blake2b(str(patient).encode(), digest_size=8).digest())]).poisson(1.0, n_boot).astype(float)
+                for *key, d in g[[*KEYS, "_d"]].itertuples(index=False):
+                    at = sums.setdefault(tuple(key), np.zeros((2, n_boot)))
+                    at[0] += w
+                    at[1] += w * d
+        for key, (w, t) in sums.items():
+            yield pd.DataFrame([[*key, w, t]], columns=[*KEYS, "w", "s"])
+
+    parts = diffs.select(*KEYS, "patient", "_d").where("_d is not null").mapInPandas(run, schema)
+    each = parts.select(*KEYS, F.posexplode(F.arrays_zip("w", "s")).alias("i", "x")).groupBy(*KEYS, "i").agg((F.sum("x.s") / F.sum("x.w")).alias("mean"))
+    ends = each.groupBy(*KEYS).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
+    return ends.select(*KEYS, F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
+
+
+def _large(both: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """Groups of any size."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    diffs = both.withColumns({"value": number("value"), "reference_value": number("reference_value")}).withColumn("_d", F.col("value") - F.col("reference_value"))
+    mean = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
+    base = diffs.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).cast("int").alias("n_patients"), mean("reference_value").alias("mean_reference"), mean("value").alias("mean_arm"), F.avg("_d").alias("mean_diff"),
+        F.count_if(F.col("_d") > 0).cast("int").alias("n_arm_greater"), F.count_if(F.col("_d") < 0).cast("int").alias("n_reference_greater"),
+    )
+    sizes = diffs.where("_d <> 0").groupBy(*KEYS, F.abs("_d").alias("_m")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_p"))
+    ranked = running(sizes, KEYS, ["_m"], {"_upto": "_n"}, "_pos").withColumn("_n", F.col("_n").cast("double"))
+    sums = ranked.groupBy(*KEYS).agg(F.sum(F.col("_p") * (F.col("_upto") - (F.col("_n") - 1) / 2)).alias("_up"), F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_n") * F.col("_n") - 1)).alias("_ties"))
+    n = F.col("n")
+    z = F.abs(F.col("_up") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
+    p = F.udf(lambda v: None if v is None else math.erfc(v / math.sqrt(2)), "double")
+    tested = sums.select(*KEYS, p(z).alias("p_value"), F.least(F.lit(1.0), 2 / F.pow(F.lit(2.0), n)).alias("min_possible_p"))
+    out = base.join(F.broadcast(tested), KEYS, "left").join(F.broadcast(_intervals(diffs, n_boot, seed)), KEYS, "left")
+    return out.fillna(1.0, ["p_value", "min_possible_p"]).select(*[c.split()[0] for c in COMPARED.split(", ")])
+
+
+def arms(per_patient: DataFrame, reference: str, dev: list[str], metrics: list[str], n_boot: int = 10_000, seed: int = 0, exact: int = EXACT) -> DataFrame:
+    """One row per model, arm, subset and metric; groups above ``exact`` patients are not held in one task."""
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("patient")
@@ -76,4 +132,9 @@ def arms(per_patient: DataFrame, reference: str, dev: list[str], metrics: list[s
         mean = lambda x: None if np.isnan(x).any() or not len(x) else float(x.mean())
         return pd.DataFrame([[*key, len(g), mean(b), mean(a), w["mean_diff"], low, high, w["n_a_greater"], w["n_b_greater"], w["p_value"], w["min_possible_p"]]], columns=[c.split()[0] for c in COMPARED.split(", ")])
 
-    return pairs(per_patient, reference, dev, metrics).groupBy("model", "arm", "reference", "subset", "metric").applyInPandas(one, COMPARED)
+    both = kept(pairs(per_patient, reference, dev, metrics))
+    large = kept(both.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > exact).drop("_n"))
+    out = both.join(F.broadcast(large), KEYS, "left_anti").groupBy(*KEYS).applyInPandas(one, COMPARED)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_large(both.join(F.broadcast(large), KEYS, "left_semi"), n_boot, seed))
