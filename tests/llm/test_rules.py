@@ -84,6 +84,15 @@ def test_labels_that_contradict_are_not_used(spark):
     assert rules.fit(df, labels.limit(0)) == []
 
 
+def test_rows_that_share_an_id_are_learned_once(spark, monkeypatch):
+    df = spark.createDataFrame([(0, f"row {i} of one id " * (i % 7 + 1)) for i in range(300)] + [(i, f"text {'x' * i}") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    monkeypatch.setattr(rules, "learn", lambda rows, **_: rows)
+    used = {r["doc_id"] for r in rules.labelled(df.withColumn("junk_", df["doc_id"]), labels, 9).select("doc_id").distinct().collect()}
+    got = rules.fit(df, labels, 9)
+    assert 0 in used and len(got) == len(used) and rules.fit(df.repartition(5), labels, 9) == got
+
+
 def test_held_out_junk_and_clean(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = rules.judge(docs, rules.fit(docs, labels)).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()

@@ -7,8 +7,9 @@ it is precise enough; what it covers is removed, and the next rule grows on the
 rest. A rule that is not precise enough only sets its rows aside: covering goes on
 until no rule qualifies. The list becomes one ordered ``when`` chain.
 
-Fitting uses at most ``sample`` labelled rows of either class (a parameter); the
-statistics and the verdict cover every row.
+Fitting uses at most ``sample`` labelled documents of either class (a parameter), one
+row of each: of rows that share a doc_id, the one whose statistics have the least
+hash. The statistics and the verdict cover every row.
 
 Defined cases: a null text is an empty text; labels that are null, or that a
 document has in both values, are not used; without labels of both classes the
@@ -186,7 +187,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, **options) -> list[list[tuple]]:
     """A decision list for ``docs`` (doc_id, text) from ``labels`` (doc_id, quality)."""
     stats = statistics(labelled(docs.select("doc_id", "text"), labels, sample), keep=("junk",))
-    found = stats.select(*[c.alias(f"_{n}") for n, c in features().items()], "junk").orderBy(F.xxhash64(*[F.col(f"_{n}") for n in FEATURES]), *[f"_{n}" for n in FEATURES], "junk")
+    values = stats.select("doc_id", "junk", *[c.alias(f"_{n}") for n, c in features().items()])
+    order = [F.xxhash64(*[F.col(f"_{n}") for n in FEATURES]).alias("_hash"), *[F.col(f"_{n}") for n in FEATURES]]
+    found = values.groupBy("doc_id").agg(F.min(F.struct(*order, "junk")).alias("_row")).select("_row.*").orderBy("_hash", *[f"_{n}" for n in FEATURES], "junk").drop("_hash")
     return learn([tuple(r) for r in found.collect()], **options)
 
 
