@@ -5,10 +5,13 @@ one and the same set are a class, of which one row stands for all. Every class
 walks a tree: at a node, ``branching`` sampled coordinates split the sets by the
 shingle that comes first under that coordinate's hash (a shared token, sampled
 alike for all sets of the node), and a bucket of at most ``bucket`` sets is a
-leaf. In a leaf all pairs are compared exactly. ``runs`` trees are grown: a pair
-of similarity s is lost by one level of one tree with probability
-``(1 - s * p) ** branching``, p being what the levels below keep; at 0.8 and a
-branching of 2 a tree keeps 0.9375 at any depth, and four trees 0.99998.
+leaf. In a leaf all pairs are compared exactly. ``runs`` trees are grown. All draw
+from the same 32 coordinates, each at most once on a path, so they are not
+independent: over the binomial number of coordinates in which a pair of similarity
+0.8 agrees, four trees with a branching of 2 miss it with an expected probability of
+about 2.0e-5 at one level, 1.2e-4 at two, 4.5e-4 at four, 1.4e-3 at eight and 3.5e-3
+at twelve (computed, with subtrees taken as independent for a given number), so
+recall falls as the trees get deeper with the table.
 
 A node that its children do not thin out (most of its sets are alike) or that
 stands at ``depth`` is compared as it is, cut into blocks: each pair of blocks is
