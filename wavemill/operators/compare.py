@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.scratch import kept, running
+from ..shared import kept, running
 
 EXACT = 500
 KEYS = ["model", "arm", "reference", "subset", "metric"]

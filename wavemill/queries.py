@@ -12,6 +12,7 @@ from .operators import calibration, cohort, compare, direction, events, leakage,
 from .oracles import ORACLES
 from .plans import loso, screen
 from .plans.bindings import FS, STEP, WINDOW, predictions, recordings, table, windows_of_vectors
+from .shared import new_folder
 from .sources import annotations
 from .streaming import alarms as streaming
 
@@ -466,7 +467,7 @@ def stream_kalman(spark: SparkSession, sf: str) -> DataFrame:
 def stream_alarms(spark: SparkSession, sf: str) -> DataFrame:
     """The alarms of ``event_summary`` from a stream of window predictions with state per recording."""
     streaming.use_rocksdb(spark)
-    path = f"{streaming.shared_dir(spark)}/wavemill/{streaming.uuid.uuid4().hex}"
+    path = new_folder(spark)
     pred = predictions(spark, sf).select("file", "start_sample", "y_pred")
     pred.write.parquet(path)
     stream = spark.readStream.schema(pred.schema).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,11 +36,3 @@ def ready(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), a temporary one is chosen and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found

@@ -6,7 +6,6 @@ RocksDB state store, and each batch of a key is put in order before it is used.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import shared_dir
+from ..shared import new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,7 +107,7 @@ def windowed_means(stream: DataFrame, length: str = "4 seconds", slide: str = "2
 def drained(stream: DataFrame) -> DataFrame:
     """Run a stream over all that its source has now, and read what it wrote; files and checkpoint are in the shared folder."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/wavemill/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
