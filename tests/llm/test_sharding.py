@@ -1,3 +1,5 @@
+import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -24,6 +26,57 @@ def test_bytes_are_even_with_a_hot_group(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 200
 
 
+def sizes_of(got, shards):
+    by = Counter()
+    for r in got:
+        by[r["shard"]] += r["size"]
+    assert set(by) <= set(range(shards))
+    return [by[s] for s in range(shards)]
+
+
+def test_repeated_rows_are_split(spark):
+    rows = [(7, "the very same row, many times over", "", "")] * 4000 + [(i, f"{i} " * (i % 60), "", "") for i in range(4000)]
+    sizes = sizes_of(sharding.pack(spark.createDataFrame(rows, SCHEMA)).collect(), 16)
+    assert max(sizes) < 1.02 * sum(sizes) / 16 and min(sizes) > 0.98 * sum(sizes) / 16
+
+
+def test_a_group_that_fits_stays_whole(spark):
+    rows = [(i, "boiler", "", "") for i in range(400)] + [(1000 + i, f"{i} " + "word " * 40, "", "") for i in range(9000)] + [(20_000 + i, "large " * 3500, "", "") for i in range(5)]
+    got = sharding.pack(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(len({r["shard"] for r in got if low <= r["doc_id"] < high}) == 1 for low, high in ((0, 400), (20_000, 20_005)))
+    sizes = sizes_of(got, 16)
+    assert max(sizes) < 1.02 * sum(sizes) / 16 and min(sizes) > 0.98 * sum(sizes) / 16
+
+
+def brute(texts, shards):
+    """Shard of each distinct text, placed one by one in plain loops."""
+    items = {t: [0, 0, 0] for t in texts}
+    for t in texts:
+        for k, x in enumerate((len(t.encode()) + 1, len(t.split()), 1)):
+            items[t][k] += x
+    total = [sum(v[k] for v in items.values()) for k in range(3)]
+    share = {t: [v[k] / max(total[k], 1) * (2, 1, 1)[k] for k in range(3)] for t, v in items.items()}
+    room = [[sum(d[k] for d in share.values()) / shards for k in range(3)] for _ in range(shards)]
+    where = {}
+    for t in sorted(share, key=lambda t: (-max(share[t]), hashlib.md5(t.encode()).hexdigest())):
+        fit = [s for s in range(shards) if all(room[s][k] >= share[t][k] - 1e-12 for k in range(3))]
+        fit = fit or [s for s in range(shards) if room[s][0] >= share[t][0] - 1e-12] or [max(range(shards), key=lambda s: (room[s][0], -s))]
+        dot = {s: sum(room[s][k] * share[t][k] for k in range(3)) for s in fit}
+        where[t] = next(s for s in fit if dot[s] >= max(dot.values()) - 1e-15)
+        room[where[t]] = [room[where[t]][k] - share[t][k] for k in range(3)]
+    return where
+
+
+def test_against_placement_one_by_one(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("a", "word", "another", "incomprehensibilities")) for _ in range(rng.randrange(1, 90))) for _ in range(70)]
+    texts += [rng.choice(texts) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = sharding.pack(df, shards=5, fine=10**6).collect()
+    want = brute(texts, 5)
+    assert {r["doc_id"]: r["shard"] for r in got} == {i: want[t] for i, t in enumerate(texts)}
+
+
 def test_empty(spark):
     assert sharding.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 

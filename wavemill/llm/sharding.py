@@ -2,14 +2,17 @@
 
 Each group (equal texts) is a vector of its share of all bytes, tokens and
 rows. Groups are placed from the largest down; a group goes to the shard whose
-residual capacity has the highest dot product with that vector.
+residual capacity has the highest dot product with that vector, among the shards
+with room for it in all three, else in bytes, else with most room in bytes.
 
 One task cannot place billions of groups one by one, so what is placed is
 bounded: groups that fill at least ``1 / fine`` of a shard in some dimension are
 placed one by one (there are at most ``3 * fine * shards`` of them), all smaller
-ones in ``bundles`` hash bundles. A group above half a shard's capacity is dealt
-in ``salts`` pieces, as no shard could take it whole and stay even. Everything
-else is hashing, grouping and two joins with those bounded tables.
+ones in ``bundles`` hash bundles. Only a group with more bytes than a whole shard
+(there are fewer of them than shards) is split, as sizes could not be even with it:
+its rows are dealt in ``salts`` pieces by a hash of their places in the table, so
+that rows equal in every column are split too. Everything else is hashing,
+grouping and two joins with those bounded tables.
 
 Defined cases: a null text counts as an empty text (size 1, in one group with
 empty texts); null ids are ids like others; repeated rows are rows of one
@@ -22,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import kept, running
+from .scratch import discard, kept, running
 
 DIMS = ("size", "tokens", "rows")
 
@@ -38,16 +41,17 @@ def place(items: list[tuple], shards: int) -> list[int]:
     for i in np.lexsort((np.arange(len(items)), -demand.max(axis=1))):
         d = demand[i]
         fits = (residual >= d - 1e-12).all(axis=1)
-        score = residual @ d
-        if fits.any():
-            score = np.where(fits, score, -np.inf)
-        j = int(np.argmax(score))
+        if not fits.any():  # bytes are the law
+            fits = residual[:, 0] >= d[0] - 1e-12
+        if not fits.any():
+            fits = residual[:, 0] >= residual[:, 0].max()
+        j = int(np.argmax(np.where(fits, residual @ d, -np.inf)))
         residual[j] -= d
         out[i] = j
     return out
 
 
-def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", bundles: int = 4096, fine: int = 128, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", bundles: int = 4096, fine: int = 128, salts: int = 256) -> DataFrame:
     """id_col, size, tokens, text_crc32, shard, slot; slots are gapless from 0 within each shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -57,19 +61,19 @@ def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("group"),
     )
-    rows = kept(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "group"), F.lit(salts)).cast("int")))
+    salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
+    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens")]
-    cells = kept(rows.groupBy("group", "salt").agg(*sums, F.count(F.lit(1)).alias("rows")))
-    groups = cells.groupBy("group").agg(*sums, F.sum("rows").alias("rows"))
+    groups = kept(rows.groupBy("group").agg(*sums, F.count(F.lit(1)).alias("rows")))
     total = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMS]).first()
+    too_large = F.col("size") * shards > total["size"]
+    fills = F.greatest(*[F.col(d) / F.lit(float(max(total[d], 1))) for d in DIMS]) * shards
 
-    def above(share: float):
-        return F.greatest(*[F.col(d) / F.lit(float(max(total[d], 1))) for d in DIMS]) * shards >= share
-
-    split = [r[0] for r in groups.where(above(0.5)).select("group").collect()]  # at most 6 * shards
-    pieces = cells.where(F.col("group").isin(split)) if split else cells.limit(0)
-    whole = groups.where(above(1 / fine) & ~above(0.5)).withColumn("salt", F.lit(-1))
-    small = groups.where(~above(1 / fine)).groupBy(F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int").alias("salt")).agg(*sums, F.sum("rows").alias("rows")).withColumn("group", F.lit(None).cast("string"))
+    split = [r[0] for r in groups.where(too_large).select("group").collect()]  # fewer than shards
+    pieces = rows.where(F.col("group").isin(split)) if split else rows.limit(0)
+    pieces = pieces.groupBy("group", salt.alias("salt")).agg(*sums, F.count(F.lit(1)).alias("rows"))
+    whole = groups.where((fills >= 1 / fine) & ~too_large).withColumn("salt", F.lit(-1))
+    small = groups.where(fills < 1 / fine).groupBy(F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int").alias("salt")).agg(*sums, F.sum("rows").alias("rows")).withColumn("group", F.lit(None).cast("string"))
     names = ["group", "salt", *DIMS]
     items = sorted(pieces.select(names).union(whole.select(names)).union(small.select(names)).collect(), key=lambda r: (r["group"] or "", r["salt"]))
     where = place([(r["size"], r["tokens"], r["rows"]) for r in items], shards)
@@ -78,9 +82,11 @@ def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
     by_group = table.where("g is not null")
     by_bundle = table.where("g is null").select(F.col("s").alias("bundle"), F.col("to").alias("to_bundle"))
     placed = (
-        rows.withColumn("bundle", F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int"))
+        rows.withColumns({"bundle": F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int"), "salt": salt})
         .join(F.broadcast(by_group), (F.col("group") == F.col("g")) & ((F.col("s") == -1) | (F.col("s") == F.col("salt"))), "left")
         .join(F.broadcast(by_bundle), "bundle", "left")
         .select("doc_id", "size", "tokens", "text_crc32", F.coalesce("to", "to_bundle").alias("shard"))
     )
-    return running(placed, ["shard"], ["doc_id", "text_crc32", "size"], {}, "slot")
+    out = running(placed, ["shard"], ["doc_id", "text_crc32", "size"], {}, "slot")
+    discard(rows, groups)
+    return out
