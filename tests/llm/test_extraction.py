@@ -1,4 +1,8 @@
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from wavemill.llm import extraction
 
@@ -72,6 +76,48 @@ def test_names_do_not_drop_an_article(page):
     assert extraction.main_text(page) == "kept"
 
 
+def test_the_curve_decides_whether_an_article_is_one():
+    body = ARTICLE * 4
+    got = extraction.main_text(f"<article><p>Teaser card</p></article><div class='content'>{body}</div>")
+    assert got.split("\n")[-4:] == extraction.main_text(body).split("\n")
+    assert extraction.main_text(f"<article><p>A short article, but an article.</p></article><div>{ARTICLE}</div>").startswith("A short article")
+    assert "Beside" not in extraction.main_text(f"<article>{ARTICLE}</article><div><p>Beside. {body}</p></div>")
+    assert extraction.main_text("<article><p><a href=x>Only a link</a></p></article>") == "Only a link"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.booleans()), max_size=40), st.integers(1, 4))
+def test_regions_against_brute_force(lines, window):
+    sizes, is_text = [n * t for n, t in lines], [t for _, t in lines]
+    curve = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    want = []
+    for i in range(len(sizes)):
+        for j in range(i + 1, len(sizes) + 1):  # a longest run of the curve above zero from its first line with text
+            begins = is_text[i] and not any(is_text[x] and all(curve[x:i]) for x in range(i))
+            if begins and all(curve[i:j]) and (j == len(sizes) or not curve[j]):
+                want.append((i, j, max(curve[i:j])))
+    assert extraction.regions(sizes, is_text, window) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 20_000 + "</i>" * 20_000,
+        "<b><article>" + "<i>" * 20_000 + "</b>" * 20_000,
+        "<ul>" + "<b>" * 20_000 + "<li><dt><dd>" * 20_000,
+        "<b>" * 20_000 + "<article>" * 20_000,
+        "<div class=ad><article>" * 10_000,
+        "<div><p>" * 20_000 + "</section>" * 20_000,
+        "<table><tr><td>" * 10_000 + "x" + "</td></tr>" * 10_000,
+        "<a href='" * 20_000,
+    ],
+)
+def test_time_is_linear(page):
+    began = time.process_time()
+    extraction.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def test_table(spark):
     rows = [(1, "u", ARTICLE, "x", 1), (1, "u", ARTICLE, "x", 1), (None, None, None, None, None), (2, "v", "<p>" + "word " * 100_000, "y", 2)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

@@ -5,11 +5,13 @@ window of lines form a curve; a region of the page begins where the curve
 surges from zero and ends where it dives back to zero. Regions with enough
 running text are the article.
 
-Where a page has an article or main element with text, its lines are the article,
-all of them. Elsewhere a container (div, section, list, table, cell) whose own lines surge
-keeps all its lines, also short ones and lists of links beside the region; between
-surging containers of one container all lines stay. Of the page's body, whose own
-lines are beside menus and the like, all own lines stay and what is between regions.
+Where a page has article or main elements whose own lines surge, or with which the
+regions outside cannot compare (``rival`` times their running text), only their lines
+count in the curve, and of an article that it finds all lines stay. Elsewhere a
+container (div, section, list, table, cell) whose own lines surge keeps all its
+lines, also short ones and lists of links beside the region; between surging
+containers of one container all lines stay. Of the page's body, whose own lines are
+beside menus and the like, all own lines stay and what is between regions.
 
 Stripping leaves a gap of a whole window of empty lines where an element stood
 that is no running text by its tag, role or name (menus, headers, footers, sidebars,
@@ -21,7 +23,8 @@ element around one, except articles among the comments on an earlier article.
 
 Defined cases: a null page is an empty page; a page that ends within a tag ends
 before it; elements that are never closed end with their parent; repeated rows
-are extracted each.
+are extracted each. The time is linear in the page, however its tags are nested: the
+open elements of each tag are known by place.
 """
 
 from __future__ import annotations
@@ -97,8 +100,15 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
     parents = [0]
     buffer: list[str] = []
     free = 0
-    stack: list[tuple[str, str, tuple[int, int, int]]] = []  # open elements, why each starts a dropped part, and what held before it
-    dropped = links = bodies = box = articles = 0
+    # open elements: tag, why it starts a dropped part, since which rescue of an article that holds, and what held before it
+    stack: list[tuple[str, str, int, tuple[int, int, int]]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    why = {"tag": 0, "name": 0, "comments": 0}  # dropped parts that are open
+    rescues = links = bodies = box = articles = 0
+
+    def last(*tags: str) -> int:
+        """Place of the innermost open element of some tags, or -1."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def line(gap: int = 0) -> None:
         nonlocal free
@@ -117,22 +127,23 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             owner.append(box)
 
     def leave(to: int) -> None:
-        nonlocal dropped, links, bodies, box
+        nonlocal links, bodies, box
         while len(stack) > to:
-            tag, drops, before = stack.pop()
-            if tag in BLOCK and not dropped:
+            tag, drops, since, before = stack.pop()
+            places[tag].pop()
+            if tag in BLOCK and not any(why.values()):
                 line(tag in ("div", "section", "table", "ul", "ol"))
-            if drops:
-                dropped -= 1
-                if not dropped:
+            if drops and since == rescues:
+                why[drops] -= 1
+                if not any(why.values()):
                     line(window)
-            elif not dropped and tag in ("article", "main"):
+            elif not any(why.values()) and tag in ("article", "main"):
                 line()
             links, bodies, box = before
 
     def text(raw: str) -> None:
         nonlocal free
-        if raw and not dropped:
+        if raw and not any(why.values()):
             got = unescape(raw) if "&" in raw else raw
             buffer.append(got)
             if not links:
@@ -151,51 +162,42 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             continue
         tag = m[1].lower()
         if m[0][1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if stack[k][0] in ("article", "main", "table", "body") and tag not in BLOCK:
-                    break
-            else:
-                if tag in BLOCK and not dropped:
-                    line()
+            k = last(tag)
+            if k >= 0 and (tag in BLOCK or tag in ("article", "main", "table", "body") or k > last("article", "main", "table", "body")):
+                leave(k)
+            elif k < 0 and tag in BLOCK and not any(why.values()):
+                line()
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in ("hr", "img") or tag in VOID:
-            if tag == "hr" and not dropped:
+            if tag == "hr" and not any(why.values()):
                 line()
             continue
-        if tag in CLOSES_P and any(t == "p" for t, *_ in stack[-6:]):
-            k = max(i for i, (t, *_) in enumerate(stack) if t == "p")
-            if not any(t in ("article", "main", "div", "table", "section") for t, *_ in stack[k + 1 :]):
-                leave(k)
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "ul", "ol", "dl", "table", "select")), -1)
-            if k >= 0 and stack[k][0] == tag:
-                leave(k)
+        if tag in CLOSES_P and last("p") > max(len(stack) - 7, last("article", "main", "div", "table", "section")):
+            leave(last("p"))
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and last(tag) > last("ul", "ol", "dl", "table", "select"):
+            leave(last(tag))
         if m[0].endswith("/>") and tag in ("svg", "path"):
             continue
         drops = _no_text(tag, m[2], bodies > 0)
         if tag in ("article", "main") and drops != "tag":
             # names do not drop an article, nor what is around it; only articles among the comments on an earlier one are comments
-            around = {d for _, d, _ in stack if d} | {drops}
-            if "tag" not in around and not ("comments" in around and articles):
+            if not why["tag"] and not ((why["comments"] or drops == "comments") and articles):
                 drops = ""
-                if dropped:
-                    stack = [(t, "", was) for t, _, was in stack]
-                    dropped = 0
+                if any(why.values()):
+                    rescues += 1
+                    why = dict.fromkeys(why, 0)
                 articles += 1
-        if tag in BLOCK and not dropped:
+        if tag in BLOCK and not any(why.values()):
             line()
         before = (links, bodies, box)
         if drops:
-            if not dropped:
+            if not any(why.values()):
                 line(window)
-            dropped += 1
-        elif not dropped:
+            why[drops] += 1
+        elif not any(why.values()):
             if tag == "a":
                 links += 1
             elif tag in ("article", "main"):
@@ -203,7 +205,8 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             elif tag in CONTAINERS:
                 parents.append(box)
                 box = len(parents) - 1
-        stack.append((tag, drops, before))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, drops, rescues, before))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             if end:
@@ -212,7 +215,7 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             else:
                 at = n
             leave(len(stack) - 1)
-    if not dropped:
+    if not any(why.values()):
         line()
     return texts, sizes, inside, owner, parents
 
@@ -253,22 +256,14 @@ def _beside(kept: list[bool], sizes: list[int], owner: list[int], parents: list[
     return out
 
 
-def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
-    """The regions between surge and dive points of the line-block curve, blocks joined by line feeds.
-
-    A region counts if its curve reaches ``surge`` characters somewhere; if none does, the largest region counts.
-    """
-    if not html:
-        return ""
-    texts, sizes, inside, owner, parents = lines_of(html, window)
-    if any(t and i for t, i in zip(texts, inside, strict=True)):  # the page says what its article is
-        return "\n".join(t for t, i in zip(texts, inside, strict=True) if t and i)
-    n = len(texts)
+def regions(sizes: list[int], is_text: list[bool], window: int) -> list[tuple[int, int, int]]:
+    """Where the sums over ``window`` lines surge from zero at a line with text and dive to zero again: first line, line after the last, highest sum."""
+    n = len(sizes)
     curve = [sum(sizes[i : i + window]) for i in range(n)]
-    regions: list[tuple[int, int, int]] = []  # first line, line after the last, highest point
+    found: list[tuple[int, int, int]] = []
     i = 0
     while i < n:
-        if not curve[i] or not texts[i]:
+        if not curve[i] or not is_text[i]:
             i += 1
             continue
         j = i
@@ -276,18 +271,37 @@ def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
         while j < n and curve[j]:
             top = max(top, curve[j])
             j += 1
-        end = min(n, j)
-        regions.append((i, end, top))
-        i = end
-    if not regions:
+        found.append((i, j, top))
+        i = j
+    return found
+
+
+def main_text(html: str | None, window: int = 3, surge: int = 86, rival: int = 5) -> str:
+    """The regions between surge and dive points of the line-block curve, blocks joined by line feeds.
+
+    A region counts if its curve reaches ``surge`` characters somewhere; if none does, the largest region counts.
+    """
+    if not html:
         return ""
-    enough = min(surge, max(r[2] for r in regions))
-    kept = [False] * n
-    for a, b, top in regions:
-        if top >= enough:  # the curve surges and dives at lines of running text, not at links beside them
-            own = [i for i in range(a, b) if sizes[i]]
-            kept[own[0] : own[-1] + 1] = [True] * (own[-1] + 1 - own[0])
-    kept = _beside(kept, sizes, owner, parents, window, enough)
+    texts, sizes, inside, owner, parents = lines_of(html, window)
+    is_text = [bool(t) for t in texts]
+    own = [s if i else 0 for s, i in zip(sizes, inside, strict=True)]
+    if marked := any(t and i for t, i in zip(is_text, inside, strict=True)):
+        outside = [0 if i else s for s, i in zip(sizes, inside, strict=True)]
+        rivals = sum(sum(outside[a:b]) for a, b, top in regions(outside, is_text, window) if top >= surge)
+        marked = any(top >= surge for _, _, top in regions(own, is_text, window)) or rivals <= rival * max(sum(own), 1)
+    found = regions(own if marked else sizes, is_text, window)
+    if not found:  # an article of links only is an article
+        return "\n".join(t for t, i in zip(texts, inside, strict=True) if t and i and marked)
+    kept = inside
+    if not marked:
+        enough = min(surge, max(top for _, _, top in found))
+        kept = [False] * len(texts)
+        for a, b, top in found:
+            if top >= enough:  # the curve surges and dives at lines of running text, not at links beside them
+                running = [i for i in range(a, b) if sizes[i]]
+                kept[running[0] : running[-1] + 1] = [True] * (running[-1] + 1 - running[0])
+        kept = _beside(kept, sizes, owner, parents, window, enough)
     return "\n".join(t for t, k in zip(texts, kept, strict=True) if t and k)
 
 
