@@ -7,15 +7,16 @@ branch) gives each passage a weight, the weights add up to one over the
 document, and a logistic unit scores the weighted embedding. Only document
 labels are used in training.
 
-Training takes at most ``sample`` labelled documents of either class and, of each
-of these, at most ``train_passages`` evenly spaced passages; both are parameters.
-Scores come from all passages of every whole text. Id, language, source and labels are
-never inputs of a score.
+Training takes at most ``sample`` labelled documents of either class, one row of
+each, and no more of them than have ``most_passages`` passages together; both are
+parameters. It sees all passages of these documents. Scores come from all passages of
+every whole text. Id, language, source and labels are never inputs of a score.
 
 Defined cases: a null or empty text is a bag of one empty passage and gets that
 bag's score; labels that are null or contradict each other are not used; with
 labels of one class only, every score is that class's share; repeated rows get
-equal scores.
+equal scores; of rows that share a labelled id, training takes the one whose
+features have the least hash.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import discard, kept
 from .words import LOWER, NON_SPACE, texts_of, words_of
 
 PASSAGE = 64
@@ -120,9 +122,12 @@ class Model:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     constant: float | None = None
 
-    def forward(self, x: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
+    def forward(self, z: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+        """All that training needs, from scaled features and where each document's passages begin."""
         p = self.p
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(z @ p["w"] + p["b"])
         t, g = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
         e = (t * g) @ p["a"]
@@ -131,12 +136,12 @@ class Model:
         ex = np.exp(e - np.maximum.reduceat(e, starts)[of])
         weight = ex / np.add.reduceat(ex, starts)[of]
         bag = np.add.reduceat(weight[:, None] * h, starts)
-        return {"z": z, "h": h, "t": t, "g": g, "of": of, "weight": weight, "bag": bag, "score": _sigmoid(bag @ p["c"] + p["d"])}
+        return {"h": h, "t": t, "g": g, "of": of, "weight": weight, "bag": bag, "score": _sigmoid(bag @ p["c"] + p["d"])}
 
     def score(self, x: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(offs) - 1, self.constant)
-        return self.forward(x.astype(float), offs)["score"]
+        return self.forward(self.scaled(x.astype(float)), offs)["score"]
 
 
 def train(x: np.ndarray, offs: np.ndarray, y: np.ndarray, hidden: int = 16, gates: int = 8, steps: int = 400, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -160,8 +165,9 @@ def train(x: np.ndarray, offs: np.ndarray, y: np.ndarray, hidden: int = 16, gate
     weigh = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
+    z = model.scaled(x)
     for step in range(1, steps + 1):
-        f = model.forward(x, offs)
+        f = model.forward(z, offs)
         out = (f["score"] - y) * weigh
         bag = out[:, None] * p["c"]
         per = bag[f["of"]]
@@ -172,7 +178,7 @@ def train(x: np.ndarray, offs: np.ndarray, y: np.ndarray, hidden: int = 16, gate
         dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * tg * (1 - f["g"])
         dh = f["weight"][:, None] * per + dt @ p["v"].T + dg @ p["u"].T
         dz = dh * (1 - f["h"] ** 2)
-        grad = {"w": f["z"].T @ dz, "b": dz.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": tg.T @ de, "c": f["bag"].T @ out, "d": out.sum()}
+        grad = {"w": z.T @ dz, "b": dz.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": tg.T @ de, "c": f["bag"].T @ out, "d": out.sum()}
         for k in p:
             g = grad[k] + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -181,31 +187,37 @@ def train(x: np.ndarray, offs: np.ndarray, y: np.ndarray, hidden: int = 16, gate
     return model
 
 
-def _bags(passage: int, most: int):
-    """Per row: its label and the features of at most ``most`` evenly spaced passages."""
+def _bags(passage: int):
+    """Per row: its id, label, and the features of all its passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1)
-            for at, data, offsets in texts_of(b.column(0)):
+            for at, data, offsets in texts_of(b.column(2)):
                 x, offs = encode(data, offsets, passage)
-                rows = []
-                for a, z in zip(offs[:-1], offs[1:], strict=True):
-                    take = np.arange(a, z) if z - a <= most else a + np.linspace(0, z - a - 1, most).astype(int)
-                    rows.append(x[take].tobytes())
-                yield pa.RecordBatch.from_arrays([label.slice(at, len(rows)), pa.array(rows, pa.binary())], names=["label", "bag"])
+                n = len(offs) - 1
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(np.diff(offs), pa.int64()), pa.array([x[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["doc_id", "label", "n", "bag"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, train_passages: int = 24, passage: int = PASSAGE, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_passages: int = 200_000, passage: int = PASSAGE, text_col: str = "text") -> Model:
     """A model from the labels (doc_id, quality) whose crc32(doc_id as text) mod 4 is not 2."""
     clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     clean = clean.where("low = high and low in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     take = lambda y: clean.where(F.col("low") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_l"), F.col("low").cast("int").alias("label"))
     chosen = F.broadcast(take(0).union(take(1)))  # at most twice the sample
-    bags = docs.select("doc_id", F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("_l")).select("text", "label")
-    got = bags.mapInArrow(_bags(passage, train_passages), "label int, bag binary").orderBy(F.md5("bag"), "label").limit(4 * sample).collect()
+    rows = docs.select("doc_id", F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("_l")).select("doc_id", "label", "text")
+    bags = rows.mapInArrow(_bags(passage), f"doc_id {dict(rows.dtypes)['doc_id']}, label int, n long, bag binary")
+    bags = kept(bags.groupBy("doc_id").agg(F.min(F.struct(F.md5("bag").alias("hash"), "bag", "n", "label")).alias("b")).select("doc_id", "b.*"))
+    # in a fixed pseudo-random order, as many whole documents as fit
+    sizes = bags.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most twice the sample
+    fit_in, held = [], 0
+    for r in sizes:
+        if held + r["n"] <= most_passages:
+            fit_in.append(r["doc_id"])
+            held += r["n"]
+    got = bags.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fit_in], f"_i {dict(rows.dtypes)['doc_id']}")), F.col("doc_id") == F.col("_i")).orderBy("hash", "doc_id").collect()
+    discard(bags)
     x = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in got]
     offs = np.concatenate([[0], np.cumsum([len(b) for b in x])]).astype(int)
     flat = np.concatenate(x) if x else np.zeros((0, N_FEATURES), np.float32)
