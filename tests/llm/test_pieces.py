@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from wavemill.llm import pieces
 
 SCHEMA = "doc_id long, text string, pieces string, score string"
-V = pieces.Pieces(pieces.MODEL, 4)
+MODEL = pieces.read_model(pieces.MODEL)
+V = pieces.Pieces(MODEL, 4)
 
 
 def every(text):
@@ -56,7 +57,7 @@ def test_no_piece_crosses_a_boundary():
 
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "MOST_PARTS", 3)
-    small = pieces.Pieces(pieces.MODEL, 4)
+    small = pieces.Pieces(MODEL, 4)
     text = "the quick brown fox jumps over the lazy dog and the quick cat. " * 3
     assert small.encode(text) == V.encode(text)
 
