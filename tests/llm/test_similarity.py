@@ -69,7 +69,23 @@ def test_empty(spark):
     assert similarity.one_per_class(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_trees_are_added_until_links_are_found(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    grown = []
+    leaves = similarity._leaves
+    monkeypatch.setattr(similarity, "_leaves", lambda c, trees, *a: grown.append(trees) or leaves(c, trees, *a))
+    got = similarity.join(df, runs=1, branching=1).collect()
+    assert sorted([(r["doc_id"], r["class_id"], r["n_links"]) for r in got], key=str) == sorted(brute(rows), key=str)
+    assert len(grown) > 1 and [t for r in grown for t in r] == list(range(len(grown)))
+
+
+def test_share_of_links_found():
+    assert similarity._found_share(0, 0, 0) == 1 and similarity._found_share(100, 0, 0) == 1 and similarity._found_share(100, 10, 0) == 100 / 145
+    assert similarity._found_share(1000, 10, 44) == 1000 / 1001
+
+
 def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"x", b"y")], "a binary, b binary")
-    got = {bytes(r["set_id"]): bytes(r["root"]) for r in similarity.components(edges).collect()}
-    assert {got[bytes([i])] for i in range(41)} == {b"\x00"} and got[b"y"] == b"x" and len(got) == 43
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(1000, 1001)] + [(2000, i) for i in range(2001, 2300)], "a long, b long")
+    got = {r["c"]: r["root"] for r in similarity.components(edges).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[1001] == 1000 and {got[i] for i in range(2000, 2300)} == {2000} and len(got) == 343
