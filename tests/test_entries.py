@@ -6,10 +6,10 @@ from wavemill.plans import entries
 from wavemill.sources import edf
 
 
-def tree(root, cfg, cases=("p1", "p2")):
+def tree(root, cfg, cases=("p1", "p2"), other_names=None):
     """A small raw tree of two cases, three recordings of 40 s each, a louder 3 Hz rhythm in the second one."""
     rng = np.random.default_rng(0)
-    fs, names = int(cfg["dataset"]["fs"]), cfg["dataset"]["channels"]
+    fs, names = int(cfg["dataset"]["fs"]), [(other_names or {}).get(c, c) for c in cfg["dataset"]["channels"]]
     records = []
     for case in cases:
         (root / "raw" / case).mkdir(parents=True)
@@ -20,7 +20,7 @@ def tree(root, cfg, cases=("p1", "p2")):
             if seizure:
                 x[:, fs * 12 : fs * 26] += 120 * np.sin(2 * np.pi * 3 * np.arange(fs * 14) / fs)
             file = f"{case}_{i + 1:02d}.edf"
-            edf.write(str(root / "raw" / case / file), names if not (case == "p2" and i == 2) else ["X", *names[1:]], x, fs)
+            edf.write(str(root / "raw" / case / file), names if not (case == cases[1] and i == 2) else ["X", *names[1:]], x, fs)
             records.append(f"{case}/{file}")
             text += f"File Name: {file}\nFile Start Time: 10:0{i}:00\nFile End Time: 10:0{i}:40\nNumber of Seizures in File: {int(seizure)}\n"
             text += "Seizure Start Time: 12 seconds\nSeizure End Time: 26 seconds\n" if seizure else ""
@@ -50,3 +50,13 @@ def test_from_recordings_to_reports(spark, tmp_path):
     assert log.count() == 3 and log.where("status = 'success'").count() == 3
     assert entries.adaptive_ratios(spark, root).columns == ["file", "kalman_qr0.0001_blk0.5_ws5"]
     assert wide.select(F.countDistinct("case")).first()[0] == 2
+
+
+def test_patient_map_and_channel_aliases_of_the_settings(spark, tmp_path):
+    cfg = config.load(overrides={"dataset": {"fs": 64, "channel_aliases": {"right": "T8-P8"}}, "filter": {"high": 28.0, "notch": 30.0}})
+    tree(tmp_path, cfg, ("chb01", "chb21"), {"T8-P8": "right", "P8-O2": "P8-O2-0"})
+    index = entries.index(spark, str(tmp_path), cfg)
+    assert {r["patient"] for r in index.select("patient").collect()} == {"chb01"} and index.where("include").count() == 6 - 1
+    assert {r["patient"] for r in spark.read.parquet(f"{tmp_path}/tables/annotations").collect()} == {"chb01"}
+    assert entries.preprocess(spark, str(tmp_path), cfg).where("status = 'success'").count() == 5
+    assert {r["channel"] for r in spark.read.parquet(f"{tmp_path}/signals").select("channel").distinct().collect()} == set(config.CHANNELS)

@@ -1,11 +1,13 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavemill import config, schemas
 from wavemill.functions import adaptive, features, filters, kernels, time_domain
-from wavemill.operators import calibration, cohort, compare, direction, events, leakage, sampling, windows
-from wavemill.sources import annotations, edf, synthetic, tables
+from wavemill.operators import calibration, cohort, compare, direction, events, leakage, metrics, sampling, windows
+from wavemill.sources import annotations, edf, tables
 
 PRED = "patient string, case string, file string, start_sample long, y_true int, y_pred int"
 
@@ -85,9 +87,12 @@ def test_cohort_fills_to_the_cap_and_checks_again(spark):
 
 def test_channels_and_headers(spark):
     have = spark.createDataFrame([(["A", "B-0", "Z"],)], "ch array<string>")
-    assert have.select(cohort.resolve_channels(F.col("ch"), ["A", "B", "C", "D"], {"C": "Z"}).alias("r")).first()["r"] == ["A", "B-0", "Z", None]
+    assert have.select(cohort.resolve_channels(F.col("ch"), ["A", "B", "C", "D"], {"C": ["Y", "Z"]}).alias("r")).first()["r"] == ["A", "B-0", "Z", None]
     head = spark.createDataFrame([("a", None, 256.0, ["A", "B"]), ("b", "OSError", None, None), ("c", None, 128.0, ["A", "B"]), ("d", None, 256.0, ["A"])], "file string, error string, sfreq double, ch_names array<string>")
     assert [r["reason"] for r in cohort.usable(head, ["A", "B"]).orderBy("file").collect()] == [None, "unreadable_edf:OSError", "bad_fs:128.0", "missing_channel:B"]
+    other = spark.createDataFrame([("a", None, 256.0, ["X-Y", "T8-P8-0"]), ("b", None, 256.0, ["X-Y", "Q"]), ("c", None, 256.0, ["X-Y", "P8-T8"])], head.schema)
+    assert [r["reason"] for r in cohort.usable(other, ["X-Y", "T8-P8"], aliases={"T8-P8": ["Q"]}).orderBy("file").collect()] == [None, None, "missing_channel:T8-P8"]
+    assert edf.resolve(["X-Y", "Q", "T8-P8-0"], ["T8-P8", "X-Y"], config.aliases({"dataset": {"channel_aliases": {"Q": "T8-P8"}}})) == [1, 0]
 
 
 def test_calibration_falls_back(spark):
@@ -112,6 +117,23 @@ def test_wilcoxon_and_bootstrap():
     assert 1 <= low < 2.5 < high <= 4 and compare.bootstrap([1.0]) == (None, None)
 
 
+def test_wilcoxon_of_any_size():
+    rng = np.random.default_rng(4)
+    d = np.rint(rng.normal(0.3, 1, 10) * 4)
+    d[d == 0] = 1  # with ties
+    ranks = compare.average_ranks(np.abs(d))
+    sums = [sum(r for r, s in zip(ranks, signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=10)]
+    up = ranks[d > 0].sum()
+    assert compare.wilcoxon(d, 0 * d, "greater")["p_value"] == pytest.approx(np.mean([s >= up for s in sums]))
+    assert compare.wilcoxon(d, 0 * d, "less")["p_value"] == pytest.approx(np.mean([s <= up for s in sums]))
+    with np.errstate(all="raise", under="ignore"):
+        for n in (10, 50, 500, 1100, 5000):
+            d = rng.normal(0.05, 1, n)
+            exact, normal = compare.wilcoxon(d, 0 * d, exact=1200), compare.wilcoxon(d, 0 * d, exact=0)
+            assert 0 < exact["p_value"] < 1 and exact["p_value"] == pytest.approx(normal["p_value"], abs=0.5 / n)
+    assert compare.wilcoxon(np.arange(1, 2001), np.zeros(2000))["p_value"] < 1e-100
+
+
 def test_arms_of_many_patients(spark):
     def table(n):
         rows = [(arm, "m", i, None if i % 50 == 7 else (i * 37 % 101 + (i % 9 - 3) * (arm == "new")) / 100) for arm in ("raw", "new") for i in range(n)]
@@ -137,6 +159,28 @@ def test_direction_of_a_flipped_patient(spark):
     assert two["agreement"] is None and two["n_strong_features"] == 0
 
 
+def test_consensus_of_the_others(spark):
+    rng = np.random.default_rng(6)
+    rows = [(p, f, None if (p + f) % 7 == 0 else float(np.round(rng.random(), 1))) for f in range(6) for p in range(4 + f)] + [(0, 99, None), (1, 98, 0.5)]
+    got = {(r["patient"], r["feature"]): (r["consensus"], r["n_others"], r["auc"]) for r in direction.consensus(spark.createDataFrame(rows, "patient long, feature long, auc double")).collect()}
+    assert len(got) == len(rows)
+    for p, f, auc in rows:
+        others = [a for q, g, a in rows if g == f and q != p and a is not None]
+        want = (pytest.approx(np.median(others)) if others else None, len(others), auc)
+        assert got[p, f] == want
+
+
+def test_ranks_over_ranges_give_the_same_auc(spark):
+    rows = spark.createDataFrame([(k, int((i * 7 + k) % 3 == 0), float(i % 17)) for k in range(2) for i in range(300)] + [(None, 1, 1.0), (None, 0, 0.0), (5, 1, 1.0)], "k long, y int, s double")
+    assert sorted(map(str, metrics.auc(rows, ["k"], "y", "s", spread=True).collect())) == sorted(map(str, metrics.auc(rows, ["k"], "y", "s").collect()))
+
+
+def test_permuted_labels_are_dealt_among_all_rows(spark):
+    rows = spark.createDataFrame([(str(i), int(i < 30)) for i in range(300)], "file string, label int")
+    got = {r["file"]: r["label"] for r in sampling.permuted_labels(rows, 3, ["file"]).collect()}
+    assert len(got) == 300 and sum(got.values()) == 30 and sum(got[str(i)] for i in range(30)) < 12
+
+
 def test_leakage(spark):
     rows = spark.createDataFrame([("p", "c"), ("q", "c")], "patient string, case string")
     assert leakage.split_cases(rows).count() == 1
@@ -306,13 +350,6 @@ def test_edf_round_trip(spark, tmp_path):
     assert np.concatenate([r["samples"] for r in rows if r["channel"] == "Z"]) == pytest.approx(x[2], abs=0.01)
 
 
-def test_synthetic_recordings(spark):
-    settings = spark.createDataFrame([("a", "spikewave", 10.0, 0), ("b", "chirp", 5.0, 1)], "case string, kind string, burst_s double, seed int")
-    for r in synthetic.recordings(settings, fs=64.0, pre_s=60, post_s=10, ratio=2.0, n_channels=2).collect():
-        x = np.array(r["samples"])
-        assert np.sqrt((x[r["onset"] : r["end"]] ** 2).mean()) == pytest.approx(40, rel=1e-3)
-
-
 def test_tables(spark, tmp_path):
     (tmp_path / "RECORDS").write_text("c1/c1_01.edf\n\n c2/c2_01.edf \n")
     assert {tuple(r) for r in tables.read_records(spark, str(tmp_path / "RECORDS")).collect()} == {("c1", "c1_01.edf"), ("c2", "c2_01.edf")}
@@ -336,24 +373,12 @@ def test_feature_table(spark):
     assert wide.columns == ["window", *config.feature_columns(["A", "B"])] and wide.count() == 2
 
 
-def test_screen_of_synthetic_bursts(spark):
-    from wavemill.plans import screen
-
-    settings = [("nlms", {"length": 4}), ("kalman", {})]
-    options = {"pre_s": 70, "post_s": 40, "n_channels": 1}
-    detail, summary = screen.full(spark, settings, [15.0], ["spikewave"], [0], [15.0], fs=64.0, warm_start_s=10.0, **options)
-    got = {r["method"]: r for r in summary.collect()}
-    assert set(got) == {"nlms", "kalman"} and all(0 < r["worst_kept"] <= 1.5 for r in got.values()) and detail.count() == 2
-    made = synthetic.recordings(screen.bursts(spark, [15.0], ["spikewave"], [0]), fs=64.0, ratio=2.0, **options)
-    same = screen.kept_power(made, made, 64.0).first()
-    assert [same["kept_mean"], same["kept_tail"], same["post_ratio"]] == pytest.approx([1, 1, 1])
-
-
 def test_held_out_chooser_and_svm_lift(spark):
     from wavemill.plans import loso
 
     rows = spark.createDataFrame([(p,) for p in "cab"], "patient string")
     assert loso.held_out(rows, 2) == ["a", "b"]
+    assert {tuple(loso.held_out(rows, 2, s)) for s in range(20)} > {("a", "b")} and loso.held_out(rows, 2, 1) == loso.held_out(rows, 2, 1)
     x = np.random.default_rng(0).normal(size=(2, 5))
     from pyspark.ml.linalg import Vectors
 

@@ -22,6 +22,7 @@ def main() -> None:
     p.add_argument("--arms", default="raw,subject_standardised")
     p.add_argument("--models", default="svm,rf")
     p.add_argument("--max-patients", type=int)
+    p.add_argument("--tuning", choices=["nested", "fixed"], help="whether baseline chooses from the grids of the settings on inner folds of patients")
     p.add_argument("--min-consecutive", type=int, default=1)
     p.add_argument("--merge-gap-s", type=float)
     p.add_argument("--refractory-s", type=float, default=0.0)
@@ -29,6 +30,8 @@ def main() -> None:
     p.add_argument("--dev", default="")
     a = p.parse_args()
     spark, cfg = session.build(a.master), config.load(a.config)
+    if a.tuning:
+        cfg["evaluation"]["tuning"]["mode"] = a.tuning
     patients = a.patients.split(",") if a.patients else None
     if a.entry == "index":
         shown = [entries.cohort.summary(entries.index(spark, a.root, cfg, patients), float(cfg["dataset"]["fs"]))]

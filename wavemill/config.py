@@ -6,16 +6,20 @@ import copy
 from itertools import product
 from pathlib import Path
 
-# The bipolar montage and the frequency bands.
-CHANNELS = "FP1-F7 F7-T7 T7-P7 P7-O1 FP1-F3 F3-C3 C3-P3 P3-O1 FP2-F4 F4-C4 C4-P4 P4-O2 FP2-F8 F8-T8 T8-P8 P8-O2 FZ-CZ CZ-PZ".split()
+# The bipolar montage, the frequency bands, and the names of features.
+CHANNELS = [
+    "FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FP2-F4",
+    "F4-C4", "C4-P4", "P4-O2", "FP2-F8", "F8-T8", "T8-P8", "P8-O2", "FZ-CZ", "CZ-PZ",
+]
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
-TIME_DOMAIN = "mean std skew kurt line_length hjorth_activity hjorth_mobility hjorth_complexity".split()
+TIME_DOMAIN = ["mean", "std", "skew", "kurt", "line_length", "hjorth_activity", "hjorth_mobility", "hjorth_complexity"]
 NONLINEAR = ["sampen", "apen"]
-DETAILS = "d1 d2 d3 d4 d5 a5".split()
+DETAILS = ["d1", "d2", "d3", "d4", "d5", "a5"]
 
+# The settings of a run, among them the case that is another case's patient and the second name of a channel.
 DEFAULTS: dict = {
     "project": {"seed": 42},
-    "dataset": {"fs": 256, "channels": CHANNELS, "max_seizure_free_hours_per_patient": 10.0},
+    "dataset": {"fs": 256, "channels": CHANNELS, "max_seizure_free_hours_per_patient": 2.0, "patient_map": {"chb21": "chb01"}, "channel_aliases": {"T8-P8-0": "T8-P8"}},
     "segmentation": {"window_s": 4.0, "overlap": 0.5, "drop_boundary": True},
     "filter": {"low": 0.5, "high": 45.0, "transition": 1.0, "ripple_db": 60.0, "notch": 60.0, "q": 30.0},
     "features": {"nonlinear": True},
@@ -24,6 +28,8 @@ DEFAULTS: dict = {
         "calibration": {"minutes": 10, "min_windows": 60},
         "train_sampling": {"interictal_to_ictal_ratio": 5, "max_train_windows": 30000},
         "n_features": 100,
+        "tuning": {"mode": "fixed", "inner_splits": 3},
+        "grids": {},
     },
 }
 # The parameters of the adaptive methods, and the grid of the pilot screen.
@@ -103,13 +109,23 @@ def method_params(method: str, given: dict | None = None) -> dict:
 
 
 def tag(method: str, params: dict | None = None, warm_start_s: float = WARM_START_S) -> str:
-    """Name of a setting: its leading parameters, then whatever differs from the usual."""
-    p = method_params(method, params)
-    lead = [f"{short}{p[k]:g}" for k, short in NAMED[method].items()]
-    rest = [f"{k}{v:g}" for k, v in sorted(p.items()) if k not in NAMED[method] and v != METHODS[method][k]]
-    return "_".join([method, *lead, *rest, *([f"ws{warm_start_s:g}"] if warm_start_s != WARM_START_S else [])])
+    """Name of a setting: the method, its leading parameters, then by name whatever differs from the usual; a warm start that differs is ``ws``."""
+    given, usual, short = method_params(method, params), METHODS[method], NAMED[method]
+    changed = {k: k for k in sorted(given.keys() - short.keys()) if given[k] != usual[k]}
+    name = method
+    for key, written in (short | changed).items():
+        name += f"_{written}{given[key]:g}"
+    return name if warm_start_s == WARM_START_S else f"{name}_ws{warm_start_s:g}"
 
 
 def grid(methods: list[str] | None = None) -> list[tuple[str, dict]]:
     """All settings of the screen, in order of the grid."""
     return [(m, dict(zip(GRID[m], v, strict=True))) for m in methods or GRID for v in product(*GRID[m].values())]
+
+
+def aliases(cfg: dict) -> dict[str, list[str]]:
+    """For each channel the other names it may have; the settings list them the other way round."""
+    out: dict[str, list[str]] = {}
+    for other, channel in (cfg["dataset"].get("channel_aliases") or {}).items():
+        out.setdefault(channel, []).append(other)
+    return out

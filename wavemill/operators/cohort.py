@@ -106,9 +106,10 @@ def fixed_point(index: DataFrame, cap_hours: float, check, rounds: int = 5) -> D
     return select(index, cap_hours, bad)
 
 
-def usable(headers: DataFrame, required: list[str], fs: float = 256.0) -> DataFrame:
+def usable(headers: DataFrame, required: list[str], fs: float = 256.0, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """(file, ok, reason) of header rows (file, error, sfreq, ch_names): unreadable, wrong rate, or a missing channel."""
-    lacking = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("ch_names"))
+    found = resolve_channels(F.col("ch_names"), required, aliases)
+    lacking = F.array_compact(F.transform(F.arrays_zip(F.array(*[F.lit(c) for c in required]).alias("want"), found.alias("has")), lambda c: F.when(c["has"].isNull(), c["want"])))
     reason = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable_edf:"), F.col("error")))
         .when(F.col("sfreq") != fs, F.concat(F.lit("bad_fs:"), F.col("sfreq").cast("string")))
@@ -117,14 +118,14 @@ def usable(headers: DataFrame, required: list[str], fs: float = 256.0) -> DataFr
     return headers.select("file", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def resolve_channels(available: Column, required: list[str], aliases: dict[str, str] | None = None) -> Column:
-    """For each required channel the name it has among ``available``: its own, its alias, or with ``-0``; else null."""
-    aliases = aliases or {}
+def names_of(channel: str, aliases: dict[str, list[str]] | None = None) -> list[str]:
+    """The names under which a recording may have a channel, the preferred one first: its own, its aliases, and its own with ``-0`` (the first of duplicates)."""
+    return list(dict.fromkeys([channel, *(aliases or {}).get(channel, []), f"{channel}-0"]))
 
-    def one(c: str) -> Column:
-        tries = [c, *([aliases[c]] if c in aliases else []), f"{c}-0"]
-        return F.coalesce(*[F.when(F.array_contains(available, t), F.lit(t)) for t in tries])
 
+def resolve_channels(available: Column, required: list[str], aliases: dict[str, list[str]] | None = None) -> Column:
+    """For each required channel the name it has among ``available``, else null."""
+    one = lambda c: F.coalesce(*[F.when(F.array_contains(available, t), F.lit(t)) for t in names_of(c, aliases)])
     return F.array(*[one(c) for c in required])
 
 

@@ -33,8 +33,8 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return (last - (counts - 1) / 2)[inverse]
 
 
-def wilcoxon(a, b, alternative: str = "two-sided") -> dict:
-    """Signed-rank test of pairs; the distribution is exact by counting subsets of the doubled ranks, with ties too."""
+def wilcoxon(a, b, alternative: str = "two-sided", exact: int = EXACT) -> dict:
+    """Signed-rank test of pairs: exact by the distribution of the doubled ranks' sum, with ties too; above ``exact`` pairs in the normal form with the correction for ties."""
     if alternative not in ("two-sided", "greater", "less"):
         raise ValueError(f"unknown alternative {alternative}")
     a, b = np.asarray(a, float), np.asarray(b, float)
@@ -45,14 +45,19 @@ def wilcoxon(a, b, alternative: str = "two-sided") -> dict:
     if not n:
         return out | {"statistic": None, "p_value": 1.0}
     ranks = np.rint(2 * average_ranks(np.abs(nonzero))).astype(int)
-    total = int(ranks.sum())
-    ways = np.zeros(total + 1)
-    ways[0] = 1.0
-    for r in ranks:
-        ways[r:] = ways[r:] + ways[: total + 1 - r]
-    ways /= ways.sum()
-    up = int(ranks[nonzero > 0].sum())
-    greater, less = float(ways[up:].sum()), float(ways[: up + 1].sum())
+    total, up = int(ranks.sum()), int(ranks[nonzero > 0].sum())
+    if n <= exact:
+        chance = np.zeros(total + 1)  # that the doubled ranks of the positive pairs add up to so much
+        chance[0], upto = 1.0, 0
+        for r in ranks:
+            chance[: upto + 1] /= 2
+            chance[r : upto + r + 1] += chance[: upto + 1].copy()
+            upto += r
+        greater, less = min(1.0, float(chance[up:].sum())), min(1.0, float(chance[: up + 1].sum()))
+    else:
+        spread = math.sqrt(float((ranks.astype(float) ** 2).sum()))  # of positive minus negative doubled ranks; tied ranks make it smaller
+        z = (2 * up - total) / spread
+        greater, less = math.erfc(z / math.sqrt(2)) / 2, math.erfc(-z / math.sqrt(2)) / 2
     p = {"two-sided": min(1.0, 2 * min(greater, less)), "greater": greater, "less": less}[alternative]
     statistic = min(up, total - up) / 2 if alternative == "two-sided" else up / 2
     return out | {"statistic": statistic, "p_value": p}

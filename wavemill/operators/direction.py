@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept, running
 from .metrics import auc
 
 
@@ -19,11 +20,30 @@ def feature_auc(long: DataFrame, min_ictal: int = 30) -> DataFrame:
     return auc(filled, ["patient", "feature"], "label", "value")
 
 
+def consensus(aucs: DataFrame) -> DataFrame:
+    """(patient, feature, auc, consensus, n_others): the median of the other patients' AUCs.
+
+    It follows from a patient's rank within the feature and the middle order
+    statistics, so patients never meet in pairs, and a feature with many of them
+    is ranked over range partitions.
+    """
+    ranked = kept(running(aucs.where("auc is not null").select("patient", "feature", "auc"), ["feature"], ["auc"], {}, "_i"))
+    sizes = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    middle = F.floor(F.col("_n") / 2)
+    at = lambda k: F.max(F.when(F.col("_i") == middle + k, F.col("auc")))
+    mids = ranked.join(sizes, "feature").where(F.abs(F.col("_i") - middle) <= 1).groupBy("feature").agg(F.first("_n").alias("_n"), at(-1).alias("_l"), at(0).alias("_m"), at(1).alias("_r"))
+    mean = lambda a, b: (F.col(a) + F.col(b)) / 2
+    odd = F.when(F.col("_i") < middle, mean("_m", "_r")).when(F.col("_i") == middle, mean("_l", "_r")).otherwise(mean("_l", "_m"))
+    of_others = F.when(F.col("_n") % 2 == 1, odd).when(F.col("_i") < middle, F.col("_m")).otherwise(F.col("_l"))
+    own = ranked.join(mids, "feature").select("patient", "feature", "auc", of_others.alias("consensus"), (F.col("_n") - 1).alias("n_others"))
+    of_all = F.when(F.col("_n") % 2 == 1, F.col("_m")).otherwise(mean("_l", "_m"))
+    none = aucs.where("auc is null").join(mids, "feature", "left").select("patient", "feature", "auc", of_all.alias("consensus"), F.coalesce("_n", F.lit(0)).alias("n_others"))
+    return own.unionByName(none)
+
+
 def summary(aucs: DataFrame, strong: float = 0.10) -> DataFrame:
     """Per patient: mean |AUC - 0.5|, features that are strong in the median of all other patients, and the share of these with the patient's direction."""
-    mine, others = aucs.alias("p"), aucs.alias("o")
-    rest = mine.join(others, (F.col("p.feature") == F.col("o.feature")) & (F.col("p.patient") != F.col("o.patient")), "left")
-    per = rest.groupBy(F.col("p.patient").alias("patient"), F.col("p.feature").alias("feature")).agg(F.first("p.auc").alias("auc"), F.median("o.auc").alias("consensus"), F.count("o.auc").alias("n_others"))
+    per = consensus(aucs)
     strong_one = (F.col("n_others") >= 2) & (F.abs(F.col("consensus") - 0.5) >= strong)
     agrees = F.signum(F.col("auc") - 0.5) == F.signum(F.col("consensus") - 0.5)
     return per.groupBy("patient").agg(

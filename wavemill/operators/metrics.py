@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import running
+
 METRICS = ["sensitivity", "specificity", "f1", "auc", "fa_per_hour"]
 
 
-def auc(rows: DataFrame, keys: list[str], label: str, score: str, name: str = "auc") -> DataFrame:
+def auc(rows: DataFrame, keys: list[str], label: str, score: str, name: str = "auc", spread: bool = False) -> DataFrame:
     """Exact area under the ROC curve per group: ties take the average rank. Null if a class is missing.
 
-    Scores are first counted per distinct value, which is all that ranks need.
+    Scores are first counted per distinct value, which is all that ranks need. With
+    ``spread`` the values of a group are ranked over range partitions, for few
+    groups with many values; without it each group is sorted in one task.
     """
     values = rows.groupBy(*keys, F.col(score).alias("_v")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("_rank", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2)
+    if spread:
+        ranked = running(values, keys, ["_v"], {"_upto": "_n"}, "_pos")
+    else:
+        ranked = values.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_rank")).alias("_r"), F.sum("_p").alias("_np"), F.sum(F.col("_n") - F.col("_p")).alias("_nn"))
     return sums.select(*keys, F.try_divide(F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2, (F.col("_np") * F.col("_nn")).cast("double")).alias(name))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import running
+
 
 def allocation(counts: DataFrame, target: Column, floor: int = 0) -> DataFrame:
     """From (patient, n) to (patient, n, alloc): shares of ``target`` rounded down, at least ``floor``, the rest by largest fraction (ties by patient).
@@ -56,10 +58,8 @@ def training(rows: DataFrame, seed: int, keys: list[str], ratio: float = 5, most
     return ictal.unionByName(rest)
 
 
-def permuted_labels(rows: DataFrame, seed: int, keys: list[str], buckets: int = 256) -> DataFrame:
-    """Labels dealt anew among the rows of a hash bucket: the same labels, at other rows."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    spots = rows.withColumn("_b", bucket).withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(seeded(seed, keys), *keys)))
-    given = rows.select(bucket.alias("_b"), F.col("label").alias("_label"), seeded(seed + 1, keys).alias("_h"), *[F.col(k).alias(f"_k_{k}") for k in keys])
-    given = given.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *[f"_k_{k}" for k in keys]))).select("_b", "_rn", "_label")
-    return spots.join(given, ["_b", "_rn"]).withColumn("label", F.col("_label")).select(*rows.columns)
+def permuted_labels(rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """Labels dealt anew among all rows: two seeded orders are ranked by range, and equal ranks meet."""
+    spots = running(rows.withColumn("_h", seeded(seed, keys)), [], ["_h"], {}, "_rn")
+    given = running(rows.select(seeded(seed + 1, keys).alias("_h"), F.col("label").alias("_label")), [], ["_h"], {}, "_rn").select("_rn", "_label")
+    return spots.join(given, "_rn").withColumn("label", F.col("_label")).select(*rows.columns)

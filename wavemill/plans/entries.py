@@ -33,8 +33,12 @@ def _check_patients(spark: SparkSession, known: DataFrame, patients: list[str] |
 
 
 def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None, mapping: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
-    """Annotations and the index of recordings with the chosen cohort; recordings whose header cannot be used are replaced by others."""
+    """Annotations and the index of recordings with the chosen cohort; recordings whose header cannot be used are replaced by others.
+
+    ``mapping`` says which cases are other patients'; without it the settings do.
+    """
     edf.register(spark)
+    mapping = cfg["dataset"].get("patient_map") if mapping is None else mapping
     fs, cap = float(cfg["dataset"]["fs"]), float(cfg["dataset"]["max_seizure_free_hours_per_patient"])
     parsed = annotations.blocks(annotations.read_texts(spark, f"{root}/raw"))
     if strict:
@@ -42,7 +46,7 @@ def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None
     notes = annotations.build(parsed, mapping)
     notes.write.mode("overwrite").parquet(f"{root}/tables/annotations")
     headers = spark.read.format("edf").option("mode", "header").load(f"{root}/raw")
-    usable = cohort.usable(headers, cfg["dataset"]["channels"], fs)
+    usable = cohort.usable(headers, cfg["dataset"]["channels"], fs, config.aliases(cfg))
     whole = cohort.file_index(tables.read_records(spark, f"{root}/raw/RECORDS"), notes, annotations.durations(parsed), headers.where("error is null"), fs, mapping)
     _check_patients(spark, whole, patients)
     check = lambda chosen: chosen.join(usable.where("not ok"), "file").select("file", "reason")
@@ -59,7 +63,7 @@ def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] |
     chosen = spark.read.parquet(f"{root}/tables/index").where("include")
     _check_patients(spark, chosen, patients)
     chosen = _only(chosen, patients).select("case", "file")
-    raw = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(cfg["dataset"]["channels"])).load(f"{root}/raw").join(F.broadcast(chosen), ["case", "file"], "left_semi")
+    raw = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(cfg["dataset"]["channels"])).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others)).load(f"{root}/raw").join(F.broadcast(chosen), ["case", "file"], "left_semi")
     # filtering both ways needs the whole channel of a recording: its stretches are put together in one row
     stretches = F.array_sort(F.collect_list(F.struct("chunk_idx", "samples")))
     channels = raw.groupBy("case", "file", "channel").agg(F.flatten(F.transform(stretches, lambda s: s["samples"])).alias("samples"))
@@ -134,11 +138,14 @@ def baseline(spark: SparkSession, root: str, cfg: dict, arms: list[str] = ("raw"
     window_s, overlap = float(cfg["segmentation"]["window_s"]), float(cfg["segmentation"]["overlap"])
     n = calibration.calibration_length(cfg["evaluation"]["calibration"]["minutes"], window_s, overlap)
     seed = int(cfg["project"]["seed"])
+    if grids is None and cfg["evaluation"]["tuning"]["mode"] == "nested":
+        grids = cfg["evaluation"]["grids"]
+    splits = int(cfg["evaluation"]["tuning"]["inner_splits"])
     for arm in arms:
         table = calibration.arm(rows, names, arm, n, int(cfg["evaluation"]["calibration"]["min_windows"]))
         held = loso.held_out(table, most_patients or 1_000_000)
         for kind in models:
-            pred = loso.predict(table, names, kind, held, seed, grid=(grids or {}).get(kind))
+            pred = loso.predict(table, names, kind, held, seed, grid=(grids or {}).get(kind), splits=splits)
             leakage.require_none(leakage.scored_calibration(pred, table.where("is_calibration")), "scored calibration windows")
             tables.write_predictions(pred.withColumns({"arm": F.lit(arm), "model": F.lit(kind)}), f"{root}/predictions")
     return metrics.window_metrics(spark.read.parquet(f"{root}/predictions"), ["arm", "model", "patient"], window_s * (1 - overlap))

@@ -90,7 +90,7 @@ def tuned(pipeline: Pipeline, rows: DataFrame, grid: dict[str, list], splits: in
     return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=splits, foldCol="fold").fit(folds(rows, splits)).bestModel
 
 
-def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: int = 0, shuffle: bool = False, grid: dict[str, list] | None = None, **options) -> DataFrame:
+def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: int = 0, shuffle: bool = False, grid: dict[str, list] | None = None, splits: int = 3, **options) -> DataFrame:
     """Predictions for each held-out patient by a model of all others; calibration windows are neither trained on nor scored."""
     out = []
     for i, patient in enumerate(held):
@@ -100,9 +100,9 @@ def predict(rows: DataFrame, features: list[str], kind: str, held: list, seed: i
         leakage.require_none(leakage.shared_patients(train, test), "patients in training and test")
         train = sampling.training(train, seed + i, KEYS)
         if shuffle:
-            train = sampling.permuted_labels(train, seed + i, KEYS, buckets=4)
+            train = sampling.permuted_labels(train, seed + i, KEYS)
         pipeline = model(kind, features, seed=seed + i, **options)
-        fitted = tuned(pipeline, weighted(train), grid) if grid else pipeline.fit(weighted(train))
+        fitted = tuned(pipeline, weighted(train), grid, splits) if grid else pipeline.fit(weighted(train))
         scored = fitted.transform(test)
         score = vector_to_array("probability")[1] if kind == "rf" else vector_to_array("rawPrediction")[1]
         out.append(scored.select("patient", *KEYS, F.col("label").cast("int").alias("y_true"), score.alias("y_score"), F.col("prediction").cast("int").alias("y_pred")))
@@ -116,9 +116,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return rows, names
 
 
-def held_out(rows: DataFrame, most: int) -> list:
-    """The first patients in order."""
-    return [r[0] for r in rows.select("patient").distinct().orderBy("patient").limit(most).collect()]
+def held_out(rows: DataFrame, most: int, seed: int | None = None) -> list:
+    """The first patients in order, or with a seed those first in a pseudo-random order."""
+    order = ["patient"] if seed is None else [sampling.seeded(seed, ["patient"]), "patient"]
+    return [r[0] for r in rows.select("patient").distinct().orderBy(*order).limit(most).collect()]
 
 
 def evaluate(table: tuple[DataFrame, list[str]], kind: str, patients: int = 1_000_000, seed: int = 0, **options) -> DataFrame:
@@ -130,6 +131,6 @@ def evaluate(table: tuple[DataFrame, list[str]], kind: str, patients: int = 1_00
 def shuffle_check(table: tuple[DataFrame, list[str]], kind: str, patients: int = 3, seed: int = 0, band: tuple[float, float] = (0.35, 0.65), **options) -> DataFrame:
     """AUC per patient with permuted training labels, and whether their mean is near chance."""
     rows, names = table
-    got = metrics.auc(predict(rows, names, kind, held_out(rows, patients), seed, shuffle=True, **options), ["patient"], "y_true", "y_score")
+    got = metrics.auc(predict(rows, names, kind, held_out(rows, patients, seed), seed, shuffle=True, **options), ["patient"], "y_true", "y_score")
     mean = got.agg(F.avg("auc").alias("mean_auc"))
     return got.crossJoin(F.broadcast(mean)).withColumn("passes", F.col("mean_auc").between(*band))

@@ -93,7 +93,7 @@ def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
 def roc_auc_tied(spark: SparkSession, sf: str) -> DataFrame:
     """AUC of scores that tie: values in steps of 25."""
     pred = predictions(spark, sf).withColumn("y_score", F.floor(F.col("y_score") / 25))
-    return rounded(metrics.auc(pred.withColumn("y_third", (F.col("patient") % 3 == 0).cast("int")), ["kind"], "y_third", "y_score"), "auc")
+    return rounded(metrics.auc(pred.withColumn("y_third", (F.col("patient") % 3 == 0).cast("int")), ["kind"], "y_third", "y_score", spread=True), "auc")
 
 
 # windows --------------------------------------------------------------------

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.cohort import names_of
+
 HEADER = "file string, case string, n_samples long, duration_s double, sfreq double, ch_names array<string>, error string"
 SIGNAL = "case string, file string, channel string, chunk_idx int, start_sample long, samples array<float>"
 
@@ -64,11 +66,11 @@ def read_header(path: str) -> Header:
     return Header(names, int(fixed[236:244]), float(fixed[244:252]), samples, low * scale, (high - low) / span * scale, digital_low, 256 * (n + 1))
 
 
-def resolve(names: list[str], wanted: list[str], aliases: dict[str, str]) -> list[int]:
-    """Where each wanted channel is: by name, alias, or name with ``-0`` (the first of duplicates)."""
+def resolve(names: list[str], wanted: list[str], aliases: dict[str, list[str]]) -> list[int]:
+    """Where each wanted channel is, by the names it may have."""
     out = []
     for c in wanted:
-        found = next((names.index(t) for t in (c, aliases.get(c), f"{c}-0") if t in names), None)
+        found = next((names.index(t) for t in names_of(c, aliases) if t in names), None)
         if found is None:
             raise ValueError(f"Missing channel: {c}")
         out.append(found)
@@ -100,7 +102,9 @@ class EdfReader(DataSourceReader):
         self.header_only = header_only
         self.skip = options.get("unusable", "error") == "skip"
         self.wanted = [c for c in options.get("channels", "").split(",") if c]
-        self.aliases = dict(p.split("=", 1) for p in options.get("aliases", "").split(",") if p)
+        self.aliases: dict[str, list[str]] = {}
+        for channel, other in (p.split("=", 1) for p in options.get("aliases", "").split(",") if p):
+            self.aliases.setdefault(channel, []).append(other)
 
     def files(self) -> list[str]:
         path = self.options["path"].removeprefix("file://")
