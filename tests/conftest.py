@@ -8,6 +8,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 from wavemill import session  # noqa: E402
+from wavemill.shared import clear  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,4 +22,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()

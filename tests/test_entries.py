@@ -1,3 +1,5 @@
+import shutil
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def tree(root, cfg, cases=("p1", "p2"), other_names=None):
             if seizure:
                 x[:, fs * 12 : fs * 26] += 120 * np.sin(2 * np.pi * 3 * np.arange(fs * 14) / fs)
             file = f"{case}_{i + 1:02d}.edf"
-            edf.write(str(root / "raw" / case / file), names if not (case == cases[1] and i == 2) else ["X", *names[1:]], x, fs)
+            edf.write(str(root / "raw" / case / file), names if not ((case,) == cases[1:2] and i == 2) else ["X", *names[1:]], x, fs)
             records.append(f"{case}/{file}")
             text += f"File Name: {file}\nFile Start Time: 10:0{i}:00\nFile End Time: 10:0{i}:40\nNumber of Seizures in File: {int(seizure)}\n"
             text += "Seizure Start Time: 12 seconds\nSeizure End Time: 26 seconds\n" if seizure else ""
@@ -60,3 +62,23 @@ def test_patient_map_and_channel_aliases_of_the_settings(spark, tmp_path):
     assert {r["patient"] for r in spark.read.parquet(f"{tmp_path}/tables/annotations").collect()} == {"chb01"}
     assert entries.preprocess(spark, str(tmp_path), cfg).where("status = 'success'").count() == 5
     assert {r["channel"] for r in spark.read.parquet(f"{tmp_path}/signals").select("channel").distinct().collect()} == set(config.CHANNELS)
+
+
+def test_later_runs_go_on_where_earlier_ones_ended(spark, tmp_path):
+    cfg = config.load(overrides={"dataset": {"fs": 64}, "filter": {"high": 28.0, "notch": 30.0}})
+    root = str(tmp_path)
+    tree(tmp_path, cfg, ("p1",))
+    entries.index(spark, root, cfg)
+    statuses = lambda log: [r["status"] for r in log.orderBy("file").collect()]
+    assert statuses(entries.preprocess(spark, root, cfg)) == ["success"] * 3
+    shutil.rmtree(tmp_path / "signals/case=p1/file=p1_02.edf")
+    assert statuses(entries.preprocess(spark, root, cfg)) == ["skipped_existing", "success", "skipped_existing"]
+    adapt = lambda **o: entries.adapt(spark, root, cfg, "nlms", {"length": 4}, warm_start_s=5.0, **o)
+    assert statuses(adapt()) == ["success"] * 3
+    path = "adaptive/nlms_L4_mu0.005_ws5"
+    table = lambda: [(r["file"], r["channel"], r["samples"]) for r in spark.read.parquet(f"{root}/{path}").orderBy("file", "channel").collect()]
+    whole = table()
+    assert statuses(adapt()) == ["skipped_existing"] * 3 and table() == whole
+    shutil.rmtree(tmp_path / path / "case=p1/file=p1_02.edf")
+    assert statuses(adapt()) == ["skipped_existing", "success", "recomputed_downstream"] and table() == whole
+    assert statuses(adapt(overwrite=True)) == ["success"] * 3 and table() == whole

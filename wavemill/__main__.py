@@ -21,6 +21,7 @@ def main() -> None:
     p.add_argument("--warm-start-s", type=float)
     p.add_argument("--arms", default="raw,subject_standardised")
     p.add_argument("--models", default="svm,rf")
+    p.add_argument("--overwrite", action="store_true", help="do not skip what an earlier run has written")
     p.add_argument("--max-patients", type=int)
     p.add_argument("--tuning", choices=["nested", "fixed"], help="whether baseline chooses from the grids of the settings on inner folds of patients")
     p.add_argument("--min-consecutive", type=int, default=1)
@@ -36,10 +37,10 @@ def main() -> None:
     if a.entry == "index":
         shown = [entries.cohort.summary(entries.index(spark, a.root, cfg, patients), float(cfg["dataset"]["fs"]))]
     elif a.entry == "preprocess":
-        shown = [entries.preprocess(spark, a.root, cfg, patients).groupBy("status").count()]
+        shown = [entries.preprocess(spark, a.root, cfg, patients, a.overwrite).groupBy("status").count()]
     elif a.entry == "adapt":
         params = {k: ast.literal_eval(v) for k, v in (x.split("=", 1) for x in a.param)}
-        shown = [entries.adapt(spark, a.root, cfg, a.method, params, a.warm_start_s, patients).groupBy("status").count()]
+        shown = [entries.adapt(spark, a.root, cfg, a.method, params, a.warm_start_s, patients, a.overwrite).groupBy("status").count()]
     elif a.entry == "windows":
         shown = [entries.make_windows(spark, a.root, cfg, patients)]
     elif a.entry == "features":

@@ -105,7 +105,7 @@ def settle(method: str, state: dict[str, np.ndarray]) -> None:
 
 
 STATE = "weights array<double>, history array<double>, p array<double>, tracker array<double>"
-_PARTS = ("weights", "history", "p", "tracker")
+PARTS = ("weights", "history", "p", "tracker")
 
 
 def run(signals: DataFrame, method: str, params: dict | None = None, fs: float = 256.0, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx"), initial: DataFrame | None = None) -> DataFrame:
@@ -125,12 +125,12 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
     cols = ["case", "channel", "file", *order]
     rows = signals.select(*cols, "samples")
     if initial is not None:
-        own = initial.where(F.col("setting") == tag(method, params, warm_start_s)).select("case", "channel", *_PARTS)
+        own = initial.where(F.col("setting") == tag(method, params, warm_start_s)).select("case", "channel", *PARTS)
         rows = rows.join(own, ["case", "channel"], "left")
     else:
-        rows = rows.select("*", *[F.lit(None).cast("array<double>").alias(k) for k in _PARTS])
+        rows = rows.select("*", *[F.lit(None).cast("array<double>").alias(k) for k in PARTS])
     sort = ["case", *order, "file", "channel"]
-    rows = rows.select(*cols, "samples", *_PARTS).repartition("case").sortWithinPartitions(*sort)
+    rows = rows.select(*cols, "samples", *PARTS).repartition("case").sortWithinPartitions(*sort)
     kinds = dict(rows.dtypes)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +149,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
 
         def filtered(of: list) -> None:
             nonlocal broken
-            nothing = [None] * len(_PARTS)
+            nothing = [None] * len(PARTS)
             if broken:
                 out.extend([*[getattr(r, c) for c in cols], None, "not_run", None, None, None, *nothing] for r in of)
                 return
@@ -162,7 +162,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
                 return
             rms = lambda v: float(np.sqrt(np.mean(np.square(v, dtype=float)))) if len(v) else None
             for i, r in enumerate(of):
-                own = [state[k][i].reshape(-1).copy() if k in state else None for k in _PARTS]
+                own = [state[k][i].reshape(-1).copy() if k in state else None for k in PARTS]
                 out.append([*[getattr(r, c) for c in cols], y[i], "success", rms(x[i]), rms(y[i]), None, *own])
 
         def begin() -> None:
@@ -206,7 +206,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
                 begin()
 
         def frame() -> pd.DataFrame:
-            df = pd.DataFrame(out, columns=[*cols, "samples", "status", "rms_in", "rms_out", "error", *_PARTS])
+            df = pd.DataFrame(out, columns=[*cols, "samples", "status", "rms_in", "rms_out", "error", *PARTS])
             out.clear()
             return df
 
@@ -228,8 +228,8 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
 
 def states(filtered: DataFrame, method: str, params: dict | None = None, warm_start_s: float = WARM_START_S, order: tuple[str, ...] = ("file_order", "chunk_idx")) -> DataFrame:
     """The last state of each (case, channel) with the name of its setting: what a later run can go on from. Cases that failed have none."""
-    last = filtered.groupBy("case", "channel").agg(F.max_by(F.struct("status", *_PARTS), F.struct(*order)).alias("s"))
-    return last.where("s.status = 'success'").select("case", "channel", F.lit(tag(method, params, warm_start_s)).alias("setting"), *[F.col(f"s.{k}") for k in _PARTS])
+    last = filtered.groupBy("case", "channel").agg(F.max_by(F.struct("status", *PARTS), F.struct(*order)).alias("s"))
+    return last.where("s.status = 'success'").select("case", "channel", F.lit(tag(method, params, warm_start_s)).alias("setting"), *[F.col(f"s.{k}") for k in PARTS])
 
 
 def tracked(z: Column, q_over_r: float, r: float = 1.0) -> Column:

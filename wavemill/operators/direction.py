@@ -58,7 +58,7 @@ def strongest(aucs: DataFrame, top: int, flipped: str | None = None) -> DataFram
     rows = aucs.groupBy("feature").agg(F.median("auc").alias("consensus"), *([F.max(F.when(F.col("patient") == flipped, F.col("auc"))).alias("focus")] if flipped is not None else []))
     if flipped is not None:
         rows = rows.withColumn("flipped", F.signum(F.col("focus") - 0.5) == -F.signum(F.col("consensus") - 0.5))
-    return rows.orderBy(F.desc(F.abs(F.col("consensus") - 0.5)), "feature").limit(top)
+    return rows.orderBy(F.desc(F.round(F.abs(F.col("consensus") - 0.5), 9)), "feature").limit(top)
 
 
 def wide(aucs: DataFrame) -> DataFrame:

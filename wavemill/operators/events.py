@@ -1,8 +1,9 @@
 """Runs, alarms and event-level results of window predictions.
 
-All of it is analytic windows within a recording, one left range join of seizures with
-alarms of their recording, and groupings; the refractory rule, which depends on
-the last accepted alarm, is a fold over a recording's alarms in the JVM.
+All of it happens within a recording: windows find runs, and arrays of a recording's
+runs become its alarms and seizures, so predictions are shuffled once. The refractory
+rule, which depends on the last accepted alarm, is a fold over a recording's alarms
+in the JVM.
 """
 
 from __future__ import annotations
@@ -33,18 +34,23 @@ def merged_alarms(found: DataFrame, keys: list[str], window: int, step: int, min
     return rows.groupBy(*keys, "_alarm").agg((F.min("_at") + window).alias("raise_sample"), (F.max("last") + window).alias("end_sample")).drop("_alarm")
 
 
-def refractory_alarms(alarms: DataFrame, keys: list[str], refractory: int) -> DataFrame:
-    """Drop alarms raised less than ``refractory`` samples after the last accepted one of their recording."""
-    if refractory <= 0:
-        return alarms
-    listed = alarms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("raise_sample", "end_sample"))).alias("_a"))
+def _rested(alarms: Column, refractory: int) -> Column:
+    """Of a recording's alarms in order, those raised at least ``refractory`` samples after the last accepted one."""
     first = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<raise_sample:bigint,end_sample:bigint>>").alias("ok"))
 
     def accept(acc: Column, a: Column) -> Column:
         late = acc["last"].isNull() | (a["raise_sample"] - acc["last"] >= refractory)
         return F.when(late, F.struct(a["raise_sample"].alias("last"), F.concat(acc["ok"], F.array(a)).alias("ok"))).otherwise(acc)
 
-    kept = listed.select(*keys, F.explode(F.aggregate("_a", first, accept)["ok"]).alias("_k"))
+    return F.aggregate(alarms, first, accept)["ok"]
+
+
+def refractory_alarms(alarms: DataFrame, keys: list[str], refractory: int) -> DataFrame:
+    """Drop alarms raised less than ``refractory`` samples after the last accepted one of their recording."""
+    if refractory <= 0:
+        return alarms
+    listed = alarms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("raise_sample", "end_sample"))).alias("_a"))
+    kept = listed.select(*keys, F.explode(_rested(F.col("_a"), refractory)).alias("_k"))
     return kept.select(*keys, "_k.raise_sample", "_k.end_sample")
 
 
@@ -59,27 +65,55 @@ def validate(pred: DataFrame, step_s: float, min_consecutive: int, refractory_s:
         raise ValueError("predictions repeat a window")
 
 
+def by_recording(pred: DataFrame, keys: list[str], window: int, step: int, min_consecutive: int = 1, merge_gap: int | None = None, refractory: int = 0) -> DataFrame:
+    """A row per recording: keys, n_windows, its alarms (raise_sample, end_sample, in_seizure) and its seizures (onset_sample, end_sample, alarm_raise_sample), in order."""
+    gap = step if merge_gap is None else max(step, merge_gap)
+    line = Window.partitionBy(*keys).orderBy("_s")
+    flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    rows = pred.select(*keys, F.col("start_sample").alias("_s"), flag("y_true").alias("_t"), flag("y_pred").alias("_p"))
+    beside = {f"{way}{c}": f(c, 1, False).over(line) for c in ("_t", "_p") for way, f in (("_was", F.lag), ("_is", F.lead))} | {"_was_s": F.lag("_s").over(line), "_is_s": F.lead("_s").over(line)}
+    rows = rows.withColumns(beside)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    new = lambda c: F.col(c) & ~(F.col(f"_was{c}") & F.coalesce(F.col("_s") - F.col("_was_s") == step, F.lit(False)))
+    last = lambda c: F.col(c) & ~(F.col(f"_is{c}") & F.coalesce(F.col("_is_s") - F.col("_s") == step, F.lit(False)))
+    rows = rows.withColumns({f"_begin{c}": F.max(F.when(new(c), F.col("_s"))).over(upto) for c in ("_t", "_p")})
+    run = lambda c: F.array_sort(F.collect_list(F.when(last(c), F.struct(F.col(f"_begin{c}").alias("first"), F.col("_s").alias("last")))))
+    rows = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), run("_t").alias("_true"), run("_p").alias("_positive"))
+    enough = F.filter("_positive", lambda r: r["last"] - r["first"] >= (min_consecutive - 1) * step)
+    rows = rows.withColumn("_runs", F.transform(enough, lambda r: F.struct((r["first"] + (min_consecutive - 1) * step).alias("at"), r["last"].alias("last"))))
+    apart = F.transform("_runs", lambda r, i: F.when((i == 0) | (r["at"] - F.get(F.col("_runs"), i - 1)["last"] > gap), i))
+    rows = rows.withColumn("_firsts", F.filter(apart, lambda i: i.isNotNull()))
+    until = lambda j: F.coalesce(F.get(F.col("_firsts"), j + 1), F.size("_runs")) - 1
+    rows = rows.withColumn("_alarms", F.transform("_firsts", lambda i, j: F.struct((F.get(F.col("_runs"), i)["at"] + window).alias("raise_sample"), (F.get(F.col("_runs"), until(j))["last"] + window).alias("end_sample"))))
+    if refractory > 0:
+        rows = rows.withColumn("_alarms", _rested(F.col("_alarms"), refractory))
+    seizures = F.transform("_true", lambda r: F.struct(r["first"].alias("onset_sample"), (r["last"] + window).alias("end_sample")))
+    rows = rows.withColumn("_seizures", seizures)
+    within = lambda a, s: a["raise_sample"].between(s["onset_sample"], s["end_sample"])
+    alarms = F.transform("_alarms", lambda a: F.struct(a["raise_sample"].alias("raise_sample"), a["end_sample"].alias("end_sample"), F.exists("_seizures", lambda s: within(a, s)).alias("in_seizure")))
+    first_alarm = lambda s: F.array_min(F.transform(F.filter("_alarms", lambda a: within(a, s)), lambda a: a["raise_sample"]))
+    seizures = F.transform("_seizures", lambda s: F.struct(s["onset_sample"].alias("onset_sample"), s["end_sample"].alias("end_sample"), first_alarm(s).alias("alarm_raise_sample")))
+    return rows.select(*keys, "n_windows", alarms.alias("alarms"), seizures.alias("seizures"))
+
+
 def tables(pred: DataFrame, by: list[str], fs: float, window_s: float, step_s: float, min_consecutive: int = 1, merge_gap_s: float | None = None, refractory_s: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Summary per ``by``, seizures, and alarms. Undefined rates and latencies are null."""
-    window, step = round(window_s * fs), round(step_s * fs)
     keys = [*by, "case", "file"]
     gap = None if merge_gap_s is None else round(merge_gap_s * fs)
-    alarms = merged_alarms(runs(pred, keys, F.col("y_pred") == 1, step), keys, window, step, min_consecutive, gap)
-    alarms = refractory_alarms(alarms, keys, round(refractory_s * fs))
-    seizures = runs(pred, keys, F.col("y_true") == 1, step).select(*keys, F.col("first").alias("onset_sample"), (F.col("last") + window).alias("end_sample"))
-    s, a = seizures.alias("s"), alarms.alias("a")
-    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
-    hit = F.col("a.raise_sample").between(F.col("s.onset_sample"), F.col("s.end_sample"))
-    seen = s.join(a, [*on, hit], "left").groupBy(*[F.col(f"s.{c}").alias(c) for c in seizures.columns]).agg(F.min("a.raise_sample").alias("alarm_raise_sample"))
-    seen = seen.withColumns({"detected": F.col("alarm_raise_sample").isNotNull(), "latency_s": (F.col("alarm_raise_sample") - F.col("onset_sample")) / float(fs)})
-    inside = a.join(s, [*on, hit], "left_semi").select(*keys, "raise_sample", "end_sample").withColumn("in_seizure", F.lit(True))
-    flagged = alarms.join(inside, [*keys, "raise_sample", "end_sample"], "left").withColumn("in_seizure", F.coalesce("in_seizure", F.lit(False)))
-    # three per-group summaries, each already grouped, meet on the group
-    hours = pred.groupBy(*by).agg((F.count(F.lit(1)) * step_s / 3600.0).alias("hours_scored"))
-    of_seizures = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seizures"), F.count_if("detected").alias("n_detected"), F.median("latency_s").alias("median_latency_s"), F.avg("latency_s").alias("mean_latency_s"))
-    of_alarms = flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_alarms"), F.count_if(~F.col("in_seizure")).alias("n_false_alarms"))
-    whole = hours.join(of_seizures, by, "left").join(of_alarms, by, "left").fillna(0, ["n_seizures", "n_detected", "n_alarms", "n_false_alarms"])
-    summary = whole.select(
+    whole = by_recording(pred, keys, round(window_s * fs), round(step_s * fs), min_consecutive, gap, round(refractory_s * fs))
+    seen = whole.select(*keys, F.explode("seizures").alias("s")).select(*keys, "s.*")
+    latency = lambda s: (s["alarm_raise_sample"] - s["onset_sample"]) / float(fs)
+    seen = seen.withColumns({"detected": F.col("alarm_raise_sample").isNotNull(), "latency_s": latency(seen)})
+    flagged = whole.select(*keys, F.explode("alarms").alias("a")).select(*keys, "a.*")
+    # a row per detected seizure, or one for a recording without any; counts are in the first
+    found = F.filter("seizures", lambda s: s["alarm_raise_sample"].isNotNull())
+    per = whole.select(*by, "n_windows", F.size("seizures").alias("_s"), F.size(found).alias("_d"), F.size("alarms").alias("_a"), F.size(F.filter("alarms", lambda a: ~a["in_seizure"])).alias("_f"), F.posexplode_outer(F.transform(found, latency)).alias("_i", "_latency"))
+    once = lambda c: F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col(c)).otherwise(0)).cast("long")
+    sums = per.groupBy(*by).agg(
+        once("_s").alias("n_seizures"), once("_d").alias("n_detected"), once("_a").alias("n_alarms"), once("_f").alias("n_false_alarms"),
+        (once("n_windows") * step_s / 3600.0).alias("hours_scored"), F.median("_latency").alias("median_latency_s"), F.avg("_latency").alias("mean_latency_s"),
+    )
+    summary = sums.select(
         *by,
         "n_seizures",
         "n_detected",

@@ -230,5 +230,21 @@ ORACLES: dict[str, str] = {
   SELECT *, round(CASE WHEN n_before > 0 AND power_before > 0 THEN (power_inside / n_inside) / (power_before / n_before) END, 4) AS contrast FROM r""",
 }
 
+ORACLES["strongest_features"] = f"""WITH {AUCS}, m AS (SELECT feature, median(auc) AS consensus, max(auc) FILTER (patient = 3) AS focus FROM aucs GROUP BY feature)
+  SELECT CAST(feature AS INT) AS feature, round(consensus, 6) AS consensus, round(focus, 6) AS focus, sign(focus - 0.5) = -sign(consensus - 0.5) AS flipped FROM m ORDER BY round(abs(consensus - 0.5), 9) DESC, m.feature LIMIT 12"""
+
+
+def allocated(counts: str, target: str, base: str) -> str:
+    return f"(WITH counts AS ({counts}), {ALLOCATION.format(target=target, base=base)} SELECT patient, alloc AS n FROM alloc)"
+
+
+_SHARE = "floor(n / t * g)"
+_WANTED = "(SELECT least(n_ictal, n_other) FROM sizes)"
+ORACLES["train_sample_capped"] = f"""WITH {PRED}, sizes AS (SELECT count(*) FILTER (y_true = 1) AS n_ictal, count(*) FILTER (y_true = 0) AS n_other FROM preds),
+scale AS (SELECT CASE WHEN n_ictal + least(n_ictal, n_other) > 1000 THEN 1000 / (n_ictal + least(n_ictal, n_other)) ELSE 1 END AS k FROM sizes),
+other AS (SELECT * FROM {allocated('SELECT patient, count(*) AS n FROM preds WHERE y_true = 0 GROUP BY patient', _WANTED, _SHARE)} WHERE n > 0)
+SELECT patient, 1 AS label, n FROM {allocated('SELECT patient, count(*) AS n FROM preds WHERE y_true = 1 GROUP BY patient', '(SELECT greatest(1, round_even(n_ictal * k, 0)) FROM sizes, scale)', f'greatest({_SHARE}, least(1, n))')} WHERE n > 0
+UNION ALL SELECT patient, 0, n FROM {allocated('SELECT patient, n FROM other', f'(SELECT round_even({_WANTED} * k, 0) FROM scale)', _SHARE)} WHERE n > 0"""
+
 ORACLES["stream_kalman"] = ORACLES["kalman_gain"]
 ORACLES["stream_alarms"] = event_tables(2, 1024, 4096) + " SELECT file, raise_sample FROM alarms"

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config, schemas
@@ -18,6 +18,7 @@ from ..functions import adaptive as adaptive_filters
 from ..functions import features as feature_table
 from ..functions import filters
 from ..operators import calibration, cohort, compare, direction, events, leakage, metrics, windows
+from ..shared import kept
 from ..sources import annotations, edf, tables
 from . import loso
 
@@ -56,23 +57,32 @@ def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None
     return spark.read.parquet(f"{root}/tables/index")
 
 
-def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None) -> DataFrame:
-    """Filtered channels of the included recordings, one row each, and a status row per channel in the log."""
+def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None, overwrite: bool = False) -> DataFrame:
+    """Filtered channels of the included recordings, one row each, and a status row per recording in the log.
+
+    Recordings whose channels were written before, all of them and as long as the index says, are skipped.
+    """
     edf.register(spark)
-    fs = float(cfg["dataset"]["fs"])
+    fs, names = float(cfg["dataset"]["fs"]), cfg["dataset"]["channels"]
+    path = f"{root}/signals"
     chosen = spark.read.parquet(f"{root}/tables/index").where("include")
     _check_patients(spark, chosen, patients)
-    chosen = _only(chosen, patients).select("case", "file")
-    raw = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(cfg["dataset"]["channels"])).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others)).load(f"{root}/raw").join(F.broadcast(chosen), ["case", "file"], "left_semi")
+    chosen = _only(chosen, patients).select("case", "file", "n_samples")
+    old = None if overwrite else tables.written(spark, path)
+    work = kept(chosen if old is None else tables.unwritten(chosen, tables.complete(old, len(names)), ["case", "file"]))
+    source = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(names)).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others))
+    raw = source.load(f"{root}/raw").join(F.broadcast(work.select("case", "file")), ["case", "file"], "left_semi")
     # filtering both ways needs the whole channel of a recording: its stretches are put together in one row
     stretches = F.array_sort(F.collect_list(F.struct("chunk_idx", "samples")))
     channels = raw.groupBy("case", "file", "channel").agg(F.flatten(F.transform(stretches, lambda s: s["samples"])).alias("samples"))
     done = filters.preprocess(channels, fs, cfg["filter"])
-    tables.write_by_case(done.where("status <> 'failed'").select("case", "file", "channel", F.lit(0).alias("chunk_idx"), "samples"), f"{root}/signals")
-    written = spark.read.parquet(f"{root}/signals").join(chosen, ["case", "file"], "left_semi")
-    log = chosen.join(written.groupBy("case", "file").agg(F.max(F.size("samples")).cast("long").alias("n_samples"), F.count_if(F.sqrt(_power(F.col("samples"))) < 1e-6).cast("int").alias("flat_channels")), ["case", "file"], "left")
-    status = F.when(F.col("n_samples").isNull(), "failed").otherwise("success")
-    log = log.select(F.lit(uuid.uuid4().hex[:12]).alias("run_id"), "file", "case", status.alias("status"), "n_samples", (F.col("n_samples") / fs).alias("eeg_seconds"), F.lit(None).cast("double").alias("elapsed_s"), "flat_channels", F.lit(None).cast("string").alias("error"))
+    tables.write_by_case(done.where("status <> 'failed'").select("case", "file", "channel", F.lit(0).alias("chunk_idx"), "samples"), path, ("case", "file"))
+    have = spark.read.parquet(path).join(chosen.select("case", "file"), ["case", "file"], "left_semi")
+    sizes = have.groupBy("case", "file").agg(F.max(F.size("samples")).cast("long").alias("_n"), F.count_if(F.sqrt(_power(F.col("samples"))) < 1e-6).cast("int").alias("flat_channels"))
+    wrong = tables.invalid(have, chosen).groupBy("case", "file").agg(F.min("reason").alias("error"))
+    log = chosen.join(work.select("case", "file", F.lit(True).alias("_new")), ["case", "file"], "left").join(sizes, ["case", "file"], "left").join(wrong, ["case", "file"], "left")
+    status = F.when(F.col("_n").isNull() | F.col("error").isNotNull(), "failed").when(F.col("_new"), "success").otherwise("skipped_existing")
+    log = kept(log.select(F.lit(uuid.uuid4().hex[:12]).alias("run_id"), "file", "case", status.alias("status"), F.col("_n").alias("n_samples"), (F.col("_n") / fs).alias("eeg_seconds"), F.lit(None).cast("double").alias("elapsed_s"), "flat_channels", "error"))
     tables.append_log(log, f"{root}/logs/preprocess")
     return log
 
@@ -83,21 +93,39 @@ def _power(x):
     return F.aggregate(F.transform(F.array(mean), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))), F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
-def adapt(spark: SparkSession, root: str, cfg: dict, method: str | None = None, params: dict | None = None, warm_start_s: float | None = None, patients: list[str] | None = None) -> DataFrame:
-    """Signals through an adaptive filter, in order of each case's recordings; written below the setting's name."""
+def adapt(spark: SparkSession, root: str, cfg: dict, method: str | None = None, params: dict | None = None, warm_start_s: float | None = None, patients: list[str] | None = None, overwrite: bool = False) -> DataFrame:
+    """Signals through an adaptive filter, in order of each case's recordings; written below the setting's name, with the state after each.
+
+    The first recordings of a case that an earlier run has filtered whole are skipped, and the
+    chain goes on from the state after them; all later ones are filtered again, as they depend on those before.
+    """
     method = method or cfg["adaptive"]["method"]
     params = config.method_params(method, params)
     warm = float(cfg["adaptive"]["warm_start_s"] if warm_start_s is None else warm_start_s)
     setting = config.tag(method, params, warm)
-    chosen = _only(spark.read.parquet(f"{root}/tables/index").where("include"), patients).select("patient", "case", "file", cohort.suffix(F.col("file"), 10**9).alias("file_order"))
-    signals = spark.read.parquet(f"{root}/signals").join(chosen, ["case", "file"])
-    out = adaptive_filters.run(signals, method, params, float(cfg["dataset"]["fs"]), warm)
-    tables.write_by_case(out.select("case", "file", "channel", "chunk_idx", "samples", "status", "rms_in", "rms_out", "error"), f"{root}/adaptive/{setting}")
-    done = spark.read.parquet(f"{root}/adaptive/{setting}").join(chosen, ["case", "file"])
-    fs = float(cfg["dataset"]["fs"])
+    fs, path = float(cfg["dataset"]["fs"]), f"{root}/adaptive/{setting}"
+    chosen = _only(spark.read.parquet(f"{root}/tables/index").where("include"), patients).select("patient", "case", "file", "n_samples", cohort.suffix(F.col("file"), 10**9).alias("file_order"))
+    old = None if overwrite else tables.written(spark, path)
+    if old is None:
+        work, states = kept(chosen.select("*", F.lit(False).alias("had"))), None
+    else:
+        whole = tables.complete(old.where("status = 'success'"), len(cfg["dataset"]["channels"])).select("case", "file", F.col("n_samples").alias("_n"))
+        line = Window.partitionBy("case").orderBy("file_order", "file").rowsBetween(Window.unboundedPreceding, 0)
+        marked = chosen.join(whole, ["case", "file"], "left").withColumn("had", F.coalesce(F.col("_n") == F.col("n_samples"), F.lit(False)))
+        marked = kept(marked.withColumn("_skip", F.min("had").over(line)).drop("_n"))
+        work = marked.where("not _skip").drop("_skip")
+        states = kept(adaptive_filters.states(old.join(marked.where("_skip").select("case", "file"), ["case", "file"], "left_semi"), method, params, warm))
+    signals = spark.read.parquet(f"{root}/signals").join(work, ["case", "file"])
+    out = adaptive_filters.run(signals, method, params, fs, warm, initial=states)
+    columns = ["case", "file", "channel", "file_order", "chunk_idx", "samples", "status", "rms_in", "rms_out", "error", *adaptive_filters.PARTS]
+    tables.write_by_case(out.select(columns), path, ("case", "file"))
+    done = spark.read.parquet(path).drop("file_order").join(chosen, ["case", "file"])
     worst = F.max(F.when(F.col("status") == "failed", 2).when(F.col("status") == "not_run", 1).otherwise(0))
     log = done.groupBy("patient", "case", "file").agg(worst.alias("w"), F.max(F.size("samples")).cast("long").alias("n_samples"), F.avg("rms_in").alias("rms_in"), F.avg("rms_out").alias("rms_out"), F.max("error").alias("error"))
-    log = log.select(F.lit(uuid.uuid4().hex[:12]).alias("run_id"), F.lit(setting).alias("setting"), "patient", "case", "file", F.element_at(F.array(F.lit("success"), F.lit("not_run"), F.lit("failed")), F.col("w") + 1).alias("status"), "n_samples", (F.col("n_samples") / fs).alias("eeg_seconds"), "rms_in", "rms_out", F.lit(None).cast("double").alias("elapsed_s"), "error")
+    log = log.join(work.select("case", "file", "had"), ["case", "file"], "left")
+    fine = F.when(F.col("had").isNull(), "skipped_existing").when(F.col("had"), "recomputed_downstream").otherwise("success")
+    status = F.when(F.col("w") == 2, "failed").when(F.col("w") == 1, "not_run").otherwise(fine)
+    log = kept(log.select(F.lit(uuid.uuid4().hex[:12]).alias("run_id"), F.lit(setting).alias("setting"), "patient", "case", "file", status.alias("status"), "n_samples", (F.col("n_samples") / fs).alias("eeg_seconds"), "rms_in", "rms_out", F.lit(None).cast("double").alias("elapsed_s"), "error"))
     tables.append_log(log, f"{root}/logs/adaptive")
     return log
 

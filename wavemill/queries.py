@@ -293,6 +293,16 @@ def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
     return feature_table.with_features(windows_of_vectors(spark, sf), 64.0)
 
 
+@query
+def window_features_1024(spark: SparkSession, sf: str) -> DataFrame:
+    """All features of windows of 1024 samples at 256 Hz: sixteen vectors of a patient and label, in order, make one window of a channel."""
+    rows = windows_of_vectors(spark, sf)
+    place = F.row_number().over(Window.partitionBy("patient", "label").orderBy("vec_id")) - 1
+    rows = rows.withColumn("window", F.floor(place / 16))
+    joined = rows.groupBy("patient", "label", "window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
+    return feature_table.with_features(joined.where(F.size("x") == 1024), 256.0)
+
+
 @query
 def sample_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """The entropies of every vector, undecimated values as the feature table has them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,26 @@ def read_per_patient(spark: SparkSession, folder: str, schema: str) -> DataFrame
     return rows.select("*", part(1).alias("arm"), part(2).alias("model"))
 
 
-def write_by_case(df: DataFrame, path: str) -> None:
-    """A folder per case; only the cases in ``df`` are replaced, and only when the job commits."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case").parquet(path)
+def write_by_case(df: DataFrame, path: str, by: tuple[str, ...] = ("case",)) -> None:
+    """A folder per case (or case and file); only those in ``df`` are replaced, and only when the job commits."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that an earlier run may have written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def complete(signals: DataFrame, n_channels: int) -> DataFrame:
+    """(case, file, n_samples) of the recordings that have all channels, of one length."""
+    lengths = signals.where("samples is not null").groupBy("case", "file", "channel").agg(F.sum(F.size("samples")).alias("n"))
+    whole = lengths.groupBy("case", "file").agg(F.count(F.lit(1)).alias("channels"), F.min("n").alias("low"), F.max("n").alias("n_samples"))
+    return whole.where((F.col("channels") == n_channels) & (F.col("low") == F.col("n_samples"))).select("case", "file", "n_samples")
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -46,13 +64,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def upsert_patients(spark: SparkSession, new: DataFrame, path: str, staging: str) -> None:
     """Replace the patients of ``new`` in a Parquet table: the whole is staged, then swapped in."""
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        whole = replace_patients(old, new)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        whole = new
+    old = written(spark, path)
+    whole = new if old is None else replace_patients(old.select(new.columns), new)
     whole.orderBy("patient", "file_order").write.mode("overwrite").parquet(staging)
     spark.read.schema(new.schema).parquet(staging).write.mode("overwrite").parquet(path)
 
