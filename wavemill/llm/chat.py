@@ -6,6 +6,10 @@ system turns stay system turns. A rendering is cut after every ``part_turns``
 turns, so that a dialogue of any length stays in bounded rows; its parts in
 order are the whole.
 
+A rendering can be read back: in texts and names every ``<|`` (also with backslashes
+between its two characters) gets one backslash more, in names every ``|>`` too, so
+that marks of the format stand nowhere else.
+
 Defined cases: a null text is an empty turn; a null speaker is the participant
 ``unknown``; turns equal in number are ordered by speaker and text; repeated rows
 are repeated turns; a null dialogue id is a dialogue; a dialogue with system
@@ -20,13 +24,18 @@ from pyspark.sql import functions as F
 from .scratch import running, same
 
 
+def _escaped(text: Column, name: bool = False) -> Column:
+    plain = F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+    return F.regexp_replace(plain, r"\|(\\*)>", r"|\\$1>") if name else plain
+
+
 def _piece(turn: Column, me: Column, system: list[str]) -> Column:
     head = (
         F.when(turn["speaker"].isin(system), F.lit("<|system|>\n"))
         .when(turn["speaker"] == me, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), turn["speaker"], F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), _escaped(turn["speaker"], name=True), F.lit("|>\n")))
     )
-    return F.struct(head.alias("head"), F.concat(turn["text"], F.lit("<|end|>\n")).alias("body"), (turn["speaker"] == me).alias("own"))
+    return F.struct(head.alias("head"), F.concat(_escaped(turn["text"]), F.lit("<|end|>\n")).alias("body"), (turn["speaker"] == me).alias("own"))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: tuple[str, ...] = ("system",), part_turns: int = 64) -> DataFrame:
