@@ -64,6 +64,16 @@ def test_links_against_brute_force(spark):
     assert stay.columns == df.columns and stay.count() == len({r["component"] for r in got})
 
 
+def test_pairs_at_exactly_the_threshold(spark):
+    pairs = []
+    for n, m in ((396, 44), (117, 13), (9, 1), (1035, 115)):  # m of n shingles differ: n - m shared, 0.8 of the union
+        words = [f"t{n}w{i}" for i in range(n + 4)]
+        pairs += [words, words[:-m] + [f"other{i}" for i in range(m)], words[: -m - 1] + [f"third{i}" for i in range(m + 1)]]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(pairs)]
+    got = {r["doc_id"]: r["n_links"] for r in similarity.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: k for r, (_, _, k) in zip(rows, brute(rows), strict=True)} and [got[i] for i in (0, 3, 6, 9)] == [1] * 4
+
+
 def test_empty(spark):
     assert similarity.join(spark.createDataFrame([], SCHEMA)).count() == 0
     assert similarity.one_per_class(spark.createDataFrame([], SCHEMA)).count() == 0

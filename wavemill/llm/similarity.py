@@ -139,7 +139,7 @@ def _children(branching: int, level: int):
 def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Shared members of the pairs marked in a square matrix: one by one if they are few, else by products of incidence matrices."""
     n = len(sets)
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     flat = np.concatenate(sets)
     ids, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     keep = count > 1  # a shingle of one set is in no intersection
