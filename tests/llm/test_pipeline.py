@@ -73,7 +73,7 @@ def test_mix_repeats_and_drops(stages):
 
 
 def test_pieces_of_what_is_left(stages):
-    vocabulary = pieces.Pieces(pieces.MODEL, 4)
+    vocabulary = pieces.Pieces(pieces.read_model(pieces.MODEL), 4)
     last = stages[5].collect()
     assert sorted(r["doc_id"] for r in last) == sorted(r[0] for r in stages[4]) and all(r["exact"] for r in last)
     size = {i: len(vocabulary.encode(t)[0]) // 4 for i, t, *_ in stages[4]}
