@@ -92,7 +92,7 @@ s AS (
   SELECT q.row_id AS query_row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vector, c.vector) AS BIGINT) AS score
   FROM v q JOIN v c ON c.row_id <> q.row_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id, query_row ORDER BY score DESC, vec_id)"""
+WINDOW w AS (PARTITION BY query_id, query_row ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 ORACLES: dict[str, str] = {
     "op2_perspectives": OP2,
