@@ -348,6 +348,10 @@ def test_edf_round_trip(spark, tmp_path):
     rows = spark.read.format("edf").option("channels", "Z,B").option("chunk_s", 4).load(str(tmp_path / "c1" / "c1_01.edf")).orderBy("channel", "chunk_idx").collect()
     assert [(r["channel"], r["chunk_idx"], r["start_sample"], len(r["samples"])) for r in rows] == [("B", 0, 0, 256), ("B", 1, 256, 256), ("B", 2, 512, 128), ("Z", 0, 0, 256), ("Z", 1, 256, 256), ("Z", 2, 512, 128)]
     assert np.concatenate([r["samples"] for r in rows if r["channel"] == "Z"]) == pytest.approx(x[2], abs=0.01)
+    for path in (tmp_path.as_uri() + "/c1/c1_01.edf", f"{tmp_path}/c?/*_01.edf", f"{tmp_path}/**/c1_0[1].edf", f"{tmp_path}/c1"):
+        parts = spark.read.format("edf").option("channels", "Z,B").option("chunk_s", 4).option("split_mb", 0.001).option("unusable", "skip").load(path)
+        assert parts.rdd.getNumPartitions() > 3 and parts.orderBy("channel", "chunk_idx").collect() == rows
+    assert spark.read.format("edf").load(f"{tmp_path}/none*").count() == 0
 
 
 def test_tables(spark, tmp_path):

@@ -1,19 +1,24 @@
 """European Data Format as a Spark data source: ``spark.read.format("edf")``.
 
-Options: ``path`` (one file, a folder, or a glob that the driver's Hadoop file
-system lists), ``mode`` (``signal`` or ``header``), ``channels`` (comma-separated
-names wanted, in order), ``aliases`` (``name=other,...``), ``chunk_s``, ``unusable`` (``error``, or ``skip``
-for files without a readable header or a wanted channel). A task is
-one file and one stretch of it, and reads only the bytes of that stretch.
+Options: ``path`` (one file, a folder, or a glob; a local path or an address that
+``pyarrow.fs`` opens, such as ``hdfs://`` or ``s3://``), ``mode`` (``signal`` or ``header``), ``channels``
+(comma-separated names wanted, in order), ``aliases`` (``name=other,...``), ``chunk_s``, ``split_mb``, ``unusable``
+(``error``, or ``skip`` for files without a readable header or a wanted channel). The driver
+only lists files; a task is one file, or about ``split_mb`` of it, and reads the header and the bytes of its own chunks.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -41,11 +46,10 @@ class Header:
         return max(self.samples, default=0) / self.record_s if self.record_s else 0.0
 
 
-def read_header(path: str) -> Header:
-    with open(path, "rb") as f:
-        fixed = f.read(256)
-        n = int(fixed[252:256])
-        rest = f.read(256 * n)
+def read_header(f: BinaryIO) -> Header:
+    fixed = f.read(256)
+    n = int(fixed[252:256])
+    rest = f.read(256 * n)
     at = 0
 
     def column(width: int) -> list[str]:
@@ -77,77 +81,101 @@ def resolve(names: list[str], wanted: list[str], aliases: dict[str, list[str]])
     return out
 
 
-def read_stretch(path: str, h: Header, which: list[int], first: int, last: int) -> np.ndarray:
+def read_stretch(f: BinaryIO, h: Header, which: list[int], first: int, last: int) -> list[np.ndarray]:
     """Samples of some channels in data records first to last (not included), in microvolts."""
     per = sum(h.samples)
-    with open(path, "rb") as f:
-        f.seek(h.size + 2 * per * first)
-        raw = np.frombuffer(f.read(2 * per * (last - first)), "<i2")
+    f.seek(h.size + 2 * per * first)
+    bytes_read = f.read(2 * per * (last - first))
+    raw = np.frombuffer(bytes_read[: len(bytes_read) // 2 * 2], "<i2")
     raw = raw[: len(raw) // per * per].reshape(-1, per)
     starts = np.concatenate([[0], np.cumsum(h.samples)])
-    return np.stack([(raw[:, starts[c] : starts[c + 1]].reshape(-1).astype(float) - h.digital_low[c]) * h.gain[c] + h.low[c] for c in which]).astype(np.float32)
+    return [((raw[:, starts[c] : starts[c + 1]].reshape(-1).astype(float) - h.digital_low[c]) * h.gain[c] + h.low[c]).astype(np.float32) for c in which]
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; of a glob the part before its first wildcard."""
+    whole = re.sub("^s3[an]:", "s3:", path) if re.match("[a-z0-9]+:/", path) else os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.split(r"(?<=/)[^/]*[*?\[]", whole, maxsplit=1)[0])
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
+    """Path and size of the files that a path, a folder or a glob names, in order."""
+    store, base = store_of(path)
+    listed = lambda top: [i for i in store.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)) if i.type == fs.FileType.File]
+    wild = re.search(r"[^/]*[*?\[].*", path)  # from the first wildcard's part of the path on
+    if wild:
+        fits = re.compile(glob.translate(f"{base.rstrip('/')}/{wild[0]}", recursive=True, include_hidden=True))
+        found = [i for i in listed(base) if fits.match(i.path)]
+    else:
+        found = [i for i in store.get_file_info([base]) if i.type == fs.FileType.File] or [i for i in listed(base) if i.path.endswith(".edf")]
+    return sorted((i.path, i.size) for i in found)
 
 
 @dataclass
-class Stretch(InputPartition):
+class Part(InputPartition):
+    """A file, and which of how many equal shares of its chunks."""
+
     path: str
-    chunk: int
-    first: int
-    last: int
+    share: int
+    shares: int
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict, header_only: bool):
-        self.options = options
+        self.path = options["path"]
         self.header_only = header_only
         self.skip = options.get("unusable", "error") == "skip"
+        self.chunk_s = float(options.get("chunk_s", 600))
+        self.split = float(options.get("split_mb", 64)) * 2**20
         self.wanted = [c for c in options.get("channels", "").split(",") if c]
         self.aliases: dict[str, list[str]] = {}
         for channel, other in (p.split("=", 1) for p in options.get("aliases", "").split(",") if p):
             self.aliases.setdefault(channel, []).append(other)
 
-    def files(self) -> list[str]:
-        path = self.options["path"].removeprefix("file://")
-        if os.path.isdir(path):
-            return sorted(glob.glob(f"{path}/**/*.edf", recursive=True))
-        return sorted(glob.glob(path))
-
     def partitions(self) -> list[InputPartition]:
-        if self.header_only:
-            return [Stretch(p, 0, 0, 0) for p in self.files()]
-        out: list[InputPartition] = []
-        for p in self.files():
-            try:
-                h = read_header(p)
-            except (OSError, ValueError):
-                if self.skip:
-                    continue
-                raise
-            step = max(1, round(float(self.options.get("chunk_s", 600)) / h.record_s))
-            out += [Stretch(p, i, a, min(a + step, h.records)) for i, a in enumerate(range(0, h.records, step))]
-        return out
+        shares = lambda size: 1 if self.header_only else max(1, round(size / self.split))
+        return [Part(path, i, shares(size)) for path, size in files_of(self.path) for i in range(shares(size))]
+
+    def read(self, part: Part | None):
+        if part is None:  # Spark asks so where there are no files
+            return iter(())
+        store, _ = store_of(self.path)
+        return (self._header if self.header_only else self._signal)(store, part)
 
-    def read(self, part: Stretch):
+    def _header(self, store: fs.FileSystem, part: Part) -> Iterator[tuple]:
+        file, case = os.path.basename(part.path), os.path.basename(os.path.dirname(part.path))
+        try:
+            with store.open_input_file(part.path) as f:
+                h = read_header(f)
+            n = h.records * max(h.samples, default=0)
+            yield file, case, n, h.records * h.record_s, h.sfreq, h.names, None
+        except (OSError, ValueError) as e:  # an unreadable file is a row with its reason
+            yield file, case, None, None, None, None, type(e).__name__
+
+    def _signal(self, store: fs.FileSystem, part: Part) -> Iterator[pa.RecordBatch]:
+        """A batch per chunk: a row for each channel."""
         file, case = os.path.basename(part.path), os.path.basename(os.path.dirname(part.path))
-        if self.header_only:
-            try:
-                h = read_header(part.path)
-                n = h.records * max(h.samples, default=0)
-                yield file, case, n, h.records * h.record_s, h.sfreq, h.names, None
-            except (OSError, ValueError) as e:  # an unreadable file is a row with its reason
-                yield file, case, None, None, None, None, type(e).__name__
-            return
         try:
-            h = read_header(part.path)
+            f = store.open_input_file(part.path)
+            h = read_header(f)
             wanted = self.wanted or list(dict.fromkeys(h.names))
             which = resolve(h.names, wanted, self.aliases)
         except (OSError, ValueError):
             if self.skip:
                 return
             raise
-        data = read_stretch(part.path, h, which, part.first, part.last)
-        for name, c, row in zip(wanted, which, data, strict=True):
-            yield case, file, name, part.chunk, part.first * h.samples[c], row.tolist()
+        with f:
+            step = max(1, round(self.chunk_s / h.record_s)) if h.record_s else max(1, h.records)
+            chunks = -(-h.records // step)
+            for i in range(chunks * part.share // part.shares, chunks * (part.share + 1) // part.shares):
+                data = read_stretch(f, h, which, i * step, min((i + 1) * step, h.records))
+                n = len(which)
+                samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in data]]), pa.int32()), pa.array(np.concatenate(data)))
+                starts = [i * step * h.samples[c] for c in which]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([case] * n), pa.array([file] * n), pa.array(wanted), pa.array([i] * n, pa.int32()), pa.array(starts, pa.int64()), samples],
+                    names=["case", "file", "channel", "chunk_idx", "start_sample", "samples"],
+                )
 
 
 class EdfSource(DataSource):
