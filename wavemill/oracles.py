@@ -248,3 +248,28 @@ UNION ALL SELECT patient, 0, n FROM {allocated('SELECT patient, n FROM other', f
 
 ORACLES["stream_kalman"] = ORACLES["kalman_gain"]
 ORACLES["stream_alarms"] = event_tables(2, 1024, 4096) + " SELECT file, raise_sample FROM alarms"
+
+#: Values of each case in order of time; what a filter gives is compared by its mean square in each file.
+_SAMPLES = f"""{PRED}, a AS (SELECT "case", file, CAST(y_score AS DOUBLE) AS x, row_number() OVER (PARTITION BY "case" ORDER BY CAST(split_part(file, '_', 2) AS INT), start_sample) AS i FROM preds)"""
+_LEVELS = """SELECT "case", file, 'success' AS status, round(sqrt(avg(x * x)), 4) AS rms_in, round(sqrt(avg(CAST(CAST(e AS FLOAT) AS DOUBLE) * CAST(CAST(e AS FLOAT) AS DOUBLE))), 4) AS rms_out FROM"""
+#: The first 20 values of a case run once before all of them; u holds the four values before each, zeros before the first of a run.
+_PASTS = f"""{_SAMPLES},
+q AS (SELECT "case", 0 AS run, file, i, x FROM a WHERE i <= 20 UNION ALL SELECT "case", 1, file, i, x FROM a),
+u AS (SELECT "case", run, file, x, row_number() OVER (PARTITION BY "case" ORDER BY run, i) AS t, [lag(x, 1, 0) OVER own, lag(x, 2, 0) OVER own, lag(x, 3, 0) OVER own, lag(x, 4, 0) OVER own] AS u FROM q WINDOW own AS (PARTITION BY "case", run ORDER BY i))"""
+
+ORACLES["nlms_filter"] = f"""WITH RECURSIVE {_PASTS},
+k AS (
+  SELECT "case", run, file, t, x, x AS e, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS w FROM u WHERE t = 1
+  UNION ALL
+  SELECT "case", run, file, t, x, e, CASE WHEN power > 1e-6 THEN list_transform(range(1, 5), lambda j: w[j] + 0.005::DOUBLE * e / (1e-6 + power) * u[j]) ELSE w END
+  FROM (SELECT u.*, k.w, u.x - list_dot_product(k.w, u.u) AS e, list_dot_product(u.u, u.u) AS power FROM k JOIN u ON u."case" = k."case" AND u.t = k.t + 1))
+{_LEVELS} k WHERE run = 1 GROUP BY ALL"""
+
+ORACLES["kalman_filter"] = f"""WITH RECURSIVE {_SAMPLES},
+b AS (SELECT "case", (i - 1) // 8 AS block, greatest(least(0.5 * ln(sum(x * x) / 8 + 1e-6), ln(1e4)), ln(0.1)) AS z FROM a GROUP BY ALL HAVING count(*) = 8),
+k AS (
+  SELECT "case", block, z AS s, CAST(1.0 AS DOUBLE) AS p FROM b WHERE block = 0
+  UNION ALL
+  SELECT b."case", b.block, k.s + (k.p + 1e-4) / (k.p + 1e-4 + 1.0) * (b.z - k.s), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1.0)) * (k.p + 1e-4)
+  FROM k JOIN b ON b."case" = k."case" AND b.block = k.block + 1)
+{_LEVELS} (SELECT a.*, a.x * exp(-coalesce(k.s, 0)) AS e FROM a LEFT JOIN k ON k."case" = a."case" AND k.block = (a.i - 1) // 8 - 1) GROUP BY ALL"""
