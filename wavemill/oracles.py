@@ -273,3 +273,17 @@ k AS (
   SELECT b."case", b.block, k.s + (k.p + 1e-4) / (k.p + 1e-4 + 1.0) * (b.z - k.s), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1.0)) * (k.p + 1e-4)
   FROM k JOIN b ON b."case" = k."case" AND b.block = k.block + 1)
 {_LEVELS} (SELECT a.*, a.x * exp(-coalesce(k.s, 0)) AS e FROM a LEFT JOIN k ON k."case" = a."case" AND k.block = (a.i - 1) // 8 - 1) GROUP BY ALL"""
+
+#: m is the inverse correlation matrix by rows; its trace stays below 400.
+ORACLES["rls_filter"] = f"""WITH RECURSIVE {_PASTS},
+k AS (
+  SELECT "case", run, file, t, x, x AS e, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS w, list_transform(range(0, 16), lambda j: CASE WHEN j % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS m FROM u WHERE t = 1
+  UNION ALL
+  SELECT "case", run, file, t, x, e, CASE WHEN learns THEN list_transform(range(1, 5), lambda j: w[j] + e * mu[j] / d) ELSE w END,
+    CASE WHEN NOT learns THEN m WHEN trace > 400 THEN list_transform(new, lambda v: v * 400 / trace) ELSE new END
+  FROM (SELECT *, new[1] + new[6] + new[11] + new[16] AS trace FROM (
+    SELECT *, power > 1e-6 AND d > 1e-12 AS learns, list_transform(range(0, 16), lambda j: (m[j + 1] - mu[j // 4 + 1] / d * mu[j % 4 + 1]) / 0.9999::DOUBLE) AS new FROM (
+      SELECT *, 0.9999::DOUBLE + list_dot_product(u, mu) AS d FROM (
+        SELECT u.*, k.w, k.m, u.x - list_dot_product(k.w, u.u) AS e, list_dot_product(u.u, u.u) AS power, list_transform(range(0, 4), lambda r: list_dot_product(k.m[4 * r + 1 : 4 * r + 4], u.u)) AS mu
+        FROM k JOIN u ON u."case" = k."case" AND u.t = k.t + 1)))))
+{_LEVELS} k WHERE run = 1 GROUP BY ALL"""
