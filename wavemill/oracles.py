@@ -287,3 +287,16 @@ k AS (
         SELECT u.*, k.w, k.m, u.x - list_dot_product(k.w, u.u) AS e, list_dot_product(u.u, u.u) AS power, list_transform(range(0, 4), lambda r: list_dot_product(k.m[4 * r + 1 : 4 * r + 4], u.u)) AS mu
         FROM k JOIN u ON u."case" = k."case" AND u.t = k.t + 1)))))
 {_LEVELS} k WHERE run = 1 GROUP BY ALL"""
+
+#: Every second of the 64 components of a vector makes 32 values; pairs of values (i, i + 1) and (j, j + 1) match where both differ by at most r.
+ORACLES["sample_entropy"] = f"""WITH {VECTORS},
+d AS (SELECT vec_id, list_transform(range(0, 32), lambda i: x[2 * i + 1]) AS d FROM vec),
+r AS (SELECT *, 0.2::DOUBLE * sqrt(list_var_pop(d)) AS r FROM d),
+p AS (
+  SELECT vec_id, r, i, j, abs(d[i + 1] - d[j + 1]) <= r AND abs(d[i + 2] - d[j + 2]) <= r AS pair, i < 30 AND j < 30 AS inner_part, coalesce(abs(d[i + 3] - d[j + 3]) <= r, false) AS third
+  FROM r, range(0, 31) one(i), range(0, 31) other(j)),
+t AS (SELECT vec_id, r, i, count(*) FILTER (pair) AS near2, count(*) FILTER (pair AND inner_part) AS near2_inner, count(*) FILTER (pair AND third) AS near3 FROM p GROUP BY ALL),
+e AS (
+  SELECT vec_id, r, sum(near2_inner) - 30 AS b, sum(near3) - 30 AS a, avg(ln(near2 / 31)) - avg(ln(CASE WHEN i < 30 THEN near3 / 30 END)) AS apen
+  FROM t GROUP BY ALL)
+SELECT vec_id, round(CAST(CAST(CASE WHEN r > 0 AND a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS sampen, round(CAST(CAST(CASE WHEN r > 0 THEN apen ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS apen FROM e"""
