@@ -1,8 +1,8 @@
 """DuckDB twins of this subpackage's queries, where SQL can express them.
 
 None for the packing order of op1, parsed pages (op3), the piece lattice (op4),
-trained scores (op8) and learned rules (op9): tests hold these against brute
-force, round trips or held-out labels.
+trained scores (op8), learned rules (op9) and eigenvectors (op11): tests hold these
+against brute force, round trips or held-out labels.
 """
 
 from __future__ import annotations
@@ -94,10 +94,44 @@ s AS (
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id, query_row ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
+
+
+def _rounds(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds over whole numbers, written out."""
+    near = lambda t: f"""n{t} AS MATERIALIZED (
+  SELECT row_id, vec_id, vector, c, CAST(distance AS BIGINT) AS distance FROM (
+    SELECT v.row_id, v.vec_id, v.vector, c.c, list_sum(list_transform(list_zip(v.vector, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v, c{t} c)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, c) = 1)"""
+    moved = lambda t: f"""s{t} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(vector) AS x, unnest(range({dims})) AS j FROM n{t}) GROUP BY c, j),
+c{t + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.centre, o.centre) AS centre FROM c{t} o
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS centre FROM s{t} GROUP BY c) m ON m.c = o.c)"""
+    body = ",\n".join(f"{near(t)},\n{moved(t)}" for t in range(rounds))
+    return f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, vector) - 1 AS c, vector AS centre FROM (
+  SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, vector FROM v ORDER BY h NULLS LAST, vector LIMIT {k})),
+{body},
+{near(rounds)}
+SELECT vec_id, CAST(n.c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256
+FROM n{rounds} n JOIN c{rounds} c ON c.c = n.c"""
+
+
+OP12 = _rounds()
+
+OP13 = """WITH p AS (SELECT row_number() OVER () AS row_id, page_id, encode(coalesce(html, '')) AS payload FROM pages),
+r AS (
+  SELECT page_id, payload, first_value(page_id) OVER w AS main_id, octet_length(payload) >= 1000 AND row_number() OVER w > 1 AS again
+  FROM p WINDOW w AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, row_id))
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN main_id END AS refers_to FROM r"""
+
 ORACLES: dict[str, str] = {
     "op2_perspectives": OP2,
     "op5_fair_mix": OP5,
     "op6_chosen_path_join": OP6,
     "op7_license_diagonals": OP7,
     "op10_uniform_threshold": OP10,
+    "op12_va_clusters": OP12,
+    "op13_transactions": OP13,
 }

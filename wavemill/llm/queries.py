@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, extraction, licenses, mixing, pieces, rules, sharding, similarity, topk
+from . import centroids, chat, classifier, extraction, licenses, mixing, pieces, rules, sharding, similarity, topk, warc, whitening
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,4 +71,17 @@ def op10_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_shards, op2_perspectives, op3_main_text, op4_nbest_pieces, op5_fair_mix, op6_chosen_path_join, op7_license_diagonals, op8_attention_quality, op9_decision_list, op10_uniform_threshold)}
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op12_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.inertias(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.inventory(warc.assemble(warc.read(spark, warc.archive(_table(spark, sf_dir, "pages")))))
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_shards, op2_perspectives, op3_main_text, op4_nbest_pieces, op5_fair_mix, op6_chosen_path_join, op7_license_diagonals, op8_attention_quality, op9_decision_list, op10_uniform_threshold, op11_jacobi_whitening, op12_va_clusters, op13_transactions)}

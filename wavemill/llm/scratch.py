@@ -1,5 +1,5 @@
 """What the operators use of the library's shared tables: see ``wavemill.shared``."""
 
-from ..shared import discard, kept, partitions, running, same, shared_dir
+from ..shared import discard, kept, new_folder, partitions, running, same, shared_dir
 
-__all__ = ["discard", "kept", "partitions", "running", "same", "shared_dir"]
+__all__ = ["discard", "kept", "new_folder", "partitions", "running", "same", "shared_dir"]
