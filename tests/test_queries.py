@@ -9,7 +9,7 @@ from conftest import SF
 from wavemill import config, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"loso_rf", "loso_svm", "label_shuffle"}
+SLOW = {"loso_rf", "loso_svm", "loso_nested", "label_shuffle"}
 
 
 @pytest.fixture(scope="module")
@@ -54,9 +54,12 @@ def test_every_setting_of_the_grid_is_screened(spark):
 
 def test_models_and_bootstrap_have_the_sizes_of_the_reference(spark, monkeypatch):
     given = []
-    monkeypatch.setattr(queries.loso, "evaluate", lambda *a, **o: given.append((o["trees"], o["depth"])))
-    monkeypatch.setattr(queries.loso, "shuffle_check", lambda *a, **o: given.append((o["trees"], o["depth"])))
+    monkeypatch.setattr(queries.loso, "_scored", lambda kind, fit, score, wanted, params, *a: given.append(params) or (_ for _ in ()).throw(StopIteration))
+    for name in ("loso_rf", "label_shuffle"):
+        with pytest.raises(StopIteration):
+            queries.QUERIES[name](spark, SF)
+    assert given == [[{"n_estimators": 200, "max_depth": None, "min_samples_leaf": 1}]] * 2
+    given.clear()
     monkeypatch.setattr(queries.compare, "arms", lambda *a, n_boot=10_000, **o: given.append(n_boot))
-    for name in ("loso_rf", "label_shuffle", "arm_comparison"):
-        queries.QUERIES[name](spark, SF)
-    assert given == [(200, 30), (200, 30), 10_000]
+    queries.QUERIES["arm_comparison"](spark, SF)
+    assert given == [10_000]

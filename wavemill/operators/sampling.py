@@ -9,26 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import running
+from ..shared import kept, running
 
 
-def allocation(counts: DataFrame, target: Column, floor: int = 0) -> DataFrame:
+def allocation(counts: DataFrame, target: Column, floor: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """From (patient, n) to (patient, n, alloc): shares of ``target`` rounded down, at least ``floor``, the rest by largest fraction (ties by patient).
 
-    ``counts`` is a row per patient, so one task can rank it.
+    Totals are groupings; what a patient's fraction ranks is found over range
+    partitions, so any number of patients may share one target. With ``by`` there is a target for each
+    of its groups (as the folds of an evaluation), which are ranked side by side.
     """
-    everyone = Window.partitionBy()
-    rows = counts.withColumn("_total", F.sum("n").over(everyone)).withColumn("_target", F.least(F.greatest(target.cast("long"), F.lit(0)), F.col("_total")))
-    raw = F.col("n") / F.col("_total") * F.col("_target")
-    rows = rows.withColumn("_raw", raw).withColumn("_base", F.floor("_raw"))
-    if floor:
-        rows = rows.withColumn("_base", F.greatest("_base", F.least(F.lit(floor), F.col("n"))))
-    rows = rows.withColumn("_short", F.col("_target") - F.sum("_base").over(everyone))
-    rows = rows.withColumn("_room", F.col("n") > F.col("_base"))
-    by_fraction = Window.partitionBy("_room").orderBy(F.desc(F.col("_raw") - F.col("_base")), "patient")
-    extra = F.when(F.col("_room") & (F.row_number().over(by_fraction) <= F.col("_short")), 1).otherwise(0)
+    by = list(by)
+    share = lambda rows: rows.withColumn("_raw", F.coalesce(F.try_divide("n", "_total"), F.lit(0.0)) * F.col("_target")).withColumn("_base", F.greatest(F.floor("_raw"), F.least(F.lit(floor), F.col("n"))) if floor else F.floor("_raw"))
+    goal = F.least(F.greatest(target.cast("long"), F.lit(0)), F.col("_total")).alias("_target")
+    last = ["_room", "_behind", "patient"]
+    if by:
+        everyone = Window.partitionBy(*by)
+        rows = share(counts.withColumn("_total", F.sum("n").over(everyone)).select("*", goal)).withColumn("_short", F.col("_target") - F.sum("_base").over(everyone))
+        rows = rows.withColumns({"_behind": F.col("_base") - F.col("_raw"), "_room": F.col("n") > F.col("_base")})
+        placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_room").orderBy(*last)).cast("long") - 1)
+    else:
+        total = counts.agg(F.sum("n").alias("_total"))  # a single row, as is what is short
+        rows = share(counts.crossJoin(F.broadcast(total)).select("*", goal)).withColumns({"_behind": F.col("_base") - F.col("_raw"), "_room": F.col("n") > F.col("_base")})
+        rows = running(rows.select("patient", "n", "_total", "_target", "_base", "_behind", "_room"), ["_room"], last[1:], {}, "_place", unique=True)
+        placed = rows.crossJoin(F.broadcast(rows.agg((F.max("_target") - F.sum("_base")).alias("_short"))))
+    extra = F.when(F.col("_room") & (F.col("_place") < F.col("_short")), 1).otherwise(0)
     alloc = F.when(F.col("_target") >= F.col("_total"), F.col("n")).otherwise(F.least(F.col("_base") + extra, F.col("n")))
-    return rows.withColumn("alloc", alloc.cast("long")).select("patient", "n", "alloc")
+    return placed.select(*by, "patient", "n", alloc.cast("long").alias("alloc"))
 
 
 def seeded(seed: int, keys: list[str]) -> Column:
@@ -58,8 +65,9 @@ def training(rows: DataFrame, seed: int, keys: list[str], ratio: float = 5, most
     return ictal.unionByName(rest)
 
 
-def permuted_labels(rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
-    """Labels dealt anew among all rows: two seeded orders are ranked by range, and equal ranks meet."""
-    spots = running(rows.withColumn("_h", seeded(seed, keys)), [], ["_h"], {}, "_rn")
-    given = running(rows.select(seeded(seed + 1, keys).alias("_h"), F.col("label").alias("_label")), [], ["_h"], {}, "_rn").select("_rn", "_label")
-    return spots.join(given, "_rn").withColumn("label", F.col("_label")).select(*rows.columns)
+def permuted_labels(rows: DataFrame, seed: int, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels dealt anew among all rows (of each group of ``by``): two seeded orders are ranked by range, and equal ranks meet."""
+    rows, by = kept(rows), list(by)
+    spots = running(rows.withColumn("_h", seeded(seed, keys)), by, ["_h"], {}, "_rn")
+    given = running(rows.select(*by, seeded(seed + 1, keys).alias("_h"), F.col("label").alias("_label")), by, ["_h"], {}, "_rn").select(*by, "_rn", "_label")
+    return spots.join(given, [*by, "_rn"]).withColumn("label", F.col("_label")).select(*rows.columns)

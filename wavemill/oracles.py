@@ -246,6 +246,33 @@ other AS (SELECT * FROM {allocated('SELECT patient, count(*) AS n FROM preds WHE
 SELECT patient, 1 AS label, n FROM {allocated('SELECT patient, count(*) AS n FROM preds WHERE y_true = 1 GROUP BY patient', '(SELECT greatest(1, round_even(n_ictal * k, 0)) FROM sizes, scale)', f'greatest({_SHARE}, least(1, n))')} WHERE n > 0
 UNION ALL SELECT patient, 0, n FROM {allocated('SELECT patient, n FROM other', f'(SELECT round_even({_WANTED} * k, 0) FROM scale)', _SHARE)} WHERE n > 0"""
 
+
+def _by_fold(name: str, source: str, n: str, goal: str, base: str = "floor(raw_)") -> str:
+    """CTEs that share ``goal`` out in each fold; ``name`` has fold, patient and alloc beside the columns of ``source``."""
+    return f"""{name}_r AS (SELECT *, {n} AS n_, sum({n}) OVER (PARTITION BY fold) AS t_ FROM {source}),
+{name}_g AS (SELECT *, least(greatest({goal}, 0), t_) AS g_ FROM {name}_r), {name}_w AS (SELECT *, coalesce(n_ / t_, 0) * g_ AS raw_ FROM {name}_g),
+{name}_b AS (SELECT *, {base} AS base_ FROM {name}_w), {name}_s AS (SELECT *, g_ - sum(base_) OVER (PARTITION BY fold) AS short_, n_ > base_ AS room_ FROM {name}_b),
+{name} AS (SELECT fold, patient, n0, t1, asked, k, CAST(CASE WHEN g_ >= t_ THEN n_ ELSE least(base_ + CASE WHEN room_ AND row_number() OVER (PARTITION BY fold, room_ ORDER BY base_ - raw_, patient) <= short_ THEN 1 ELSE 0 END, n_) END AS BIGINT) AS alloc FROM {name}_s)"""
+
+
+ORACLES["training_folds"] = f"""WITH {PRED}, c AS (SELECT patient, count(*) FILTER (y_true = 1) AS n1, count(*) FILTER (y_true = 0) AS n0 FROM preds GROUP BY patient),
+per AS (SELECT fold, c.* FROM c, (SELECT unnest(range(10)) AS fold) WHERE patient <> fold),
+sized AS (SELECT *, sum(n1) OVER (PARTITION BY fold) AS t1, sum(n0) OVER (PARTITION BY fold) AS t0 FROM per),
+wanted AS (SELECT *, CASE WHEN t1 = 0 THEN t0 ELSE least(round_even(t1 * 2.0, 0), t0) END AS asked FROM sized),
+scaled AS (SELECT *, CASE WHEN t1 = 0 THEN 1 ELSE least(1, 2000 / (t1 + asked)) END AS k FROM wanted),
+{_by_fold("ictal", "scaled", "n1", "CASE WHEN k < 1 THEN greatest(1, round_even(t1 * k, 0)) ELSE t1 END", "greatest(floor(raw_), least(1, n_))")},
+{_by_fold("first", "scaled", "n0", "asked")},
+{_by_fold("rest", "(SELECT * RENAME (alloc AS n2) FROM first)", "n2", "CASE WHEN k < 1 THEN round_even(asked * k, 0) ELSE asked END")}
+SELECT CAST(fold AS INT) AS fold, patient, 1 AS label, alloc AS n FROM ictal WHERE alloc > 0 UNION ALL SELECT CAST(fold AS INT), patient, 0, alloc FROM rest WHERE alloc > 0"""
+
+ORACLES["group_folds"] = f"""WITH RECURSIVE {PRED}, line AS (SELECT patient, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, patient DESC) AS k FROM preds GROUP BY patient),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS place, [CAST(0 AS BIGINT), 0, 0] AS load
+  UNION ALL
+  SELECT k, place, list_transform([1, 2, 3], lambda i: load[i] + CASE WHEN i = place THEN n ELSE 0 END) FROM (SELECT l.k, l.n, d.load, CAST(list_position(d.load, list_min(d.load)) AS BIGINT) AS place FROM dealt d JOIN line l ON l.k = d.k + 1)),
+given AS (SELECT patient, n, CAST(place - 1 AS INT) AS split FROM dealt JOIN line USING (k))
+SELECT patient, n, split, 3 AS n_splits, CAST(sum(n) OVER (PARTITION BY split) AS BIGINT) AS split_windows, count(*) OVER (PARTITION BY split) AS split_patients FROM given"""
+
 ORACLES["stream_kalman"] = ORACLES["kalman_gain"]
 ORACLES["stream_alarms"] = event_tables(2, 1024, 4096) + " SELECT file, raise_sample FROM alarms"
 

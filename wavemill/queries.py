@@ -10,7 +10,7 @@ from .functions import adaptive, time_domain
 from .functions import features as feature_table
 from .operators import calibration, cohort, compare, direction, events, leakage, metrics, sampling, windows
 from .oracles import ORACLES
-from .plans import loso, screen
+from .plans import folds, loso, screen
 from .plans.bindings import FS, STEP, WINDOW, predictions, recordings, table, windows_of_vectors
 from .shared import new_folder
 from .sources import annotations
@@ -166,6 +166,23 @@ def shuffled_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.permuted_labels(rows, 7, ["file", "start_sample"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def group_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Patients dealt to three inner folds of about equal numbers of windows, and the size of each fold."""
+    counts = predictions(spark, sf).groupBy("patient").agg(F.count(F.lit(1)).alias("n"))
+    dealt = folds.group_folds(counts, 3)
+    sizes = dealt.groupBy("split").agg(F.sum("n").alias("split_windows"), F.count(F.lit(1)).alias("split_patients"))
+    return dealt.join(sizes, "split").select("patient", "n", "split", "n_splits", "split_windows", "split_patients")
+
+
+@query
+def training_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per fold (one of ten patients held out) and patient: how many rows of each class the fold trains on, at most 2000 together."""
+    rows = _labelled(spark, sf).select("patient", "case", "file", "start_sample", "label")
+    taken = folds.training(rows, list(range(10)), 42, ["case", "file", "start_sample"], ratio=2, most=2000)
+    return taken.groupBy("fold", "patient", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # cohort ---------------------------------------------------------------------
 
 
@@ -397,7 +414,7 @@ def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def loso_rf(spark: SparkSession, sf: str) -> DataFrame:
-    return loso.evaluate(loso.vectors(spark, sf), "rf", trees=200, depth=30)
+    return loso.evaluate(loso.vectors(spark, sf), "rf")
 
 
 @query
@@ -405,10 +422,16 @@ def loso_svm(spark: SparkSession, sf: str) -> DataFrame:
     return loso.evaluate(loso.vectors(spark, sf), "svm")
 
 
+@query
+def loso_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Window metrics where every fold chooses the cost of its machine on inner folds of patients."""
+    return loso.evaluate(loso.vectors(spark, sf), "svm", grid={"C": [1, 10], "gamma": ["scale"]})
+
+
 @query
 def label_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """AUC after the training labels were permuted."""
-    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=4, seed=1, trees=200, depth=30)
+    return loso.shuffle_check(loso.vectors(spark, sf), "rf", patients=4, seed=1)
 
 
 # adaptive filters -----------------------------------------------------------

@@ -70,7 +70,7 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def running(df: DataFrame, group: list[str], order: list[str], totals: dict[str, str], rank: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], totals: dict[str, str], rank: str, unique: bool = False) -> DataFrame:
     """Add running totals and a rank within groups of any size.
 
     ``totals`` maps the name of a new column to the numeric column that it adds
@@ -80,11 +80,13 @@ def running(df: DataFrame, group: list[str], order: list[str], totals: dict[str,
     by what lies before it. Of these offsets at most one per range differs from
     zero (a range starts inside at most one group), so the broadcast table has
     no more rows than there are ranges. Rows equal in all of ``order`` are
-    interchangeable; they get consecutive positions.
+    interchangeable; they get consecutive positions. With ``unique`` the caller
+    says that there are none, so that a map task that is run again after a shuffle deals
+    every row to the same range as before; without it ``df`` should be a scan.
     """
     n = partitions(df.sparkSession)
     keys = [F.col(c).asc_nulls_first() for c in [*group, *order, "_tie"]]
-    dealt = kept(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
+    dealt = kept(df.withColumn("_tie", F.lit(0).cast("long") if unique else F.monotonically_increasing_id()).repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
     per_range = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{new}") for new, c in totals.items()])
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
