@@ -1,8 +1,10 @@
 import shutil
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from wavemill import __main__ as main
 from wavemill import config
 from wavemill.plans import entries
 from wavemill.sources import edf
@@ -44,10 +46,23 @@ def test_from_recordings_to_reports(spark, tmp_path):
     wide = spark.read.parquet(f"{root}/features")
     assert len([c for c in wide.columns if c.startswith("f_")]) == 18 * 30
     assert entries.check_contract(spark, root).count() == 0
-    per_patient = entries.baseline(spark, root, cfg, ["raw"], ["rf"], most_patients=1)
-    assert [r["auc"] > 0.9 for r in per_patient.collect()] == [True]
-    out = entries.report(spark, root, cfg, reference="none")
-    assert out["events"].first()["n_detected"] == 1
+    per_patient = entries.baseline(spark, root, cfg, ["raw"], ["rf"], most_patients=2)
+    assert [r["auc"] > 0.9 for r in per_patient.collect()] == [True, True]
+    chosen = spark.read.option("header", True).csv(f"{root}/reports/chosen").collect()
+    assert {(r["model"], r["patient"]) for r in chosen} == {("rf", "p1"), ("rf", "p2")} and all("200" in r["setting"] for r in chosen)  # one training patient: the fixed setting
+    assert entries.baseline(spark, root, cfg, ["raw"], ["svm"], patients=["p1"]).where("model = 'svm'").count() == 0  # nobody to train on
+    out = entries.report(spark, root, cfg, reference="none", tag="_strict")
+    assert out["events"].first()["n_detected"] == 2 and (tmp_path / "reports/events_strict").exists()
+    shown = lambda *args: main.run(spark, main.parser().parse_args([args[0], root, "--config", str(tmp_path / "settings.yaml"), *args[1:]]))
+    (tmp_path / "settings.yaml").write_text("features: {nonlinear: false}\ndataset: {fs: 64}\nevaluation: {fixed_params: {rf: {n_estimators: 5}}}\n")
+    summary, strongest = shown("directions", "--focus", "p2", "--top", "3", "--min-ictal", "2")
+    assert summary.count() == 2 and strongest.count() == 3 and {"focus", "consensus", "flipped"} <= set(strongest.columns)
+    with pytest.raises(ValueError, match="too few ictal"):
+        shown("directions", "--focus", "p2", "--min-ictal", "1000")
+    assert shown("sanity", "--cases", "p1")[0].count() == 30
+    runs = shown("shuffle", "--models", "rf", "--n-test", "1", "--seeds", "0,1", "--tuning", "fixed")[0].collect()
+    assert [(r["model"], r["seed"], r["n_test_patients"], r["n_patients_available"], r["tuning_mode"]) for r in runs] == [("rf", 0, 1, 2, "fixed"), ("rf", 1, 1, 2, "fixed")]
+    assert spark.read.parquet(f"{root}/logs/label_shuffle").count() == 2
     log = entries.adapt(spark, root, cfg, "kalman", {"block_s": 0.5}, warm_start_s=5.0, patients=["p1"])
     assert log.count() == 3 and log.where("status = 'success'").count() == 3
     assert entries.adaptive_ratios(spark, root).columns == ["file", "kalman_qr0.0001_blk0.5_ws5"]

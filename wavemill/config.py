@@ -25,11 +25,20 @@ DEFAULTS: dict = {
     "features": {"nonlinear": True},
     "adaptive": {"method": "nlms", "warm_start_s": 60.0},
     "evaluation": {
+        "arms": ["raw", "subject_standardised"],
+        "models": ["svm", "rf"],
         "calibration": {"minutes": 10, "min_windows": 60},
         "train_sampling": {"interictal_to_ictal_ratio": 5, "max_train_windows": 30000},
-        "n_features": 100,
-        "tuning": {"mode": "fixed", "inner_splits": 3},
-        "grids": {},
+        "feature_selection": {"method": "f_classif", "k": 100},
+        "tuning": {"mode": "nested", "inner_splits": 3, "scoring": "roc_auc"},
+        "grids": {
+            "svm": {"C": [1, 10], "gamma": ["scale"]},
+            "rf": {"n_estimators": [200], "max_depth": [None, 20], "min_samples_leaf": [1, 5]},
+        },
+        "fixed_params": {
+            "svm": {"C": 1, "gamma": "scale"},
+            "rf": {"n_estimators": 200, "max_depth": None, "min_samples_leaf": 1},
+        },
     },
 }
 # The parameters of the adaptive methods, and the grid of the pilot screen.
@@ -78,9 +87,26 @@ def checked(cfg: dict) -> dict:
         raise ValueError("overlap must be at least 0 and below 1")
     if float(cfg["segmentation"]["window_s"]) <= 0:
         raise ValueError("window_s must be positive")
+    evaluation = cfg["evaluation"]
+    for what, given, known in (("tuning.mode", evaluation["tuning"]["mode"], ("nested", "fixed")), ("tuning.scoring", evaluation["tuning"]["scoring"], ("roc_auc",)), ("feature_selection.method", evaluation["feature_selection"]["method"], ("f_classif",))):
+        if given not in known:
+            raise ValueError(f"evaluation.{what} is {given!r}; known: {', '.join(known)}")
     return cfg
 
 
+def learning(cfg: dict, kind: str) -> dict:
+    """What ``loso.predict`` is told about a model: grid (unless tuning is ``fixed``), fixed parameters, features, and training rows."""
+    e = cfg["evaluation"]
+    return {
+        "grid": e["grids"].get(kind) if e["tuning"]["mode"] == "nested" else None,
+        "fixed": e["fixed_params"].get(kind),
+        "splits": int(e["tuning"]["inner_splits"]),
+        "k": int(e["feature_selection"]["k"]),
+        "ratio": float(e["train_sampling"]["interictal_to_ictal_ratio"]),
+        "most": int(e["train_sampling"]["max_train_windows"]),
+    }
+
+
 def window_samples(cfg: dict) -> tuple[int, int]:
     """Length and step of a window in samples, rounded half to even."""
     length = round(float(cfg["segmentation"]["window_s"]) * float(cfg["dataset"]["fs"]))

@@ -27,7 +27,7 @@ def consensus(aucs: DataFrame) -> DataFrame:
     statistics, so patients never meet in pairs, and a feature with many of them
     is ranked over range partitions.
     """
-    ranked = kept(running(aucs.where("auc is not null").select("patient", "feature", "auc"), ["feature"], ["auc"], {}, "_i"))
+    ranked = kept(running(aucs.where("auc is not null").select("patient", "feature", "auc"), ["feature"], ["auc", "patient"], {}, "_i", unique=True))
     sizes = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
     middle = F.floor(F.col("_n") / 2)
     at = lambda k: F.max(F.when(F.col("_i") == middle + k, F.col("auc")))
@@ -61,6 +61,13 @@ def strongest(aucs: DataFrame, top: int, flipped: str | None = None) -> DataFram
     return rows.orderBy(F.desc(F.round(F.abs(F.col("consensus") - 0.5), 9)), "feature").limit(top)
 
 
+def against_others(aucs: DataFrame, focus: str, top: int) -> DataFrame:
+    """The features with the strongest median AUC of all patients but ``focus``, that patient's AUC, and whether its direction is the opposite."""
+    others = consensus(aucs).where(F.col("patient") == focus).select("feature", F.col("auc").alias("focus"), "consensus")
+    rows = others.withColumn("flipped", (F.col("focus") - 0.5) * (F.col("consensus") - 0.5) < 0)
+    return rows.orderBy(F.desc(F.round(F.abs(F.col("consensus") - 0.5), 9)), "feature").limit(top)
+
+
 def wide(aucs: DataFrame) -> DataFrame:
     """One row per feature, one column per patient."""
     return aucs.groupBy("feature").pivot("patient").agg(F.first("auc"))

@@ -42,3 +42,8 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def unknown_patients(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.select("patient").exceptAll(known.select("patient").distinct())
+
+
+def require_some(rows: DataFrame, what: str) -> None:
+    if not rows.limit(1).count():
+        raise ValueError(f"no {what}")

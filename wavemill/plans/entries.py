@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions import adaptive as adaptive_filters
 from ..functions import features as feature_table
 from ..functions import filters
 from ..operators import calibration, cohort, compare, direction, events, leakage, metrics, windows
-from ..shared import kept
+from ..shared import discard, kept
 from ..sources import annotations, edf, tables
 from . import loso
 
@@ -71,7 +72,7 @@ def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] |
     old = None if overwrite else tables.written(spark, path)
     work = kept(chosen if old is None else tables.unwritten(chosen, tables.complete(old, len(names)), ["case", "file"]))
     source = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(names)).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others))
-    raw = source.load(f"{root}/raw").join(F.broadcast(work.select("case", "file")), ["case", "file"], "left_semi")
+    raw = source.load(f"{root}/raw").join(work.select("case", "file"), ["case", "file"], "left_semi")
     # filtering both ways needs the whole channel of a recording: its stretches are put together in one row
     stretches = F.array_sort(F.collect_list(F.struct("chunk_idx", "samples")))
     channels = raw.groupBy("case", "file", "channel").agg(F.flatten(F.transform(stretches, lambda s: s["samples"])).alias("samples"))
@@ -157,30 +158,39 @@ def extract_features(spark: SparkSession, root: str, cfg: dict, patients: list[s
     return feature_table.share_non_finite(back, len(config.feature_names(nonlinear)))
 
 
-def baseline(spark: SparkSession, root: str, cfg: dict, arms: list[str] = ("raw", "subject_standardised"), models: list[str] = ("svm", "rf"), most_patients: int | None = None, grids: dict[str, dict] | None = None) -> DataFrame:
-    """Held-out predictions of every arm and model; returns the window metrics per patient."""
-    rows = spark.read.parquet(f"{root}/features")
+def baseline(spark: SparkSession, root: str, cfg: dict, arms: list[str] | None = None, models: list[str] | None = None, patients: list[str] | None = None, most_patients: int | None = None) -> DataFrame:
+    """Held-out predictions of every arm and model; returns the window metrics per patient.
+
+    ``patients``, and of these the first ``most_patients`` in order, are all that
+    there is: others are neither held out nor trained on. Models, grids, features and
+    training rows follow the settings; what each fold chose is in ``reports/chosen``.
+    """
+    rows = _only(spark.read.parquet(f"{root}/features"), patients)
+    if most_patients is not None:
+        rows = rows.join(rows.select("patient").distinct().orderBy("patient").limit(most_patients), "patient", "left_semi")
     names = [c for c in rows.columns if c.startswith("f_")]
     leakage.require_none(leakage.split_cases(rows), "cases of several patients")
     leakage.require_none(leakage.non_finite(rows, names), "features that are not finite")
     window_s, overlap = float(cfg["segmentation"]["window_s"]), float(cfg["segmentation"]["overlap"])
     n = calibration.calibration_length(cfg["evaluation"]["calibration"]["minutes"], window_s, overlap)
     seed = int(cfg["project"]["seed"])
-    if grids is None and cfg["evaluation"]["tuning"]["mode"] == "nested":
-        grids = cfg["evaluation"]["grids"]
-    splits = int(cfg["evaluation"]["tuning"]["inner_splits"])
-    for arm in arms:
-        table = calibration.arm(rows, names, arm, n, int(cfg["evaluation"]["calibration"]["min_windows"]))
-        held = loso.held_out(table, most_patients or 1_000_000)
-        for kind in models:
-            pred = loso.predict(table, names, kind, held, seed, grid=(grids or {}).get(kind), splits=splits)
+    settings = []
+    for arm in arms or cfg["evaluation"]["arms"]:
+        table = kept(calibration.arm(rows, names, arm, n, int(cfg["evaluation"]["calibration"]["min_windows"])))
+        held = loso.held_out(table)
+        for kind in models or cfg["evaluation"]["models"]:
+            chosen: list = []
+            pred = kept(loso.predict(table, names, kind, held, seed, chosen=chosen, **config.learning(cfg, kind)))
             leakage.require_none(leakage.scored_calibration(pred, table.where("is_calibration")), "scored calibration windows")
             tables.write_predictions(pred.withColumns({"arm": F.lit(arm), "model": F.lit(kind)}), f"{root}/predictions")
+            settings += [(arm, kind, str(p), str(q)) for p, q in chosen]
+        discard(table)
+    tables.write_report(spark.createDataFrame(settings, "arm string, model string, patient string, setting string"), f"{root}/reports/chosen")
     return metrics.window_metrics(spark.read.parquet(f"{root}/predictions"), ["arm", "model", "patient"], window_s * (1 - overlap))
 
 
-def report(spark: SparkSession, root: str, cfg: dict, reference: str = "raw", dev: list[str] = (), **alarm_options) -> dict[str, DataFrame]:
-    """Summary, event report, and comparison of arms, each also written as one CSV."""
+def report(spark: SparkSession, root: str, cfg: dict, reference: str = "raw", dev: list[str] = (), tag: str = "", **alarm_options) -> dict[str, DataFrame]:
+    """Summary, event report, and comparison of arms, each also written as one CSV; ``tag`` ends the name of the events' one."""
     pred = spark.read.parquet(f"{root}/predictions")
     fs, window_s = float(cfg["dataset"]["fs"]), float(cfg["segmentation"]["window_s"])
     step_s = window_s * (1 - float(cfg["segmentation"]["overlap"]))
@@ -194,22 +204,42 @@ def report(spark: SparkSession, root: str, cfg: dict, reference: str = "raw", de
         "patients_by_arm": per_patient.groupBy("model", "patient").pivot("arm").agg(F.first("auc")),
     }
     for name, df in out.items():
-        tables.write_report(df, f"{root}/reports/{name}")
+        tables.write_report(df, f"{root}/reports/{name}{tag if name == 'events' else ''}")
     return out
 
 
-def feature_directions(spark: SparkSession, root: str, min_ictal: int = 30, top: int = 20, focus: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Agreement of each patient's feature directions with the others', and the features with the strongest ones."""
+def feature_directions(spark: SparkSession, root: str, min_ictal: int = 30, top: int = 12, focus: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Agreement of each patient's feature directions with the others', and the ``top`` features with the strongest ones; both also written as CSV.
+
+    With ``focus`` the strongest are those in the median of all other patients, beside what this patient does with them.
+    """
     rows = spark.read.parquet(f"{root}/features")
     names = [c for c in rows.columns if c.startswith("f_")]
     long = rows.select("patient", "label", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["patient", "label"], names, "feature", "value")
-    aucs = direction.feature_auc(long, min_ictal)
-    return direction.summary(aucs), direction.strongest(aucs, top, focus)
+    aucs = kept(direction.feature_auc(long, min_ictal))
+    if focus is not None:
+        leakage.require_none(spark.createDataFrame([(focus,)], "patient string").join(aucs.select("patient"), "patient", "left_anti"), "patients with too few ictal windows or unknown ones")
+    out = direction.summary(aucs), direction.strongest(aucs, top) if focus is None else direction.against_others(aucs, focus, top)
+    for name, df in zip(("feature_direction_summary", "feature_direction"), (out[0], direction.wide(aucs)), strict=True):
+        tables.write_report(df, f"{root}/reports/{name}")
+    return out
+
 
+def feature_sanity(spark: SparkSession, root: str, cfg: dict, cases: list[str] | None = None) -> DataFrame:
+    """Each feature's mean over channels in ictal and other windows, and its change in percent."""
+    rows = spark.read.parquet(f"{root}/features_long")
+    rows = rows.where(F.col("case").isin(cases)) if cases else rows
+    leakage.require_some(rows.where("label = 1"), "ictal windows")
+    names = config.feature_names(bool(cfg["features"]["nonlinear"]))
+    window = F.concat_ws("|", "case", "file", F.col("start_sample").cast("string")).alias("window")
+    long = rows.select(window, "label", "channel", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["window", "label", "channel"], names, "feature", "value")
+    return direction.sanity(long)
 
-def adaptive_ratios(spark: SparkSession, root: str) -> DataFrame:
+
+def adaptive_ratios(spark: SparkSession, root: str, cases: list[str] | None = None) -> DataFrame:
     """Output over input RMS of the last run of each setting and recording, a column per setting."""
     log = spark.read.parquet(f"{root}/logs/adaptive").withColumn("at", F.monotonically_increasing_id())
+    log = log.where(F.col("case").isin(cases)) if cases else log
     last = direction.latest(log, ["setting", "file"], "at")
     return last.groupBy("file").pivot("setting").agg(F.first(F.try_divide("rms_out", "rms_in")))
 
@@ -220,9 +250,17 @@ def check_contract(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "table string, problem string")
 
 
-def shuffle_checks(spark: SparkSession, root: str, kinds: list[str] = ("svm", "rf"), n_test: int = 3, seeds: list[int] = (0,)) -> DataFrame:
-    """AUC with permuted training labels for each model and seed; the mean must be near chance."""
+def shuffle_checks(spark: SparkSession, root: str, cfg: dict, kinds: list[str] = ("svm", "rf"), n_test: int = 3, seeds: list[int] = (0,)) -> DataFrame:
+    """Mean AUC with permuted training labels for each model and seed, which must be near chance; appended to the log of such runs."""
     rows = spark.read.parquet(f"{root}/features")
     names = [c for c in rows.columns if c.startswith("f_")]
-    runs = [loso.shuffle_check((rows, names), k, n_test, s).withColumns({"model": F.lit(k), "seed": F.lit(s)}) for k in kinds for s in seeds]
-    return reduce(DataFrame.unionByName, runs)
+    people = rows.select("patient").distinct().count()
+    run = F.lit(uuid.uuid4().hex[:12])
+    done = []
+    for kind, seed in product(kinds, seeds):
+        got = loso.shuffle_check((rows, names), kind, n_test, seed, **config.learning(cfg, kind))
+        mean = got.agg(F.max("mean_auc").alias("auc"), F.coalesce(F.bool_or("passes"), F.lit(False)).alias("within_band"))
+        done.append(mean.select(run.alias("run_id"), F.current_timestamp().alias("at"), F.lit(kind).alias("model"), F.lit(seed).alias("seed"), F.lit(min(n_test, people)).alias("n_test_patients"), F.lit(people).alias("n_patients_available"), F.lit(cfg["evaluation"]["tuning"]["mode"]).alias("tuning_mode"), F.round("auc", 4).alias("auc"), "within_band"))
+    log = kept(reduce(DataFrame.unionByName, done))
+    tables.append_log(log, f"{root}/logs/label_shuffle")
+    return log

@@ -78,7 +78,7 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 
 def shapes(rows: DataFrame, k: int) -> DataFrame:
-    """Per set: rows, ictal rows, and of the ``k`` features with the highest ANOVA F (ties: the first) place, mean and spread."""
+    """Per set: rows, ictal rows, and of the ``k`` features with the highest ANOVA F (ties: the first) place, mean and spread (0: constant)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, tuple] = {}
@@ -102,7 +102,7 @@ def shapes(rows: DataFrame, k: int) -> DataFrame:
         chosen = np.sort(np.argsort(-ratio, kind="stable")[:k])
         spread = np.sqrt(squares / n)[chosen]
         first = rows.iloc[0]
-        return pd.DataFrame([(first["fold"], first["split"], n, per[1][0] if 1 in per else 0, chosen.astype(np.int32).tobytes(), mean[chosen].tobytes(), np.where(spread > 0, spread, 1.0).tobytes())], columns=[c.split()[0] for c in SHAPE.split(", ")])
+        return pd.DataFrame([(first["fold"], first["split"], n, per[1][0] if 1 in per else 0, chosen.astype(np.int32).tobytes(), mean[chosen].tobytes(), spread.tobytes())], columns=[c.split()[0] for c in SHAPE.split(", ")])
 
     parts = rows.select(*SET, "label", "x").mapInPandas(part, "fold int, split int, label int, n long, mean binary, squares binary")
     return parts.groupBy(*SET).applyInPandas(whole, SHAPE)  # a row for each task, set and class
@@ -137,6 +137,12 @@ def _landmarks(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return hashed.mapInPandas(part, hashed.schema).groupBy(*SET).applyInPandas(lambda rows: rows.sort_values("h", kind="stable").head(n)[[*SET, "x"]], "fold int, split int, x array<float>")
 
 
+def _scaled(x: np.ndarray, chosen: np.ndarray, mean: bytes, scale: bytes) -> np.ndarray:
+    """Chosen features without their mean, over their spread; constant ones stay 0."""
+    spread = _read(scale)
+    return (x[:, chosen] - _read(mean)) / np.where(spread > 0, spread, 1.0)
+
+
 BASE = f"{SHAPE}, g int, gamma double, landmarks binary, project binary"
 
 
@@ -145,12 +151,13 @@ def _bases(landmarks: DataFrame, shape: DataFrame, gammas: list) -> DataFrame:
 
     def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         s = own.iloc[0]
-        chosen, mean, scale = _read(s["chosen"], np.int32), _read(s["mean"]), _read(s["scale"])
-        marks = (_matrix(rows["x"])[:, chosen] - mean) / scale
+        chosen = _read(s["chosen"], np.int32)
+        marks = _scaled(_matrix(rows["x"]), chosen, s["mean"], s["scale"])
+        varied = int((_read(s["scale"]) > 0).sum())
         out = []
         for g, gamma in enumerate(gammas):
-            # "scale": one over the number of features times the variance of all entries; scaled columns have variance 1, constant ones 0
-            width = 1 / max(1, len(chosen)) if gamma == "auto" else 1 / max(1.0, float(marks.shape[1]) * float(np.mean(np.ptp(marks, axis=0) > 0))) if gamma == "scale" else float(gamma)
+            # "scale": one over the number of features times the variance of all entries, which is the share of features that vary
+            width = 1 / max(1, varied if gamma == "scale" else len(chosen)) if gamma in ("scale", "auto") else float(gamma)
             out.append((*s, g, width, marks.tobytes(), kernel_machine.projection(marks, width).tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in BASE.split(", ")])
 
@@ -161,7 +168,7 @@ def _features(x: np.ndarray, base) -> np.ndarray:
     """Nyström features of raw rows."""
     chosen = _read(base.chosen, np.int32)
     marks = _read(base.landmarks).reshape(-1, len(chosen))
-    return kernel_machine.lift((x[:, chosen] - _read(base.mean)) / _read(base.scale), marks, _read(base.project).reshape(len(marks), -1), base.gamma)
+    return kernel_machine.lift(_scaled(x, chosen, base.mean, base.scale), marks, _read(base.project).reshape(len(marks), -1), base.gamma)
 
 
 def _at(w: np.ndarray | None, size: int) -> np.ndarray:
