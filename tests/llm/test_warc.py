@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.llm import warc
-from wavemill.shared import new_folder
+from wavemill.shared import kept, new_folder
 
 SCHEMA = "page_id long, url string, html string, kind string, row long"
 BIG = "x" * 1200
 SEPARATOR = "\r\n\r\nWARC/1.1\r\n"
+LINE = "\nWARC/1.1"
 FAKE = SEPARATOR + "WARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 3\r\n\r\nabc"
 
 
@@ -44,9 +45,15 @@ def test_round_trip(spark):
 
 def test_payloads_that_hold_the_separator_or_records(spark):
     rows = [(3, "u", f"hello{FAKE}tail"), (4, "u", FAKE * 50 + BIG), (20, "q", FAKE), (21, "q", SEPARATOR), (22, "q", SEPARATOR * 2), (23, "q", "WARC/1.1\r\n"), (1, "q", "plain")]
+    rows += [(30 + i, "q", f"{lead}{LINE}{tail}") for i, (lead, tail) in enumerate(((a, b) for a in ("", "x", "\r", "\r\n\r") for b in ("", "\r", "\r\n", "\r\n\r", "\r\n\r\n")))]
     assert run(spark, rows, 2) == run(spark, rows, 1) == brute(rows)
 
 
+def test_separators_across_the_buffers_of_the_reader(spark):
+    rows = [(i, f"http://h/{i}", "t" * (i * 37 % 4001)) for i in range(3000)]
+    assert run(spark, rows, 1) == brute(rows)
+
+
 def test_archives_of_several_splits(spark):
     path = new_folder(spark)
     rows = [(i, f"http://h/{i}", f"{i} " + "text " * (i % 700) + (FAKE if i % 50 == 0 else "")) for i in range(900)]
@@ -93,7 +100,7 @@ def test_links_in_both_directions_and_over_others(spark):
     names = lambda r, c: [x["record_id"] for x in r[c]]
     assert (names(got["r1"], "requests"), names(got["r1"], "metadata")) == (["q1"], ["m1", "m2", "m3"])
     assert (names(got["r2"], "requests"), names(got["r2"], "metadata")) == (["q2"], [])
-    assert got["r1"]["response"]["payload"] == b"body" and got["lost"]["response"] is None
+    assert got["r1"]["response"]["payload"] == b"body" and set(got["lost"]["response"]) == {None}
     assert set(got) == {"r1", "r2", "lost", "l2", "self", "w"}
 
 
@@ -103,6 +110,17 @@ def test_files_cut_short(spark, tmp_path):
     assert [tuple(r) for r in got] == [("<urn:a>", b"hello", True), ("<urn:b>", b"hel", False)]
 
 
+def test_payloads_that_nobody_asks_for_are_not_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", BIG)], "page_id long, url string, html string")
+    assembled = warc.assemble(warc.read(spark, warc.archive(df)))
+    plan = lambda c: [x for x in assembled.select(c)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x or "_payload#" in x]
+    caught = []
+    monkeypatch.setattr(warc, "kept", lambda df: caught.append(df) or kept(df))
+    warc.inventory(assembled)
+    assert not any("_payload#" in x for x in caught[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in x)
+    assert not any("_payload#" in x for x in plan("response.payload_sha1")) and any("_payload#" in x for x in plan("response.payload"))
+
+
 def test_one_nested_row_for_each_capture(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"{BIG}{i % 3}") for i in range(9)], "page_id long, url string, html string")
     got = warc.assemble(warc.read(spark, warc.archive(df))).collect()

@@ -1,8 +1,9 @@
 """WARC archives: written by Spark's text writer, read by its text reader, and put together by transaction.
 
 A record is a header, an empty line, and a block of ``Content-Length`` bytes. Two line ends and the next record's
-version line stand between blocks, so a file is a text whose line separator is just that, and Spark splits, commits
-and recovers it like any other. A block may hold the separator itself; then a piece is
+version line stand between blocks, so a file is a text whose line separator is the version line with the line end before it
+(the other line end is left out, as a reader that looks for a separator that begins twice alike
+misses some across its buffers), and Spark splits, commits and recovers it like any other. A block may hold the separator itself; then a piece is
 shorter than its header says. Files in which all pieces have their lengths are read piece by piece; in others
 the lengths of the pieces (not their bytes) are followed in order through the file, and pieces of one
 record are joined again.
@@ -33,6 +34,8 @@ from .scratch import discard, kept, new_folder
 
 CRLF = "\r\n"
 BREAK = CRLF + CRLF
+#: What is left of the two line ends before a separator.
+REST = BREAK[:-1]
 #: Groups of equal payloads are spread over so many keys.
 SALTS = 16
 
@@ -106,10 +109,13 @@ def write(caught: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", vers
     lines.write.option("lineSep", BREAK).option("compression", compression).text(path)
 
 
+def _between(version: str) -> str:
+    return f"\nWARC/{version}{CRLF}"
+
+
 def _pieces(spark: SparkSession, path: str, version: str) -> DataFrame:
     """file, at (in order within a file), piece (bytes): what stands between separators; not yet records."""
-    between = f"{BREAK}WARC/{version}{CRLF}"
-    text = spark.read.option("lineSep", between).text(path)
+    text = spark.read.option("lineSep", _between(version)).text(path)
     lead = f"WARC/{version}{CRLF}"
     piece = F.col("value").cast("binary")
     begins = F.substring(piece, 1, len(lead)) == F.lit(lead.encode())
@@ -132,15 +138,15 @@ def read(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
     head, before, declared = _parts(F.col("piece"))
     size = F.octet_length("piece")
     measured = pieces.select("file", "at", "piece", size.alias("size"), (before + declared).alias("least"))
-    # the last piece of a file still has the two line ends
-    fits = F.coalesce((F.col("size") == F.col("least")) | ((F.col("size") == F.col("least") + len(BREAK)) & (F.substring("piece", -4, 4) == F.lit(BREAK.encode()))), F.lit(False))
+    ends = lambda tail: (F.col("size") == F.col("least") + len(tail)) & (F.substring("piece", -len(tail), len(tail)) == F.lit(tail.encode()))
+    fits = F.coalesce(ends(REST) | ends(BREAK), F.lit(False))  # the last piece of a file still has both line ends
     odd = kept(measured.where(~fits).select("file").distinct())
     if not odd.limit(1).count():
         discard(odd)
         return _parsed(pieces)
     marked = measured.join(odd.withColumn("odd", F.lit(True)), "file", "left")
     held = kept(marked.where("odd").select("file", F.col("at.block").alias("block"), F.col("at.id").alias("id"), "piece", "size", "least"))
-    between = f"{BREAK}WARC/{version}{CRLF}"
+    between = _between(version)
     narrow = held.select("file", "block", "id", "size", "least").repartition("file").sortWithinPartitions("file", "block", "id")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,24 +214,26 @@ def transactions(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: record_id, target_uri, date, response (struct: type, refers_to, digest, http, payload), requests and metadata (arrays of structs).
+    """One row per capture: record_id, target_uri, date, response (struct: type, refers_to, digest, http, payload_bytes, payload_sha1, payload), requests and metadata (arrays of structs).
 
-    The bytes of responses are shuffled once, by their record id; columns that are
-    not selected later are not shuffled at all.
+    ``digest`` is what the record says, bytes and SHA-1 are those of the payload as it was
+    read; all fields are null where a capture has no response or revisit. Payloads are shuffled once, by record id, and not at all where later steps do not use them.
     """
     is_main = F.col("type").isin("response", "revisit")
     http = F.substring_index(F.col("block").cast("string"), BREAK, 1)
     after = F.octet_length(http) + len(BREAK) + 1
-    response = F.struct("type", "refers_to", F.regexp_replace("payload_digest", "(?i)^sha1:", "").alias("digest"), http.alias("http"), F.substring("block", after, F.octet_length("block")).alias("payload"))
-    mains = records.where(is_main).select(F.col("record_id").alias("capture"), "target_uri", "date", response.alias("response"))
+    payload = F.substring("block", after, F.octet_length("block"))
+    parts = {"type": F.col("type"), "refers_to": F.col("refers_to"), "digest": F.regexp_replace("payload_digest", "(?i)^sha1:", ""), "http": http, "payload_bytes": F.octet_length(payload).cast("long"), "payload_sha1": F.sha1(payload), "payload": payload}
+    mains = records.where(is_main).select(F.col("record_id").alias("capture"), "target_uri", "date", *[c.alias(f"_{n}") for n, c in parts.items()])
     others = records.where(~is_main | F.col("type").isNull())
     placed = others.join(transactions(records), "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
     one = F.struct("record_id", "type", "date", "target_uri", "content_type", "block")
     of = lambda kind: F.array_sort(F.collect_list(F.when(kind, one)))
     grouped = placed.groupBy("capture").agg(of(F.col("type") == "request").alias("requests"), of(F.coalesce(F.col("type") != "request", F.lit(True))).alias("metadata"))
     whole = mains.join(grouped, "capture", "full_outer")
+    response = F.struct(*[F.col(f"_{n}").alias(n) for n in parts]).alias("response")
     nothing = lambda c: F.coalesce(F.col(c), F.array())
-    return whole.select(F.col("capture").alias("record_id"), F.coalesce("target_uri", F.get(nothing("requests"), 0)["target_uri"]).alias("target_uri"), "date", "response", nothing("requests").alias("requests"), nothing("metadata").alias("metadata"))
+    return whole.select(F.col("capture").alias("record_id"), F.coalesce("target_uri", F.get(nothing("requests"), 0)["target_uri"]).alias("target_uri"), "date", response, nothing("requests").alias("requests"), nothing("metadata").alias("metadata"))
 
 
 def archive(pages: DataFrame, **columns) -> str:
@@ -245,8 +253,8 @@ def inventory(assembled: DataFrame) -> DataFrame:
     """
     page = F.regexp_extract(F.get("metadata", 0)["block"].cast("string"), r"(?m)^id: (-?[0-9]+)\r?$", 1)
     rows = assembled.select(
-        "record_id", F.nullif(page, F.lit("")).cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_to"),
-        F.octet_length("response.payload").cast("long").alias("payload_bytes"), F.sha1("response.payload").alias("payload_digest"),
+        "record_id", page.try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_to"),
+        F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_digest"),
     )
     rows = kept(rows)
     targets = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
