@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill import config, schemas
 from wavemill.functions import adaptive, features, filters, kernels, time_domain
-from wavemill.operators import calibration, cohort, compare, direction, events, leakage, metrics, sampling, windows
+from wavemill.operators import calibration, chunks, cohort, compare, direction, events, leakage, metrics, sampling, windows
 from wavemill.sources import annotations, edf, tables
 
 PRED = "patient string, case string, file string, start_sample long, y_true int, y_pred int"
@@ -239,9 +239,67 @@ def test_filters():
 
 
 def test_preprocess_reports_bad_channels(spark):
-    rows = spark.createDataFrame([("c", "f", "A", [float(i % 7) for i in range(600)]), ("c", "f", "B", [0.0] * 600), ("c", "f", "C", [float("nan")] * 10)], "case string, file string, channel string, samples array<float>")
-    got = {r["channel"]: r["status"] for r in filters.preprocess(rows, 256, config.DEFAULTS["filter"]).collect()}
-    assert got == {"A": "success", "B": "flat", "C": "failed"}
+    samples = {"A": [float(i % 7) for i in range(600)], "B": [0.0] * 600, "C": [float("nan")] * 10, "D": [float(2e4 * (i % 9 - 4)) for i in range(600)], "E": []}
+    rows = [("c", "f", c, i, at, x[at : at + 250]) for c, x in samples.items() for i, at in enumerate(range(0, max(1, len(x)), 250))]
+    df = spark.createDataFrame(rows, "case string, file string, channel string, chunk_idx int, start_sample long, samples array<float>")
+    got = {r["channel"]: (r["status"], r["n_samples"]) for r in filters.channels(filters.preprocess(df, 256, config.DEFAULTS["filter"])).collect()}
+    assert got == {"A": ("success", 600), "B": ("flat", 600), "C": ("failed", 10), "D": ("implausible", 600), "E": ("flat", 0)}
+
+
+def chunks_of(spark, channels, size):
+    rows = [("c", "f", name, i, at, x[at : at + size].tolist()) for name, x in channels.items() for i, at in enumerate(range(0, len(x), size))]
+    return spark.createDataFrame(rows, "case string, file string, channel string, chunk_idx int, start_sample long, samples array<float>")
+
+
+@pytest.mark.parametrize(("n", "size"), [(9000, 2500), (9000, 400), (5000, 4999), (700, 64), (300, 1000)])
+def test_chunks_are_filtered_as_whole_channels(spark, n, size):
+    rng = np.random.default_rng(n + size)
+    channels = {c: (rng.normal(size=n) * 40 + 900 + 30 * np.sin(np.arange(n) * 1.47)).astype(np.float32) for c in "AB"}
+    filtered = filters.preprocess(chunks_of(spark, channels, size), 256, config.DEFAULTS["filter"])
+    got = filtered.orderBy("channel", "chunk_idx").collect()
+    for c, x in channels.items():
+        whole = filters.apply(x, 256, config.DEFAULTS["filter"])
+        mine = np.concatenate([r["samples"] for r in got if r["channel"] == c])
+        assert len(mine) == n and np.abs(mine - whole).max() <= 4 * np.finfo(np.float32).eps * np.abs(x).max()
+    std = {r["channel"]: r["std"] for r in filters.channels(filtered).collect()}
+    assert std == pytest.approx({c: float(filters.apply(x, 256, config.DEFAULTS["filter"]).std()) for c, x in channels.items()}, rel=1e-5)
+
+
+def test_a_day_is_never_in_one_row(spark):
+    fs, cfg = 64, {**config.DEFAULTS["filter"], "high": 28.0, "notch": 30.0}
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=24 * 3600 * fs).astype(np.float32)
+    size = 600 * fs
+    with_more = chunks.with_halo(chunks_of(spark, {"A": x}, size), filters.halo(fs, cfg), filters.halo(fs, cfg), size)
+    assert with_more.agg(F.max(F.size("samples")), F.count(F.lit(1))).first() == (size + 2 * filters.halo(fs, cfg), 144)
+    got = filters.preprocess(chunks_of(spark, {"A": x}, size), fs, cfg, size).orderBy("chunk_idx").select("samples").collect()
+    assert np.abs(np.concatenate([r["samples"] for r in got]) - filters.apply(x, fs, cfg)).max() < 1e-5
+
+
+def test_halo_by_plain_slices(spark):
+    rng = np.random.default_rng(2)
+    sizes = {"A": [5, 7, 3, 3, 9, 1], "B": [4], "C": [6, 2]}  # uneven, the last one shorter
+    rows, whole = [], {}
+    for c, of in sizes.items():
+        whole[c] = [float(v) for v in range(sum(of))]
+        at = 0
+        for i, n in enumerate(of):
+            rows.append(("c", "f", c, i, at, whole[c][at : at + n]))
+            at += n
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r[:3]) + (int(r[3]), int(r[4]), list(r[5])) for r in rows], "case string, file string, channel string, chunk_idx int, start_sample long, samples array<float>")
+    for before, after in ((0, 0), (4, 0), (0, 6), (2, 3), (11, 12), (100, 100)):
+        got = {(r["channel"], r["chunk_idx"]): (r["start_sample"], r["n_samples"], r["lead"], r["samples"]) for r in chunks.with_halo(df, before, after).collect()}
+        want = {(r[2], r[3]): (r[4], len(r[5]), r[4] - max(0, r[4] - before), whole[r[2]][max(0, r[4] - before) : r[4] + len(r[5]) + after]) for r in rows}
+        assert got == want
+
+
+@pytest.mark.parametrize(("length", "step", "size"), [(16, 8, 10), (10, 3, 25), (5, 7, 4), (64, 64, 30), (65, 1, 30)])
+def test_windows_across_chunks(spark, length, step, size):
+    channels = {c: np.arange(64, dtype=np.float32) + k for k, c in enumerate("AB")}
+    whole = windows.slices(spark.createDataFrame([("c", "f", c, x.tolist()) for c, x in channels.items()], "case string, file string, channel string, samples array<float>"), length, step, 64.0)
+    got = windows.chunk_slices(chunks_of(spark, channels, size), length, step, 64.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(*got.columns).collect()))
 
 
 @pytest.mark.parametrize("method", ["nlms", "rls", "kalman"])

@@ -1,9 +1,12 @@
+import numpy as np
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from wavemill.functions import adaptive
 from wavemill.operators import events
 from wavemill.plans.bindings import predictions
-from wavemill.streaming import alarms
+from wavemill.streaming import alarms, filters
 
 
 def batches(spark, df, path, order, n=3):
@@ -27,3 +30,58 @@ def test_stream_raises_the_batch_alarms(spark, tmp_path):
     found = events.merged_alarms(events.runs(pred, ["file"], F.col("y_pred") == 1, 512), ["file"], 1024, 512, 2, 1024)
     want = {(r["file"], r["raise_sample"]) for r in events.refractory_alarms(found, ["file"], 4096).collect()}
     assert got == want and want
+
+
+CHUNKS = "case string, channel string, file string, file_order int, chunk_idx int, samples array<double>"
+
+
+def signal(spark, bad=()):
+    rng = np.random.default_rng(6)
+    rows = []
+    for case, channel in (("c", "A"), ("c", "B"), ("d", "A")):
+        x = rng.normal(size=480).cumsum()
+        for i in range(8):
+            part = x[60 * i : 60 * i + 60].tolist()
+            if (case, i) in bad:
+                part[3] = float("nan")
+            rows.append((case, channel, f"f{i // 2}", i // 2, i % 2, part))
+    return spark.createDataFrame(rows, CHUNKS)
+
+
+def outcome(df):
+    return sorted((r["case"], r["channel"], r["file_order"], r["chunk_idx"], r["status"], r["samples"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("method", ["nlms", "rls", "kalman"])
+def test_streams_filter_as_batches_do(spark, tmp_path, method):
+    alarms.use_rocksdb(spark)
+    df, options = signal(spark), {"fs": 32.0, "warm_start_s": 5.0}  # a warm start of more than two chunks, which come in two batches
+    want = outcome(adaptive.run(df, method, **options))
+    numbered = df.withColumn("_b", F.col("file_order"))
+    run(filters.filtered(batches(spark, numbered, str(tmp_path / "in"), [], 4), method, **options), f"whole_{method}", tmp_path)
+    assert outcome(spark.table(f"whole_{method}")) == want
+    # the same from the states of a batch run over the first two files, and a batch run from those of the stream
+    first = adaptive.run(df.where("file_order < 2"), method, **options)
+    later = df.where("file_order = 2").withColumn("_b", F.col("chunk_idx"))
+    run(filters.filtered(batches(spark, later, str(tmp_path / "later"), [], 2), method, **options, initial=adaptive.states(first, method, warm_start_s=5.0)), f"later_{method}", tmp_path)
+    streamed = spark.table(f"later_{method}")
+    assert outcome(streamed) == [r for r in want if r[2] == 2]
+    last = adaptive.run(df.where("file_order = 3"), method, **options, initial=adaptive.states(streamed, method, warm_start_s=5.0))
+    assert outcome(last) == [r for r in want if r[2] == 3]
+
+
+def test_streams_tell_of_bad_and_late_chunks(spark, tmp_path):
+    alarms.use_rocksdb(spark)
+    df = signal(spark, bad={("d", 4)}).where("channel = 'A'")
+    order = F.when(F.col("case") == "c", F.when((F.col("file_order") == 1) & (F.col("chunk_idx") == 0), 1).otherwise(0)).otherwise(F.floor(F.col("file_order") / 2))
+    run(filters.filtered(batches(spark, df.withColumn("_b", order), str(tmp_path / "in"), [], 2), "nlms", fs=32.0, warm_start_s=1.0), "odd", tmp_path)
+    got = {(c, 2 * f + i): s for c, _, f, i, s, _ in outcome(spark.table("odd"))}
+    assert {s for (c, i), s in got.items() if c == "c" and i != 2} == {"success"} and got["c", 2] == "late"
+    assert [got["d", i] for i in range(8)] == ["success"] * 4 + ["failed"] + ["not_run"] * 3
+
+
+def test_channels_without_a_whole_warm_start_are_held_back(spark, tmp_path):
+    alarms.use_rocksdb(spark)
+    df = signal(spark).where("case = 'd' and file_order = 0").withColumn("_b", F.col("chunk_idx"))
+    run(filters.filtered(batches(spark, df, str(tmp_path / "in"), [], 2), "rls", fs=32.0, warm_start_s=60.0), "held", tmp_path)
+    assert spark.table("held").count() == 0

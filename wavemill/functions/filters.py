@@ -1,10 +1,13 @@
-"""Zero-phase filters of whole recordings: a notch run both ways, then a linear-phase band-pass."""
+"""Zero-phase filters of recordings, whole or in chunks: a notch run both ways, then a linear-phase band-pass."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import chunks as chunked
 
 
 def bandpass(fs: float, low: float, high: float, ripple_db: float, transition: float) -> np.ndarray:
@@ -29,6 +32,17 @@ def _convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[:n]
 
 
+def _memory(a: np.ndarray) -> int:
+    """After how many samples the recursive filter has forgotten all but 1e-14 of a value; 0 if it never does."""
+    radius = np.sqrt(abs(a[2]))
+    return int(np.ceil(np.log(1e-14) / np.log(radius))) if 0 < radius < 1 else 0
+
+
+def halo(fs: float, cfg: dict) -> int:
+    """How many samples on each side a filtered sample depends on."""
+    return len(bandpass(fs, cfg["low"], cfg["high"], cfg["ripple_db"], cfg["transition"])) // 2 + _memory(notch(fs, cfg["notch"], cfg["q"])[1])
+
+
 def _both_ways(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The recursive filter forward and backward, from a steady start at odd-reflected edges.
 
@@ -36,9 +50,8 @@ def _both_ways(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """
     pad = min(3 * max(len(a), len(b)), len(x) - 1)
     edged = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
-    radius = np.sqrt(abs(a[2]))
-    length = int(np.ceil(np.log(1e-14) / np.log(radius))) if radius < 1 else len(edged)
-    response = np.zeros(length)
+    response = np.zeros(_memory(a) or len(edged))
+    length = len(response)
     for i in range(length):
         response[i] = (b[i] if i < 3 else 0) - a[1] * (response[i - 1] if i else 0) - a[2] * (response[i - 2] if i > 1 else 0)
     gain = b.sum() / a.sum()
@@ -68,30 +81,51 @@ def response(h: np.ndarray, fs: float, freqs) -> np.ndarray:
     return np.array([20 * np.log10(abs((h * np.exp(-2j * np.pi * f / fs * t)).sum()) + 1e-300) for f in freqs])
 
 
-def preprocess(signals: DataFrame, fs: float, cfg: dict, flat: float = 1e-6, loud: float = 5000.0) -> DataFrame:
-    """Whole channels (case, file, channel, samples) filtered, with a status: ``success``, ``flat``, ``implausible`` or ``failed``.
+def preprocess(chunks: DataFrame, fs: float, cfg: dict, least: int | None = None) -> DataFrame:
+    """Chunks (case, file, channel, chunk_idx, start_sample, samples) filtered as if each channel were whole.
 
-    Filtering both ways needs the whole channel of a recording at once; a row holds one.
+    Both filters forget, so a chunk is filtered with the samples on both sides that
+    its own depend on (``halo``) and only its own are kept: what comes of a channel
+    differs from filtering it at once by no more than rounding. At the ends of a recording
+    the edges are what they are for the whole. A row has its number of samples, mean and squared
+    deviations, or an error: a bad chunk is a row of the log, not the end of the job.
     """
+    reach = halo(fs, cfg)
 
     def run(batches):
         for b in batches:
-            out, status, error, sd = [], [], [], []
-            for x in b["samples"]:
+            out, stats, error = [], [], []
+            for x, lead, n in zip(b["samples"], b["lead"], b["n_samples"], strict=True):
                 try:
-                    y = apply(np.asarray(x, float), fs, cfg)
+                    y = apply(np.asarray(x, float), fs, cfg)[lead : lead + n]
                     if not np.isfinite(y).all():
                         raise ValueError("non-finite output")
-                    s = float(y.std()) if len(y) else 0.0
+                    mean = float(y.mean(dtype=float)) if n else 0.0
                     out.append(y)
-                    status.append("flat" if s < flat else "implausible" if s > loud else "success")
+                    stats.append((mean, float(((y - mean) ** 2).sum(dtype=float))))
                     error.append(None)
-                    sd.append(s)
-                except Exception as e:  # a bad recording is a row of the log, not the end of the job
+                except Exception as e:
                     out.append(None)
-                    status.append("failed")
+                    stats.append((None, None))
                     error.append(f"{type(e).__name__}: {e}")
-                    sd.append(None)
-            yield pd.DataFrame({"case": b["case"], "file": b["file"], "channel": b["channel"], "samples": out, "std": sd, "status": status, "error": error})
-
-    return signals.select("case", "file", "channel", "samples").mapInPandas(run, "case string, file string, channel string, samples array<float>, std double, status string, error string")
+            keep = b[["case", "file", "channel", "chunk_idx", "start_sample", "n_samples"]]
+            yield keep.assign(samples=out, mean=[m for m, _ in stats], squares=[s for _, s in stats], error=error)
+
+    rows = chunked.with_halo(chunks, reach, reach, least)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("case", "file", "channel", "chunk_idx", "start_sample", "n_samples"))
+    return rows.mapInPandas(run, f"{schema}, samples array<float>, mean double, squares double, error string")
+
+
+def channels(filtered: DataFrame, flat: float = 1e-6, loud: float = 5000.0) -> DataFrame:
+    """(case, file, channel, n_samples, std, status, error) of the chunks of ``preprocess``: ``success``, ``flat``, ``implausible`` or ``failed``; samples are not read."""
+    of = filtered.groupBy("case", "file", "channel").agg(
+        F.sum("n_samples").cast("long").alias("n_samples"),
+        F.sum(F.col("n_samples") * F.col("mean")).alias("_sum"),
+        F.sum(F.col("squares") + F.col("n_samples") * F.col("mean") * F.col("mean")).alias("_squares"),
+        F.min("error").alias("error"),
+    )
+    mean = F.try_divide("_sum", "n_samples")
+    std = F.when(F.col("error").isNull(), F.sqrt(F.greatest(F.coalesce(F.try_divide("_squares", "n_samples") - mean * mean, F.lit(0.0)), F.lit(0.0))))
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("std") < flat, "flat").when(F.col("std") > loud, "implausible").otherwise("success")
+    return of.withColumn("std", std).select("case", "file", "channel", "n_samples", "std", status.alias("status"), "error")

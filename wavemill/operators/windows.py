@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import with_halo
+
 
 def cut(recordings: DataFrame, length: int, step: int, fs: float, n_samples: str = "n_samples") -> DataFrame:
     """One row per window: the columns of ``recordings`` with start_sample and t_start_s; a recording shorter than a window has none."""
@@ -46,3 +48,19 @@ def slices(signals: DataFrame, length: int, step: int, fs: float) -> DataFrame:
     """One row per window and channel of whole recordings (samples ARRAY): keys, start_sample, t_start_s, x."""
     rows = cut(signals.withColumn("_n", F.size("samples")), length, step, fs, "_n")
     return rows.withColumn("x", F.slice("samples", (F.col("start_sample") + 1).cast("int"), length)).drop("samples", "_n")
+
+
+def chunk_slices(chunks: DataFrame, length: int, step: int, fs: float, keys: tuple[str, ...] = ("case", "file", "channel"), least: int | None = None) -> DataFrame:
+    """The windows of ``slices`` from chunks (keys, chunk_idx, start_sample, samples) of recordings.
+
+    A window belongs to the chunk that its first sample lies in, which borrows what
+    the window needs of the chunks that follow (``with_halo``).
+    """
+    if step <= 0:
+        raise ValueError("the step must be positive")
+    rows = with_halo(chunks, 0, length - 1, least, keys)
+    first = F.ceil(F.col("start_sample") / step).cast("long") * step
+    last = F.col("start_sample") + F.least(F.col("n_samples").cast("long") - 1, F.size("samples").cast("long") - length)  # no window reaches beyond the recording
+    starts = F.when(last >= first, F.sequence(first, last, F.lit(step).cast("long")))
+    rows = rows.select(*keys, F.col("start_sample").alias("_begin"), "samples", F.explode(starts).alias("start_sample"))
+    return rows.select(*keys, "start_sample", (F.col("start_sample") / float(fs)).alias("t_start_s"), F.slice("samples", (F.col("start_sample") - F.col("_begin") + 1).cast("int"), length).alias("x"))

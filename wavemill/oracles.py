@@ -327,3 +327,6 @@ e AS (
   SELECT vec_id, r, sum(near2_inner) - 30 AS b, sum(near3) - 30 AS a, avg(ln(near2 / 31)) - avg(ln(CASE WHEN i < 30 THEN near3 / 30 END)) AS apen
   FROM t GROUP BY ALL)
 SELECT vec_id, round(CAST(CAST(CASE WHEN r > 0 AND a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS sampen, round(CAST(CAST(CASE WHEN r > 0 THEN apen ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS apen FROM e"""
+
+ORACLES["chunk_slices"] = ORACLES["window_slices"]
+ORACLES |= {"stream_nlms": ORACLES["nlms_filter"], "stream_rls": ORACLES["rls_filter"]}

@@ -24,6 +24,12 @@ from ..sources import annotations, edf, tables
 from . import loso
 
 
+#: Seconds of a recording that a row of signals holds.
+CHUNK_S = 600
+#: In which order an adaptive filter takes the chunks of a case.
+ORDER = ("file_order", "chunk_idx", "start_sample")
+
+
 def _only(df: DataFrame, patients: list[str] | None) -> DataFrame:
     return df.where(F.col("patient").isin(patients)) if patients else df
 
@@ -34,6 +40,12 @@ def _check_patients(spark: SparkSession, known: DataFrame, patients: list[str] |
         leakage.require_none(leakage.unknown_patients(asked, known), "unknown patients")
 
 
+def _signals(spark: SparkSession, root: str) -> DataFrame:
+    """Filtered chunks, without the channels of which one failed."""
+    rows = spark.read.parquet(f"{root}/signals")
+    return rows.join(rows.where("error is not null").select("case", "file", "channel"), ["case", "file", "channel"], "left_anti")
+
+
 def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None, mapping: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
     """Annotations and the index of recordings with the chosen cohort; recordings whose header cannot be used are replaced by others.
 
@@ -59,7 +71,7 @@ def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None
 
 
 def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None, overwrite: bool = False) -> DataFrame:
-    """Filtered channels of the included recordings, one row each, and a status row per recording in the log.
+    """Filtered channels of the included recordings in chunks, and a status row per recording in the log.
 
     Recordings whose channels were written before, all of them and as long as the index says, are skipped.
     """
@@ -71,16 +83,14 @@ def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] |
     chosen = _only(chosen, patients).select("case", "file", "n_samples")
     old = None if overwrite else tables.written(spark, path)
     work = kept(chosen if old is None else tables.unwritten(chosen, tables.complete(old, len(names)), ["case", "file"]))
-    source = spark.read.format("edf").option("unusable", "skip").option("channels", ",".join(names)).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others))
+    source = spark.read.format("edf").option("unusable", "skip").option("chunk_s", CHUNK_S).option("channels", ",".join(names)).option("aliases", ",".join(f"{c}={o}" for c, others in config.aliases(cfg).items() for o in others))
     raw = source.load(f"{root}/raw").join(work.select("case", "file"), ["case", "file"], "left_semi")
-    # filtering both ways needs the whole channel of a recording: its stretches are put together in one row
-    stretches = F.array_sort(F.collect_list(F.struct("chunk_idx", "samples")))
-    channels = raw.groupBy("case", "file", "channel").agg(F.flatten(F.transform(stretches, lambda s: s["samples"])).alias("samples"))
-    done = filters.preprocess(channels, fs, cfg["filter"])
-    tables.write_by_case(done.where("status <> 'failed'").select("case", "file", "channel", F.lit(0).alias("chunk_idx"), "samples"), path, ("case", "file"))
-    have = spark.read.parquet(path).join(chosen.select("case", "file"), ["case", "file"], "left_semi")
-    sizes = have.groupBy("case", "file").agg(F.max(F.size("samples")).cast("long").alias("_n"), F.count_if(F.sqrt(_power(F.col("samples"))) < 1e-6).cast("int").alias("flat_channels"))
-    wrong = tables.invalid(have, chosen).groupBy("case", "file").agg(F.min("reason").alias("error"))
+    # a chunk is as long as the source's default of ten minutes, or as one data record; the last one may be shorter
+    done = filters.preprocess(raw, fs, cfg["filter"], least=round(CHUNK_S / 2 * fs))
+    tables.write_by_case(done, path, ("case", "file"))
+    have = filters.channels(spark.read.parquet(path)).join(chosen.select("case", "file"), ["case", "file"], "left_semi")
+    sizes = have.groupBy("case", "file").agg(F.max("n_samples").alias("_n"), F.count_if(F.col("status") == "flat").cast("int").alias("flat_channels"))
+    wrong = tables.incomplete(have, chosen, len(names)).withColumnRenamed("reason", "error")
     log = chosen.join(work.select("case", "file", F.lit(True).alias("_new")), ["case", "file"], "left").join(sizes, ["case", "file"], "left").join(wrong, ["case", "file"], "left")
     status = F.when(F.col("_n").isNull() | F.col("error").isNotNull(), "failed").when(F.col("_new"), "success").otherwise("skipped_existing")
     log = kept(log.select(F.lit(uuid.uuid4().hex[:12]).alias("run_id"), "file", "case", status.alias("status"), F.col("_n").alias("n_samples"), (F.col("_n") / fs).alias("eeg_seconds"), F.lit(None).cast("double").alias("elapsed_s"), "flat_channels", "error"))
@@ -88,12 +98,6 @@ def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] |
     return log
 
 
-def _power(x):
-    """Mean squared deviation of an array."""
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    return F.aggregate(F.transform(F.array(mean), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))), F.lit(0.0), lambda a, v: a + v) / F.size(x)
-
-
 def adapt(spark: SparkSession, root: str, cfg: dict, method: str | None = None, params: dict | None = None, warm_start_s: float | None = None, patients: list[str] | None = None, overwrite: bool = False) -> DataFrame:
     """Signals through an adaptive filter, in order of each case's recordings; written below the setting's name, with the state after each.
 
@@ -115,14 +119,16 @@ def adapt(spark: SparkSession, root: str, cfg: dict, method: str | None = None,
         marked = chosen.join(whole, ["case", "file"], "left").withColumn("had", F.coalesce(F.col("_n") == F.col("n_samples"), F.lit(False)))
         marked = kept(marked.withColumn("_skip", F.min("had").over(line)).drop("_n"))
         work = marked.where("not _skip").drop("_skip")
-        states = kept(adaptive_filters.states(old.join(marked.where("_skip").select("case", "file"), ["case", "file"], "left_semi"), method, params, warm))
-    signals = spark.read.parquet(f"{root}/signals").join(work, ["case", "file"])
-    out = adaptive_filters.run(signals, method, params, fs, warm, initial=states)
-    columns = ["case", "file", "channel", "file_order", "chunk_idx", "samples", "status", "rms_in", "rms_out", "error", *adaptive_filters.PARTS]
-    tables.write_by_case(out.select(columns), path, ("case", "file"))
-    done = spark.read.parquet(path).drop("file_order").join(chosen, ["case", "file"])
+        states = kept(adaptive_filters.states(old.join(marked.where("_skip").select("case", "file"), ["case", "file"], "left_semi"), method, params, warm, ORDER))
+    signals = _signals(spark, root).drop("n_samples", "error").join(work, ["case", "file"])
+    out = adaptive_filters.run(signals, method, params, fs, warm, ORDER, states)
+    columns = ["case", "file", "channel", *ORDER, F.coalesce(F.size("samples"), F.lit(0)).alias("n_samples"), "samples", "status", "rms_in", "rms_out", "error", *adaptive_filters.PARTS]
+    tables.write_by_case(out.select(*columns), path, ("case", "file"))
+    done = spark.read.parquet(path).withColumnRenamed("n_samples", "_size").drop("file_order").join(chosen, ["case", "file"])
     worst = F.max(F.when(F.col("status") == "failed", 2).when(F.col("status") == "not_run", 1).otherwise(0))
-    log = done.groupBy("patient", "case", "file").agg(worst.alias("w"), F.max(F.size("samples")).cast("long").alias("n_samples"), F.avg("rms_in").alias("rms_in"), F.avg("rms_out").alias("rms_out"), F.max("error").alias("error"))
+    rms = lambda c: F.sqrt(F.try_divide(F.sum(F.col("_size") * F.col(c) * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("_size"))).cast("double"))).alias(c)
+    of_channel = done.groupBy("patient", "case", "file", "channel").agg(worst.alias("w"), F.sum("_size").cast("long").alias("n_samples"), rms("rms_in"), rms("rms_out"), F.max("error").alias("error"))
+    log = of_channel.groupBy("patient", "case", "file").agg(F.max("w").alias("w"), F.max("n_samples").alias("n_samples"), F.avg("rms_in").alias("rms_in"), F.avg("rms_out").alias("rms_out"), F.max("error").alias("error"))
     log = log.join(work.select("case", "file", "had"), ["case", "file"], "left")
     fine = F.when(F.col("had").isNull(), "skipped_existing").when(F.col("had"), "recomputed_downstream").otherwise("success")
     status = F.when(F.col("w") == 2, "failed").when(F.col("w") == 1, "not_run").otherwise(fine)
@@ -136,7 +142,7 @@ def make_windows(spark: SparkSession, root: str, cfg: dict, patients: list[str]
     fs = float(cfg["dataset"]["fs"])
     length, step = config.window_samples(cfg)
     chosen = _only(spark.read.parquet(f"{root}/tables/index").where("include"), patients).select("patient", "case", "file")
-    sizes = spark.read.parquet(f"{root}/signals").groupBy("case", "file").agg(F.max(F.size("samples")).cast("long").alias("n_samples"))
+    sizes = filters.channels(_signals(spark, root)).groupBy("case", "file").agg(F.max("n_samples").alias("n_samples"))
     seizures = windows.sample_bounds(spark.read.parquet(f"{root}/tables/annotations"), fs)
     made = windows.labelled(chosen.join(sizes, ["case", "file"]), seizures, length, step, fs, bool(cfg["segmentation"]["drop_boundary"]))
     tables.write_by_case(made.select("patient", "case", "file", "start_sample", "t_start_s", "label"), f"{root}/windows")
@@ -149,7 +155,8 @@ def extract_features(spark: SparkSession, root: str, cfg: dict, patients: list[s
     length, step = config.window_samples(cfg)
     keys = ["patient", "case", "file", "start_sample", "t_start_s", "label"]
     wanted = _only(spark.read.parquet(f"{root}/windows"), patients)
-    cut = windows.slices(spark.read.parquet(f"{root}/{source}").select("case", "file", "channel", "samples"), length, step, fs).drop("t_start_s")
+    signals = _signals(spark, root) if source == "signals" else spark.read.parquet(f"{root}/{source}")
+    cut = windows.chunk_slices(signals, length, step, fs, least=round(CHUNK_S / 2 * fs)).drop("t_start_s")
     rows = cut.join(wanted, ["case", "file", "start_sample"]).select(*keys, "channel", "x")
     long = feature_table.with_features(rows, fs, nonlinear=nonlinear)
     tables.write_by_case(long, f"{root}/features_long")

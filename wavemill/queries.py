@@ -12,9 +12,10 @@ from .operators import calibration, cohort, compare, direction, events, leakage,
 from .oracles import ORACLES
 from .plans import folds, loso, screen
 from .plans.bindings import FS, STEP, WINDOW, predictions, recordings, table, windows_of_vectors
-from .shared import new_folder
+from .shared import kept, new_folder
 from .sources import annotations
 from .streaming import alarms as streaming
+from .streaming import filters as stream_filters
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -304,6 +305,15 @@ def window_slices(spark: SparkSession, sf: str) -> DataFrame:
     return windows.slices(signals, 16, 8, 64.0).select("vec_id", "start_sample", "t_start_s", F.round(time_domain.total(F.col("x")), 6).alias("total"))
 
 
+@query
+def chunk_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of ``window_slices`` where every vector lies in chunks of ten samples."""
+    starts = F.sequence(F.lit(0), F.lit(63), F.lit(10))
+    chunks = windows_of_vectors(spark, sf).select("vec_id", "x", F.posexplode(starts).alias("chunk_idx", "start_sample")).select("vec_id", "chunk_idx", "start_sample", F.slice("x", F.col("start_sample") + 1, 10).alias("samples"))
+    found = windows.chunk_slices(chunks, 16, 8, 64.0, keys=("vec_id",), least=10)
+    return found.select("vec_id", "start_sample", "t_start_s", F.round(time_domain.total(F.col("x")), 6).alias("total"))
+
+
 @query
 def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
     """All features of every vector as a window of a second at 64 Hz."""
@@ -496,6 +506,37 @@ def stream_kalman(spark: SparkSession, sf: str) -> DataFrame:
     return last.select(F.col("case").cast("long").alias("user_id"), "n_blocks", "log_amplitude")
 
 
+def _stream_of_signals(spark: SparkSession, sf: str) -> DataFrame:
+    streaming.use_rocksdb(spark)
+    path, signals = new_folder(spark), _signals(spark, sf)
+    signals.write.parquet(path)
+    return spark.readStream.schema(signals.schema).parquet(path)
+
+
+@query
+def stream_nlms(spark: SparkSession, sf: str) -> DataFrame:
+    """The results of ``nlms_filter`` from a stream of chunks with the filter's state per user."""
+    out = streaming.drained(stream_filters.filtered(_stream_of_signals(spark, sf), "nlms", {"length": 4}, 1.0, 20.0))
+    return out.select("case", "file", "status", F.round("rms_in", 4).alias("rms_in"), F.round("rms_out", 4).alias("rms_out"))
+
+
+@query
+def stream_rls(spark: SparkSession, sf: str) -> DataFrame:
+    """The results of ``rls_filter`` from a stream that goes on from the states of a batch run over each user's first recording."""
+    signals = kept(_signals(spark, sf))
+    first = signals.groupBy("case").agg(F.min("file_order").alias("file_order"))
+    # a batch run over the first recordings of those that are longer than the warm start gives the states to begin with
+    begun = signals.join(first, ["case", "file_order"]).where(F.size("samples") >= 20)
+    batch = kept(adaptive.run(begun, "rls", {"length": 4}, fs=1.0, warm_start_s=20.0))
+    path, rest = new_folder(spark), signals.join(begun.select("file"), "file", "left_anti").select(*signals.columns)
+    rest.write.parquet(path)
+    streaming.use_rocksdb(spark)
+    stream = spark.readStream.schema(signals.schema).parquet(path)
+    out = streaming.drained(stream_filters.filtered(stream, "rls", {"length": 4}, 1.0, 20.0, adaptive.states(batch, "rls", {"length": 4}, 20.0)))
+    columns = ["case", "file", "status", F.round("rms_in", 4).alias("rms_in"), F.round("rms_out", 4).alias("rms_out")]
+    return batch.select(*columns).unionByName(out.select(*columns))
+
+
 @query
 def stream_alarms(spark: SparkSession, sf: str) -> DataFrame:
     """The alarms of ``event_summary`` from a stream of window predictions with state per recording."""

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 ANNOTATIONS = "patient string, case string, file string, seizure_idx int, seizure_start_s double, seizure_end_s double"
 FILE_INDEX = "patient string, case string, file string, file_order int, duration_s double, n_samples long, n_seizures int, role string, include boolean, exclude_reason string"
-SIGNALS = "case string, file string, channel string, chunk_idx int, samples array<float>"
+SIGNALS = "case string, file string, channel string, chunk_idx int, start_sample long, n_samples int, samples array<float>"
 WINDOWS = "patient string, case string, file string, start_sample long, t_start_s double, label tinyint"
 PREDICTIONS = "patient string, case string, file string, start_sample long, y_true tinyint, y_score double, y_pred tinyint, arm string, model string"
 PER_PATIENT = "patient string, n_windows long, n_ictal long, tp long, fp long, tn long, fn long, sensitivity double, specificity double, f1 double, auc double, fa_per_hour double"

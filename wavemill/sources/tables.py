@@ -44,7 +44,8 @@ def written(spark: SparkSession, path: str) -> DataFrame | None:
 
 def complete(signals: DataFrame, n_channels: int) -> DataFrame:
     """(case, file, n_samples) of the recordings that have all channels, of one length."""
-    lengths = signals.where("samples is not null").groupBy("case", "file", "channel").agg(F.sum(F.size("samples")).alias("n"))
+    known = "n_samples" in signals.columns  # then samples need not be read
+    lengths = signals.where("error is null" if known else "samples is not null").groupBy("case", "file", "channel").agg(F.sum("n_samples" if known else F.size("samples")).alias("n"))
     whole = lengths.groupBy("case", "file").agg(F.count(F.lit(1)).alias("channels"), F.min("n").alias("low"), F.max("n").alias("n_samples"))
     return whole.where((F.col("channels") == n_channels) & (F.col("low") == F.col("n_samples"))).select("case", "file", "n_samples")
 
@@ -75,6 +76,15 @@ def unwritten(work: DataFrame, done: DataFrame, keys: list[str], n: str = "n_sam
     return work.join(done.select(*keys, F.col(n).alias("_n")), keys, "left").where(F.col("_n").isNull() | (F.col("_n") != F.col(n))).drop("_n")
 
 
+def incomplete(channels: DataFrame, index: DataFrame, n_channels: int) -> DataFrame:
+    """(case, file, reason) of recordings whose channels (case, file, channel, n_samples, status) failed, are missing, or are not of the length in the index."""
+    gap = F.abs(F.col("n_samples") - F.col("_n"))
+    reason = F.when(F.col("status") == "failed", F.concat_ws(": ", "channel", "error")).when(F.col("n_samples") == 0, "empty").when(gap == 1, "off_by_one").when(gap > 1, "length")
+    rows = channels.join(index.select("case", "file", F.col("n_samples").alias("_n")), ["case", "file"])
+    found = rows.groupBy("case", "file").agg(F.min(reason).alias("reason"), F.count(F.lit(1)).alias("n"))
+    return found.select("case", "file", F.coalesce("reason", F.when(F.col("n") < n_channels, "missing_channels")).alias("reason")).where("reason is not null")
+
+
 def invalid(signals: DataFrame, index: DataFrame) -> DataFrame:
     """(case, file, channel, reason) of outputs that are empty, not finite, or not of the length in the index."""
     rows = signals.join(index.select("file", F.col("n_samples").alias("_n")), "file", "left")
