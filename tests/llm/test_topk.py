@@ -44,6 +44,27 @@ def test_repeated_rows(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def test_many_rows_of_one_query_id_are_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(50, rng.normal(size=3).astype(np.float32).tolist(), 0, "", "") for _ in range(20)] * 500 + [(i, rng.normal(size=3).astype(np.float32).tolist(), 0, "", "") for i in range(51, 90)]
+    seen = []
+    kept = topk.kept
+
+    def watch(df):
+        out = kept(df)
+        if "q_block" in df.columns and "q_parts" in df.columns and "bounds" not in df.columns:
+            seen.append([r["q_n"] for r in out.select("q_n").collect()])
+        return out
+
+    topk.kept = watch
+    try:
+        got = topk.search(spark.createDataFrame(rows, SCHEMA), lambda i: i % 50 == 0, queries_per_block=1024).groupBy("rank").count().collect()
+    finally:
+        topk.kept = kept
+    assert {(r["rank"], r["count"]) for r in got} == {(k, 10_000) for k in range(1, 6)}
+    assert len(seen[0]) >= 10 and sum(seen[0]) == 10_000 and max(seen[0]) <= 1024
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0], 0, "", ""), (50, [2.0], 0, "", "")], SCHEMA)
     assert sorted(tuple(r) for r in topk.search(df, lambda i: i % 50 == 0).collect()) == [(0, 1, 50, 131072), (50, 1, 0, 131072)]

@@ -43,6 +43,8 @@ from .scratch import discard, kept
 PACKED = "block long, n int, ids binary, rows binary, parts array<binary>"
 #: Queries of a block that are compared at once.
 AT_ONCE = 256
+#: Blocks that queries are dealt into, where there are fewer than fill one.
+LEAST_DEALS = 4
 LEAST = -(2**62)
 
 
@@ -241,7 +243,11 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     alike = Window.partitionBy("same").orderBy("vec_id", "row")
     cands = rows.withColumn("same", F.sha2(F.array_join(F.col("vector").cast("array<string>"), ",").cast("binary"), 256)).withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k + 1)
     cands = kept(cands.select("vec_id", "row", "vector").mapInPandas(_pack(rows_per_block, slices, dims), PACKED))
-    queries = rows.where(is_query(F.col("vec_id"))).repartition(F.floor(F.col("vec_id") / 1_000_000)).select("vec_id", "row", "vector").mapInPandas(_pack(queries_per_block, slices, dims), PACKED)
+    asked = rows.where(is_query(F.col("vec_id")))
+    # dealt by row, so that rows of one id are spread as all others; few queries still make several tasks
+    n_asked = asked.count()
+    n_deals = max(-(-n_asked // queries_per_block), min(LEAST_DEALS, n_asked), 1)
+    queries = asked.repartition(n_deals, F.pmod(F.xxhash64("row"), F.lit(n_deals))).select("vec_id", "row", "vector").mapInPandas(_pack(queries_per_block, slices, dims), PACKED)
     queries = kept(queries.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "n", "ids", "rows", "parts")]))
     # each block of vectors is sent to each block of queries: an equality join on the number of the query block
     numbered = kept(queries.select("q_block").withColumn("pair", F.row_number().over(Window.orderBy("q_block"))))  # a row per block
