@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill import config, schemas
 from wavemill.functions import adaptive, features, filters, kernels, time_domain
-from wavemill.operators import calibration, chunks, cohort, compare, direction, events, leakage, metrics, sampling, windows
+from wavemill.operators import arrays, calibration, chunks, cohort, compare, direction, events, leakage, metrics, sampling, windows
 from wavemill.sources import annotations, edf, tables
 
 PRED = "patient string, case string, file string, start_sample long, y_true int, y_pred int"
@@ -419,13 +419,101 @@ def test_tables(spark, tmp_path):
     r = tables.read_per_patient(spark, str(tmp_path), "patient string, auc double").first()
     assert (r["arm"], r["model"]) == ("raw", "rf__x")
     old = spark.createDataFrame([("p", 1), ("q", 1)], "patient string, file_order int")
-    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
-    tables.upsert_patients(spark, old, path, staging)
-    tables.upsert_patients(spark, old.where("patient = 'q'").withColumn("file_order", F.lit(9)), path, staging)
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("p", 1), ("q", 9)}
+    path = str(tmp_path / "t")
+    tables.upsert_patients(spark, old, path)
+    tables.upsert_patients(spark, old.where("patient = 'q'").withColumn("file_order", F.lit(9)), path)
+    assert {tuple(r) for r in tables.current(spark, path).collect()} == {("p", 1), ("q", 9)}
     assert schemas.problems(old, "patient string, file_order long, x int") == ["type:file_order:int<>bigint", "missing:x"]
 
 
+def test_a_run_that_stops_before_the_swap_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([("p", 1)], "patient string, file_order int")
+    with pytest.raises(FileNotFoundError):
+        tables.current(spark, path)
+    tables.upsert_patients(spark, one, path)
+    reading = tables.current(spark, path)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    swap = tables._swap
+    monkeypatch.setattr(tables, "_swap", stop)
+    with pytest.raises(KeyboardInterrupt):
+        tables.upsert_patients(spark, one.withColumn("file_order", F.lit(2)), path)
+    assert [tuple(r) for r in tables.current(spark, path).collect()] == [("p", 1)]
+    monkeypatch.setattr(tables, "_swap", swap)
+    tables.upsert_patients(spark, one.withColumn("file_order", F.lit(3)), path)
+    assert [tuple(r) for r in tables.current(spark, path).collect()] == [("p", 3)]
+    assert [tuple(r) for r in reading.collect()] == [("p", 1)]
+    tables.upsert_patients(spark, one, path)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]) == 2
+
+
+def test_medians_by_counts(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 501), ("d", 500)) for v in rng.integers(0, 40, n)] + [("a", None), ("b", float("nan")), ("e", None)]
+    got = {r["g"]: r["median"] for r in metrics.medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got == {g: float(np.median([v for k, v in rows if k == g and v is not None and not np.isnan(v)])) for g in "abcd"}
+
+
+def test_missing_values_count_as_the_median(spark):
+    rng = np.random.default_rng(1)
+    rows = [("p", int(i % 3 == 0), f, float(v) if i % 7 else (None if i % 2 else float("nan"))) for f in ("x", "y") for i, v in enumerate(rng.normal(size=90))]
+    rows = [r if r[2] == "x" else (*r[:3], 1.0) for r in rows]
+    got = {r["feature"]: r["auc"] for r in direction.feature_auc(spark.createDataFrame(rows, "patient string, label int, feature string, value double"), 3).collect()}
+    x = np.array([np.nan if r[3] is None else r[3] for r in rows if r[2] == "x"])
+    x, y = np.where(np.isnan(x), np.nanmedian(x), x), np.array([r[1] for r in rows if r[2] == "x"])
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in x[y == 1] for b in x[y == 0]])
+    assert got == {"x": pytest.approx(want), "y": 0.5}
+
+
+def test_consensus_over_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    aucs = spark.createDataFrame([(f"p{i}", f, float(rng.integers(0, 9)) / 9 if i % 4 else None) for i in range(21) for f in "xyz"], "patient string, feature string, auc double")
+    found = lambda: sorted(map(tuple, direction.consensus(aucs).collect()))
+    alone = found()
+    monkeypatch.setattr(direction, "RANKED_ALONE", 3)
+    assert found() == alone
+    against = direction.against_others(aucs, "p5", 2).collect()
+    assert len(against) == 2 and all(r["flipped"] == ((r["focus"] - 0.5) * (r["consensus"] - 0.5) < 0) for r in against)
+
+
+def test_folds_over_long_arrays_by_a_plain_loop(spark):
+    n = 3 * arrays.BLOCK + 7
+    at = sorted(int(v) for v in np.random.default_rng(2).integers(0, 40 * n, n))
+    df = spark.createDataFrame([("r", a, a + 1) for a in at] + [("one", 5, 6)], "file string, raise_sample long, end_sample long")
+    want, last = [], None
+    for a in at:
+        if last is None or a - last >= 60:
+            want.append(a)
+            last = a
+    got = [r["raise_sample"] for r in events.refractory_alarms(df, ["file"], 60).where("file = 'r'").orderBy("raise_sample").collect()]
+    assert got == want and len(want) > arrays.BLOCK
+    z = [float(v) for v in np.random.default_rng(3).normal(size=n)]
+    s, p, line = z[0], 1.0, [z[0]]
+    for v in z[1:]:
+        k = (p + 0.1) / (p + 0.1 + 1.0)
+        s, p = s + k * (v - s), (1 - k) * (p + 0.1)
+        line.append(s)
+    assert spark.createDataFrame([(z,)], "z array<double>").select(adaptive.tracked(F.col("z"), 0.1)).first()[0] == pytest.approx(line)
+
+
+def test_screening_features_by_plain_formulas():
+    x = np.random.default_rng(7).normal(size=(3, 128)).cumsum(axis=1)
+    got = kernels.screening_features(x, 64.0)
+    assert got.shape == (3, 15)
+    for row, w in zip(got, x, strict=True):
+        energy = [abs(sum(v * 0.5 * (1 - np.cos(2 * np.pi * i / 127)) * np.exp(-2j * np.pi * k * i / 128) for i, v in enumerate(w))) ** 2 for k in range(65)]
+        bands = [sum(e for k, e in enumerate(energy) if a <= k / 2 < b) for a, b in config.BANDS.values()]
+        share = np.array([e for k, e in enumerate(energy) if 0.5 <= k / 2 <= 45])
+        share = share / share.sum()
+        d, dd = np.diff(w), np.diff(w, 2)
+        mobility = np.sqrt(d.var() / w.var())
+        want = [np.log(w.var()), np.log(abs(d).mean()), *np.log(bands), *(b / sum(bands) for b in bands), -(share * np.log(share)).sum(), mobility, np.sqrt(dd.var() / d.var()) / mobility]
+        assert row.tolist() == pytest.approx(want, rel=1e-6)
+
+
 def test_feature_table(spark):
     rng = np.random.default_rng(5)
     rows = [("w0", c, rng.normal(size=256).tolist()) for c in ("A", "B")] + [("w1", c, [3.0] * 256) for c in ("A", "B")]
@@ -433,6 +521,9 @@ def test_feature_table(spark):
     assert {r["n_non_finite"] for r in df.where("window = 'w1'").collect()} == {2}
     wide = features.wide(df, ["window"], ["A", "B"])
     assert wide.columns == ["window", *config.feature_columns(["A", "B"])] and wide.count() == 2
+    rows, seen = features.counted(df)
+    rows.write.format("noop").mode("overwrite").save()
+    assert features.share_non_finite(seen.get["replaced"], seen.get["n"], 32) == {"replaced": 4, "values": 128, "warn": True}
 
 
 def test_held_out_chooser(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WARM_START_S, method_params, tag
+from ..operators.arrays import scanned
 
 
 def start(method: str, params: dict, channels: int = 1) -> dict[str, np.ndarray]:
@@ -234,13 +235,11 @@ def states(filtered: DataFrame, method: str, params: dict | None = None, warm_st
 
 def tracked(z: Column, q_over_r: float, r: float = 1.0) -> Column:
     """The log-amplitude recursion over an array of block log-RMS values, as a fold in the JVM: the estimate after each block."""
-    first = F.struct(F.lit(None).cast("double").alias("s"), F.lit(r).alias("p"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        ahead = acc["p"] + q_over_r * r
+    def step(at: Column, v: Column) -> tuple[dict[str, Column], Column, Column]:
+        ahead = at["p"] + q_over_r * r
         k = ahead / (ahead + r)
-        s = F.when(acc["s"].isNull(), v).otherwise(acc["s"] + k * (v - acc["s"]))
-        p = F.when(acc["s"].isNull(), F.lit(r)).otherwise((1 - k) * ahead)
-        return F.struct(s.alias("s"), p.alias("p"), F.concat(acc["out"], F.array(s)).alias("out"))
+        s = F.when(at["s"].isNull(), v).otherwise(at["s"] + k * (v - at["s"]))
+        p = F.when(at["s"].isNull(), F.lit(r)).otherwise((1 - k) * ahead)
+        return {"s": s, "p": p}, s, F.lit(True)
 
-    return F.aggregate(z, first, step, lambda a: a["out"])
+    return scanned(z, {"s": F.lit(None).cast("double"), "p": F.lit(r)}, step, "double")

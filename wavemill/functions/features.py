@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import NONLINEAR, TIME_DOMAIN, feature_names, slug
@@ -53,10 +53,16 @@ def wide(features: DataFrame, keys: list[str], channels: list[str], nonlinear: b
     return per.select(*keys, *[F.col(f"`{c}_{n}`").alias(f"f_{n}_{slug(c)}") for n in names for c in channels])
 
 
-def share_non_finite(features: DataFrame, n_features: int = len(feature_names())) -> DataFrame:
-    """How many values were replaced, and whether that is more than one in a thousand."""
-    got = features.agg(F.sum("n_non_finite").alias("replaced"), (F.count(F.lit(1)) * n_features).alias("values"))
-    return got.withColumn("warn", F.try_divide("replaced", "values") > 0.001)
+def counted(features: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and how many there are and how many of their values were replaced, known once they are written."""
+    seen = Observation()
+    return features.observe(seen, F.coalesce(F.sum("n_non_finite"), F.lit(0)).alias("replaced"), F.count(F.lit(1)).alias("n")), seen
 
 
-__all__ = ["NONLINEAR", "share_non_finite", "spectral", "wide", "with_features"]
+def share_non_finite(replaced: int, rows: int, n_features: int = len(feature_names())) -> dict:
+    """How many values were replaced, of how many, and whether that is more than one in a thousand."""
+    values = rows * n_features
+    return {"replaced": replaced, "values": values, "warn": replaced / values > 0.001 if values else None}
+
+
+__all__ = ["NONLINEAR", "counted", "share_non_finite", "spectral", "wide", "with_features"]

@@ -120,7 +120,7 @@ def _large(both: DataFrame, n_boot: int, seed: int) -> DataFrame:
     sums = ranked.groupBy(*KEYS).agg(F.sum(F.col("_p") * (F.col("_upto") - (F.col("_n") - 1) / 2)).alias("_up"), F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_n") * F.col("_n") - 1)).alias("_ties"))
     n = F.col("n")
     z = F.abs(F.col("_up") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
-    p = F.udf(lambda v: None if v is None else math.erfc(v / math.sqrt(2)), "double")
+    p = F.pandas_udf(lambda v: v.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore"), "double")  # a row per group
     tested = sums.select(*KEYS, p(z).alias("p_value"), F.least(F.lit(1.0), 2 / F.pow(F.lit(2.0), n)).alias("min_possible_p"))
     out = base.join(F.broadcast(tested), KEYS, "left").join(F.broadcast(_intervals(diffs, n_boot, seed)), KEYS, "left")
     return out.fillna(1.0, ["p_value", "min_possible_p"]).select(*[c.split()[0] for c in COMPARED.split(", ")])

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import kept, running
-from .metrics import auc
+from .metrics import auc, medians
+
+#: Patients up to which one task ranks those of a feature.
+RANKED_ALONE = 100_000
 
 
 def feature_auc(long: DataFrame, min_ictal: int = 30) -> DataFrame:
@@ -14,20 +17,31 @@ def feature_auc(long: DataFrame, min_ictal: int = 30) -> DataFrame:
 
     Patients with fewer than ``min_ictal`` ictal windows or no other are left out; a missing value counts as the patient's median of the feature.
     """
-    medians = long.groupBy("patient", "feature").agg(F.median(F.when(~F.isnan("value"), F.col("value"))).alias("_median"), F.count_if(F.col("label") == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    medians = medians.where((F.col("_p") >= min_ictal) & (F.col("_p") < F.col("_n")))
-    filled = long.join(medians, ["patient", "feature"]).withColumn("value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.col("_median")))
-    return auc(filled, ["patient", "feature"], "label", "value")
+    keys = ["patient", "feature"]
+    missing = F.col("value").isNull() | F.isnan("value")
+    sizes = long.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_p"), F.count(F.lit(1)).alias("_n"), F.count_if(missing).alias("_missing"))
+    sizes = kept(sizes.where((F.col("_p") >= min_ictal) & (F.col("_p") < F.col("_n"))).drop("_p", "_n"))
+    rows = long.join(sizes, keys)
+    holes = sizes.where("_missing > 0")
+    if not holes.isEmpty():  # medians of those groups only
+        middle = medians(long.join(holes, keys, "left_semi"), keys, "value", "_median")
+        rows = rows.join(middle, keys, "left").withColumn("value", F.when(missing, F.col("_median")).otherwise(F.col("value")))
+    return auc(rows, keys, "label", "value")
 
 
 def consensus(aucs: DataFrame) -> DataFrame:
     """(patient, feature, auc, consensus, n_others): the median of the other patients' AUCs.
 
     It follows from a patient's rank within the feature and the middle order
-    statistics, so patients never meet in pairs, and a feature with many of them
-    is ranked over range partitions.
+    statistics, so patients never meet in pairs; features with more than ``RANKED_ALONE``
+    of them are ranked over range partitions.
     """
-    ranked = kept(running(aucs.where("auc is not null").select("patient", "feature", "auc"), ["feature"], ["auc", "patient"], {}, "_i", unique=True))
+    aucs = kept(aucs)
+    known = aucs.where("auc is not null").select("patient", "feature", "auc")
+    if (known.groupBy("feature").count().agg(F.max("count")).first()[0] or 0) > RANKED_ALONE:
+        ranked = kept(running(known, ["feature"], ["auc", "patient"], {}, "_i", unique=True))
+    else:
+        ranked = known.withColumn("_i", F.row_number().over(Window.partitionBy("feature").orderBy("auc", "patient")) - 1)
     sizes = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
     middle = F.floor(F.col("_n") / 2)
     at = lambda k: F.max(F.when(F.col("_i") == middle + k, F.col("auc")))

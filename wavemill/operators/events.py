@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import scanned
+
 
 def runs(pred: DataFrame, keys: list[str], positive: Column, step: int, start: str = "start_sample") -> DataFrame:
     """Runs of neighbouring rows that are positive and exactly one step apart: keys, first, last, n."""
@@ -36,13 +38,11 @@ def merged_alarms(found: DataFrame, keys: list[str], window: int, step: int, min
 
 def _rested(alarms: Column, refractory: int) -> Column:
     """Of a recording's alarms in order, those raised at least ``refractory`` samples after the last accepted one."""
-    first = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<raise_sample:bigint,end_sample:bigint>>").alias("ok"))
-
-    def accept(acc: Column, a: Column) -> Column:
-        late = acc["last"].isNull() | (a["raise_sample"] - acc["last"] >= refractory)
-        return F.when(late, F.struct(a["raise_sample"].alias("last"), F.concat(acc["ok"], F.array(a)).alias("ok"))).otherwise(acc)
+    def accept(state: Column, a: Column) -> tuple[dict[str, Column], Column, Column]:
+        late = state["last"].isNull() | (a["raise_sample"] - state["last"] >= refractory)
+        return {"last": F.when(late, a["raise_sample"]).otherwise(state["last"])}, a, late
 
-    return F.aggregate(alarms, first, accept)["ok"]
+    return scanned(alarms, {"last": F.lit(None).cast("long")}, accept, "struct<raise_sample:bigint,end_sample:bigint>")
 
 
 def refractory_alarms(alarms: DataFrame, keys: list[str], refractory: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import running
+from ..shared import kept, running
 
 METRICS = ["sensitivity", "specificity", "f1", "auc", "fa_per_hour"]
 
@@ -27,6 +27,16 @@ def auc(rows: DataFrame, keys: list[str], label: str, score: str, name: str = "a
     return sums.select(*keys, F.try_divide(F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2, (F.col("_np") * F.col("_nn")).cast("double")).alias(name))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per group of any size: values are counted, counts are totalled over range partitions, and the values that reach over the middle are taken."""
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = kept(running(counts, keys, ["_v"], {"_upto": "_c"}, "_pos", unique=True))
+    whole = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    holds = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i), F.col("_v")))
+    found = ranked.join(whole, keys).groupBy(*keys).agg(holds(F.floor((F.col("_n") - 1) / 2)).alias("_low"), holds(F.floor(F.col("_n") / 2)).alias("_high"))
+    return found.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+
+
 def window_metrics(pred: DataFrame, keys: list[str], step_s: float) -> DataFrame:
     """Per group: counts, tp, fp, tn, fn, rates, AUC, false alarms an hour; null where a class is missing."""
     t, p = F.col("y_true") == 1, F.col("y_pred") == 1

@@ -66,8 +66,8 @@ def index(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None
     check = lambda chosen: chosen.join(usable.where("not ok"), "file").select("file", "reason")
     chosen = cohort.fixed_point(_only(whole, patients), cap, check)
     columns = [c.split()[0] for c in schemas.FILE_INDEX.split(", ")]
-    tables.upsert_patients(spark, chosen.select(*columns), f"{root}/tables/index", f"{root}/tables/index.staged")
-    return spark.read.parquet(f"{root}/tables/index")
+    tables.upsert_patients(spark, chosen.select(*columns), f"{root}/tables/index")
+    return tables.current(spark, f"{root}/tables/index")
 
 
 def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] | None = None, overwrite: bool = False) -> DataFrame:
@@ -78,7 +78,7 @@ def preprocess(spark: SparkSession, root: str, cfg: dict, patients: list[str] |
     edf.register(spark)
     fs, names = float(cfg["dataset"]["fs"]), cfg["dataset"]["channels"]
     path = f"{root}/signals"
-    chosen = spark.read.parquet(f"{root}/tables/index").where("include")
+    chosen = tables.current(spark, f"{root}/tables/index").where("include")
     _check_patients(spark, chosen, patients)
     chosen = _only(chosen, patients).select("case", "file", "n_samples")
     old = None if overwrite else tables.written(spark, path)
@@ -109,7 +109,7 @@ def adapt(spark: SparkSession, root: str, cfg: dict, method: str | None = None,
     warm = float(cfg["adaptive"]["warm_start_s"] if warm_start_s is None else warm_start_s)
     setting = config.tag(method, params, warm)
     fs, path = float(cfg["dataset"]["fs"]), f"{root}/adaptive/{setting}"
-    chosen = _only(spark.read.parquet(f"{root}/tables/index").where("include"), patients).select("patient", "case", "file", "n_samples", cohort.suffix(F.col("file"), 10**9).alias("file_order"))
+    chosen = _only(tables.current(spark, f"{root}/tables/index").where("include"), patients).select("patient", "case", "file", "n_samples", cohort.suffix(F.col("file"), 10**9).alias("file_order"))
     old = None if overwrite else tables.written(spark, path)
     if old is None:
         work, states = kept(chosen.select("*", F.lit(False).alias("had"))), None
@@ -141,7 +141,7 @@ def make_windows(spark: SparkSession, root: str, cfg: dict, patients: list[str]
     """Labelled windows of the included recordings; returns counts per patient."""
     fs = float(cfg["dataset"]["fs"])
     length, step = config.window_samples(cfg)
-    chosen = _only(spark.read.parquet(f"{root}/tables/index").where("include"), patients).select("patient", "case", "file")
+    chosen = _only(tables.current(spark, f"{root}/tables/index").where("include"), patients).select("patient", "case", "file")
     sizes = filters.channels(_signals(spark, root)).groupBy("case", "file").agg(F.max("n_samples").alias("n_samples"))
     seizures = windows.sample_bounds(spark.read.parquet(f"{root}/tables/annotations"), fs)
     made = windows.labelled(chosen.join(sizes, ["case", "file"]), seizures, length, step, fs, bool(cfg["segmentation"]["drop_boundary"]))
@@ -159,10 +159,12 @@ def extract_features(spark: SparkSession, root: str, cfg: dict, patients: list[s
     cut = windows.chunk_slices(signals, length, step, fs, least=round(CHUNK_S / 2 * fs)).drop("t_start_s")
     rows = cut.join(wanted, ["case", "file", "start_sample"]).select(*keys, "channel", "x")
     long = feature_table.with_features(rows, fs, nonlinear=nonlinear)
+    long, seen = feature_table.counted(long)
     tables.write_by_case(long, f"{root}/features_long")
-    back = spark.read.parquet(f"{root}/features_long")
+    back = _only(spark.read.parquet(f"{root}/features_long"), patients)
     tables.write_by_case(feature_table.wide(back, keys, channels, nonlinear), f"{root}/features")
-    return feature_table.share_non_finite(back, len(config.feature_names(nonlinear)))
+    share = feature_table.share_non_finite(seen.get["replaced"], seen.get["n"], len(config.feature_names(nonlinear)))
+    return spark.createDataFrame([tuple(share.values())], "replaced long, values long, warn boolean")
 
 
 def baseline(spark: SparkSession, root: str, cfg: dict, arms: list[str] | None = None, models: list[str] | None = None, patients: list[str] | None = None, most_patients: int | None = None) -> DataFrame:
@@ -253,7 +255,7 @@ def adaptive_ratios(spark: SparkSession, root: str, cases: list[str] | None = No
 
 def check_contract(spark: SparkSession, root: str) -> DataFrame:
     """(table, problem) of the written tables against their types."""
-    found = [(t, p) for t, schema in (("tables/annotations", schemas.ANNOTATIONS), ("tables/index", schemas.FILE_INDEX), ("windows", schemas.WINDOWS)) for p in schemas.problems(spark.read.parquet(f"{root}/{t}"), schema)]
+    found = [(t, p) for t, schema in (("tables/annotations", schemas.ANNOTATIONS), ("tables/index", schemas.FILE_INDEX), ("windows", schemas.WINDOWS)) for p in schemas.problems(tables.current(spark, f"{root}/{t}") if t == "tables/index" else spark.read.parquet(f"{root}/{t}"), schema)]
     return spark.createDataFrame(found, "table string, problem string")
 
 

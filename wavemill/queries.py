@@ -322,12 +322,10 @@ def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def window_features_1024(spark: SparkSession, sf: str) -> DataFrame:
-    """All features of windows of 1024 samples at 256 Hz: sixteen vectors of a patient and label, in order, make one window of a channel."""
-    rows = windows_of_vectors(spark, sf)
-    place = F.row_number().over(Window.partitionBy("patient", "label").orderBy("vec_id")) - 1
-    rows = rows.withColumn("window", F.floor(place / 16))
-    joined = rows.groupBy("patient", "label", "window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
-    return feature_table.with_features(joined.where(F.size("x") == 1024), 256.0)
+    """All features of windows of 1024 samples at 256 Hz, one every 16 samples: the vectors are chunks, 400 of them make a recording."""
+    place = F.col("vec_id") % 400
+    chunks = windows_of_vectors(spark, sf).select(F.floor(F.col("vec_id") / 400).alias("recording"), place.alias("chunk_idx"), (place * 64).alias("start_sample"), F.col("x").alias("samples"))
+    return feature_table.with_features(windows.chunk_slices(chunks, 1024, 16, 256.0, keys=("recording",), least=64), 256.0)
 
 
 @query

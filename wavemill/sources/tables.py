@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +66,70 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def upsert_patients(spark: SparkSession, new: DataFrame, path: str, staging: str) -> None:
-    """Replace the patients of ``new`` in a Parquet table: the whole is staged, then swapped in."""
-    old = written(spark, path)
-    whole = new if old is None else replace_patients(old.select(new.columns), new)
-    whole.orderBy("patient", "file_order").write.mode("overwrite").parquet(staging)
-    spark.read.schema(new.schema).parquet(staging).write.mode("overwrite").parquet(path)
+def _pointer(spark: SparkSession, path: str):
+    """Hadoop's file context of a table's folder, and the file in it that names the version that counts."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
+    return hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()), hadoop.Path(where, "_current")
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """The folder of a replaceable table that counts; None before the first one."""
+    files, pointer = _pointer(spark, path)
+    if not files.util().exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return f"{path.rstrip('/')}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``replace`` has written, as of now: later replacements do not touch what this reads."""
+    found = version(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(found)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write a table into a folder of its own, then let the pointer name it: renaming the pointer is one step.
+
+    Whoever reads in between, or after a run that stopped anywhere, sees the whole old
+    table or the whole new one. The version before the new one stays for those who still read it; older
+    ones go.
+    """
+    spark = df.sparkSession
+    before = (version(spark, path) or "").rsplit("/", 1)[-1]
+    name = f"version-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path.rstrip('/')}/{name}")
+    _swap(spark, path, name)
+    files, pointer = _pointer(spark, path)
+    names = [f.getPath().getName() for f in files.util().listStatus(pointer.getParent())]
+    for gone in (v for v in names if v.startswith("version-") and v < before):  # names are in order of time
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(pointer.getParent(), gone), True)
+
+
+def _swap(spark: SparkSession, path: str, name: str) -> None:
+    files, pointer = _pointer(spark, path)
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    flag = hadoop.CreateFlag
+    fresh = hadoop.Path(pointer.getParent(), f"_current-{uuid.uuid4().hex}")
+    stream = files.create(fresh, spark._jvm.java.util.EnumSet.of(flag.CREATE, flag.OVERWRITE), gateway.new_array(getattr(hadoop, "Options$CreateOpts"), 0))
+    stream.write(name.encode())
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files.rename(fresh, pointer, over)
+
+
+def upsert_patients(spark: SparkSession, new: DataFrame, path: str) -> None:
+    """Replace the patients of ``new`` in a table, in one step (``replace``)."""
+    whole = new if version(spark, path) is None else replace_patients(current(spark, path).select(new.columns), new)
+    replace(whole.orderBy("patient", "file_order"), path)
 
 
 def unwritten(work: DataFrame, done: DataFrame, keys: list[str], n: str = "n_samples") -> DataFrame:
