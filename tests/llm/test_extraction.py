@@ -1,5 +1,8 @@
+import random
+import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +88,63 @@ def test_the_curve_decides_whether_an_article_is_one():
     assert extraction.main_text("<article><p><a href=x>Only a link</a></p></article>") == "Only a link"
 
 
+SENTENCES = "".join(f"<p>This is a sentence of running text that says something at length, and then more. {i}</p>" for i in range(20))
+
+
+@pytest.mark.parametrize("name", ["main-content sidebar-layout", "layout-sidebar-right", "page-ads-free", "newsletter", "blog-newsletter-archive", "search-results", "social", "legal", "alert-page content", "cookie-recipes"])
+def test_names_do_not_empty_a_page(name):
+    page = f"<body><nav><a href=x>menu</a></nav><div class='{name}'>{SENTENCES}<div class='sidebar'>{ARTICLE}</div><div class='comments'>{SENTENCES}{SENTENCES}</div></div><footer>end</footer>"
+    got = extraction.main_text(page).split("\n")
+    assert len(got) == 20 and all(line.startswith("This is a sentence") for line in got)
+    assert extraction.main_text(f"<div class='content'>{ARTICLE}</div><div class='{name}-sidebar'>{SENTENCES}</div>").count("\n") == 0  # where text surges without them, names hold
+
+
+def neutral(page):
+    """The page without any word or tag that tells what a part of it is."""
+    page = re.sub(r"<(/?)(?:nav|header|footer|aside|article|main)\b", r"<\1div", page)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+
+
+def test_the_curve_finds_articles_without_tags_and_names(pages):
+    shares, footers = [], 0
+    for page in pages:
+        want, got = set(extraction.main_text(page).split("\n")), set(extraction.main_text(neutral(page)).split("\n"))
+        assert want <= got  # every line of the article
+        shares.append(len(got - want))
+        footer = re.search(r"<footer>(.*?)</footer>", page, re.S)
+        footers += bool(footer) and extraction.main_text(footer[1]) in got
+    assert sum(shares) < len(pages) and footers < len(pages) / 20
+
+
+def test_surge_and_window_matter(pages):
+    plain = [neutral(p) for p in pages[:60]]
+    base = [extraction.main_text(p) for p in plain]
+    changed = lambda window, surge: sum(extraction.main_text(p, window, surge) != b for p, b in zip(plain, base, strict=True))
+    assert changed(3, 10) > 50
+    two = f"<body><div>{ARTICLE}</div><div>{SENTENCES * 9}</div>"
+    assert extraction.main_text(two).startswith("A long") and extraction.main_text(two, 3, 200).startswith("This is")
+    # a list of short lines surges over a window of many lines, not over one of few
+    listed = "<body><div>" + "".join(f"<p>short line {i}</p>" for i in range(30)) + f"</div><div>{ARTICLE}</div>"
+    assert "short line" in extraction.main_text(listed, 8) and "short line" not in extraction.main_text(listed, 3)
+
+
+def test_kept_lines_by_brute_force_on_flat_pages():
+    """Containers of paragraphs, nothing else: those stay whose lines reach the surge within a window."""
+    rng = random.Random(0)
+    for _ in range(200):
+        window, surge = rng.randint(1, 4), rng.choice([20, 60, 86, 150])
+        groups = [["x" * rng.randint(1, 70) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 6))]
+        page = "".join("<div>" + "".join(f"<p>{line}</p>" for line in g) + "</div>" for g in groups)
+        top = [max(sum(map(len, g[i : i + window])) for i in range(len(g))) for g in groups]
+        enough = min(surge, max(top))
+        assert extraction.main_text(page, window, surge) == "\n".join(line for g, t in zip(groups, top, strict=True) if t >= enough for line in g)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.booleans()), max_size=40), st.integers(1, 4))
 def test_regions_against_brute_force(lines, window):

@@ -15,11 +15,14 @@ beside menus and the like, all own lines stay and what is between regions.
 
 Stripping leaves a gap of a whole window of empty lines where an element stood
 that is no running text by its tag, role or name (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments), so the curve dives there. Text
+notices, adverts, forms, scripts, comments), and on pages without an article or main element where a container
+begins or ends, so the curve dives there: a line or two in a container of their own are no text, whatever that is called. Text
 inside links counts for nothing in the curve, so a list of links cannot surge.
 
 Names are matched by whole parts. They never drop an article or main element or an
-element around one, except articles among the comments on an earlier article.
+element around one, except articles among the comments on an earlier article. And the curve overrules them: where
+nothing else of a page surges, an element with more running text than all the rest around it is
+text whatever its name, and so on for the named elements in it; comments stay out.
 
 Defined cases: a null page is an empty page; a page that ends within a tag ends
 before it; elements that are never closed end with their parent; repeated rows
@@ -42,6 +45,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset("head nav header footer aside form script style noscript iframe svg math canvas object embed template button select option textarea input dialog menu title label fieldset audio video map".split())
 CONTAINERS = frozenset("div section table td th ul ol dl center details".split())
+APART = frozenset("div section table".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "caption"}
 # Words in class, id or role of an element that is no running text.
 NAMES = frozenset(
@@ -88,10 +92,13 @@ def _no_text(tag: str, attributes: str, in_article: bool) -> str:
     return "name" if dropped else ""
 
 
-def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool], list[int], list[int]]:
+def lines_of(html: str, window: int, spared: frozenset[int] | range = frozenset(), weighed: list[tuple[int, int, int]] | None = None, apart: bool = False) -> tuple[list[str], list[int], list[bool], list[int], list[int]]:
     """The stripped page: text of each line, its length outside links, whether it is inside article or main, and its container; and each container's parent.
 
-    Containers are numbered as they open; 0 is the body, its own parent.
+    Containers are numbered as they open; 0 is the body, its own parent; ``apart`` keeps each a window
+    away from what is before and after it. Elements that a
+    name drops are numbered too; those in ``spared`` stay, and ``weighed`` gets of each of these its number, that of the
+    one around it (-1: none) and its running text.
     """
     texts: list[str] = []
     sizes: list[int] = []
@@ -101,10 +108,11 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
     buffer: list[str] = []
     free = 0
     # open elements: tag, why it starts a dropped part, since which rescue of an article that holds, and what held before it
-    stack: list[tuple[str, str, int, tuple[int, int, int]]] = []
+    stack: list[tuple[str, str, int, tuple[int, int, int, int, int]]] = []
     places: dict[str, list[int]] = {}  # of the open elements of each tag
     why = {"tag": 0, "name": 0, "comments": 0}  # dropped parts that are open
-    rescues = links = bodies = box = articles = 0
+    rescues = links = bodies = box = articles = named = weight = 0
+    around, held = -1, 0  # the spared element at hand, and the running text before it
 
     def last(*tags: str) -> int:
         """Place of the innermost open element of some tags, or -1."""
@@ -127,27 +135,30 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             owner.append(box)
 
     def leave(to: int) -> None:
-        nonlocal links, bodies, box
+        nonlocal links, bodies, box, around, held
         while len(stack) > to:
             tag, drops, since, before = stack.pop()
             places[tag].pop()
             if tag in BLOCK and not any(why.values()):
-                line(tag in ("div", "section", "table", "ul", "ol"))
+                line(window if apart and tag in APART else tag in APART or tag in ("ul", "ol"))
             if drops and since == rescues:
                 why[drops] -= 1
                 if not any(why.values()):
                     line(window)
             elif not any(why.values()) and tag in ("article", "main"):
                 line()
-            links, bodies, box = before
+            if weighed is not None and around != before[3]:
+                weighed.append((around, before[3], weight - held))
+            links, bodies, box, around, held = before
 
     def text(raw: str) -> None:
-        nonlocal free
+        nonlocal free, weight
         if raw and not any(why.values()):
             got = unescape(raw) if "&" in raw else raw
             buffer.append(got)
             if not links:
                 free += len(got)
+                weight += len(got.strip())
 
     at = 0
     n = len(html)
@@ -182,6 +193,11 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
         if m[0].endswith("/>") and tag in ("svg", "path"):
             continue
         drops = _no_text(tag, m[2], bodies > 0)
+        number = -1
+        if drops == "name":
+            if named in spared:
+                drops, number = "", named
+            named += 1
         if tag in ("article", "main") and drops != "tag":
             # names do not drop an article, nor what is around it; only articles among the comments on an earlier one are comments
             if not why["tag"] and not ((why["comments"] or drops == "comments") and articles):
@@ -191,8 +207,10 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
                     why = dict.fromkeys(why, 0)
                 articles += 1
         if tag in BLOCK and not any(why.values()):
-            line()
-        before = (links, bodies, box)
+            line(window if apart and tag in APART and not drops else 0)
+        before = (links, bodies, box, around, held)
+        if number >= 0:
+            around, held = number, weight
         if drops:
             if not any(why.values()):
                 line(window)
@@ -217,9 +235,23 @@ def lines_of(html: str, window: int) -> tuple[list[str], list[int], list[bool],
             leave(len(stack) - 1)
     if not any(why.values()):
         line()
+    if weighed is not None:
+        leave(0)
     return texts, sizes, inside, owner, parents
 
 
+def overruled(html: str, window: int) -> frozenset[int]:
+    """Numbers of the elements with a dropped name that have more running text than the rest of what they are in."""
+    found: list[tuple[int, int, int]] = []
+    _, sizes, _, _, _ = lines_of(html, window, range(1 << 62), found, True)
+    weight = {-1: sum(sizes)} | {number: size for number, _, size in found}
+    spared: set[int] = set()
+    for number, outer, size in sorted(found):  # in order of opening: what is around comes first
+        if (outer < 0 or outer in spared) and 2 * size > weight[outer]:
+            spared.add(number)
+    return frozenset(spared)
+
+
 def _beside(kept: list[bool], sizes: list[int], owner: list[int], parents: list[int], window: int, surge: int) -> list[bool]:
     """``kept`` and the lines that are in one container with it: see the module's text."""
     own: list[list[int]] = [[] for _ in parents]  # lines with text outside links count in the curve of their container
@@ -276,7 +308,7 @@ def regions(sizes: list[int], is_text: list[bool], window: int) -> list[tuple[in
     return found
 
 
-def main_text(html: str | None, window: int = 3, surge: int = 86, rival: int = 5) -> str:
+def main_text(html: str | None, window: int = 3, surge: int = 120, rival: int = 5) -> str:
     """The regions between surge and dive points of the line-block curve, blocks joined by line feeds.
 
     A region counts if its curve reaches ``surge`` characters somewhere; if none does, the largest region counts.
@@ -285,6 +317,11 @@ def main_text(html: str | None, window: int = 3, surge: int = 86, rival: int = 5
         return ""
     texts, sizes, inside, owner, parents = lines_of(html, window)
     is_text = [bool(t) for t in texts]
+    if not any(inside) and (any(is_text) or _NAME.search(html)):
+        texts, sizes, inside, owner, parents = lines_of(html, window, apart=True)
+        if max((top for _, _, top in regions(sizes, [bool(t) for t in texts], window)), default=0) < surge and (spared := overruled(html, window)):
+            texts, sizes, inside, owner, parents = lines_of(html, window, spared, apart=True)
+    is_text = [bool(t) for t in texts]
     own = [s if i else 0 for s, i in zip(sizes, inside, strict=True)]
     if marked := any(t and i for t, i in zip(is_text, inside, strict=True)):
         outside = [0 if i else s for s, i in zip(sizes, inside, strict=True)]
@@ -305,7 +342,7 @@ def main_text(html: str | None, window: int = 3, surge: int = 86, rival: int = 5
     return "\n".join(t for t, k in zip(texts, kept, strict=True) if t and k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 86) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 120) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
