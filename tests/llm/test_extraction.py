@@ -130,7 +130,7 @@ def test_surge_and_window_matter(pages):
     assert extraction.main_text(two).startswith("A long") and extraction.main_text(two, 3, 200).startswith("This is")
     # a list of short lines surges over a window of many lines, not over one of few
     listed = "<body><div>" + "".join(f"<p>short line {i}</p>" for i in range(30)) + f"</div><div>{ARTICLE}</div>"
-    assert "short line" in extraction.main_text(listed, 8) and "short line" not in extraction.main_text(listed, 3)
+    assert "short line" in extraction.main_text(listed, 12) and "short line" not in extraction.main_text(listed, 3)
 
 
 def test_kept_lines_by_brute_force_on_flat_pages():
