@@ -22,7 +22,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import forest, kernel_machine
@@ -55,8 +56,22 @@ def points(kind: str, grid: dict[str, list] | None, fixed: dict | None = None) -
     return [base | dict(zip(names, v, strict=True)) for v in product(*[grid[n] for n in names])] if names else [base]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _groups(b: pa.RecordBatch | pa.Table, *names: str) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """The rows of a batch by some columns of whole numbers."""
+    keys, at = np.unique(np.stack([b.column(c).to_numpy() for c in names], axis=1), axis=0, return_inverse=True)
+    for i, key in enumerate(keys):
+        yield tuple(int(v) for v in key), np.flatnonzero(at.reshape(-1) == i)
+
+
+def _blobs(z: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    return pa.Array.from_buffers(pa.binary(8 * z.shape[1]), len(z), [None, pa.py_buffer(np.ascontiguousarray(z))]).cast(pa.binary())
 
 
 def _read(b: bytes, kind: type = float) -> np.ndarray:
@@ -80,14 +95,20 @@ def _merged(a: tuple, b: tuple) -> tuple:
 def shapes(rows: DataFrame, k: int) -> DataFrame:
     """Per set: rows, ictal rows, and of the ``k`` features with the highest ANOVA F (ties: the first) place, mean and spread (0: constant)."""
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, tuple] = {}
         for b in batches:
-            for key, own in b.groupby([*SET, "label"], sort=False):
-                x = _matrix(own["x"])
-                got = (len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0))
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("x"))
+            for key, at in _groups(b, *SET, "label"):
+                own = x[at]
+                got = (len(own), own.mean(0), ((own - own.mean(0)) ** 2).sum(0))
                 found[key] = _merged(found[key], got) if key in found else got
-        yield pd.DataFrame([(*key, n, m.tobytes(), s.tobytes()) for key, (n, m, s) in found.items()], columns=[*SET, "label", "n", "mean", "squares"])
+        if found:
+            columns = list(zip(*[(*key, n, m.tobytes(), s.tobytes()) for key, (n, m, s) in found.items()], strict=True))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*SET, "label", "n", "mean", "squares"])
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         per = {}
@@ -104,16 +125,16 @@ def shapes(rows: DataFrame, k: int) -> DataFrame:
         first = rows.iloc[0]
         return pd.DataFrame([(first["fold"], first["split"], n, per[1][0] if 1 in per else 0, chosen.astype(np.int32).tobytes(), mean[chosen].tobytes(), spread.tobytes())], columns=[c.split()[0] for c in SHAPE.split(", ")])
 
-    parts = rows.select(*SET, "label", "x").mapInPandas(part, "fold int, split int, label int, n long, mean binary, squares binary")
+    parts = rows.select(*SET, "label", "x").mapInArrow(part, "fold int, split int, label int, n long, mean binary, squares binary")
     return parts.groupBy(*SET).applyInPandas(whole, SHAPE)  # a row for each task, set and class
 
 
 def _beside(rows: DataFrame, models: DataFrame, salts: int, f: Callable, schema: str) -> DataFrame:
-    """``f(rows, models)`` of at most about ``AT_ONCE`` rows of a set and all models of the set."""
+    """``f(rows, models)``, of Arrow tables, for at most about ``AT_ONCE`` rows of a set and all models of the set."""
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int"))
     copies = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [*SET, "_salt"]
-    return spread.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(f, schema)
+    return spread.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(f, schema)
 
 
 def _salts(n: int) -> int:
@@ -125,16 +146,8 @@ def _salts(n: int) -> int:
 
 def _landmarks(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """The ``n`` rows of each set that come first in a seeded order; a task passes on no more than that of each set."""
-    hashed = rows.select(*SET, "x", F.xxhash64(F.lit(seed), *KEYS).alias("h"))
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            held = (b if held is None else pd.concat([held, b])).sort_values("h", kind="stable").groupby(SET, sort=False).head(n)
-        if held is not None:
-            yield held
-
-    return hashed.mapInPandas(part, hashed.schema).groupBy(*SET).applyInPandas(lambda rows: rows.sort_values("h", kind="stable").head(n)[[*SET, "x"]], "fold int, split int, x array<float>")
+    line = Window.partitionBy(*SET).orderBy("h", *KEYS)
+    return rows.select(*SET, *KEYS, "x", F.xxhash64(F.lit(seed), *KEYS).alias("h")).withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= n).select(*SET, "h", "x")
 
 
 def _scaled(x: np.ndarray, chosen: np.ndarray, mean: bytes, scale: bytes) -> np.ndarray:
@@ -149,26 +162,26 @@ BASE = f"{SHAPE}, g int, gamma double, landmarks binary, project binary"
 def _bases(landmarks: DataFrame, shape: DataFrame, gammas: list) -> DataFrame:
     """Per set and gamma: the landmarks scaled, and the projection to Nyström features."""
 
-    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        s = own.iloc[0]
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        s = own.to_pylist()[0]
         chosen = _read(s["chosen"], np.int32)
-        marks = _scaled(_matrix(rows["x"]), chosen, s["mean"], s["scale"])
+        marks = _scaled(_matrix(rows.sort_by("h").column("x")), chosen, s["mean"], s["scale"])
         varied = int((_read(s["scale"]) > 0).sum())
         out = []
         for g, gamma in enumerate(gammas):
             # "scale": one over the number of features times the variance of all entries, which is the share of features that vary
             width = 1 / max(1, varied if gamma == "scale" else len(chosen)) if gamma in ("scale", "auto") else float(gamma)
-            out.append((*s, g, width, marks.tobytes(), kernel_machine.projection(marks, width).tobytes()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in BASE.split(", ")])
+            out.append(s | {"g": g, "gamma": width, "landmarks": marks.tobytes(), "project": kernel_machine.projection(marks, width).tobytes()})
+        return pa.Table.from_pylist(out, schema=own.schema.append(pa.field("g", pa.int32())).append(pa.field("gamma", pa.float64())).append(pa.field("landmarks", pa.binary())).append(pa.field("project", pa.binary())))
 
-    return landmarks.groupBy(*SET).cogroup(shape.groupBy(*SET)).applyInPandas(run, BASE)
+    return landmarks.groupBy(*SET).cogroup(shape.groupBy(*SET)).applyInArrow(run, BASE)
 
 
-def _features(x: np.ndarray, base) -> np.ndarray:
+def _features(x: np.ndarray, base: dict) -> np.ndarray:
     """Nyström features of raw rows."""
-    chosen = _read(base.chosen, np.int32)
-    marks = _read(base.landmarks).reshape(-1, len(chosen))
-    return kernel_machine.lift(_scaled(x, chosen, base.mean, base.scale), marks, _read(base.project).reshape(len(marks), -1), base.gamma)
+    chosen = _read(base["chosen"], np.int32)
+    marks = _read(base["landmarks"]).reshape(-1, len(chosen))
+    return kernel_machine.lift(_scaled(x, chosen, base["mean"], base["scale"]), marks, _read(base["project"]).reshape(len(marks), -1), base["gamma"])
 
 
 def _at(w: np.ndarray | None, size: int) -> np.ndarray:
@@ -178,17 +191,23 @@ def _at(w: np.ndarray | None, size: int) -> np.ndarray:
 def _added(costs: dict[tuple, list[float]], now: dict[tuple, np.ndarray | None]):
     """Loss, gradient and Hessian of a task's rows, a row for each machine."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, list] = {}
         for b in batches:
-            for key, own in b.groupby(["fold", "split", "g"], sort=False):
-                z = np.frombuffer(b"".join(own["z"]), float).reshape(len(own), -1)
-                y, weight = own["y"].to_numpy(), own["weight"].to_numpy()
+            if not b.num_rows:
+                continue
+            for key, at in _groups(b, "fold", "split", "g"):
+                own = b.take(pa.array(at))
+                z = np.frombuffer(b"".join(own.column("z").to_pylist()), float).reshape(len(at), -1)
+                y, weight = own.column("y").to_numpy(), own.column("weight").to_numpy()
                 for m in ((*key, c) for c in costs.get(key, ())):
                     if m in now:
                         got = kernel_machine.sums(z, y, m[3] * weight, _at(now[m], z.shape[1]))
                         total[m] = [a + b for a, b in zip(total[m], got, strict=True)] if m in total else list(got)
-        yield pd.DataFrame([(*m, loss, g.tobytes(), h.tobytes()) for m, (loss, g, h) in total.items()], columns=["fold", "split", "g", "c", "loss", "gradient", "hessian"])
+        if total:
+            columns = list(zip(*[(*m, loss, g.tobytes(), h.tobytes()) for m, (loss, g, h) in total.items()], strict=True))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fold", "split", "g", "c", "loss", "gradient", "hessian"])
 
     return run
 
@@ -208,14 +227,19 @@ def _stepped(now: dict[tuple, np.ndarray | None]):
 def _machines(rows: DataFrame, wanted: list[tuple[int, int, int, float]], bases: DataFrame, salts: int) -> dict[tuple[int, int, int, float], np.ndarray]:
     """Weights of the machines (fold, split, gamma, C): a pass over the lifted rows for each of at most ``STEPS`` Newton steps, whatever their number."""
 
-    def lift(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out, x = [], _matrix(rows["x"])
-        for base in own.itertuples() if len(rows) else ():
-            z = _features(x, base)
-            n1 = int(base.n1)
-            weight = np.where(rows["label"] == 1, base.n / (2 * max(1, n1)), base.n / (2 * max(1, base.n - n1)))
-            out.append(pd.DataFrame({"fold": base.fold, "split": base.split, "g": base.g, "y": np.where(rows["label"] == 1, 1.0, -1.0), "weight": weight, "z": [v.tobytes() for v in z]}))
-        return pd.concat(out) if out else pd.DataFrame([], columns=["fold", "split", "g", "y", "weight", "z"])
+    names = ["fold", "split", "g", "y", "weight", "z"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary()]
+
+    def lift(rows: pa.Table, own: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows:
+            x, ictal = _matrix(rows.column("x")), rows.column("label").to_numpy() == 1
+            for base in own.to_pylist():
+                n1 = int(base["n1"])
+                weight = np.where(ictal, base["n"] / (2 * max(1, n1)), base["n"] / (2 * max(1, base["n"] - n1)))
+                same = [pa.array(np.full(len(x), base[c], np.int32)) for c in names[:3]]
+                out.append(pa.Table.from_arrays([*same, pa.array(np.where(ictal, 1.0, -1.0)), pa.array(weight), _blobs(_features(x, base))], names=names))
+        return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
 
     lifted = kept(_beside(rows.select(*SET, *KEYS, "label", "x"), bases, salts, lift, "fold int, split int, g int, y double, weight double, z binary"))
     costs: dict[tuple, list[float]] = {}
@@ -225,7 +249,7 @@ def _machines(rows: DataFrame, wanted: list[tuple[int, int, int, float]], bases:
     best: dict[tuple, tuple[float, np.ndarray]] = {}
     open_ = set(wanted)
     for _ in range(STEPS):
-        parts = lifted.mapInPandas(_added(costs, {m: at[m] for m in open_}), "fold int, split int, g int, c double, loss double, gradient binary, hessian binary")
+        parts = lifted.mapInArrow(_added(costs, {m: at[m] for m in open_}), "fold int, split int, g int, c double, loss double, gradient binary, hessian binary")
         moved = parts.groupBy("fold", "split", "g", "c").applyInPandas(_stepped({m: at[m] for m in open_}), "fold int, split int, g int, c double, value double, gain double, w array<double>")
         for r in moved.collect():
             m = (r["fold"], r["split"], r["g"], r["c"])
@@ -252,14 +276,16 @@ PACK = f"{SHAPE}, labels binary, bins binary, borders array<array<double>>"
 def _packs(rows: DataFrame, shape: DataFrame) -> DataFrame:
     """Per set one row: labels and binned chosen features of its rows in order of their keys."""
 
-    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        s = own.iloc[0]
-        rows = rows.sort_values(KEYS, kind="stable")
-        x = np.stack([np.asarray(v, float)[_read(s["chosen"], np.int32)] for v in rows["x"]])
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        s = own.to_pylist()[0]
+        rows = rows.sort_by([(c, "ascending") for c in KEYS])
+        x = _matrix(rows.column("x"))[:, _read(s["chosen"], np.int32)]
         at = forest.borders(x)
-        return pd.DataFrame([(*s, rows["label"].to_numpy(np.int8).tobytes(), forest.binned(x, at).tobytes(), at)], columns=[c.split()[0] for c in PACK.split(", ")])
+        packed = {"labels": rows.column("label").to_numpy().astype(np.int8).tobytes(), "bins": forest.binned(x, at).tobytes(), "borders": [b.tolist() for b in at]}
+        fields = [pa.field("labels", pa.binary()), pa.field("bins", pa.binary()), pa.field("borders", pa.list_(pa.list_(pa.float64())))]
+        return pa.Table.from_pylist([s | packed], schema=pa.schema([*own.schema, *fields]))
 
-    return rows.select(*SET, *KEYS, "label", "x").groupBy(*SET).cogroup(shape.groupBy(*SET)).applyInPandas(run, PACK)
+    return rows.select(*SET, *KEYS, "label", "x").groupBy(*SET).cogroup(shape.groupBy(*SET)).applyInArrow(run, PACK)
 
 
 TREE = "fold int, split int, p int, tree int, feature binary, cut binary, left binary, share binary"
@@ -300,9 +326,11 @@ def _scored(kind: str, fit_rows: DataFrame, score_rows: DataFrame, wanted: list[
     names = [c.split()[0] for c in schema.split(", ")]
     take = score_rows.select(*SET, *KEYS, "x")
 
-    def told(rows: pd.DataFrame, of: dict[int, tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        out = [rows[[*SET, *KEYS]].assign(p=p, y_score=score, y_pred=pred.astype(np.int32)) for p, (score, pred) in of.items()] if len(rows) else []
-        return pd.concat(out)[names] if out else pd.DataFrame([], columns=names)
+    def told(rows: pa.Table, of: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        keys = rows.select([*SET, *KEYS])
+        out = [keys.append_column("p", pa.array(np.full(len(score), p, np.int32))).append_column("y_score", pa.array(score, pa.float64())).append_column("y_pred", pa.array(pred.astype(np.int32))).select(names) for p, (score, pred) in of.items()]
+        none = keys.slice(0, 0).append_column("p", pa.array([], pa.int32())).append_column("y_score", pa.array([], pa.float64())).append_column("y_pred", pa.array([], pa.int32())).select(names)
+        return pa.concat_tables(out) if out and rows.num_rows else none
 
     if kind == "svm":
         gammas = list(dict.fromkeys(q["gamma"] for q in params))
@@ -311,10 +339,10 @@ def _scored(kind: str, fit_rows: DataFrame, score_rows: DataFrame, wanted: list[
         weights = _machines(fit_rows, list(dict.fromkeys(machine(*m) for m in wanted)), bases, _salts(n_most))
         fitted = spark.createDataFrame([(*m, machine(*m)[2], weights[machine(*m)].tolist()) for m in wanted if machine(*m) in weights], "fold int, split int, p int, g int, w array<double>")
 
-        def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            x, of = _matrix(rows["x"]), {}
-            for base in own.itertuples() if len(rows) else ():
-                of[base.p] = (score := _features(x, base) @ np.asarray(base.w)), score > 0
+        def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+            x, of = _matrix(rows.column("x")), {}
+            for base in own.to_pylist() if rows.num_rows else ():
+                of[base["p"]] = (score := _features(x, base) @ np.asarray(base["w"])), score > 0
             return told(rows, of)
 
         models = bases.join(fitted, [*SET, "g"])
@@ -322,13 +350,14 @@ def _scored(kind: str, fit_rows: DataFrame, score_rows: DataFrame, wanted: list[
         packs = kept(_packs(fit_rows, shape))
         trees = kept(_forests(packs, wanted, params, seed))
 
-        def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows) or not len(own):
+        def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+            if not rows.num_rows or not own.num_rows:
                 return told(rows, {})
+            own = own.to_pandas()
             first = own[own["chosen"].notna()].iloc[0]
-            bins, of = forest.binned(_matrix(rows["x"])[:, _read(first["chosen"], np.int32)], [np.asarray(b) for b in first["borders"]]), {}
+            bins, of = forest.binned(_matrix(rows.column("x"))[:, _read(first["chosen"], np.int32)], [np.asarray(b) for b in first["borders"]]), {}
             for p, some in own[own["chosen"].isna()].groupby("p"):
-                total = np.zeros(len(rows))
+                total = np.zeros(len(bins))
                 for t in some.sort_values("tree").itertuples():
                     total += forest.score({"feature": _read(t.feature, np.int32), "cut": _read(t.cut, np.int32), "left": _read(t.left, np.int32), "share": _read(t.share, np.float32)}, bins)
                 of[int(p)] = (share := total / len(some)), share > 0.5
