@@ -235,12 +235,17 @@ def test_calibration_rows_take_no_part(spark):
 def test_jobs_do_not_grow_with_patients(spark, kind):
     def jobs(people):
         df, names = table(spark, people, n=16, width=3)
-        tracker = spark.sparkContext.statusTracker()
-        before = len(tracker.getJobIdsForGroup(None))
+        group = f"{kind}-{people}"
         held = [f"p{i}" for i in range(people)]
-        scored = loso.predict(df, names, kind, held, fixed={"n_estimators": 3} if kind == "rf" else None)
-        assert scored.select("patient").distinct().count() == people
-        return len(tracker.getJobIdsForGroup(None)) - before
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            scored = loso.predict(df, names, kind, held, fixed={"n_estimators": 3} if kind == "rf" else None)
+            assert scored.select("patient").distinct().count() == people
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert found > 10
+        return found
 
     few, many = jobs(4), jobs(40)
     assert abs(many - few) <= 12  # machines may take a step more or less; re-planning splits jobs
