@@ -80,6 +80,30 @@ def test_pieces_of_what_is_left(stages):
     assert all(r["n_pieces"] == size[r["doc_id"]] for r in last)
 
 
+def test_columns_of_any_name_stay(spark):
+    """Further columns, named as the stages name their own, go through with their rows; null and repeated rows too."""
+    names = ["score", "n_passages", "kept", "rule", "n_words", "row", "_text", "_words", "_stay", "_key", "_times", "_turn", "_i", "_s", "_h", "component"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0)], docs.schema)
+    rows = docs.unionByName(docs.limit(5)).unionByName(odd)
+    mark = lambda c: F.concat_ws(":", F.lit(c), F.coalesce("doc_id", F.lit(-1)))
+    plain, more = rows, rows.select("*", *[mark(c).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = kept(stage(spark, plain, SF)), kept(stage(spark, more, SF))
+        assert plain.columns == COLUMNS and more.columns == COLUMNS + names and plain.count() > 0
+        assert sorted(map(str, more.select(*COLUMNS).collect())) == sorted(map(str, plain.collect()))
+        assert more.where(" or ".join(f"`{c}` is distinct from concat_ws(':', '{c}', coalesce(doc_id, -1))" for c in names)).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, more, SF).count() == more.count()
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = kept(stage(spark, docs, SF))
+        assert docs.columns == COLUMNS and docs.isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).isEmpty()
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = F.concat_ws(":", "doc_id", "n_pieces", "pieces_crc32")
     of = lambda df: sorted(r[0] for r in df.select(key).collect())

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from wavemill.llm import sharding
 
 SCHEMA = "doc_id long, text string, size string, shard string"
@@ -48,6 +50,16 @@ def test_a_group_that_fits_stays_whole(spark):
     assert max(sizes) < 1.02 * sum(sizes) / 16 and min(sizes) > 0.98 * sum(sizes) / 16
 
 
+def test_small_groups_are_balanced_in_every_dimension(spark):
+    """Small groups in bundles (uneven by 2 % and 3 % without directions): short and long texts, sparse and rich ones; all three sums come out even."""
+    kinds = [lambda i: f"w{i}", lambda i: f"{i} " + "a b c d e f g h " * 3, lambda i: f"{i}" + "x" * 150, lambda i: f"{i} word " * 12]
+    rows = [(i, kinds[i % 4](i), "", "") for i in range(12_000)]
+    got = sharding.pack(spark.createDataFrame(rows, SCHEMA), shards=4, fine=4, bundles=512).groupBy("shard").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).collect()
+    for k in (1, 2, 3):
+        sums = [r[k] for r in got]
+        assert len(sums) == 4 and max(sums) - min(sums) < 0.02 * sum(sums) / 4
+
+
 def brute(texts, shards):
     """Shard of each distinct text, placed one by one in plain loops."""
     items = {t: [0, 0, 0] for t in texts}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, kept
+from .scratch import discard, fresh, kept, yielding
 from .words import LOWER, NON_SPACE, texts_of, words_of
 
 PASSAGE = 64
@@ -225,8 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_passages: i
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
-    """The columns in ``keep`` with score (0 to 1, higher: label 1 likelier), n_passages and attention (the largest weight)."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    """The columns in ``keep`` with score (0 to 1, higher: label 1 likelier) and n_passages; a kept column named like these gives way to them."""
+    keep = yielding(keep, ("score", "n_passages"))
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(fresh("_text", keep)))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

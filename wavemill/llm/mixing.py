@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import kept, running, same
+from .scratch import fresh, kept, running, same
 
 
 def _small(per_source: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -73,11 +73,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them, with the columns of ``docs``.
 
     Texts are joined back on id, source and hash of the text. Rows equal in all
-    three are one row here, repeated as often as the mix takes them together.
+    three are one row here, repeated as often as the mix takes them together; their
+    other columns are those of any one of them. Columns of ``docs`` may have any names.
     """
+    i, s, h, times, key, turn = (fresh(c, docs.columns) for c in ("_i", "_s", "_h", "_times", "_key", "_turn"))
     id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    taken = mix(docs, **options).where("times > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("times").cast("int").alias("_times"))
-    taken = taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "_times")
-    rows = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).dropDuplicates([id_col, source_col, "_key"])
-    hit = rows.join(taken, same(F.col(id_col), F.col("_i")) & same(F.col(source_col), F.col("_s")) & (F.col("_key") == F.col("_h")))
-    return hit.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_turn")).select(*docs.columns)
+    taken = mix(docs, **options).where("times > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("times").cast("int").alias(times))
+    taken = taken.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), times)
+    rows = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).dropDuplicates([id_col, source_col, key])
+    hit = rows.join(taken, same(F.col(id_col), F.col(i)) & same(F.col(source_col), F.col(s)) & (F.col(key) == F.col(h)))
+    return hit.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(turn)).select(*docs.columns)

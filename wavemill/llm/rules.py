@@ -13,7 +13,8 @@ hash. The statistics and the verdict cover every row.
 
 Defined cases: a null text is an empty text; labels that are null, or that a
 document has in both values, are not used; without labels of both classes the
-list is empty and keeps everything; repeated rows get equal results.
+list is empty and keeps everything; repeated rows get equal results; a kept column
+that is named like a result gives way to it, other columns of the input clash with nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import fresh, yielding
+
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 
+#: The columns of ``statistics``.
+COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_breaks")
+
 #: Statistics that rules may test, as shares where a count would follow the length.
 FEATURES = ("mean_word", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share")
 
@@ -64,28 +70,29 @@ def _repeated_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks, n_lines, and the columns in ``keep``."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks, n_breaks, and the columns in ``keep``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("_text"), F.array_remove(F.split(text, SPACE + "+"), "").alias("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    keep = yielding(keep, COUNTS)
+    whole, words = fresh("_text", keep), fresh("_words", keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias(whole), F.array_remove(F.split(text, SPACE + "+"), "").alias(words))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
         "doc_id",
         *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        (F.length("_text") - F.regexp_count("_text", F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size(words).cast("long").alias("n_words"),
+        (F.length(whole) - F.regexp_count(whole, F.lit(SPACE))).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.regexp_count("_text", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count("_text", F.lit(r"[!?]")).cast("long").alias("n_marks"),
-        F.regexp_count("_text", F.lit("\n")).cast("long").alias("n_breaks"),
+        _repeated_words(F.col(words)).alias("n_repeat_words"),
+        F.regexp_count(whole, F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count(whole, F.lit(r"[!?]")).cast("long").alias("n_marks"),
+        F.regexp_count(whole, F.lit("\n")).cast("long").alias("n_breaks"),
     )
 
 
 def features() -> dict[str, Column]:
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return {
-
         "mean_word": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / chars,
         "repeat_share": F.col("n_repeat_words") / words,
@@ -127,7 +134,7 @@ def _best_condition(x: np.ndarray, junk: np.ndarray) -> tuple | None:
 
 
 def learn(rows: list[tuple], n_features: int = len(FEATURES), precision: float = 0.95, most_rules: int | None = None, most_conditions: int = 4, least: int = 3) -> list[list[tuple]]:
-    """Rules for junk from rows of (values..., is junk): every third row prunes, the others grow.
+    """Rules for junk from rows of (values..., is junk): every third row prunes, the others grow. A rule has at most ``most_conditions`` conditions.
 
     ``least`` is the number of junk rows that a rule must cover, ``precision`` the share of junk among all that it covers, after pruning.
     Where no part of a grown rule is that precise, the rows it covers are set aside and covering goes on with the rest; rows set aside
@@ -209,6 +216,6 @@ def verdict(rules: list[list[tuple]]) -> tuple[Column, Column]:
 def judge(docs: DataFrame, rules: list[list[tuple]], keep: tuple[str, ...] = ()) -> DataFrame:
     """The statistics of every row with base_failed, rule (the number of the rejecting rule, 0 if none) and kept."""
     number, passes = verdict(rules)
-    stats = statistics(docs, keep=keep)
+    stats = statistics(docs, keep=yielding(keep, ("base_failed", "rule", "kept")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return stats.withColumns({"base_failed": failed, "rule": number.cast("int"), "kept": ~failed & passes})

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, kept
+from .scratch import discard, fresh, kept
 from .words import ALNUM, LOWER, mixed, shingles, texts_of, words_of
 
 COORDINATES = 32
@@ -406,13 +406,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: that of the least id, ties to the least hash of the text, null ids last."""
+    """One row of each component, with the columns of ``docs`` (of any names): that of the least id, ties to the least hash of the text, null ids last."""
+    name = fresh("_stay", docs.columns)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
 
     def key(doc_id, text_hash):
         return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text_hash).cast("binary"))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    stay = join(docs, **options).groupBy("component").agg(F.min(order).alias("r")).select(key(F.col("r.doc_id"), F.col("r.text_hash")).alias("_stay"))
-    rows = docs.withColumn("_stay", key(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    return rows.join(stay, "_stay", "left_semi").dropDuplicates(["_stay"]).select(*docs.columns)
+    stay = join(docs, **options).groupBy("component").agg(F.min(order).alias("r")).select(key(F.col("r.doc_id"), F.col("r.text_hash")).alias(name))
+    rows = docs.withColumn(name, key(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return rows.join(stay, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
