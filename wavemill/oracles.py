@@ -330,3 +330,91 @@ SELECT vec_id, round(CAST(CAST(CASE WHEN r > 0 AND a > 0 AND b > 0 THEN -ln(a /
 
 ORACLES["chunk_slices"] = ORACLES["window_slices"]
 ORACLES |= {"stream_nlms": ORACLES["nlms_filter"], "stream_rls": ORACLES["rls_filter"]}
+
+
+# spectra, wavelets, screening features ---------------------------------------
+
+BAND_EDGES = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 32)}  # whole hertz of a band that starts at half a hertz, up to half the sampling rate
+WINDOWS_256 = f"{VECTORS}, w AS (SELECT vec_id // 4 AS window_id, flatten(list(x ORDER BY vec_id)) AS x FROM vec GROUP BY ALL HAVING count(*) = 4)"
+TRIG = "trig AS (SELECT i, k, cos(2 * pi() * i * k / 64) AS c, sin(2 * pi() * i * k / 64) AS s FROM range(64) a(i), range(33) b(k))"
+
+
+def as_float(value: str) -> str:
+    """A double that went through a column of single precision."""
+    return f"round(CAST(CAST({value} AS FLOAT) AS DOUBLE), 4)"
+
+
+def _trapezoid(low: int, high: int) -> str:
+    return f"sum(d) FILTER (k BETWEEN {low} AND {high}) - sum(d) FILTER (k IN ({low}, {high})) / 2"
+
+
+ORACLES["frequency_features"] = (
+    f"""WITH {WINDOWS_256}, {TRIG},
+g AS (SELECT window_id, pos, x[pos + 1:pos + 64] AS g FROM w, range(0, 193, 32) t(pos)),
+v AS (SELECT window_id, pos, i, (g[i + 1] - list_avg(g)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM g, range(64) r(i)),
+f AS (SELECT window_id, pos, k, power(sum(v * c), 2) + power(sum(v * s), 2) AS p FROM v JOIN trig USING (i) GROUP BY ALL),
+d AS (SELECT window_id, k, avg(p) / (64 * 24) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS d FROM f GROUP BY window_id, k),
+b AS (SELECT window_id, {_trapezoid(1, 32)} AS whole, {', '.join(f'{_trapezoid(*e)} AS {n}' for n, e in BAND_EDGES.items())} FROM d GROUP BY window_id)
+SELECT window_id, """
+    + ", ".join([*[f"{as_float(f'log10({n} + 1e-12)')} AS logpow_{n}" for n in BAND_EDGES], *[f"{as_float(f'CASE WHEN whole > 0 THEN {n} / whole ELSE 0 END')} AS rel_{n}" for n in BAND_EDGES]])
+    + " FROM b"
+)
+
+ORACLES["screening_features"] = (
+    f"""WITH {VECTORS}, {TRIG},
+v AS (SELECT vec_id, i, x[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS v FROM vec, range(64) r(i)),
+e AS (SELECT vec_id, k, power(sum(v * c), 2) + power(sum(v * s), 2) + 1e-20 AS e FROM v JOIN trig USING (i) WHERE k BETWEEN 1 AND 32 GROUP BY ALL),
+q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS q FROM e),
+b AS (SELECT vec_id, -sum(q * ln(q)) AS spectral_entropy, {', '.join(f'sum(e) FILTER (k >= {low} AND k < {33 if n == "gamma" else high}) AS {n}' for n, (low, high) in BAND_EDGES.items())} FROM q GROUP BY vec_id),
+d AS (SELECT vec_id, list_var_pop(x) + 1e-20 AS v0, list_transform(range(2, 65), lambda i: x[i] - x[i - 1]) AS dx FROM vec),
+t AS (SELECT vec_id, v0, list_avg(list_transform(dx, lambda y: abs(y))) + 1e-20 AS ll, list_var_pop(dx) + 1e-20 AS v1, list_var_pop(list_transform(range(2, 64), lambda i: dx[i] - dx[i - 1])) + 1e-20 AS v2 FROM d)
+SELECT vec_id, round(ln(v0), 6) AS log_variance, round(ln(ll), 6) AS log_line_length, round(spectral_entropy, 6) AS spectral_entropy, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 * v0) / v1, 6) AS complexity, """
+    + ", ".join(f"round(ln({n}), 6) AS log_{n}, round({n} / ({' + '.join(BAND_EDGES)}), 6) AS share_{n}" for n in BAND_EDGES)
+    + " FROM b JOIN t USING (vec_id)"
+)
+
+SCALING = [0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278]  # fixed values: Daubechies, four vanishing moments
+
+
+def _wavelet_levels(n: int = 256, levels: int = 5) -> str:
+    """CTEs l1 to l5: the filtered half-rate lines (v low, d high), from l0, with edges mirrored at half points."""
+    parts = ["taps(t, low, high) AS (VALUES " + ", ".join(f"({t}, {SCALING[t]!r}::DOUBLE, {(-1) ** t * SCALING[7 - t]!r}::DOUBLE)" for t in range(8)) + ")", f"l0 AS (SELECT window_id, i AS pos, x[i + 1] AS v FROM w, range({n}) r(i))"]
+    for level in range(1, levels + 1):
+        out = (n + 7) // 2
+        pos = f"CASE WHEN 2 * j + t - 6 < 0 THEN 5 - 2 * j - t WHEN 2 * j + t - 6 >= {n} THEN {2 * n + 5} - 2 * j - t ELSE 2 * j + t - 6 END"
+        parts.append(f"l{level} AS (SELECT window_id, j AS pos, sum(v * low) AS v, sum(v * high) AS d FROM (SELECT j, low, high, {pos} AS pos FROM range({out}) r(j), taps) JOIN l{level - 1} USING (pos) GROUP BY ALL)")
+        n = out
+    return ",\n".join(parts)
+
+
+_LINES = " UNION ALL ".join([f"SELECT window_id, 'd{k}' AS part, d AS c FROM l{k}" for k in range(1, 6)] + ["SELECT window_id, 'a5', v FROM l5"])
+
+def _energy(part: str) -> str:
+    return as_float(f"log10(sum(c * c) FILTER (part = '{part}') + 1e-12)")
+
+
+def _spread(part: str) -> str:
+    return as_float(f"stddev_pop(c) FILTER (part = '{part}')")
+
+
+_PARTS = ["d1", "d2", "d3", "d4", "d5", "a5"]
+ORACLES["wavelet_features"] = (
+    f"WITH {WINDOWS_256}, {_wavelet_levels()}, lines AS ({_LINES}) SELECT window_id, "
+    + ", ".join(f'{_energy(p)} AS "dwt_logE_{p}", {_spread(p)} AS dwt_std_{p}' for p in _PARTS)
+    + " FROM lines GROUP BY window_id"
+)
+
+# exact tests of arms: how many of all choices of signs give each sum of doubled ranks, a pair a step
+ORACLES["arm_tests"] = f"""WITH RECURSIVE {ARMS}, keyed AS (SELECT arm, subset, metric, value - reference_value AS d FROM tagged),
+ranked AS (SELECT arm, subset, metric, d > 0 AS up, row_number() OVER one AS step, 2 * rank() OVER by_size + count(*) OVER same - 1 AS r FROM keyed WHERE d <> 0
+  WINDOW one AS (PARTITION BY arm, subset, metric ORDER BY abs(d), d), by_size AS (PARTITION BY arm, subset, metric ORDER BY abs(d)), same AS (PARTITION BY arm, subset, metric, abs(d))),
+sums(arm, subset, metric, step, total, chance) AS (
+  SELECT DISTINCT arm, subset, metric, 0::BIGINT, 0::BIGINT, 1::DOUBLE FROM ranked
+  UNION ALL
+  SELECT s.arm, s.subset, s.metric, s.step + 1, s.total + CAST(chosen.k * r.r AS BIGINT), sum(s.chance / 2)
+  FROM sums s JOIN ranked r ON r.arm = s.arm AND r.subset = s.subset AND r.metric = s.metric AND r.step = s.step + 1, (VALUES (0), (1)) chosen(k) GROUP BY 1, 2, 3, 4, 5),
+ends AS (SELECT arm, subset, metric, count(*) AS n, sum(r) FILTER (up) AS up FROM ranked GROUP BY ALL),
+tested AS (SELECT e.arm, e.subset, e.metric, e.n, least(1, 2 * least(sum(chance) FILTER (total >= coalesce(up, 0)), sum(chance) FILTER (total <= coalesce(up, 0)))) AS p FROM ends e JOIN sums s ON s.arm = e.arm AND s.subset = e.subset AND s.metric = e.metric AND s.step = e.n GROUP BY e.arm, e.subset, e.metric, e.n, e.up),
+counts AS (SELECT arm, subset, metric, CAST(count(*) AS INT) AS n_patients, CAST(count(*) FILTER (d > 0) AS INT) AS n_arm_greater, CAST(count(*) FILTER (d < 0) AS INT) AS n_reference_greater FROM keyed GROUP BY ALL)
+SELECT arm, subset, metric, n_patients, n_arm_greater, n_reference_greater, round(coalesce(p, 1), 9) AS p_value, round(coalesce(least(1, 2 / power(2, n)), 1), 9) AS min_possible_p
+FROM counts LEFT JOIN tested USING (arm, subset, metric)"""

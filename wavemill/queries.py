@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import config
-from .functions import adaptive, time_domain
+from .functions import adaptive, kernels, time_domain
 from .functions import features as feature_table
 from .operators import calibration, cohort, compare, direction, events, leakage, metrics, sampling, windows
 from .oracles import ORACLES
@@ -320,6 +320,33 @@ def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
     return feature_table.with_features(windows_of_vectors(spark, sf), 64.0)
 
 
+def _of_256(spark: SparkSession, sf: str) -> DataFrame:
+    """Every four neighbouring vectors as a window of four seconds at 64 Hz."""
+    rows = windows_of_vectors(spark, sf).groupBy(F.floor(F.col("vec_id") / 4).alias("window_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("v"))
+    return rows.where("size(v) = 4").select("window_id", F.flatten(F.transform("v", lambda v: v["x"])).alias("x"))
+
+
+@query
+def frequency_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Log powers and shares of the bands: seven segments of each window of 256 samples."""
+    found = feature_table.with_features(_of_256(spark, sf), 64.0, nonlinear=False)
+    return found.select("window_id", *[F.round(F.col(f"{kind}_{b}").cast("double"), 4).alias(f"{kind}_{b}") for kind in ("logpow", "rel") for b in config.BANDS])
+
+
+@query
+def wavelet_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Log energy and spread of the details and the last approximation of each window of 256 samples."""
+    found = feature_table.with_features(_of_256(spark, sf), 64.0, nonlinear=False)
+    return found.select("window_id", *[F.round(F.col(f"{kind}_{d}").cast("double"), 4).alias(f"{kind}_{d}") for kind in ("dwt_logE", "dwt_std") for d in config.DETAILS])
+
+
+@query
+def screening_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifteen features by which filters are screened, of every vector."""
+    rows = windows_of_vectors(spark, sf).withColumn("f", screen.cheap_features(64.0)("x"))
+    return rows.select("vec_id", *[F.round(F.col("f")[i], 6).alias(n) for i, n in enumerate(kernels.SCREENING)])
+
+
 @query
 def window_features_1024(spark: SparkSession, sf: str) -> DataFrame:
     """All features of windows of 1024 samples at 256 Hz, one every 16 samples: the vectors are chunks, 400 of them make a recording."""
@@ -420,6 +447,13 @@ def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return compare.arms(_arms(spark, sf), "raw", [str(i) for i in range(50)], ["sensitivity", "specificity", "auc"])
 
 
+@query
+def arm_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """What is exact of ``arm_comparison``: directions and p-values."""
+    found = compare.arms(_arms(spark, sf), "raw", [str(i) for i in range(50)], ["sensitivity", "specificity", "auc"], n_boot=100)
+    return found.select("arm", "subset", "metric", "n_patients", "n_arm_greater", "n_reference_greater", F.round("p_value", 9).alias("p_value"), F.round("min_possible_p", 9).alias("min_possible_p"))
+
+
 @query
 def loso_rf(spark: SparkSession, sf: str) -> DataFrame:
     return loso.evaluate(loso.vectors(spark, sf), "rf")
