@@ -3,8 +3,10 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from wavemill.functions import adaptive
+from wavemill.config import tag
+from wavemill.functions import adaptive, segmented
 from wavemill.operators import events
+from wavemill.plans import screen
 from wavemill.plans.bindings import predictions
 from wavemill.streaming import alarms, filters
 
@@ -85,3 +87,31 @@ def test_channels_without_a_whole_warm_start_are_held_back(spark, tmp_path):
     df = signal(spark).where("case = 'd' and file_order = 0").withColumn("_b", F.col("chunk_idx"))
     run(filters.filtered(batches(spark, df, str(tmp_path / "in"), [], 2), "rls", fs=32.0, warm_start_s=60.0), "held", tmp_path)
     assert spark.table("held").count() == 0
+
+
+def test_segments_filter_as_one_after_the_other_does(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    loud = rng.normal(size=(90, 16))
+    quiet = np.where(np.arange(90)[:, None] < 12, loud, 0.02 * loud)  # RLS forgets until its cap holds
+    rows = [(case, "C1", "all", 1, 3 * i, v.tolist()) for case, x in (("loud", loud), ("quiet", quiet), ("short", loud[:2])) for i, v in enumerate(x)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    settings = [("nlms", {"length": 8, "mu": 0.02}), ("rls", {"length": 8, "forgetting": 0.9995}), ("rls", {"length": 4, "forgetting": 0.9, "cap_factor": 5.0})]
+    monkeypatch.setattr(segmented, "CHUNKS", 4)
+    got, capped = {}, set()
+    for r in segmented.run(chunks, settings, 16.0, 4.0).collect():
+        got[r["setting"], r["case"], r["chunk_idx"]] = r["samples"]
+        if r["capped"]:
+            capped.add((r["setting"], r["case"]))
+    assert len(got) == 3 * len(rows) and capped == {(2, "quiet")}
+    for k, (method, params) in enumerate(settings):
+        for r in adaptive.run(chunks, method, params, fs=16.0, warm_start_s=4.0).collect():
+            if (k, r["case"]) not in capped:
+                assert np.allclose(got[k, r["case"], r["chunk_idx"]], r["samples"], rtol=1e-5, atol=1e-6)
+    # the screen takes capped cases one chunk after the other
+    some = chunks.where("case = 'quiet'").unionByName(spark.createDataFrame([("odd", "C1", "all", 1, i, [1.0] * 15 + [2.0 + i]) for i in range(3)], CHUNKS))
+    found = {(r["tag"], r["case"], r["chunk_idx"]): r["_f"] for r in screen._features_after(some, settings, 16.0).collect()}
+    for method, params in settings:
+        want = adaptive.run(some, method, params, fs=16.0, warm_start_s=4.0)
+        for r in want.select("case", "chunk_idx", screen.cheap_features(16.0)("samples").alias("f")).collect():
+            assert np.allclose(found.pop((tag(method, params), r["case"], r["chunk_idx"])), r["f"], rtol=1e-4)
+    assert not found

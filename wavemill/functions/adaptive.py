@@ -66,8 +66,11 @@ def _rls(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
             continue
         gain = mu / np.where(learns, denominator, 1.0)[:, None]
         w += np.where(learns, e, 0.0)[:, None] * gain
-        new = (m - gain[:, :, None] * mu[:, None, :]) / lam
+        # products of two entries are the same on both sides of the diagonal: a difference between them would grow by 1 / lam a sample
+        new = (m - mu[:, :, None] * mu[:, None, :] / np.where(learns, denominator, 1.0)[:, None, None]) / lam
         trace = np.einsum("cll->c", new)
+        if "capped" in s:  # asked for by those who must know
+            s["capped"] |= learns & (trace > cap)
         new *= np.where(trace > cap, cap / np.where(trace > cap, trace, 1.0), 1.0)[:, None, None]
         if learns.all():
             m[:] = new

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import METHODS, tag
-from ..functions import adaptive, kernels
+from ..functions import adaptive, kernels, segmented
 from ..operators import metrics
+from ..shared import kept
 from .bindings import STEP
 
 
@@ -42,23 +43,52 @@ def cheap_features(fs: float):
 
 def separability(windows: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Mean of 2 |AUC - 0.5| over the screening features, per group of (keys, label, x)."""
-    rows = windows.withColumn("_f", cheap_features(fs)("x")).select(*keys, "label", F.posexplode("_f").alias("feature", "value"))
-    aucs = metrics.auc(rows, [*keys, "feature"], "label", "value")
+    return _separability(windows.withColumn("_f", cheap_features(fs)("x")), keys)
+
+
+def _separability(rows: DataFrame, keys: list[str]) -> DataFrame:
+    aucs = metrics.auc(rows.select(*keys, "label", F.posexplode("_f").alias("feature", "value")), [*keys, "feature"], "label", "value")
     return aucs.groupBy(*keys).agg(F.avg(2 * F.abs(F.col("auc") - 0.5)).alias("separability"))
 
 
+def _features_after(chunks: DataFrame, settings: list[tuple[str, dict]], fs: float, warm_start_s: float = 4.0) -> DataFrame:
+    """(method, tag, case, chunk_idx, _f) of each setting: NLMS and RLS in segments side by side, the amplitude filter and what segments cannot give in the order of the chunks."""
+    names = ["method", "tag", "case", "chunk_idx"]
+    named = lambda df, method, params: df.select(F.lit(method).alias("method"), F.lit(tag(method, params)).alias("tag"), "case", "chunk_idx", F.col("samples").alias("x"))
+    in_order = lambda rows, method, params: named(adaptive.run(rows, method, params, fs=fs, warm_start_s=warm_start_s), method, params)
+    whole = F.size("samples").isNotNull() & (F.size("samples") > 0) & ~F.exists("samples", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    odd = [r["case"] for r in chunks.where(~F.coalesce(whole, F.lit(False))).select("case").distinct().collect()]
+    sided = [(m, p) for m, p in settings if m in ("nlms", "rls")]
+    parts = [in_order(chunks, m, p) for m, p in settings if (m, p) not in sided]
+    if odd:
+        parts += [in_order(chunks.where(F.col("case").isin(odd)), m, p) for m, p in sided]
+    done = None
+    if sided:
+        found = segmented.run(chunks.where(~F.col("case").isin(odd)), sided, fs, warm_start_s)
+        labels = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(tag(m, p)).alias("tag")) for m, p in sided])
+        found = found.select("setting", labels[F.col("setting")].alias("s"), "case", "chunk_idx", cheap_features(fs)("samples").alias("_f"), "capped")
+        done = kept(found.select("setting", "s.method", "s.tag", "case", "chunk_idx", "_f", "capped"))
+        capped = done.where("capped").select("setting", "case").distinct()
+        again: dict[int, list[str]] = {}
+        for r in capped.collect():
+            again.setdefault(r["setting"], []).append(r["case"])
+        if again:
+            done = done.join(F.broadcast(capped), ["setting", "case"], "left_anti")
+            parts += [in_order(chunks.where(F.col("case").isin(cases)), *sided[k]) for k, cases in again.items()]
+        done = done.select(*names, "_f")
+    rest = [p.select(*names, cheap_features(fs)("x").alias("_f")) for p in parts]
+    return reduce(DataFrame.union, [*([done] if done is not None else []), *rest])
+
+
 def separability_kept(windows: DataFrame, fs: float = 64.0, settings: list[tuple[str, dict]] | None = None, threshold: float = 0.85) -> DataFrame:
     """Per setting: separability of the labels before and after the filter, the least kept by a patient, and whether it passes."""
     chunks = windows.select(F.col("patient").cast("string").alias("case"), F.lit("C1").alias("channel"), F.lit("all").alias("file"), F.lit(1).alias("file_order"), F.col("vec_id").alias("chunk_idx"), F.col("x").alias("samples"))
     labels = windows.select(F.col("vec_id").alias("chunk_idx"), "label")
     before = separability(windows.select(F.col("patient").cast("string").alias("case"), "label", "x"), ["case"], fs).withColumnRenamed("separability", "sep_in")
-    filtered = []
-    for method, params in settings or [(m, {}) for m in METHODS]:
-        out = adaptive.run(chunks, method, params, fs=fs, warm_start_s=4.0)
-        filtered.append(out.select(F.lit(method).alias("method"), F.lit(tag(method, params)).alias("tag"), "case", "chunk_idx", F.col("samples").alias("x")))
-    after = separability(reduce(DataFrame.union, filtered).join(labels, "chunk_idx"), ["method", "tag", "case"], fs)
-    kept = after.join(before, "case").withColumn("kept", F.try_divide("separability", "sep_in"))
-    worst = kept.groupBy("method", "tag").agg(F.round(F.avg("sep_in"), 6).alias("sep_in"), F.round(F.avg("separability"), 6).alias("sep_out"), F.round(F.min("kept"), 6).alias("worst_kept"))
+    filtered = _features_after(chunks, settings or [(m, {}) for m in METHODS], fs)
+    after = _separability(filtered.join(labels, "chunk_idx"), ["method", "tag", "case"])
+    by_case = after.join(before, "case").withColumn("kept", F.try_divide("separability", "sep_in"))
+    worst = by_case.groupBy("method", "tag").agg(F.round(F.avg("sep_in"), 6).alias("sep_in"), F.round(F.avg("separability"), 6).alias("sep_out"), F.round(F.min("kept"), 6).alias("worst_kept"))
     return worst.withColumn("passes", F.col("worst_kept") >= threshold)
 
 
