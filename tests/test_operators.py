@@ -532,3 +532,13 @@ def test_held_out_chooser(spark):
     rows = spark.createDataFrame([(p,) for p in "cab"], "patient string")
     assert loso.held_out(rows, 2) == ["a", "b"]
     assert {tuple(loso.held_out(rows, 2, s)) for s in range(20)} > {("a", "b")} and loso.held_out(rows, 2, 1) == loso.held_out(rows, 2, 1)
+
+
+def test_bootstrap_weights_of_a_patient_are_drawn_once_for_all_groups(spark, monkeypatch):
+    drawn, digest = spark.sparkContext.accumulator(0), compare.blake2b
+    monkeypatch.setattr(compare, "blake2b", lambda *a, **o: drawn.add(1) or digest(*a, **o))
+    rows = [("m", arm, "raw", "all", metric, p, float((p * k) % 7)) for arm in ("a", "b") for k, metric in enumerate(("auc", "f1", "sensitivity")) for p in range(40)]
+    diffs = spark.createDataFrame(rows, "model string, arm string, reference string, subset string, metric string, patient long, _d double").repartition(6, "arm", "metric")
+    got = compare._intervals(diffs, 200, 0).collect()
+    assert drawn.value == 40 and len(got) == 6
+    assert all((r["ci_low"], r["ci_high"]) == (0, 0) if r["metric"] == "auc" else r["ci_low"] < 3 < r["ci_high"] for r in got)
