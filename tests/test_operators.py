@@ -542,3 +542,30 @@ def test_bootstrap_weights_of_a_patient_are_drawn_once_for_all_groups(spark, mon
     got = compare._intervals(diffs, 200, 0).collect()
     assert drawn.value == 40 and len(got) == 6
     assert all((r["ci_low"], r["ci_high"]) == (0, 0) if r["metric"] == "auc" else r["ci_low"] < 3 < r["ci_high"] for r in got)
+
+
+def test_entropies_and_sums_of_windows_side_by_side(spark):
+    rng = np.random.default_rng(4)
+    for n in (5, 6, 7, 64, 301):
+        x = np.vstack([rng.normal(size=(40, n)), np.ones((1, n)), np.full((1, n), np.nan)])
+        want = []
+        for row in x[:, ::2]:
+            r, k = 0.2 * row.std(), len(row)
+            if not r > 0 or k <= 3:
+                want.append((np.nan, np.nan))
+                continue
+            same = lambda i, j, m: bool(np.all(np.abs(row[i : i + m] - row[j : j + m]) <= r))  # noqa: E731, B023
+            counts = [np.array([sum(same(i, j, m) for j in range(k - m + 1)) for i in range(k - m + 1)]) for m in (2, 3)]
+            b = sum(same(i, j, 2) for i in range(k - 2) for j in range(k - 2)) - (k - 2)
+            a = counts[1].sum() - (k - 2)
+            want.append((-np.log(a / b) if a > 0 and b > 0 else np.nan, np.log(counts[0] / (k - 1)).mean() - np.log(counts[1] / (k - 2)).mean()))
+        assert np.allclose(kernels.entropies(x), want, rtol=1e-12, atol=1e-12, equal_nan=True)
+    x = rng.normal(size=(20, 64))
+    s = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(time_domain.summary(F.col("x")).alias("s")).select("s.of.*", "s.line_length", "s.d1", "s.d2")
+    assert [tuple(r) for r in s.collect()] == [tuple(v) for v in kernels.time_domain_summary(x).tolist()]
+
+
+def test_tasks_of_windows_are_not_merged_by_their_bytes(spark):
+    rows = [("c", "f", "A", i, 8 * i, [float(j) for j in range(8)]) for i in range(64)]
+    df = spark.createDataFrame(rows, "case string, file string, channel string, chunk_idx int, start_sample int, samples array<double>")
+    assert windows.chunk_slices(df, 16, 4, 8.0, least=8).rdd.getNumPartitions() >= 4

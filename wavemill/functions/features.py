@@ -1,4 +1,4 @@
-"""Feature table of windows: expressions for the time domain, one Arrow UDF for the rest."""
+"""Feature table of windows: one Arrow UDF for sums, spectra, entropies and wavelets, expressions for what follows from them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from . import kernels, time_domain
 
 
 def spectral(fs: float, nonlinear: bool = True):
-    """Arrow UDF from ARRAY<DOUBLE> windows to the features after the time domain, as an array in catalogue order."""
+    """Arrow UDF from ARRAY<DOUBLE> windows to the summary of the time domain and the features after it, as an array in catalogue order."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -24,7 +24,7 @@ def spectral(fs: float, nonlinear: bool = True):
             for n in np.unique(sizes):  # windows of one length make one matrix
                 at = np.flatnonzero(sizes == n)
                 x = np.stack([np.asarray(batch.iloc[i], float) for i in at]) if n else np.zeros((len(at), 0))
-                parts = [kernels.frequency_features(x, fs), *([kernels.entropies(x)] if nonlinear else []), kernels.wavelet_features(x)]
+                parts = [kernels.time_domain_summary(x), kernels.frequency_features(x, fs), *([kernels.entropies(x)] if nonlinear else []), kernels.wavelet_features(x)]
                 for i, row in zip(at, np.hstack(parts), strict=True):
                     out.iloc[i] = row
             yield out
@@ -35,9 +35,12 @@ def spectral(fs: float, nonlinear: bool = True):
 def with_features(windows: DataFrame, fs: float, x: str = "x", nonlinear: bool = True) -> DataFrame:
     """One FLOAT column per feature in place of the samples; undefined values are 0 and counted in n_non_finite."""
     samples = F.transform(x, lambda v: v.cast("double"))
-    rows = windows.withColumn("_x", samples).withColumn("_td", time_domain.summary(F.col("_x"))).withColumn("_rest", spectral(fs, nonlinear)(F.col("_x")))
+    rows = windows.withColumn("_rest", spectral(fs, nonlinear)(samples))
+    part = lambda i, name: F.col("_rest")[i].alias(name)
+    of = F.struct(*[part(i, name) for i, name in enumerate(("mean", "m2", "m3", "m4"))]).alias("of")
+    rows = rows.withColumn("_td", F.struct(of, part(4, "line_length"), part(5, "d1"), part(6, "d2")))
     names = [n for n in feature_names(nonlinear) if n not in TIME_DOMAIN]
-    values = time_domain.features(F.col("_td")) | {n: F.col("_rest")[i] for i, n in enumerate(names)}
+    values = time_domain.features(F.col("_td")) | {n: F.col("_rest")[i] for i, n in enumerate(names, start=7)}
     bad: Callable = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     raw = rows.withColumns({f"_f_{n}": values[n] for n in feature_names(nonlinear)})
     cols = {n: F.when(bad(F.col(f"_f_{n}")), F.lit(0.0)).otherwise(F.col(f"_f_{n}")).cast("float") for n in feature_names(nonlinear)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import partitions
+
 CHANNEL = ("case", "file", "channel")
 
 
@@ -34,8 +36,10 @@ def with_halo(chunks: DataFrame, before: int, after: int, least: int | None = No
     tail = lambda d: F.struct((F.col("chunk_idx") + d).alias("to"), F.lit(False).alias("own"), (F.col("start_sample") + from_).cast("long").alias("at"), F.slice("samples", from_ + 1, F.lit(before)).alias("x"))
     head = lambda d: F.struct((F.col("chunk_idx") - d).alias("to"), F.lit(False).alias("own"), F.col("start_sample").cast("long").alias("at"), F.slice("samples", F.lit(1), F.lit(after)).alias("x"))
     pieces = [own, *[tail(d) for d in range(1, reach + 1) if before], *[head(d) for d in range(1, reach + 1) if after]]
-    sent = chunks.where("samples is not null").select(*keys, F.explode(F.array(*pieces)).alias("p"))
-    met = sent.groupBy(*keys, F.col("p.to").alias("chunk_idx")).agg(
+    sent = chunks.where("samples is not null").select(*keys, F.explode(F.array(*pieces)).alias("p")).withColumn("chunk_idx", F.col("p.to"))
+    # what follows takes far more time than its bytes tell, so that tasks must not be merged by their size
+    tasks = 2 * max(partitions(chunks.sparkSession), chunks.sparkSession.sparkContext.defaultParallelism)
+    met = sent.repartition(tasks, *keys, "chunk_idx").groupBy(*keys, "chunk_idx").agg(
         F.max(F.when(F.col("p.own"), F.struct("p.at", F.size("p.x").alias("n")))).alias("me"),
         F.array_sort(F.collect_list(F.struct("p.at", "p.x"))).alias("of"),  # the chunk and at most ``reach`` pieces on each side
     ).where("me is not null")
