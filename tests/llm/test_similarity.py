@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from wavemill.llm import similarity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,6 +66,30 @@ def test_links_against_brute_force(spark):
     assert stay.columns == df.columns and stay.count() == len({r["component"] for r in got})
 
 
+def test_alike_leaves_of_branches_and_trees_are_dealt_once(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    near = [" ".join(f"x{i}y{rng.random()}" if rng.random() < 0.02 else w for w in base) for i in range(120)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(near)] + [(1000 + i, f"{i} " + " ".join(rng.choice(base) for _ in range(40)), "en", "s", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    prints = similarity.kept(df.select("doc_id", "text", F.lit("").alias("text_hash")).mapInArrow(similarity._fingerprints(5), "doc_id long, text_hash string, set_id binary, n int, first binary, members binary"))
+    leaves = similarity.kept(similarity._leaves(prints.select(F.col("doc_id").alias("c"), "n", "first"), range(4), 2, 8, 4, 0.5))
+    placed, own = similarity._dealt(leaves, 16)
+    of, groups, together = defaultdict(set), defaultdict(set), set()
+    for r in leaves.collect():
+        of[r["leaf"]].add(r["c"])
+    for r in placed.collect():
+        groups[r["leaf"], r["one"], r["other"]].add((r["side"], r["c"]))
+    for (_, one, other), held in groups.items():
+        together |= {(x, y) for i, x in held for j, y in held if x < y and (one == other or i != j)}
+    assert together >= {(x, y) for held in of.values() for x in held for y in held if x < y}  # every pair that shares a leaf
+    blocks = [len(h) for h in of.values() if len(h) > 16]
+    assert len(blocks) >= 8 and sum(len(h) for h in groups.values()) < sum(len(h) * -(-len(h) // 16) for h in of.values()) / 3
+    assert all(len({x for x in r["leaves"] if x < 0}) <= 2 for r in own.collect())
+    want = sorted(brute(rows), key=str)
+    assert sorted([(r["doc_id"], r["class_id"], r["n_links"]) for r in similarity.join(df, bucket=8, block=16, depth=4).collect()], key=str) == want
+
+
 def test_pairs_at_exactly_the_threshold(spark):
     pairs = []
     for n, m in ((396, 44), (117, 13), (9, 1), (1035, 115)):  # m of n shingles differ: n - m shared, 0.8 of the union

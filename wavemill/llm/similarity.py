@@ -21,6 +21,9 @@ for a given number).
 A node that its children do not thin out (most of its sets are alike) or that
 stands at ``depth`` is compared as it is, cut into blocks: each pair of blocks is
 a group of its own, so no task gets more than two blocks, and nothing is dropped.
+Alike sets meet again in the leaves of other branches and trees: such leaves are
+united, where one comparison of the union is less work than one of each, so that
+a set is dealt to the blocks of the union once, not to those of every leaf.
 
 A leaf first compares sizes and the first shingles under all 32 coordinates: two
 sets of similarity 0.8 agree in fewer than ``agree`` = 13 with probability 4e-7.
@@ -29,7 +32,7 @@ Only classes that have a partner by this test fetch their whole sets.
 Pairs never become rows. A leaf gives each of its classes the number of its
 links, and one edge to the least class that it is linked with there, which is
 all that the components need. A pair that meets in several leaves is counted in
-the least of them.
+the least of them, or in the least union that holds both.
 
 Shingles are 64-bit hashes; sets are told apart by 128 bits, and compared by the
 32 low bits of their shingles (two sets of 1000 share one by chance in 1 of 4000
@@ -49,7 +52,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import discard, fresh, kept
@@ -203,7 +206,7 @@ def _by_leaf(leaves: list, places: np.ndarray, wanted: Callable[[int], bool]) ->
 def _trees_in_common(leaves: list, places: np.ndarray) -> np.ndarray:
     """In how many trees each pair of sets shares a leaf."""
     trees: dict[int, np.ndarray] = {}
-    for x, own in _by_leaf(leaves, places, lambda x: True).items():
+    for x, own in _by_leaf(leaves, places, lambda x: x >= 0).items():  # no unions
         met = trees.setdefault(x >> _TREE, np.zeros((len(places), len(places)), bool))
         met[np.ix_(own, own)] = True
     return sum((m.astype(np.int16) for m in trees.values()), np.zeros((len(places), len(places)), np.int16))
@@ -351,6 +354,35 @@ def _found_share(links: int, once: int, twice: int) -> float:
     return links / (links + once * max(once - 1, 0) / (2 * (twice + 1))) if links else 1.0
 
 
+def _unions(leaves: DataFrame, block: int) -> DataFrame:
+    """(leaf, union, size) of leaves of more than a block that are compared as a union of several: all pairs of its leaves, and each once.
+
+    A leaf joins that in which most of its sets are, if this joins no other. A set goes by the largest of its leaves. The number of a union is
+    negative, below those of all leaves, and the union holds no more pairs than its leaves do.
+    """
+    big = leaves.where(F.col("size") > block)
+    largest = F.max(F.struct("size", "leaf")).over(Window.partitionBy("c"))
+    shares = big.withColumn("to", largest["leaf"]).groupBy("leaf", "size", "to").agg(F.count(F.lit(1)).alias("n"))
+    joins = kept(shares.where("to <> leaf and 2 * n >= size").groupBy("leaf").agg(F.max_by("to", F.struct("n", "to")).alias("to")))
+    joins = joins.join(joins.select(F.col("leaf").alias("to")), "to", "left_anti")
+    of = kept(joins.select("leaf", "to").union(joins.select("to", "to").distinct()))
+    held = big.join(of, "leaf").select("to", "c").distinct().groupBy("to").agg(F.count(F.lit(1)).alias("whole"))
+    parts = big.select("leaf", "size").distinct().join(of, "leaf").groupBy("to").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    worth = held.join(parts, "to").where("whole * whole <= pairs")
+    return kept(of.join(worth, "to").select("leaf", (-1 - F.col("to")).alias("union"), F.col("whole").alias("size")))
+
+
+def _dealt(leaves: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(leaf, one, other, side, c): each block of a leaf, or of a union in its place, meets itself and every other one; and (c, leaves) with the unions among them."""
+    unions = _unions(leaves, block)
+    united = leaves.drop("size").join(unions, "leaf").select(F.col("union").alias("leaf"), "size", "c").distinct()
+    own = leaves.union(united).groupBy("c").agg(F.collect_set("leaf").alias("leaves"))  # as many as a class has paths
+    placed = leaves.join(unions, "leaf", "left_anti").union(united)
+    placed = placed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("of", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    placed = placed.select("leaf", "c", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return placed.select("leaf", F.least("of", "with").alias("one"), F.greatest("of", "with").alias("other"), F.col("of").alias("side"), "c"), own
+
+
 def _linked(prints: DataFrame, classes: DataFrame, least: float, recall: float, runs: int, branching: int, bucket: int, depth: int, thin: float, block: int, agree: int) -> DataFrame:
     """(c, texts, docs, to) from leaves: trees are added until the share of links found reaches ``recall``, or they add none."""
     leaves, links_before, trees = None, -1, 0
@@ -358,12 +390,8 @@ def _linked(prints: DataFrame, classes: DataFrame, least: float, recall: float,
         more = _leaves(classes, range(trees, trees + runs), branching, bucket, depth, thin)
         trees += runs
         leaves = more if leaves is None else kept(leaves.union(more))
-        own = leaves.groupBy("c").agg(F.collect_set("leaf").alias("leaves"))  # as many as a class has paths
+        placed, own = _dealt(leaves, block)
         payload = kept(classes.select("c", "n", "first", "copies").join(own, "c"))
-        placed = leaves.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("of", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        # each block meets itself and every other block of its leaf
-        placed = placed.select("leaf", "c", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        placed = placed.select("leaf", F.least("of", "with").alias("one"), F.greatest("of", "with").alias("other"), F.col("of").alias("side"), "c")
         dealt = lambda rows: rows.repartition("leaf", "one", "other").sortWithinPartitions("leaf", "one", "other", "c")
         near = kept(dealt(placed.join(payload, "c")).mapInPandas(_near(least, agree), _PLACE))
         whole = near.join(payload, "c").join(prints.select(F.col("row").alias("c"), "members"), "c")
