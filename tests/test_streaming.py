@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from wavemill.config import tag
+from wavemill.config import method_params, tag
 from wavemill.functions import adaptive, segmented
 from wavemill.operators import events
 from wavemill.plans import screen
@@ -115,3 +116,47 @@ def test_segments_filter_as_one_after_the_other_does(spark, monkeypatch):
         for r in want.select("case", "chunk_idx", screen.cheap_features(16.0)("samples").alias("f")).collect():
             assert np.allclose(found.pop((tag(method, params), r["case"], r["chunk_idx"])), r["f"], rtol=1e-4)
     assert not found
+
+
+def test_filters_of_many_short_cases_run_in_many_tasks(spark):
+    rows = [(f"c{i}", "C1", "f", 0, 0, [float(i + k) for k in range(30)]) for i in range(64)]
+    out = adaptive.run(spark.createDataFrame(rows, CHUNKS), "rls", {"length": 4}, fs=1.0, warm_start_s=20.0)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_a_chunk_costs_two_calls_of_the_state_store():
+    calls, store = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return iter(store.get("held", [])) if self.name == "held" else store.get("filter")
+
+        def update(self, value):
+            calls.append("update")
+            store["filter"] = value
+
+        def put(self, rows):
+            calls.append("put")
+            store["held"] = rows
+
+        def clear(self):
+            calls.append("clear")
+            store.pop("held", None)
+
+    class Handle:
+        getValueState = getListState = staticmethod(lambda name, schema: State(name))
+
+    def sent(i):
+        calls.clear()
+        chunk = pd.DataFrame({"file": ["f"], "file_order": [i], "chunk_idx": [0], "samples": [[float(i), 1.0, 2.0]]})
+        return [r for df in made.handleInputRows(("c", "A"), iter([chunk]), None) for r in df["file_order"]], list(calls)
+
+    made = filters.FilterProcessor("nlms", method_params("nlms", {"length": 4}), 1.0, 6)
+    made.init(Handle())
+    assert sent(0) == ([], ["get", "put", "update"])
+    assert sent(1) == ([0, 1], ["get", "get", "clear", "update"])
+    assert sent(2) == ([2], ["get", "update"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import WARM_START_S, method_params, tag
 from ..operators.arrays import scanned
+from ..shared import partitions
 
 
 def start(method: str, params: dict, channels: int = 1) -> dict[str, np.ndarray]:
@@ -64,15 +65,19 @@ def _rls(p: dict, s: dict, x: np.ndarray, fs: float) -> np.ndarray:
         learns = (np.einsum("cl,cl->c", u, u) > p["eps"]) & (denominator > 1e-12)
         if not learns.any():
             continue
-        gain = mu / np.where(learns, denominator, 1.0)[:, None]
-        w += np.where(learns, e, 0.0)[:, None] * gain
+        whole = learns.all()
+        if not whole:
+            e, denominator = np.where(learns, e, 0.0), np.where(learns, denominator, 1.0)
+        w += e[:, None] * (mu / denominator[:, None])
         # products of two entries are the same on both sides of the diagonal: a difference between them would grow by 1 / lam a sample
-        new = (m - mu[:, :, None] * mu[:, None, :] / np.where(learns, denominator, 1.0)[:, None, None]) / lam
+        new = (m - mu[:, :, None] * mu[:, None, :] / denominator[:, None, None]) / lam
         trace = np.einsum("cll->c", new)
+        over = trace > cap
         if "capped" in s:  # asked for by those who must know
-            s["capped"] |= learns & (trace > cap)
-        new *= np.where(trace > cap, cap / np.where(trace > cap, trace, 1.0), 1.0)[:, None, None]
-        if learns.all():
+            s["capped"] |= learns & over
+        if over.any():
+            new *= np.where(over, cap / np.where(over, trace, 1.0), 1.0)[:, None, None]
+        if whole:
             m[:] = new
         else:
             m[learns] = new[learns]
@@ -117,6 +122,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
 
     The group is a case, read as a stream of Arrow batches sorted by the shuffle,
     so a task holds a batch, one chunk of all channels, and the state, not the case.
+    The number of tasks is given: a filter's time goes by samples, so tasks are not merged by their few bytes.
     The first ``warm_start_s`` seconds are run once before any output. A chunk that
     fails (values that are not finite, channels that differ from the case's first chunk,
     lengths that differ) gives status ``failed``; what follows it in its case is
@@ -134,7 +140,7 @@ def run(signals: DataFrame, method: str, params: dict | None = None, fs: float =
     else:
         rows = rows.select("*", *[F.lit(None).cast("array<double>").alias(k) for k in PARTS])
     sort = ["case", *order, "file", "channel"]
-    rows = rows.select(*cols, "samples", *PARTS).repartition("case").sortWithinPartitions(*sort)
+    rows = rows.select(*cols, "samples", *PARTS).repartition(max(partitions(signals.sparkSession), signals.sparkSession.sparkContext.defaultParallelism), "case").sortWithinPartitions(*sort)
     kinds = dict(rows.dtypes)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,8 +45,8 @@ class FilterProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = adaptive.start(self.method, self.params)
         ready, broken, last = self.warm == 0, False, None
-        if self.filter.exists():
-            *parts, ready, broken, file_order, chunk_idx = self.filter.get()
+        if known := self.filter.get():  # each call of the state store is a round trip
+            *parts, ready, broken, file_order, chunk_idx = known
             last = None if file_order is None else (file_order, chunk_idx)
             for c, v in zip(adaptive.PARTS, parts, strict=True):
                 if v is not None:
@@ -71,7 +71,8 @@ class FilterProcessor(StatefulProcessor):
             rms = lambda v: float(np.sqrt(np.mean(np.square(v, dtype=float)))) if len(v) else None
             told(chunk, "success", y.tolist(), rms(x), rms(y))
 
-        waiting = [] if ready else [tuple(r) for r in self.held.get()]
+        waiting = [] if ready or not known else [tuple(r) for r in self.held.get()]
+        had = bool(waiting)
         arrived = pd.concat(rows)[["file", *ORDER, "samples"]].itertuples(index=False, name=None)
         for chunk in sorted(arrived, key=lambda c: c[1:3]):
             if last is not None and chunk[1:3] <= last:
@@ -91,7 +92,10 @@ class FilterProcessor(StatefulProcessor):
             for chunk in waiting:
                 filtered(chunk)
             waiting = []
-        self.held.put([(c[0], int(c[1]), int(c[2]), [float(v) for v in c[3]]) for c in waiting]) if waiting else self.held.clear()
+        if waiting:
+            self.held.put([(c[0], int(c[1]), int(c[2]), [float(v) for v in c[3]]) for c in waiting])
+        elif had:
+            self.held.clear()
         self.filter.update((*[state[c].reshape(-1).tolist() if c in state else None for c in adaptive.PARTS], ready, broken, *(last or (None, None))))
         yield pd.DataFrame(out, columns=NAMES)
 
